@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, quality_rules
+from . import decontaminate, langid, quality_model, quality_rules, token_prefix
 from .common import table
 
 
@@ -14,12 +14,27 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.digest(langid.predicted(docs, langid.fit(langid.learnable(docs))))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_model.fit(docs, quality_model.learning_labels(table(spark, sf_dir, "labels")))
+    return quality_model.digest(quality_model.scored(docs, model))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_prefix.digest(token_prefix.token_counts(table(spark, sf_dir, "documents")))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measured(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op4_quality_classifier, op6_token_counts, op8_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
