@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, quality_model, quality_rules, token_prefix
+from . import decontaminate, html_extract, langid, quality_model, quality_rules, token_prefix
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.digest(quality_model.scored(docs, model))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.digest(html_extract.extract(table(spark, sf_dir, "pages")))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_prefix.digest(token_prefix.token_counts(table(spark, sf_dir, "documents")))
 
@@ -34,7 +38,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op4_quality_classifier, op6_token_counts, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op4_quality_classifier, op5_html_extraction, op6_token_counts, op8_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
