@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, langid, quality_model, quality_rules, token_prefix
+from . import decontaminate, html_extract, langid, licenses, masked_lm, mixing, quality_model, quality_rules, token_prefix
 from .common import table
 
 
@@ -33,12 +33,26 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_prefix.digest(token_prefix.token_counts(table(spark, sf_dir, "documents")))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measured(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    words = masked_lm.vocabulary(docs)
+    return masked_lm.digest(masked_lm.scored(docs, words, masked_lm.fit(docs, words)))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op4_quality_classifier, op5_html_extraction, op6_token_counts, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op4_quality_classifier, op5_html_extraction, op6_token_counts, op7_mixing, op8_quality_rules, op9_lm_scoring, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
