@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, langid, licenses, masked_lm, mixing, quality_model, quality_rules, token_prefix
+from . import decontaminate, html_extract, jaccard, langid, licenses, masked_lm, mixing, quality_model, quality_rules, token_prefix
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(langid.predicted(docs, langid.fit(langid.learnable(docs))))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_model.fit(docs, quality_model.learning_labels(table(spark, sf_dir, "labels")))
@@ -52,8 +56,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op4_quality_classifier, op5_html_extraction, op6_token_counts, op7_mixing, op8_quality_rules, op9_lm_scoring, op10_license_scan)}
+    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_ngram_jaccard_join, op4_quality_classifier, op5_html_extraction, op6_token_counts, op7_mixing, op8_quality_rules, op9_lm_scoring, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontaminate.ORACLE_SQL, "op8_quality_rules": quality_rules.ORACLE_SQL}
+    return {"op1_decontamination": decontaminate.ORACLE_SQL, "op3_ngram_jaccard_join": jaccard.ORACLE_SQL, "op8_quality_rules": quality_rules.ORACLE_SQL}
