@@ -15,8 +15,8 @@ one class, so copies are never paired.
    miss are hard. Links found so far join hard classes into components; tokens are ordered
    by the number of components that have them, prefixes are extended by one token, and
    rare tokens are indexed singly, tokens of the frequent class as combinations of two: a
-   pair has one rare or two frequent tokens in common there. Only pairs across components
-   are candidates, so a group of thousands of near copies costs its members, not its pairs.
+   pair has one rare or two frequent tokens in common there. Classes that share keys are
+   gathered in blocks of a fixed size, whose overlaps are counted exactly in place.
 4. Before sets are read, a pair's overlap is bounded from its shared rare tokens; pairs that
    cannot reach the threshold go. The rest are verified on the whole sets.
 
@@ -31,6 +31,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import LOWER, WHITE, bloom, buffers, in_bitmap, mixed, partitions_for, rolled, slices, word_spans, written
@@ -38,6 +39,14 @@ from .common import LOWER, WHITE, bloom, buffers, in_bitmap, mixed, partitions_f
 SHINGLE = 5
 #: Classes that may share a token for its bucket to be paired out.
 RARE = 16
+#: Components that may share a token of a hard class for it to be indexed singly.
+FREQUENT = 4096
+#: Rounds of stars among hard classes, and tokens that a class tries in each.
+ROUNDS, TRIES = 1, 4
+#: Classes of a block of a family of hard classes.
+FAMILY_BLOCK = 256
+#: Classes of a block in verification.
+BLOCK = 64
 _SALT = np.uint64(0xA0761D6478BD642F)
 
 
@@ -229,22 +238,34 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold."""
+    """The distinct pairs (a, b) whose sets reach the threshold.
+
+    Classes fall into blocks of about BLOCK by hash; a pair belongs to its two blocks, to
+    which each set that they need is sent once, however many of their pairs need it.
+    """
+    n = F.lit(max(8, sets.count() // BLOCK))
+    block = lambda c: F.pmod(F.xxhash64(c), n)
+    placed = pairs.select("a", "b", (block("a") * n + block("b")).alias("g"))
+    wanted = placed.select(F.col("g").alias("h"), F.explode(F.array("a", "b")).alias("a")).distinct()
+    sent = wanted.join(sets, "a").select("h", "a", "tokens")
+
+    def check(left: pa.Table, right: pa.Table) -> pa.Table:
+        held: dict[int, list[np.ndarray]] = {}
+        for k, x in zip(right.column("a").to_pylist(), right.column("tokens")):
+            held.setdefault(k, []).append(np.frombuffer(x.as_py(), np.uint64))
+        ok = []
+        for a, b in zip(left.column("a").to_pylist(), left.column("b").to_pylist()):
+            ok.append(any(_linked(x, y) for x in held.get(a, ()) for y in held.get(b, ())))
+        return left.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return placed.groupBy("g").cogroup(sent.groupBy("h")).applyInArrow(check, "a long, b long").distinct()
 
-    def run(batches):
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                same = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * same >= 75 * (len(x) + len(y) - same))
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    left = pairs.join(sets.withColumnRenamed("tokens", "x"), "a")
-    both = left.join(sets.select(F.col("a").alias("b"), F.col("tokens").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+def _linked(x: np.ndarray, y: np.ndarray) -> bool:
+    both = np.concatenate([x, y])
+    both.sort()
+    same = int((both[1:] == both[:-1]).sum())
+    return 100 * same >= 75 * (len(x) + len(y) - same)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -292,34 +313,105 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def _hard_pairs(sets: DataFrame, hard: DataFrame, labels: DataFrame) -> DataFrame:
-    """Candidate pairs across components among hard classes, by extended prefixes and combinations.
+def _relabelled(token: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tokens with their class's component c; and the tokens of two components or more with the number of those."""
+    own = token.join(label.withColumnRenamed("node", "a"), "a", "left").select("a", F.coalesce("label", "a").alias("c"), "n", "token")
+    return own, own.select("token", "c").distinct().groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
 
-    sets: a, tokens; hard: a; labels: node, label."""
-    own = sets.join(hard, "a", "left_semi").dropDuplicates(["a"]).join(labels.withColumnRenamed("node", "a"), "a", "left").select("a", F.coalesce("label", "a").alias("c"), "tokens")
+
+def _hard_links(sets: DataFrame, hard: DataFrame, links: DataFrame, label: DataFrame) -> DataFrame:
+    """links and those among hard classes (one column a) that the rare tokens may have missed.
+
+    First a round of stars: each class tries, for a few of its tokens that other components
+    have too, the class that the token's hash puts first. It joins most of a group of near
+    copies at a cost of its members. Then the classes that prefixes leave are compared in
+    blocks, where only links come out, never pairs.
+    """
 
     def explode(batches):
         for whole in batches:
             for b in slices(whole, "tokens", 4 << 20):
-                parts = [np.frombuffer(x.as_py(), np.int64) for x in b.column(2)]
+                parts = [np.frombuffer(x.as_py(), np.int64) for x in b.column(1)]
                 n = [len(p) for p in parts]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(np.repeat(b.column(1).to_numpy(), n)), pa.array(np.repeat(n, n), pa.int32()), pa.array(np.concatenate(parts))], ["a", "c", "n", "token"])
-
-    token = written(own.mapInArrow(explode, "a long, c long, n int, token long"), "jaccard-hard")
-    spread = token.select("token", "c").distinct().groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    mine = token.join(spread, "token").groupBy("a", "c", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
-    # tokens of one component come first in the order; `left` of the others belong to the prefix, extended by one
-    left = F.col("n") - _least_overlap(F.col("n")) + 2 - (F.col("n") - F.size("shared"))
-    prefix = mine.withColumn("left", left.cast("int")).where("left > 1").select("a", "c", "n", F.slice("shared", 1, F.col("left")).alias("p"))
-    often = F.transform(F.filter("p", lambda x: x["df"] > RARE), lambda x: x["token"])
-    seldom = F.transform(F.filter("p", lambda x: x["df"] <= RARE), lambda x: x["token"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(np.repeat(n, n), pa.int32()), pa.array(np.concatenate(parts))], ["a", "n", "token"])
+
+    own = sets.join(hard, "a", "left_semi").dropDuplicates(["a"])
+    token = written(own.select("a", "tokens").mapInArrow(explode, "a long, n int, token long"), "jaccard-hard")
+    fits = "4 * least(n, m) >= 3 * greatest(n, m)"
+    for turn in range(ROUNDS):
+        mine, spread = _relabelled(token, label)
+        shared = written(mine.join(spread, "token"), "jaccard-shared")
+        if shared.isEmpty():
+            return links
+        seed = F.lit(turn)
+        order = F.row_number().over(W.partitionBy("a").orderBy(F.xxhash64("token", seed), "token"))
+        few = shared.withColumn("r", order).where(F.col("r") <= TRIES)
+        first = shared.groupBy("token").agg(F.min_by(F.struct(F.col("a").alias("b"), F.col("c").alias("d"), F.col("n").alias("m")), F.xxhash64("a", "token", seed)).alias("f")).select("token", "f.*")
+        tried = few.join(first, "token").where("c <> d").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        more = written(_verified(tried, sets), "jaccard-links")
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        label = components(links)
+
+    # Tokens of one component come first in the order and cannot be shared across; `left` of the others belong to the prefix, extended by one.
+    mine, spread = _relabelled(token, label)
+    held = mine.join(spread, "token").groupBy("a", "c", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    left = F.size("shared") - _least_overlap(F.col("n")) + 2
+    prefix = held.withColumn("left", left.cast("int")).where("left > 1").select("a", "c", "n", F.slice("shared", 1, F.col("left")).alias("p"))
+    often = F.transform(F.filter("p", lambda x: x["df"] > FREQUENT), lambda x: x["token"])
+    seldom = F.transform(F.filter("p", lambda x: x["df"] <= FREQUENT), lambda x: x["token"])
     pairs = F.flatten(F.transform(F.col("often"), lambda x, i: F.transform(F.slice(F.col("often"), i + 2, F.size("often")), lambda y: F.xxhash64(F.least(x, y), F.greatest(x, y)))))
-    keys = prefix.select("a", "c", "n", often.alias("often"), seldom.alias("seldom")).select("a", "c", "n", F.explode(F.concat(F.col("seldom"), pairs)).alias("k"))
-    keys = written(keys, "jaccard-keys")
-    by = keys.select("k", "c").distinct()
-    across = keys.join(by.select("k", F.col("c").alias("d")), "k").where("d > c")
-    other = keys.select("k", F.col("a").alias("b"), F.col("c").alias("d"), F.col("n").alias("m"))
-    return across.join(other, ["k", "d"]).where("4 * least(n, m) >= 3 * greatest(n, m)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    keys = written(prefix.select("a", "c", often.alias("often"), seldom.alias("seldom")).select("a", "c", F.explode(F.concat(F.col("seldom"), pairs)).alias("k")), "jaccard-keys")
+
+    # Classes that share keys mostly share the least class of a key: their family. Families are cut into blocks; blocks meet where they share a key.
+    family = keys.join(keys.groupBy("k").agg(F.min("a").alias("l")), "k").groupBy("a", "c").agg(F.min("l").alias("f"))
+    members = family.groupBy("f").agg(F.count("*").alias("m"))
+    part = F.pmod(F.xxhash64("a"), F.ceil(F.col("m") / FAMILY_BLOCK))
+    placed = written(family.join(members, "f").select("a", "c", F.xxhash64("f", part).alias("block")), "jaccard-blocks")
+    of_key = keys.join(placed.select("a", "block"), "a").select("k", "block").distinct()
+    meet = of_key.join(of_key.select("k", F.col("block").alias("other")), "k").where("block <= other").select("block", "other").distinct()
+    meet = meet.select(F.xxhash64("block", "other").alias("g"), F.explode(F.array_distinct(F.array(F.struct("block", F.lit(0).alias("side")), F.struct(F.col("other").alias("block"), F.when(F.col("block") == F.col("other"), 0).otherwise(1).alias("side"))))).alias("x")).select("g", "x.*")
+    sent = meet.join(placed, "block").join(sets.dropDuplicates(["a"]), "a").select("g", "side", "a", "c", "tokens")
+    return links.unionByName(written(sent.groupBy("g").applyInArrow(_forest_across, "a long, b long"), "jaccard-links"))
+
+
+def _forest_across(t: pa.Table) -> pa.Table:
+    """Links between the two sides (or within the one) that join components, as a forest of them; the overlaps of all pairs are counted exactly."""
+    side, a, c = (t.column(k).to_numpy() for k in ("side", "a", "c"))
+    sets = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("tokens")]
+    n = np.array([len(s) for s in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), n)
+    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1
+    keep = count[place] > 1
+    owner, column = owner[keep], number[place[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    same = np.zeros((len(sets), len(sets)), np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        i, j = np.searchsorted(column, [lo, lo + 4096])
+        held = np.zeros((len(sets), 4096), np.float32)
+        held[owner[i:j], column[i:j] - lo] = 1
+        same += held @ held.T
+    same = same.astype(np.int64)
+    ok = (100 * same >= 75 * (n[:, None] + n - same)) & (c[:, None] != c)
+    ok &= np.triu(np.ones_like(ok), 1) if side.max() == 0 else (side[:, None] < side)
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = parent[p]
+            x = p
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(ok)):
+        p, q = root(int(c[i])), root(int(c[j]))
+        if p != q:
+            parent[p] = q
+            out.append((int(a[i]), int(a[j])))
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
 def joined(docs: DataFrame, buckets: int | None = None) -> DataFrame:
@@ -341,9 +433,7 @@ def joined(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     links = written(_verified(pairs, sets), "jaccard-links")
     label = components(links)
     if not hard.isEmpty():
-        more = written(_verified(_hard_pairs(sets, hard, label), sets), "jaccard-links")
-        if not more.isEmpty():
-            label = components(links.unionByName(more))
+        label = components(_hard_links(sets, hard, links, label))
     member = sized.join(label.withColumnRenamed("node", "a"), "a").select("a", "b", "label", "doc")
     least = member.groupBy("label").agg(F.min("doc").alias("component"))
     of_class = sized.join(member.join(least, "label").select("a", "b", "component"), ["a", "b"], "left").select("a", "b", F.coalesce("component", "doc").alias("component"))
