@@ -1,0 +1,430 @@
+"""The ten operators against brute force, round trips and held-out accuracy, and on odd inputs."""
+
+import html as html_lib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from veritrace.llm import decontaminate, html_extract, jaccard, langid, licenses, masked_lm, mixing, quality_model, quality_rules, token_prefix
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+#: Extra columns whose names operators use themselves.
+EXTRA = DOCS + ", score double, n int, a long, bucket int, tokens string, rate double, host string, k int, label int"
+WORDS = [a + b for a in ("ba", "ce", "di", "fo", "gu", "ha") for b in ("n", "rt", "sk", "l", "mp", "x")]
+
+
+def frame(spark, texts, schema=DOCS, ids=None):
+    width = len(schema.split(","))
+    rows = [((ids[k] if ids else k), t, "en", "s", None if t is None else len(t), *[None] * (width - 5)) for k, t in enumerate(texts)]
+    return spark.createDataFrame(rows, schema)
+
+
+def prose(r, n):
+    return " ".join(r.choice(WORDS) for _ in range(n))
+
+
+def odd_texts(seed=0):
+    r = random.Random(seed)
+    long_ = prose(r, 4000)
+    return [None, "", " \t\n", "one", "a b c d", "!!!", "é 日本 x\x1cy", long_, long_, long_ + " end", prose(r, 60), prose(r, 60).upper(), "the " * 50]
+
+
+# --- 1: decontamination
+
+
+def benchmark(spark, texts, ids=None):
+    return spark.createDataFrame([((ids[k] if ids else k), t) for k, t in enumerate(texts)], "item_id long, text string")
+
+
+def decontaminated(df):
+    return sorted(map(repr, ((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.digest(df).collect())))
+
+
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 300])
+def test_decontamination_is_exact(spark, block):
+    r = random.Random(3)
+    items = [prose(r, 25), prose(r, 10), "Ba-n, Cert!", "single", None, "", "...", prose(r, 12), prose(r, 12)]
+    items[8] = items[7]
+    docs = odd_texts() + [items[0], "x " + items[1].upper() + " y", "ban cert", "no single here", prose(r, 30) + " " + " ".join(items[0].split()[3:14]), " ".join(items[0].split()[:9]), items[7]]
+    docs.append(docs[-1])
+    found = decontaminate.contamination(frame(spark, docs, EXTRA), benchmark(spark, items), block_bytes=block)
+    assert decontaminated(found) == sorted(map(repr, decontaminate.brute_force(list(enumerate(docs)), list(enumerate(items)))))
+
+
+def test_decontamination_of_empty_tables(spark):
+    docs, none = frame(spark, ["a b c"]), frame(spark, [])
+    assert decontaminated(decontaminate.contamination(docs, benchmark(spark, [])))[0].endswith("False)")
+    assert decontaminate.contamination(none, benchmark(spark, ["a b"])).count() == 0
+    kept = decontaminate.keep_clean(frame(spark, ["a b c", "z", None], EXTRA), benchmark(spark, ["a b"]))
+    assert kept.columns == frame(spark, [], EXTRA).columns and {r.text for r in kept.collect()} == {"z", None}
+
+
+# --- 2: language
+
+
+def test_language_by_held_out_accuracy(spark):
+    r = random.Random(5)
+    sound = {"aa": "bcdfg", "bb": "lmnpr", "cc": "stvwx"}
+    rows = []
+    for k in range(300):
+        lang = r.choice(list(sound))
+        rows.append((k, " ".join("".join(r.choice(sound[lang]) + r.choice("aeiou") for _ in range(3)) for _ in range(20)), lang if k % 11 else None))
+    rows += [(900, None, "aa"), (901, "", "bb"), (902, "12 + 3!", "cc"), (3, rows[3][1], rows[3][2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(langid.learnable(docs), rows=200)
+    got = {(r_.doc_id, r_.lang_pred): r_ for r_ in langid.digest(langid.predicted(docs, model)).collect()}
+    by_id = {k[0]: v for k, v in got.items()}
+    tested = [(k, lang) for k, _, lang in rows[:300] if lang and zlib.crc32(str(k).encode()) % 4 == 2]
+    assert all(by_id[k].held_out for k, _ in tested)
+    assert np.mean([by_id[k].lang_pred == lang for k, lang in tested]) > 0.97
+    assert all(by_id[k].lang_pred == "und" and by_id[k].score == 0 for k in (900, 901, 902))
+    assert all(0 <= v.score <= 1 for v in by_id.values()) and model.temperature > 0
+
+
+def test_language_of_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, lang string")
+    model = langid.fit(none)
+    assert langid.predicted(none, model).count() == 0
+    assert langid.predicted(frame(spark, odd_texts()), model).select("lang_pred").distinct().collect()[0][0] == "und"
+
+
+def test_document_frequencies_count_every_document(spark):
+    frequency, n = langid.document_frequencies(frame(spark, ["ab", "abab", "b", None]))
+    [(columns, owner), *_] = list(langid.grams(["ab"]))
+    assert n == 4 and sorted(frequency[columns]) == [2, 3]
+
+
+# --- 3: Jaccard join
+
+
+def joined(df, **kw):
+    return sorted(map(repr, ((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.joined(df, **kw).collect())))
+
+
+def near_copies(r, base, n, change):
+    out = []
+    for _ in range(n):
+        w = base.split()
+        for _ in range(change):
+            w[r.randrange(len(w))] = r.choice(WORDS)
+        out.append(" ".join(w))
+    return out
+
+
+def test_jaccard_is_exact(spark):
+    r = random.Random(7)
+    docs = odd_texts()
+    docs += near_copies(r, prose(r, 120), 40, 3) + near_copies(r, prose(r, 60), 12, 2) + near_copies(r, prose(r, 9), 8, 1)
+    passage = prose(r, 40)
+    docs += [passage + " " + prose(r, r.choice([3, 6, 9, 30])) for _ in range(40)]
+    docs += [docs[20].upper(), docs[20], " ".join(docs[21].split()[:118])]
+    docs += [prose(r, 50) for _ in range(30)]
+    ids = list(range(len(docs)))
+    random.Random(1).shuffle(ids)
+    ids[5] = ids[6]
+    assert joined(frame(spark, docs, EXTRA, ids)) == sorted(map(repr, jaccard.brute_force(list(zip(ids, docs)))))
+
+
+def test_jaccard_with_hard_classes(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "FREQUENT", 2)  # combinations of two
+    monkeypatch.setattr(jaccard, "FAMILY_BLOCK", 8)
+    r = random.Random(8)
+    docs = near_copies(r, prose(r, 100), 60, 4) + near_copies(r, prose(r, 30), 30, 1) + [prose(r, 20) for _ in range(10)]
+    assert joined(frame(spark, docs), buckets=3) == sorted(map(repr, jaccard.brute_force(list(enumerate(docs)))))
+
+
+def test_jaccard_of_empty_tables(spark):
+    assert joined(frame(spark, [])) == []
+    assert joined(frame(spark, [None, ""])) == ["(0, 0, 0)", "(1, 0, 1)"]
+    kept = jaccard.keep_first(frame(spark, ["a b c", "z", "A b  c", None], EXTRA))
+    assert kept.columns == frame(spark, [], EXTRA).columns and sorted(r.doc_id for r in kept.collect()) == [0, 1, 3]
+
+
+def test_components(spark):
+    edges = [(k, k + 1) for k in range(0, 60)] + [(100, 101), (105, 101)]
+    got = {r.node: r.label for r in jaccard.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
+    assert got == {k: 0 for k in range(61)} | {100: 100, 101: 100, 105: 100}
+
+
+# --- 4: quality classifier
+
+
+def labelled(spark, n=400):
+    r = random.Random(9)
+    docs, labels = [], []
+    for k in range(n):
+        good = r.random() < 0.8
+        docs.append(prose(r, 80) if good else " | ".join(prose(r, 1) for _ in range(60)))
+        if k % 10 == 0:
+            docs[-1] += " zork" * 40
+        labels.append((k, int(good), int(k % 10 == 0)))
+    return frame(spark, docs + odd_texts(), EXTRA), spark.createDataFrame(labels + labels[:5], "doc_id long, quality int, toxic int"), docs, labels
+
+
+def test_quality_by_held_out_accuracy(spark):
+    docs, labels, texts, known = labelled(spark)
+    model = quality_model.fit(docs, quality_model.learning_labels(labels), rows=250)
+    got = {r.doc_id: r for r in quality_model.digest(quality_model.scored(docs, model)).collect()}
+    out = [k for k, *_ in known if zlib.crc32(str(k).encode()) % 5 == 0]
+    assert all(got[k].held_out for k in out)
+    assert np.mean([got[k].predicted == known[k][1] for k in out]) > 0.95
+    assert all(0 <= r.score <= 1 for r in got.values())
+    assert got[len(texts)].score == got[len(texts) + 1].score == pytest.approx(1 / (1 + np.exp(-model.bias)))
+    kept = quality_model.keep_good(docs, model)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {k for k, r in got.items() if r.predicted}
+
+
+def test_quality_score_is_the_sparse_dot_product(spark):
+    docs, labels, texts, _ = labelled(spark, 60)
+    model = quality_model.fit(docs, labels)
+    from veritrace.llm.common import buffers
+    import pyarrow as pa
+
+    columns, first = quality_model.features(*buffers(pa.array(texts)))
+    for k in range(5):
+        part = columns[:, first[k] : first[k + 1]].ravel()
+        i, c = np.unique(part[part < 1 << quality_model.BITS], return_counts=True)
+        x = model.bias + (model.weights[i] * c).sum() * quality_model.SCALE / (first[k + 1] - first[k])
+        assert model.logits(*buffers(pa.array(texts)))[k] == pytest.approx(x)
+
+
+def test_quality_of_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    model = quality_model.fit(frame(spark, []), none)
+    assert quality_model.scored(frame(spark, []), model).count() == 0
+    assert quality_model.scored(frame(spark, ["x"]), model).first().score == 0.5
+
+
+# --- 5: extraction
+
+
+def page(k, body, nav=("home", "news", "about")):
+    links = "".join(f"<li><a href='/{x}'>{x}</a>" for x in nav)
+    return f"""<!DOCTYPE html><html><head><title>t{k}</title><style>p{{x}}</style><script>var a = "</p>";</script></head><body class="x has-sidebar"><nav><ul>{links}</ul></nav>
+<div class="cookie-notice">We use cookies {k}</div><div class="ad">buy {k}</div><p>Published by the same house</p><article>{body}</article>
+<section id="comments"><p>first {k}!</p></section><form><p>search</p></form><footer>&copy; {k}</footer></body></html>"""
+
+
+def test_extraction(spark):
+    pages, want = [], []
+    for k in range(30):
+        body = [f"Head {k}", f"A &amp; <b>bold</b>\n  text {k}<br>more", "Shared closing line"]
+        pages.append((k, "https://WWW.Example.org/a" if k % 2 else "http://b.example/x", page(k, f"<h1>{body[0]}</h1><p>{body[1]}<p>{body[2]}</p>")))
+        want.append("\n\n".join([f"Head {k}", f"A & bold text {k} more", "Shared closing line"]))
+    pages += [(50, None, None), (51, "no url", ""), (52, "http://c/", "<p>a<p>b &lt;i&gt; <b>c"), (52, "http://c/", "plain < text"), (53, "http://c/", "<div>" * 3000 + "deep")]
+    df = spark.createDataFrame([(*p, "z") for p in pages], "page_id long, url string, html string, template string")
+    got = html_extract.digest(html_extract.extract(df)).collect()
+    by = {r.page_id: r for r in got}
+    assert len(got) == len(pages) and [by[k].text for k in range(30)] == want
+    assert by[50].text == by[51].text == "" and by[51].n_chars == 0 and by[53].text == "deep"
+    assert {r.text for r in got if r.page_id == 52} == {"a\n\nb <i> c", "plain < text"}
+
+
+def test_extraction_by_salted_join(spark, monkeypatch):
+    monkeypatch.setattr(html_extract, "BROADCAST_BYTES", 0)
+    df = spark.createDataFrame([(k, "http://h/", page(k, f"<p>t{k}")) for k in range(20)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_extract.extract(df).collect()} == {k: f"t{k}" for k in range(20)}
+
+
+def test_extraction_of_empty_table(spark):
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_constant_nodes_outside_articles_become_template():
+    pages = [f"<body><div><p>same words</p></div><div><p>own {k}</p></div></body>" for k in range(6)]
+    seen = [dict(html_extract.observe(p, pages[0])) for p in pages]
+    constant = {k: v for k, v in seen[0].items() if all(s.get(k) == v for s in seen)}
+    assert [html_extract.main_text(p, pages[0], constant) for p in pages] == [f"own {k}" for k in range(6)]
+
+
+def test_matching_keeps_order():
+    a, b = html_extract.parse("<ul><li>1<li>2<b>x</b></ul><p>z"), html_extract.parse("<div>q</div><ul><li>1<li>2<b>x</b></ul><p>z")
+    tags = [(x.tag, y.tag) for x, y in html_extract.match(a, b)]
+    assert all(x == y for x, y in tags) and sorted(x for x, _ in tags) == ["#", "b", "li", "li", "p", "ul"]
+    assert html_lib.unescape("&amp;") == "&"
+
+
+# --- 6: token counts
+
+
+def test_prefix_counts_are_the_librarys(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    lib = tokenizers.Tokenizer.from_file(token_prefix.tokenizer_path())
+    count = lambda t: len(lib.encode(t, add_special_tokens=False).ids)
+    r = random.Random(2)
+    parts = ["a", " ", "  ", "\n", "'s", "'re", "'", "hello", "日本", "é", " ", "12", "!", "<|endoftext|>", "<|", "\t", "the", " '", "👍", "\x85", "\x1c", "½", "_"]
+    for _ in range(150):
+        t = "".join(r.choice(parts) for _ in range(r.randint(0, 10)))
+        assert token_prefix.prefix_counts(t).tolist() == [count(t[:k]) for k in range(len(t) + 1)], repr(t)
+    docs = odd_texts() + ["x" * 3000, "ab " * 2000]
+    for row in token_prefix.digest(token_prefix.token_counts(frame(spark, docs, EXTRA))).collect():
+        t = docs[row.doc_id] or ""
+        assert (row.n_bytes, row.n_tokens, row.over_limit) == (len(t.encode()), count(t), count(t) > 1024)
+        assert count(t[: row.limit_chars]) <= 1024 and (row.limit_chars == len(t) or count(t[: row.limit_chars + 1]) > 1024)
+
+
+def test_stored_steps_answer_budgets(spark):
+    text = odd_texts()[7][:2000]
+    row = token_prefix.token_counts(frame(spark, [text]), keep_steps=True).first()
+    counts = token_prefix.prefix_counts(text)
+    for k in (0, 1, 57, 1999, 2000):
+        assert token_prefix.tokens_upto(row.steps, k) == counts[k]
+    chars = token_prefix.tokens_within(row.steps, 100)
+    assert counts[chars] <= 100 < counts[chars + 1 :].min()
+    assert token_prefix.token_counts(frame(spark, [])).count() == 0
+
+
+# --- 7: mixing
+
+
+def test_mixing_meets_the_targets(spark):
+    docs, labels, texts, _ = labelled(spark)
+    model = mixing.fit_posteriors(docs, labels, rows=300)
+    held = mixing.posteriors(docs, model).cache()
+    weights = [1.0 + k for k in range(len(model.domains))]
+    fit = mixing.fit_rates(held, weights, 0.4)
+    p = np.array([r.p for r in held.collect()])
+    n = np.array([r.n_tokens for r in held.collect()])
+    rates = np.array([r[0] for r in held.select(mixing.rate(held.p, held.n_tokens, fit.start, fit.steps)).collect()])
+    assert (rates >= 0).all()
+    # a plain solver of the same least squares cannot come closer
+    want = np.array(fit.targets)
+    got = (rates * n) @ p
+    scale = 1 / np.maximum(n @ p, 1e-9)
+    plain = np.full(len(n), 0.4)
+    for _ in range(3000):
+        plain = np.maximum(0, plain + p @ ((want - (plain * n) @ p) * scale))
+    loss = lambda x: float((scale * (x - want) ** 2).sum())
+    assert loss(got) <= 1.05 * loss((plain * n) @ p) + 1e-3 * loss((n * 0.4) @ p)
+    assert fit.totals == pytest.approx(got.tolist())
+    held.unpersist()
+
+
+def test_mixing_rows_and_empty_tables(spark):
+    docs, labels, *_ = labelled(spark, 120)
+    out = mixing.mixed(docs, labels).collect()
+    assert len(out) == docs.count() and all(r.rate >= 0 and abs(r.copies - r.rate) <= 1 for r in out)
+    assert [r.rate for r in out if r.n_tokens == 0][0] == mixing.TOTAL_SHARE
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert mixing.mixed(frame(spark, []), labels).count() == 0
+    assert mixing.mixed(frame(spark, ["a b"]), none).count() == 1
+
+
+# --- 8: quality rules
+
+
+def plain_measures(text):
+    t = text or ""
+    w = [x for x in re.split("[\x20\x09-\x0d]+", t) if x]
+    windows = {}
+    for k in range(len(w) - 4):
+        windows.setdefault(tuple(w[k : k + 5]), []).append(k)
+    covered = {q for at in windows.values() if len(at) > 1 for k in at for q in range(k, k + 5)}
+    lines = [x for x in t.split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+    return len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_measures_are_exact(spark):
+    r = random.Random(4)
+    docs = odd_texts() + ["a b c d e a b c d e f", "a a a a a a a", "x\ny\nx\n \n \nx", prose(r, 30) + "\n" + prose(r, 30)] * 2
+    docs += [" ".join(r.choice("ab") for _ in range(r.randint(3, 30))) for _ in range(60)]
+    got = quality_rules.measured(frame(spark, docs, EXTRA)).collect()
+    for row in got:
+        n, chars, symbols, dup, rep = plain_measures(docs[row.doc_id])
+        assert (row.n_words, row.word_chars, row.n_symbols, row.n_dup_lines, row.n_repeat_words) == (n, chars, symbols, dup, rep), docs[row.doc_id]
+        assert row.base_failed == (n < 10 or 100 * rep > 20 * n) and not (row.base_failed and row.kept)
+
+
+def test_the_cascades_order_changes_no_verdict(spark):
+    docs = frame(spark, odd_texts() + ["# | # | # |" * 9, "clean words of a common kind that say something new here today"], EXTRA)
+    kept = lambda order: {r.doc_id for r in docs.where(quality_rules.cascade(docs.text, order).isNull()).collect()}
+    one = kept(quality_rules.RULES)
+    assert one == kept(quality_rules.RULES[::-1]) == {r.doc_id for r in quality_rules.keep_good(docs).collect()} == {r.doc_id for r in quality_rules.measured(docs).where("kept").collect()}
+    assert len(odd_texts()) + 1 in one
+    costs = quality_rules.estimate(docs)
+    assert len(costs) == len(quality_rules.RULES) and all(e.seconds > 0 and 0 <= e.rejected <= 1 for e in costs)
+    assert quality_rules.measured(frame(spark, [])).count() == 0
+
+
+# --- 9: language model
+
+
+def test_gradient_is_the_derivative():
+    r = np.random.default_rng(0)
+    net = masked_lm.Network()
+    context, target = r.integers(0, masked_lm.VOCABULARY + 1, (40, 4)), r.integers(0, masked_lm.VOCABULARY, 40)
+    g = net.gradient(context, target).vector
+    loss = lambda v: -masked_lm.Network(v).log_p(context, target).astype(float).mean()
+    for k in np.argsort(-np.abs(g))[:: 400][:12]:
+        up, down = net.vector.astype(np.float32).copy(), net.vector.copy()
+        up[k] += 0.02
+        down[k] -= 0.02
+        assert (loss(up) - loss(down)) / 0.04 == pytest.approx(g[k], rel=0.1, abs=2e-4)
+
+
+def test_probabilities_sum_to_one():
+    net, context = masked_lm.Network(), np.array([[1, 2, 3, masked_lm.PAD]])
+    total = sum(np.exp(net.log_p(np.repeat(context, 512, 0), np.arange(at, at + 512))).sum() for at in range(0, masked_lm.VOCABULARY, 512))
+    assert total == pytest.approx(1, abs=1e-3)
+
+
+def test_scores_tell_order_from_noise(spark):
+    r = random.Random(6)
+    follow = {w: r.sample(WORDS, 2) for w in WORDS}
+
+    def chain(n):
+        out = [r.choice(WORDS)]
+        while len(out) < n:
+            out.append(r.choice(follow[out[-1]]))
+        return " ".join(out)
+
+    docs = [chain(200) for _ in range(150)]
+    mixed_up = []
+    for t in docs[:30]:
+        w = t.split()
+        r.shuffle(w)
+        mixed_up.append(" ".join(w))
+    df = frame(spark, docs, EXTRA)
+    words = masked_lm.vocabulary(df)
+    net = masked_lm.fit(df, words, rounds=3, share=1.0)
+    score = lambda d: {x.doc_id: x for x in masked_lm.digest(masked_lm.scored(d, words, net)).collect()}
+    right, wrong, odd = score(df), score(frame(spark, mixed_up)), score(frame(spark, odd_texts()))
+    assert np.mean([right[k].log_likelihood > wrong[k].log_likelihood for k in range(30)]) > 0.9
+    assert odd[0].n_words == 0 and odd[0].log_likelihood == 0 and odd[0].mean_log_p is None
+    # one text's score does not depend on its neighbours in a batch
+    alone = score(frame(spark, [docs[4]]))[0]
+    assert alone.log_likelihood == pytest.approx(right[4].log_likelihood, rel=1e-5)
+
+
+def test_lm_of_empty_tables(spark):
+    words = masked_lm.vocabulary(frame(spark, []))
+    net = masked_lm.fit(frame(spark, []), words)
+    assert masked_lm.scored(frame(spark, []), words, net).count() == 0
+    assert masked_lm.scored(frame(spark, ["a b"]), words, net).first().log_likelihood < 0
+
+
+# --- 10: licences
+
+
+def test_licences(spark):
+    mit = " ".join(licenses._TEXTS["MIT"])
+    bsd = "\n".join(licenses._TEXTS[k][0] for k in ("BSD-HEAD", "BSD-SOURCE", "BSD-BINARY"))
+    docs = [
+        "words. Released under the MIT License. more", "Licensed under the Apache License, Version 2.0.", "x\nThis work is licensed under the GNU General Public License, version 3.\ny",
+        "Licensed under CC BY-NC 4.0.", mit.upper(), bsd, bsd + "\n" + licenses._TEXTS["BSD-NAME"][0], "SPDX-License-Identifier: MIT", "a licence to kill", None, "", mit + "\n" + mit,
+        licenses._TEXTS["GPL-FREE"][0].format(2),
+    ]
+    got = {r.doc_id: r for r in licenses.scan(frame(spark, docs, EXTRA)).collect()}
+    want = [["MIT"], ["Apache-2.0"], ["GPL-3.0"], ["CC-BY-NC-4.0"], ["MIT"], ["BSD-2-Clause"], ["BSD-3-Clause"], ["MIT"], [], [], [], ["MIT", "MIT"], ["GPL-2.0"]]
+    assert [got[k].licences for k in range(len(docs))] == want
+    assert licenses.digest(licenses.scan(frame(spark, docs))).where("n_matches > 0").count() == 10
+    assert licenses.scan(frame(spark, [])).count() == 0
+
+
+def test_a_gap_too_wide_breaks_a_sequence():
+    rules = licenses.default_rules()
+    near, far = [(0, "MIT/1"), (4, "MIT/2")], [(0, "BSD-HEAD/1"), (9, "BSD-SOURCE/1"), (10, "BSD-BINARY/1")]
+    assert licenses.matched(near, rules) == [(0, "MIT")] and licenses.matched(far, rules) == []

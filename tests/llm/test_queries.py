@@ -1,0 +1,56 @@
+"""Queries and the pipeline on the smallest tables: DuckDB where SQL can express them, plain versions else."""
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from veritrace.llm import decontaminate, jaccard, queries
+from veritrace.llm.common import bloom, in_bitmap, least_by_hash, written
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_against_duckdb(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "pages", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = con.sql(queries.oracle_sql()[name]).df()
+    got = queries.queries()[name](spark, SF).toPandas()
+    columns = sorted(want.columns)
+    assert columns == sorted(got.columns)
+    rows = lambda d: sorted(tuple(str(v) for v in r) for r in d[columns].itertuples(index=False))
+    assert rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(queries.oracle_sql())))
+def test_one_row_for_each_input_row(spark, name):
+    source = "pages" if "html" in name else "documents"
+    assert queries.queries()[name](spark, SF).count() == spark.read.parquet(f"{SF}/{source}.parquet").count()
+
+
+def test_pipeline_stages_against_plain_versions(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs.collect()
+        docs = written(stage(spark, docs, SF), "test")
+        assert docs.columns == columns
+        left = {r.doc_id for r in docs.collect()}
+        if name == "ngram_jaccard_join":
+            assert left == {i for i, _, c in jaccard.brute_force([(r.doc_id, r.text) for r in before]) if i == c}
+        if name == "decontamination":
+            items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+            assert left == {r[0] for r in decontaminate.brute_force([(r.doc_id, r.text) for r in before], items) if not r[5]}
+    mixed = corpus_pipeline.run(spark, SF)
+    assert {r.doc_id for r in mixed.collect()} == left
+
+
+def test_bloom_and_sample(spark):
+    ids = spark.range(0, 5000, 7)
+    bits = bloom(ids.withColumnRenamed("id", "x"))
+    import numpy as np
+
+    assert in_bitmap(bits, np.arange(0, 5000, 7)).all() and in_bitmap(bits, np.arange(10_000, 20_000)).mean() < 0.01
+    one = [r.id for r in least_by_hash(spark.range(100_000), 500, "id").collect()]
+    assert sorted(one) == sorted(r.id for r in least_by_hash(spark.range(100_000).repartition(7), 500, "id").collect()) and len(one) == 500
