@@ -46,7 +46,8 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     grown = 1 + F.try_divide(F.lit(z * z), n.cast("double"))
     middle = p + F.try_divide(F.lit(z * z / 2), n.cast("double"))
     half = z * F.sqrt(F.try_divide(p * (1 - p), n.cast("double")) + F.try_divide(F.lit(z * z / 4), n.cast("double") * n))
-    return F.greatest(F.lit(0.0), (middle - half) / grown), F.least(F.lit(1.0), (middle + half) / grown)
+    some = n > 0  # greatest and least pass over nulls
+    return F.when(some, F.greatest(F.lit(0.0), (middle - half) / grown)), F.when(some, F.least(F.lit(1.0), (middle + half) / grown))
 
 
 def z_sum(power: float = SETTINGS.power, alpha: float = SETTINGS.alpha) -> float:
