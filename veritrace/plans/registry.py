@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, evidence
+from . import audit, evidence, reports
 
-QUERIES = {**audit.QUERIES, **evidence.QUERIES}
-SQL = {**audit.SQL, **evidence.SQL}
+QUERIES = {**audit.QUERIES, **evidence.QUERIES, **reports.QUERIES}
+SQL = {**audit.SQL, **evidence.SQL, **reports.SQL}
