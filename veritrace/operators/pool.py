@@ -109,3 +109,50 @@ def fictional(kind: Column, old: Column) -> Column:
     number = (low + N.hash_mod(F.concat(F.lit("fiction|"), old), (low * 9).cast("long"))).cast("string")
     near = (N.year(old) + F.element_at(F.array(*[F.lit(d) for d in (7, -7, 11, -11, 13, -13)]), (N.hash_mod(F.concat(F.lit("year|"), old), F.lit(6)) + 1).cast("int"))).cast("string")
     return F.when(kind == "date", near).when(kind == "numeric", number).otherwise(F.raise_error(F.lit("names are never invented")).cast("string"))
+
+
+def prefer(rows: DataFrame, flag: Column, key: str) -> DataFrame:
+    """The rows of each key that the flag marks; all of a key's rows where it marks none."""
+    w = W.partitionBy(key)
+    marked = rows.withColumn("_flag", F.coalesce(flag, F.lit(False)))
+    return marked.withColumn("_any", F.bool_or("_flag").over(w)).where(F.col("_flag") | ~F.col("_any")).drop("_flag", "_any")
+
+
+def borrow_names(targets: DataFrame, pool: DataFrame, typed: bool = SETTINGS.strict_entity_type) -> DataFrame:
+    """A name for each target by a ladder of preferences, none of which may empty its candidates.
+
+    Not one of the question's own spellings; not the same value in other words; with `typed`
+    of an agreeing kind; then the first level that has any: two topic words in common and as
+    many words, one topic word and as many words, as many words, anything.
+    targets: question_id, old, forms, signature, band, asks, passage. pool: value, ord, signature, band, asks."""
+    p = pool.select("value", "ord", F.col("signature").alias("p_signature"), F.col("band").alias("p_band"), F.col("asks").alias("p_asks"))
+    rows = targets.join(p, (F.col("value") != F.col("old")) & (T.whole_count("passage", "value") == 0))
+    rows = prefer(rows, ~F.array_contains("forms", T.normalize_answer("value")), "question_id")
+    rows = prefer(rows, ~same_value(F.col("value"), F.col("old")), "question_id")
+    if typed:
+        rows = prefer(rows, kinds_agree(F.col("p_asks"), F.col("asks")), "question_id")
+    shared, band = F.size(F.array_intersect("signature", "p_signature")), F.col("band") == F.col("p_band")
+    level = F.when(band & (shared >= SETTINGS.signature_overlap), 0).when(band & (shared >= 1), 1).when(band, 2).otherwise(3)
+    w = W.partitionBy("question_id")
+    best = rows.withColumn("level", level).withColumn("least", F.min("level").over(w)).where("level = least")
+    numbered = best.withColumns({"n": F.count("*").over(w), "i": F.row_number().over(w.orderBy("ord", "value")) - 1})
+    return numbered.where(F.col("i") == N.hash_mod(F.concat_ws("|", F.col("question_id").cast("string"), "old"), F.col("n"))).select("question_id", "old", F.col("value").alias("new"), "level", F.col("n").alias("n_candidates"))
+
+
+def cooccurrences(pairs: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """Paragraphs that hold both strings of each pair, in lower case, anywhere; 0 where none does. pairs: subject, value.
+
+    Paragraphs that hold a subject are found once; values are looked for in those alone."""
+    low = paragraphs.select(F.lower("text").alias("text"))
+    subject = pairs.select(F.lower("subject").alias("s")).distinct()
+    held = low.join(subject, F.contains("text", "s"))
+    both = pairs.select("subject", "value", F.lower("subject").alias("s"), F.lower("value").alias("v")).distinct()
+    n = both.join(held, "s").where(F.contains("text", "v")).groupBy("subject", "value").agg(F.count("*").alias("n"))
+    return both.select("subject", "value").join(n, ["subject", "value"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def alias_closure(answers: DataFrame) -> DataFrame:
+    """All spellings of the questions that share a normalised spelling with each question: one hop. answers: question_id, aliases."""
+    form = answers.select("question_id", F.explode(F.array_distinct(F.transform("aliases", T.normalize_answer))).alias("form")).where("form <> ''")
+    near = form.join(form.select("form", F.col("question_id").alias("other")), "form").select("question_id", "other").distinct()
+    return near.join(form.select(F.col("question_id").alias("other"), "form"), "other").groupBy("question_id").agg(F.array_sort(F.collect_set("form")).alias("forms"))

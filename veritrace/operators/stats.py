@@ -147,3 +147,15 @@ def quartile_bins(rows: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
 def capture_recapture(n1: Column, n2: Column, m: Column) -> tuple[Column, Column]:
     """Lincoln-Petersen (null at m = 0) and Chapman estimates of the total."""
     return F.try_divide(n1.cast("double") * n2, m.cast("double")), (n1 + 1.0) * (n2 + 1) / (m + 1) - 1
+
+
+def cluster_means(rows: DataFrame, keys: list[str], cluster: str, value: str, b: int, tag: str) -> DataFrame:
+    """Mean of value in each of b resamples of whole clusters, for each group.
+
+    Members are first summed by cluster; a replicate draws as many clusters as there are."""
+    total = rows.groupBy(*keys, cluster).agg(F.sum(value).alias("s"), F.count(value).alias("m"))
+    place = total.withColumns({"i": F.row_number().over(W.partitionBy(*keys).orderBy(cluster)) - 1, "n": F.count("*").over(W.partitionBy(*keys))})
+    slots = place.groupBy(*keys).agg(F.max("n").alias("n")).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))).withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    name = F.concat_ws("|", F.lit(tag), *[F.col(k).cast("string") for k in keys], F.col("r").cast("string"), F.col("j").cast("string"))
+    draws = slots.select(*keys, "r", F.pmod(F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long"), F.col("n")).alias("i"))
+    return draws.join(place.select(*keys, "i", "s", "m"), [*keys, "i"]).groupBy(*keys, "r").agg(F.try_divide(F.sum("s").cast("double"), F.sum("m").cast("double")).alias(value))

@@ -9,7 +9,9 @@ from ..functions import numeric as N
 from ..operators import annotate as AN
 from ..operators import arms as X
 from ..operators import fourarm as A
+from ..functions import text as T
 from ..operators import gold as G
+from ..operators import pool as P
 from ..operators import stats as B
 from .audit import _REPS, _boot_sql, _replicates
 from .evidence import _EDIT, _edited
@@ -151,3 +153,68 @@ def common_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.agg(F.count_if(F.col("m") == 5).alias("n_all_models"), F.count("*").alias("n_items"))
 
 
+
+
+@query(
+    f"""WITH {FOURARM}, c AS (SELECT model, question_id // 10 AS cl, sum((d - c) - (b - a)) AS s, count(*) AS m FROM fourarm WHERE k = 5 GROUP BY 1, 2),
+p AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY cl) - 1 AS i, count(*) OVER (PARTITION BY model) AS n FROM c), t AS (SELECT DISTINCT model, n FROM p),
+dr AS (SELECT model, r, ('0x' || substr(md5('cluster|' || model || '|' || r || '|' || j), 1, 8))::BIGINT % n AS i FROM (SELECT model, n, r, unnest(range(1, n + 1)) AS j FROM t, (SELECT unnest(range(0, {_REPS})) AS r))),
+rep AS (SELECT dr.model, r, sum(s)::DOUBLE / sum(m) AS masking FROM dr JOIN p USING (model, i) GROUP BY dr.model, r)
+SELECT model, round(quantile_cont(masking, 0.025), 9) AS ci_low, round(quantile_cont(masking, 0.975), 9) AS ci_high FROM rep GROUP BY model"""
+)
+def clustered_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fourarm(spark, sf_dir, depths=(5,)).select("model", F.floor(F.col("question_id") / 10).alias("cl"), A.masking().alias("masking"))
+    return B.linear_ci(B.cluster_means(rows, ["model"], "cl", "masking", _REPS, "cluster"), ["model"], "masking")
+
+
+@query(
+    """WITH f AS (SELECT DISTINCT item_id, w AS form FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{9,}')) AS w FROM benchmark)), n AS (SELECT DISTINCT x.item_id, y.item_id AS other FROM f x JOIN f y USING (form)),
+a AS (SELECT DISTINCT n.item_id, f.form FROM n JOIN f ON f.item_id = n.other) SELECT item_id AS question_id, count(*) AS n_forms, md5(string_agg(form, '|' ORDER BY form)) AS forms_md5 FROM a GROUP BY item_id"""
+)
+def alias_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long words of an item stand in for its aliases."""
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), T.long_words("text", 9).alias("aliases"))
+    out = P.alias_closure(rows)
+    return out.select("question_id", F.size("forms").cast("long").alias("n_forms"), F.md5(F.array_join("forms", "|")).alias("forms_md5"))
+
+
+@query(
+    """WITH p AS (SELECT DISTINCT p_brand AS subject, p_type AS value FROM part), t AS (SELECT lower(p_name || ' ' || p_brand || ' ' || p_type) AS text FROM part)
+SELECT subject, value, (SELECT count(*) FROM t WHERE contains(text, lower(subject)) AND contains(text, lower(value))) AS n FROM p"""
+)
+def cooccurrence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    return P.cooccurrences(part.select(F.col("p_brand").alias("subject"), F.col("p_type").alias("value")), part.select(F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("text")))
+
+
+@query()
+def name_borrowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names for benchmark items by topic words, number of words and kind of question."""
+    items = table(spark, sf_dir, "benchmark").where(F.col("text").isNotNull()).select(F.col("item_id").alias("question_id"), "text")
+    old = F.initcap(F.element_at(T.long_words("text", 5), 1))
+    rows = items.join(P.signatures(items), "question_id", "left").select("question_id", "text", old.alias("old"), F.coalesce("signature", F.array().cast("array<string>")).alias("signature"), P.question_kind(F.col("text")).alias("asks")).where("old IS NOT NULL").withColumn("band", T.token_band(F.col("old")))
+    pool = rows.groupBy(F.col("old").alias("value")).agg(F.min("question_id").alias("ord"), F.min_by("signature", "question_id").alias("signature"), F.first("band").alias("band"), F.min_by("asks", "question_id").alias("asks"))
+    return P.borrow_names(rows.select("question_id", "old", F.array(T.normalize_answer("old")).alias("forms"), "signature", "band", "asks", F.col("text").alias("passage")), pool, typed=True)
+
+
+@query(
+    f"""WITH {FOURARM}, x AS (SELECT model, (b - d)::DOUBLE AS cost, sum(a) OVER (PARTITION BY question_id) - a - avg(a) OVER (PARTITION BY model) AS s, (c - avg(c) OVER (PARTITION BY model)) AS z FROM fourarm WHERE k = 5),
+v AS (SELECT model, count(*) AS n, covar_samp(s, s) AS s11, covar_samp(z, z) AS s22, covar_samp(s, z) AS s12, covar_samp(s, cost) AS s1y, covar_samp(z, cost) AS s2y, covar_samp(cost, cost) AS syy FROM x GROUP BY model),
+w AS (SELECT *, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS b1, (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS b2 FROM v)
+SELECT model, n, round(b1, 8) AS beta1, round(b2, 8) AS beta2, round((b1 * s1y + b2 * s2y) / syy, 8) AS r2 FROM w"""
+)
+def memory_strength_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cost on centred strength and a second predictor, by model."""
+    from pyspark.sql import Window as W
+
+    rows = fourarm(spark, sf_dir, depths=(5,))
+    others = F.sum("a").over(W.partitionBy("question_id")) - F.col("a") - F.avg("a").over(W.partitionBy("model"))
+    x = rows.select("model", (F.col("b") - F.col("d")).cast("double").alias("cost"), others.alias("s"), B.centred("c", "model").alias("z"))
+    return B.two_predictors(x, "cost", "s", "z", "model").select("model", "n", *[F.round(c, 8).alias(c) for c in ("beta1", "beta2", "r2")])
+
+
+@query(f"WITH {FOURARM}, h AS (SELECT * FROM fourarm WHERE k = 1 OR k = 5) SELECT k, count(*) FILTER (WHERE b = 1 AND d = 0) AS lost, count(*) FILTER (WHERE b = 0 AND d = 1) AS won, round(avg(d), 9) AS mean_d FROM h GROUP BY k")
+def directional_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ups and downs behind a mean that may hide them."""
+    rows = fourarm(spark, sf_dir, depths=(1, 5))
+    return rows.groupBy("k").agg(F.count_if((F.col("b") == 1) & (F.col("d") == 0)).alias("lost"), F.count_if((F.col("b") == 0) & (F.col("d") == 1)).alias("won"), F.round(F.avg("d"), 9).alias("mean_d"))
