@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_FILE = "byte_bpe_50k.json"
-#: Units held by a worker; the cache is emptied beyond that.
-CACHE_UNITS = 400_000
+#: Units of a worker's cache; a full cache becomes the old one, from which units in use come back.
+CACHE_UNITS = 600_000
 #: White space is Unicode's property, without the separators 0x1C-0x1F that Python's \\s takes in.
 _W, _NOT = r"\p{White_Space}", r"[^\p{White_Space}\p{L}\p{N}]+"
 _NEXT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?{_NOT}|{_W}+(?!\P{{White_Space}})|{_W}+"
@@ -73,6 +73,7 @@ class PrefixCounter:
                 self.rank[z] = k + 1
         self.agree: dict[tuple[int, int], bool] = {}
         self.units: dict[str, bytes] = {}
+        self.old_units: dict[str, bytes] = {}
         self._find = regex.compile(_UNIT).findall
         self._pieces = regex.compile(_NEXT).findall
         self._special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
@@ -104,12 +105,18 @@ class PrefixCounter:
 
     def byte_counts(self, s: bytes) -> list[int]:
         """Tokens of s[:i] for i in 0..len(s), for one piece."""
-        n, get, stay, longest = len(s), self.ids.get, self._stay, self.longest
+        n, get, longest = len(s), self.ids.get, self.longest
+        agree, stay = self.agree.get, self._stay
         last, count = [-1] * (n + 1), [0] * (n + 1)
         for i in range(1, n + 1):
-            for j in range(max(0, i - longest), i):
+            for j in range(i - longest if i > longest else 0, i):
                 t = get(s[j:i])
-                if t is not None and (not j or stay(last[j], t)):
+                if t is not None:
+                    if j:
+                        key = (last[j], t)
+                        known = agree(key)
+                        if not (stay(*key) if known is None else known):
+                            continue
                     last[i], count[i] = t, count[j] + 1
                     break
             else:
@@ -135,9 +142,12 @@ class PrefixCounter:
         got = self.units.get(unit)
         if got is None:
             if len(self.units) >= CACHE_UNITS:
-                self.units.clear()
-                self.agree.clear()
-            got = self.steps(unit)
+                self.old_units, self.units = self.units, {}
+                if len(self.agree) > 4 * CACHE_UNITS:
+                    self.agree.clear()
+            got = self.old_units.get(unit)
+            if got is None:
+                got = self.steps(unit)
             if len(unit) <= 64:
                 self.units[unit] = got
         return got
