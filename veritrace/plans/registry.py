@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, evidence, reports
+from . import audit, decisions, evidence, reports
 
-QUERIES = {**audit.QUERIES, **evidence.QUERIES, **reports.QUERIES}
-SQL = {**audit.SQL, **evidence.SQL, **reports.SQL}
+QUERIES = {**audit.QUERIES, **evidence.QUERIES, **reports.QUERIES, **decisions.QUERIES}
+SQL = {**audit.SQL, **evidence.SQL, **reports.SQL, **decisions.SQL}
