@@ -42,6 +42,20 @@ def partitions_for(df: DataFrame, bytes_each: int = 32 << 20, most: int = 1 << 2
     return max(least, min(size // bytes_each, most))
 
 
+def least_by_hash(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """The `rows` rows with the least hash of the keys: a sample that depends on neither partitions nor order.
+
+    A bound on the hash, from the number of rows, comes first, so that the sort that
+    follows sees about as many rows as are wanted however large df is.
+    """
+    h = F.xxhash64(*keys)
+    n = df.count()
+    if n > 2 * rows + 1000:
+        share = (rows + 6 * rows**0.5 + 50) / n
+        df = df.where(h < int(share * 2.0**64) - (1 << 63))
+    return df.orderBy(h, *keys).limit(rows)
+
+
 # --- scanning of UTF-8 columns -------------------------------------------------------------
 
 _BYTES = np.arange(256)
@@ -151,7 +165,7 @@ def rolled(h: np.ndarray, n: int) -> np.ndarray:
     return mixed(out)
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = 8 << 20, least_rows: int = 1) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, most: int = 2 << 20, least_rows: int = 1) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about `most` bytes of text; a longer text is a part of its own."""
     _, off = buffers(batch.column(batch.schema.get_field_index(text)))
     at = 0

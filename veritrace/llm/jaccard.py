@@ -102,12 +102,12 @@ def _spread(docs: DataFrame, buckets: int) -> DataFrame:
     def run(batches):
         seen: set[tuple[int, int]] = set()
         at = 0
-        for whole in batches:
+        for b in (part for whole in batches for part in slices(whole, "text", 8 << 20)):
             rows: list[tuple] = []
             posts, owner_class, owner_size = [], [], []
-            for b in slices(whole, "text"):
-                ids = b.column(0).to_pylist()
-                for doc_id, s in zip(ids, token_sets(*buffers(b.column(1)))):
+            for part in slices(b, "text"):
+                ids = part.column(0).to_pylist()
+                for doc_id, s in zip(ids, token_sets(*buffers(part.column(1)))):
                     at += 1
                     if not len(s):
                         rows.append((at % buckets, doc_id, None, None, 0, 0))
@@ -119,16 +119,15 @@ def _spread(docs: DataFrame, buckets: int) -> DataFrame:
                         if len(seen) > 500_000:
                             seen.clear()
                         seen.add(key)
-                        posts.append(s[:post])
+                        posts.append(s[:post].copy())  # not a view, which would hold the whole set
                         owner_class.append(key[0])
                         owner_size.append(len(s))
-            if rows:
-                cols = list(zip(*rows))
-                none = pa.nulls(len(rows), pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.int32()), pa.array([0] * len(rows), pa.int32()), *(pa.array(cols[k], pa.int64()) for k in (1, 2, 3)), *(pa.array(cols[k], pa.int32()) for k in (4, 5)), none, none, none, none],
-                    [x.split()[0] for x in _MAPPED.split(", ")],
-                )
+            cols = list(zip(*rows))
+            none = pa.nulls(len(rows), pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cols[0], pa.int32()), pa.array([0] * len(rows), pa.int32()), *(pa.array(cols[k], pa.int64()) for k in (1, 2, 3)), *(pa.array(cols[k], pa.int32()) for k in (4, 5)), none, none, none, none],
+                [x.split()[0] for x in _MAPPED.split(", ")],
+            )
             if posts:
                 yield from _packed(posts, np.array(owner_class, np.int64), np.array(owner_size, np.int32), buckets)
 
