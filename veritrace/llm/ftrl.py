@@ -15,7 +15,7 @@ class Ftrl:
     def __init__(self, size: int, classes: int = 1, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.01, l2: float = 0.01):
         self.size, self.classes = size, classes
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
-        self.z, self.n = np.zeros((size + 1, classes)), np.zeros((size + 1, classes))
+        self.z, self.n = np.zeros((size + 1, classes), np.float32), np.zeros((size + 1, classes), np.float32)
 
     def weights(self, rows=slice(None)) -> np.ndarray:
         z, n = self.z[rows], self.n[rows]
@@ -30,7 +30,7 @@ class Ftrl:
         for _ in range(epochs):
             for k in order.permutation(len(data)):
                 index, value, label = data[k]
-                index, value = np.append(index, self.size), np.append(value, 1.0)
+                index, value = np.append(index, self.size).astype(np.int64), np.append(value, 1.0)
                 w = self.weights(index)
                 logits = value @ w
                 p = _softmax(logits) if self.classes > 1 else 1 / (1 + np.exp(-np.clip(logits, -35, 35)))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import least_by_hash, slices
 from .ftrl import Ftrl, softmax, temperature
 from .quality_model import fold
 
@@ -107,7 +107,7 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, epochs: int = 3) -> Model:
     learnable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     frequency, n = document_frequencies(learnable)
     idf = np.log((1 + n) / (1 + frequency)) + 0.05
-    chosen = learnable.select("doc_id", "lang").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(rows)
+    chosen = least_by_hash(learnable.select("doc_id", "lang").distinct(), rows, "doc_id", "lang")
 
     def run(batches):
         for whole in batches:
@@ -125,10 +125,10 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, epochs: int = 3) -> Model:
     names = sorted({r["lang"] for r in got})
     data = []
     for r in got:
-        i, c = np.frombuffer(bytes(r["i"]), np.int32).astype(np.int64), np.frombuffer(bytes(r["c"]), np.int32)
+        i, c = np.frombuffer(r["i"], np.int32), np.frombuffer(r["c"], np.int32)
         if len(i):
             v = c * idf[i]
-            data.append((i, v * (_SCALE / v.sum()), names.index(r["lang"])))
+            data.append((i, (v * (_SCALE / v.sum())).astype(np.float32), names.index(r["lang"])))
     np.random.default_rng(1).shuffle(data)
     cut = int(len(data) * (1 - CALIBRATION))
     k = max(2, len(names))

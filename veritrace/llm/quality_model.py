@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SAME, WHITE, buffers, mixed, slices, word_spans
+from .common import SAME, WHITE, buffers, least_by_hash, mixed, slices, word_spans
 from .ftrl import Ftrl
 
 BITS = 18
@@ -63,13 +63,8 @@ class Model:
 
 def sampled(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
     """Sparse rows of at most `rows` labelled documents, in the order of a hash of doc_id."""
-    chosen = (
-        labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-        .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-        .agg(F.min(label).cast("int").alias("y"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(rows)
-    )
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+    chosen = least_by_hash(known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label).cast("int").alias("y")), rows, "doc_id")
 
     def run(batches):
         for whole in batches:
@@ -87,7 +82,7 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> list[t
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
     got = joined.mapInArrow(run, "doc_id long, i binary, v binary, y int").collect()
     got.sort(key=lambda r: (r["doc_id"], bytes(r["i"])))
-    return [(np.frombuffer(bytes(r["i"]), np.int32).astype(np.int64), np.frombuffer(bytes(r["v"]), np.float32).astype(float), r["y"]) for r in got]
+    return [(np.frombuffer(r["i"], np.int32), np.frombuffer(r["v"], np.float32), r["y"]) for r in got]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS, epochs: int = 3) -> Model:
