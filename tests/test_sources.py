@@ -142,5 +142,8 @@ def test_annotation(spark):
     assert [r.id for r in AN.systematic(ids, 90, "id").orderBy("id").collect()] == [k * 1000 // 90 for k in range(90)]
     parts = AN.split(ids, {"pilot": 10, "eval": 20}, "id").groupBy("part").count().collect()
     assert {r.part: r["count"] for r in parts} == {"pilot": 10, "eval": 20, "rest": 970}
+    words = spark.createDataFrame([(w,) for w in ["b", None, "a", "c", "a"]], "w string")
+    assert [(r.w, r.place) for r in AN.global_rank(words, "w").orderBy("place").collect()] == [(None, 0), ("a", 1), ("a", 2), ("b", 3), ("c", 4)]
+    assert AN.global_rank(words.limit(0), "w").count() == 0
     one = AN.subset(ids, 10, "id")
     assert AN.subset(ids, 10, "id", exclude=one).join(one, "id").count() == 0

@@ -10,15 +10,39 @@ from ..config import SETTINGS
 from . import gates as V
 
 
+#: Buckets of a global rank.
+RANK_BUCKETS = 256
+
+
+def global_rank(rows: DataFrame, *order: str, name: str = "place") -> DataFrame:
+    """Rows with their place, from 0, in the order of the columns, without gathering them in one task.
+
+    The first column's range is cut at keys of a bounded sample; a row's place is its place
+    within its bucket after the rows of the buckets before, whose numbers alone come to the
+    driver. Null keys come first. Rows equal in all columns are placed in any order.
+    """
+    key = F.col(order[0])
+    sample = rows.where(key.isNotNull()).select(key).orderBy(F.xxhash64(key)).limit(RANK_BUCKETS - 1).collect()
+    bounds = sorted({r[0] for r in sample})
+    cut = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x <= key)) if bounds else F.lit(0)
+    held = rows.withColumn("_bucket", F.when(key.isNull(), F.lit(-1)).otherwise(cut))
+    before, at = [], 0
+    for r in sorted(held.groupBy("_bucket").count().collect(), key=lambda r: r["_bucket"]):
+        before += [F.lit(r["_bucket"]), F.lit(at).cast("long")]
+        at += r["count"]
+    offset = F.create_map(*before)[F.col("_bucket")] if before else F.lit(0).cast("long")
+    within = F.row_number().over(W.partitionBy("_bucket").orderBy(*order)) - 1
+    return held.withColumn(name, offset + within).drop("_bucket")
+
+
 def systematic(rows: DataFrame, n: int, key: str) -> DataFrame:
     """n rows at even steps through the key's order: the floor(i * N / n)-th for each i."""
     total = rows.count()
     if total <= n:
         return rows
-    at = F.row_number().over(W.orderBy(key)) - 1
     # the i whose place is this row's, if any
-    i = F.ceil(F.col("at") * F.lit(n) / F.lit(total)).cast("long")
-    return rows.withColumn("at", at.cast("long")).where((i < n) & (F.floor(i * F.lit(total) / F.lit(n)) == F.col("at"))).drop("at")
+    i = F.ceil(F.col("place") * F.lit(n) / F.lit(total)).cast("long")
+    return global_rank(rows, key).where((i < n) & (F.floor(i * F.lit(total) / F.lit(n)) == F.col("place"))).drop("place")
 
 
 def seeded_rank(key: Column, seed: int = SETTINGS.seed) -> Column:
@@ -33,11 +57,11 @@ def subset(rows: DataFrame, n: int, key: str, seed: int = SETTINGS.seed, exclude
 
 def split(rows: DataFrame, sizes: dict[str, int], key: str, seed: int = SETTINGS.seed) -> DataFrame:
     """Disjoint named parts by a seeded hash; what is left over is `rest`."""
-    place = F.row_number().over(W.orderBy(seeded_rank(F.col(key), seed), key))
     name, lo = F.when(F.lit(False), ""), 0
     for part, n in sizes.items():
-        name, lo = name.when((F.col("place") > lo) & (F.col("place") <= lo + n), part), lo + n
-    return rows.withColumn("place", place).withColumn("part", name.otherwise("rest")).drop("place")
+        name, lo = name.when((F.col("place") >= lo) & (F.col("place") < lo + n), part), lo + n
+    placed = global_rank(rows.withColumn("_hash", seeded_rank(F.col(key), seed)), "_hash", key)
+    return placed.withColumn("part", name.otherwise("rest")).drop("place", "_hash")
 
 
 def merged(a: DataFrame, b: DataFrame, dimensions: tuple[str, ...]) -> DataFrame:
