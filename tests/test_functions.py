@@ -87,8 +87,8 @@ def test_hash_mod(spark):
 def test_interval_and_sizes(spark):
     lo, hi = N.wilson(F.col("k"), F.col("n"))
     assert one(spark, F.struct(lo, hi), k=0, n=0)[0] is None
-    assert round(one(spark, lo, k=1, n=4), 6) == 0.045587 and abs(N.z_sum(0.975, 1.0) - 1.959964) < 1e-3
-    assert one(spark, N.n_required(F.col("v"), 0.02), v=0.2778) == 5451 and one(spark, N.n_required(F.col("v"), 0.03), v=0.2778) == 2423
+    assert round(one(spark, lo, k=1, n=4), 6) == 0.045586 and abs(N.z_sum(0.975, 1.0) - 1.959964) < 1e-3
+    assert one(spark, N.n_required(F.col("v"), 0.02), v=2.5 / 9) == 5451 and one(spark, N.n_required(F.col("v"), 0.03), v=2.5 / 9) == 2423
     assert one(spark, N.n_required(F.col("v"), 0.02), v=0.0) == 0 and one(spark, N.within(F.lit(-0.02), F.lit(0.04), 0.05))
 
 
