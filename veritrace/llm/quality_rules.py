@@ -31,7 +31,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), WHITE), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), WHITE), "")
 
 
 def n_words(text: Column) -> Column:
@@ -84,7 +84,8 @@ def repeated_in(w: Column) -> Column:
         )
         return fold["n"]
 
-    hashed = F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, WINDOW)))
+    each = F.transform(w, lambda x: F.xxhash64(x))
+    hashed = let(each, lambda h: F.transform(starts, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(-1, WINDOW - 1)])))
     exact = F.array_sort(F.transform(starts, lambda i: F.struct(F.array_join(F.slice(w, i, WINDOW), " ").alias("v"), i.alias("p"))))
     none = F.lit(0).cast("long")
     return F.when(F.size(w) <= WINDOW, none).otherwise(
@@ -102,25 +103,42 @@ def _share_over(part: Column, whole: Column, percent: int) -> Column:
 
 def _upper(text: Column) -> Column:
     t = F.coalesce(text, F.lit(""))
-    return let(F.char_length(F.regexp_replace(t, r"[^\p{Lu}]", "")), lambda up: let(F.char_length(F.regexp_replace(t, r"[^\p{L}]", "")), lambda all_: _share_over(up, all_, 50)))
+    return let(F.char_length(F.regexp_replace(t, r"[^\p{Lu}]+", "")), lambda up: let(F.char_length(F.regexp_replace(t, r"[^\p{L}]+", "")), lambda all_: _share_over(up, all_, 50)))
+
+
+@dataclass(frozen=True)
+class Measures:
+    """What rules read: columns of a table where they are at hand, or expressions over the text."""
+
+    text: Column
+    n_words: Column
+    word_chars: Column
+    n_symbols: Column
+    n_lines: Column
+    n_dup_lines: Column
+    n_repeat_words: Column
+
+    @staticmethod
+    def of(text: Column) -> Measures:
+        return Measures(text, n_words(text), word_chars(text), n_symbols(text), n_lines(text), n_dup_lines(text), n_repeat_words(text))
 
 
 @dataclass(frozen=True)
 class Rule:
     name: str
-    #: text column -> boolean column, true where the text fails
-    fails: Callable[[Column], Column]
+    #: true where the text fails
+    fails: Callable[[Measures], Column]
 
 
-FEW_WORDS = Rule("few_words", lambda t: n_words(t) < 10)
-REPEATS = Rule("repeats", lambda t: let(words(t), lambda w: _share_over(repeated_in(w), F.size(w), 20)))
+FEW_WORDS = Rule("few_words", lambda m: m.n_words < 10)
+REPEATS = Rule("repeats", lambda m: _share_over(m.n_repeat_words, m.n_words, 20))
 BASE = (FEW_WORDS, REPEATS)
 RULES = (
     *BASE,
-    Rule("symbols", lambda t: _share_over(n_symbols(t), n_words(t), 20)),
-    Rule("dup_lines", lambda t: let(_lines(t), lambda x: _share_over(F.size(x) - F.size(F.array_distinct(x)), F.size(x), 30))),
-    Rule("word_length", lambda t: let(n_words(t), lambda n: (word_chars(t) > 20 * n) | (word_chars(t) < 2 * n))),
-    Rule("shouting", _upper),
+    Rule("symbols", lambda m: _share_over(m.n_symbols, m.n_words, 20)),
+    Rule("dup_lines", lambda m: _share_over(m.n_dup_lines, m.n_lines, 30)),
+    Rule("word_length", lambda m: let(F.struct(m.n_words.alias("n"), m.word_chars.alias("c")), lambda x: (x["c"] > 20 * x["n"]) | (x["c"] < 2 * x["n"]))),
+    Rule("shouting", lambda m: _upper(m.text)),
 )
 
 
@@ -152,16 +170,17 @@ def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text
     floor = timed(F.length("text") < 0)[0]
     out = []
     for rule in rules:
-        seconds, rejected = timed(rule.fails(F.col("text")))
+        seconds, rejected = timed(rule.fails(Measures.of(F.col("text"))))
         out.append(Estimate(rule, max(seconds - floor, 1e-4), rejected))
     return out
 
 
-def cascade(text: Column, order: list[Rule] | tuple[Rule, ...]) -> Column:
+def cascade(text: Column | Measures, order: list[Rule] | tuple[Rule, ...]) -> Column:
     """Name of the first rule in this order that rejects the text, else null; later rules are not evaluated."""
+    measures = text if isinstance(text, Measures) else Measures.of(text)
     out = None
     for rule in order:
-        fails = F.coalesce(rule.fails(text), F.lit(True))
+        fails = F.coalesce(rule.fails(measures), F.lit(True))
         out = F.when(fails, rule.name) if out is None else out.when(fails, rule.name)
     return F.lit(None).cast("string") if out is None else out
 
@@ -185,23 +204,23 @@ def measured(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     order = ordered(docs, rest)
     got = docs.select(
         "doc_id",
-        let(words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_in(w).alias("n_repeat_words"))).alias("w"),
-        word_chars(F.col("text")).alias("word_chars"),
+        let(words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"), repeated_in(w).alias("n_repeat_words"))).alias("w"),
         n_symbols(F.col("text")).alias("n_symbols"),
-        n_dup_lines(F.col("text")).alias("n_dup_lines"),
+        let(_lines(F.col("text")), lambda x: F.struct(F.size(x).alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))).alias("l"),
         "text",
     )
+    measures = Measures(F.col("text"), F.col("w.n_words"), F.col("w.word_chars"), F.col("n_symbols"), F.col("l.n_lines"), F.col("l.n_dup_lines"), F.col("w.n_repeat_words"))
     n, repeats = F.col("w.n_words"), F.col("w.n_repeat_words")
     failed = (n < 10) | _share_over(repeats, n, 20)
     return got.select(
         "doc_id",
         n.alias("n_words"),
-        "word_chars",
+        measures.word_chars.alias("word_chars"),
         "n_symbols",
-        "n_dup_lines",
+        measures.n_dup_lines.alias("n_dup_lines"),
         repeats.alias("n_repeat_words"),
         failed.alias("base_failed"),
-        F.when(failed, False).otherwise(cascade(F.col("text"), order).isNull()).alias("kept"),
+        F.when(failed, False).otherwise(cascade(measures, order).isNull()).alias("kept"),
     )
 
 
