@@ -136,7 +136,7 @@ BASE = (FEW_WORDS, REPEATS)
 RULES = (
     *BASE,
     Rule("symbols", lambda m: _share_over(m.n_symbols, m.n_words, 20)),
-    Rule("dup_lines", lambda m: _share_over(m.n_dup_lines, m.n_lines, 30)),
+    Rule("dup_lines", lambda m: _share_over(m.n_dup_lines, m.n_lines, 50)),
     Rule("word_length", lambda m: let(F.struct(m.n_words.alias("n"), m.word_chars.alias("c")), lambda x: (x["c"] > 20 * x["n"]) | (x["c"] < 2 * x["n"]))),
     Rule("shouting", lambda m: _upper(m.text)),
 )
@@ -240,6 +240,6 @@ m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x2
       FROM d LEFT JOIN covered USING (r) LEFT JOIN lines USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 100 * n_symbols > 20 * n_words OR 100 * n_dup_lines > 30 * n_lines
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 100 * n_symbols > 20 * n_words OR 100 * n_dup_lines > 50 * n_lines
        OR word_chars > 20 * n_words OR word_chars < 2 * n_words OR 100 * up > 50 * letters) AS kept
 FROM m"""
