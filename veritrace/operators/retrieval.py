@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..config import SETTINGS
 from ..functions import numeric as N
 from ..functions import text as T
 

@@ -3,19 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
-from ..functions import text as T
 from ..operators import fourarm as A
 from ..operators import gates as V
-from ..operators import injection as I
-from ..operators import pool as P
 from ..operators import retrieval as R
 from ..operators import stats as B
-from ..operators import substitute as S
-from .fixture import FOURARM, TURNS, first_line_sql, fourarm, norm_sql, table, turns
+from .fixture import FOURARM, MODELS, fourarm, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -204,17 +199,11 @@ rep AS (SELECT draw.model, any_value(ord) AS ord, r, avg(b - a) AS apparent, avg
 def _replicates(spark: SparkSession, sf_dir: str, tag: str = "boot") -> DataFrame:
     rows = fourarm(spark, sf_dir, depths=(5,))
     gains = {"ord": F.col("ord"), "apparent": A.apparent(), "corrected": A.corrected(), "did": A.did()}
-    orders = F.create_map(*[F.lit(x) for m in rows_models() for x in m])
+    orders = F.create_map(*[F.lit(x) for m in MODELS for x in m[:2]])
     reps = B.replicate_means(rows, ["model"], ["a", "b", "c", "d"], {k: v for k, v in gains.items() if k != "ord"}, _REPS, tag)
     return reps.withColumn("ord", orders[F.col("model")])
 
 
-def rows_models():
-    from .fixture import MODELS
-
-    return [(m[0], m[1]) for m in MODELS]
-
-
 @query(
     f"""WITH {FOURARM}, {_boot_sql('boot', 'k = 5')}, s AS (SELECT model, list_sort(list(did)) AS v FROM rep GROUP BY model)
 SELECT model, round(v[floor(0.025 * {_REPS})::INT + 1], 9) AS ci_low, round(v[least({_REPS}, floor(0.975 * {_REPS})::INT + 1)], 9) AS ci_high FROM s"""
