@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, PUNCT, buffers, mixed, rolled, slices, word_spans
+from .common import LOWER, PUNCT, buffers, rolled, slices, word_spans
 
 #: Words of a prefix shingle.
 SHINGLE = 2
