@@ -159,7 +159,7 @@ def categorize(raw: Column, new: Column, old: Column) -> Column:
 
 
 def bm25_tokens(c: Column | str) -> Column:
-    return F.regexp_extract_all(F.lower(_text(c)), F.lit("([a-z0-9]+)"), F.lit(1))
+    return F.array_remove(F.split(F.lower(_text(c)), "[^a-z0-9]+"), "")
 
 
 def long_words(c: Column | str, least: int = 4) -> Column:

@@ -12,6 +12,19 @@ from ..functions import numeric as N
 from ..functions import text as T
 
 
+#: Rows that a set of keys may have to be broadcast.
+BROADCAST_KEYS = 500_000
+
+
+def only_known(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Rows whose column is among the keys: by a broadcast where the keys are counted to be few, so that rows
+    are dropped where they are read, else by a shuffled semi-join."""
+    known = keys.select(column).distinct()
+    if known.count() <= BROADCAST_KEYS:
+        known = F.broadcast(known)
+    return rows.join(known, column, "left_semi")
+
+
 def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row: documents and mean length in tokens."""
     return docs.agg(F.count("*").alias("n_docs"), F.avg(F.size(T.bm25_tokens(text))).alias("avgdl"))
@@ -27,7 +40,7 @@ def postings(docs: DataFrame, key: str, text: str, terms: DataFrame | None = Non
     tokens = docs.select(F.col(key).alias("doc_id"), T.bm25_tokens(text).alias("tokens"))
     each = tokens.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
     if terms is not None:
-        each = each.join(terms.select("term").distinct(), "term", "left_semi")
+        each = only_known(each, terms, "term")
     return each.groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
 
 

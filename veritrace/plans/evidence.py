@@ -122,13 +122,14 @@ def leak_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A document that does must have one of the item's n - ceil(0.8 n) + 1 rarest bigrams, so
     only those are joined; the rest of the item's bigrams are counted for these candidates."""
-    bi = lambda c: F.array_distinct(T.ngrams(T.bm25_tokens(c), 2))
+    # bigrams as 64-bit hashes; the tokens are bound to a variable so that they are made once
+    pairs = lambda t: F.transform(F.sequence(F.lit(0), F.size(t) - 2), lambda i: F.xxhash64(F.get(t, i), F.get(t, i + 1)))
+    bi = lambda c: F.array_distinct(F.element_at(F.transform(F.array(T.bm25_tokens(c)), pairs), 1))
     two = F.size(T.bm25_tokens("text")) >= 2
     items = table(spark, sf_dir, "benchmark").where(two).select("item_id", bi("text").alias("g"))
     gram = items.select("item_id", F.size("g").alias("n"), F.explode("g").alias("gram"))
     docs = table(spark, sf_dir, "documents").where(two).select("doc_id", bi("text").alias("g"))
-    known = gram.select("gram").distinct()
-    posts = docs.select("doc_id", F.explode("g").alias("gram")).join(known, "gram", "left_semi")
+    posts = R.only_known(docs.select("doc_id", F.explode("g").alias("gram")), gram, "gram").persist()
     df = posts.groupBy("gram").agg(F.count("*").alias("df"))
     w = W.partitionBy("item_id").orderBy(F.coalesce("df", F.lit(0)), "gram")
     prefix = gram.join(df, "gram", "left").withColumn("i", F.row_number().over(w)).where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * LEAST_RECALL) + 1)
@@ -149,7 +150,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
     terms = R.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
-    scores = R.bm25_scores(terms, R.postings(docs, "doc_id", "text", terms), R.corpus_stats(docs))
+    posts = R.postings(docs, "doc_id", "text", terms).persist()  # read for document frequencies and for scores
+    scores = R.bm25_scores(terms, posts, R.corpus_stats(docs))
     top = R.top_k(scores.withColumn("score", F.round("score", 9)), 5)
     return top.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
@@ -170,7 +172,8 @@ def bm25_restricted(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a stand-in for alias exclusion: residue classes, joined by equality
     excluded = items.select(F.col("item_id").alias("query_id"), F.pmod(3 - F.col("item_id"), F.lit(10)).alias("m")).join(docs.select("doc_id", F.pmod("doc_id", F.lit(10)).alias("m")), "m").select("query_id", "doc_id")
     corpus = docs.select("doc_id", F.size(T.bm25_tokens("text")).alias("dl"))
-    scores = R.restricted_scores(terms, R.postings(docs, "doc_id", "text", terms), corpus, excluded, R.corpus_stats(docs))
+    posts = R.postings(docs, "doc_id", "text", terms).persist()
+    scores = R.restricted_scores(terms, posts, corpus, excluded, R.corpus_stats(docs))
     top = R.top_k(scores.withColumn("score", F.round("score", 8)), 5)
     return top.select("query_id", "doc_id", "rank", F.round("score", 5).alias("score"))
 
