@@ -399,6 +399,28 @@ def test_scores_tell_order_from_noise(spark):
     assert alone.log_likelihood == pytest.approx(right[4].log_likelihood, rel=1e-5)
 
 
+def test_lm_learns_from_every_document_by_default(spark):
+    # without a share or rounds given; of a single document too
+    for docs in (["x y z w v"], [f"x{k} y{k} z{k}" for k in range(12)]):
+        df = frame(spark, [" ".join([t] * 60) for t in docs])
+        words = masked_lm.vocabulary(df)
+        mean = lambda net: [x.mean_log_p for x in masked_lm.digest(masked_lm.scored(df, words, net)).collect()]  # noqa: E731, B023
+        assert all(a > b + 1 for a, b in zip(mean(masked_lm.fit(df, words)), mean(masked_lm.Network())))
+    r = random.Random(8)
+    follow = {w: r.sample(WORDS, 2) for w in WORDS}
+    docs = []
+    for _ in range(100):
+        out = [r.choice(WORDS)]
+        while len(out) < 400:
+            out.append(r.choice(follow[out[-1]]))
+        docs.append(out)
+    df = frame(spark, [" ".join(t) for t in docs])
+    words = masked_lm.vocabulary(df)
+    net = masked_lm.fit(df, words)
+    score = lambda ts: [x.log_likelihood for x in masked_lm.scored(frame(spark, [" ".join(t) for t in ts]), words, net).orderBy("doc_id").collect()]
+    assert np.mean([a > b for a, b in zip(score(docs[:30]), score([r.sample(t, len(t)) for t in docs[:30]]))]) > 0.9
+
+
 def test_lm_of_empty_tables(spark):
     words = masked_lm.vocabulary(frame(spark, []))
     net = masked_lm.fit(frame(spark, []), words)

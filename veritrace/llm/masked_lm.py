@@ -5,9 +5,8 @@ for each neighbour and place, and a two-level softmax gives the word's class and
 within its class. A text's score is the sum of log p(word | neighbours) over all its words.
 
 The vocabulary is the most frequent words by exact counts over all documents; other words
-fall into hashed places of the last class. The network is trained in numpy on TRAIN_SHARE
-of all documents (chosen by a hash, so the training set grows with the input), in shards
-of about SHARD_WORDS words: every shard trains from the same start, the weights are
+fall into hashed places of the last class. The network is trained in numpy on all documents
+(TRAIN_SHARE is the whole), in shards of about SHARD_WORDS words: every shard trains from the same start, the weights are
 averaged by words, for ROUNDS rounds. Null and empty texts have no words and score 0.
 """
 
@@ -26,7 +25,7 @@ CLASSES = WIDTH = 64
 VOCABULARY = CLASSES * WIDTH
 PAD = VOCABULARY
 PLACES, HIDDEN = (-2, -1, 1, 2), 16
-TRAIN_SHARE, SHARD_WORDS, ROUNDS = 1 / 16, 400_000, 2
+TRAIN_SHARE, SHARD_WORDS, ROUNDS = 1.0, 400_000, 2
 #: Slices of the weights that are averaged apart.
 SLICES = 16
 
@@ -115,25 +114,42 @@ class Network:
 
     def gradient(self, context: np.ndarray, target: np.ndarray) -> Network:
         """Of the mean negative log-likelihood."""
-        g, n = Network(np.zeros(self.SIZE, np.float32)), len(target)
-        h, cls = self.forward(context), target // WIDTH
+        g = Network(np.zeros(self.SIZE, np.float32))
+        self.gradient_into(g, context, target)
+        return g
+
+    def gradient_into(self, g: Network, context: np.ndarray, target: np.ndarray) -> list[tuple[str, np.ndarray | slice]]:
+        """Writes the parts of the gradient that are not zero to g; returns which they are, by name and place."""
+        order = np.argsort(target // WIDTH, kind="stable")
+        context, target, n = context[order], target[order], len(target)
+        h, cls, at = self.forward(context), target // WIDTH, np.arange(n)
         d = np.exp(_log_softmax(h @ self.cls + self.cls_bias))
-        d[np.arange(n), cls] -= 1
-        g.cls[:], g.cls_bias[:] = h.T @ d / n, d.sum(0) / n
+        d[at, cls] -= 1
+        d /= n
+        g.cls[:], g.cls_bias[:] = h.T @ d, d.sum(0)
         back = d @ self.cls.T
-        for rows, c in _by_class(cls):
-            d = np.exp(_log_softmax(h[rows] @ self.word[c] + self.word_bias[c]))
-            d[np.arange(len(rows)), target[rows] % WIDTH] -= 1
-            g.word[c], g.word_bias[c] = h[rows].T @ d / n, d.sum(0) / n
-            back[rows] += d @ self.word[c].T
-        back *= (1 - h * h) / n
+        first = np.flatnonzero(np.r_[True, cls[1:] != cls[:-1]])
+        spans, seen = list(zip(first, np.r_[first[1:], n])), cls[first]
+        d = self.word_bias[cls]
+        for c, (i, j) in zip(seen, spans):
+            d[i:j] += h[i:j] @ self.word[c]
+        d = np.exp(_log_softmax(d))
+        d[at, target % WIDTH] -= 1
+        d /= n
+        g.word_bias[seen] = np.add.reduceat(d, first, axis=0)
+        for c, (i, j) in zip(seen, spans):
+            g.word[c] = h[i:j].T @ d[i:j]
+            back[i:j] += d[i:j] @ self.word[c].T
+        back *= 1 - h * h
         g.hidden[:] = back.sum(0)
+        touched = [("cls", slice(None)), ("cls_bias", slice(None)), ("word", seen), ("word_bias", seen), ("hidden", slice(None))]
         for p in range(len(PLACES)):
             order = np.argsort(context[:, p], kind="stable")
             ids = context[order, p]
             first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
             g.embed[p][ids[first]] = np.add.reduceat(back[order], first, axis=0)
-        return g
+            touched.append(("embed", (p, ids[first])))
+        return touched
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
@@ -160,15 +176,17 @@ def contexts(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def train(network: Network, context: np.ndarray, target: np.ndarray, rate: float = 0.15, batch: int = 2048) -> Network:
-    """One pass of Adagrad over the words in a fixed order."""
+    """One pass of Adagrad over the words in a fixed order; a part whose gradient is zero stays as it is and is passed over."""
     net = Network(network.vector.copy())
-    total = np.full(net.SIZE, 1e-6, np.float32)
+    total, step = Network(np.full(net.SIZE, 1e-6, np.float32)), Network(np.zeros(net.SIZE, np.float32))
     order = np.random.default_rng(3).permutation(len(target))
     for at in range(0, len(order), batch):
         rows = order[at : at + batch]
-        g = net.gradient(context[rows], target[rows]).vector
-        total += g * g
-        net.vector -= rate * g / np.sqrt(total)
+        for name, part in net.gradient_into(step, context[rows], target[rows]):
+            g = getattr(step, name)[part]
+            seen = getattr(total, name)[part] + g * g
+            getattr(total, name)[part] = seen
+            getattr(net, name)[part] -= rate * g / np.sqrt(seen)
     return net
 
 
