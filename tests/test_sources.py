@@ -147,3 +147,20 @@ def test_annotation(spark):
     assert AN.global_rank(words.limit(0), "w").count() == 0
     one = AN.subset(ids, 10, "id")
     assert AN.subset(ids, 10, "id", exclude=one).join(one, "id").count() == 0
+
+
+def test_answer_windows_look_for_every_item_in_every_document(spark, tmp_path):
+    from veritrace.plans import reports
+
+    text = "so the old zebra crossing lay near brussels market square"
+    spark.createDataFrame([(3, "nothing here"), (7, text), (8, None), (90, "a zebras' crossings only")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, f"near brussels {w} crossing market square") for k, w in ((57, "zebra"), (199, "zebra"), (2, "horse"))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {(r.question_id, r.page, r.alias) for r in reports.answer_windows(spark, str(tmp_path)).collect()}
+    assert {(q, p) for q, p, _ in got} == {(57, 7), (199, 7), (2, 7)}
+
+
+def test_pages_of_leaves_no_hit_out(spark):
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(["An X-ray of foo, bar foo bar", "xray", "the q. été of foo bar", "Foo Bar's foo bar", "foobar", ""])], "page int, text string")
+    ask = spark.createDataFrame([(1, "foo bar", ["X-ray", ""]), (2, "foo bar", ["é", "foo"]), (3, "foo bar", ["bar's"]), (4, "foo bar", ["of foo"])], "question_id int, question string, aliases array<string>")
+    rows = lambda pages: sorted(map(tuple, G.windows(pages, least=0).collect()))
+    assert rows(G.pages_of(ask, docs)) == rows(ask.crossJoin(docs)) != []

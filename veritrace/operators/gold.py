@@ -43,24 +43,44 @@ def windows(pages: DataFrame, radius: int = 260, least: int = 2, near: int = 90,
 
     pages: question_id, page, question, aliases, text. Hits are rows, so a long page is no wide array."""
     low = F.transform(F.filter("aliases", lambda a: F.length(F.trim(a)).between(1, longest_alias)), lambda a: F.lower(F.trim(a)))
-    hits = pages.withColumn("low", F.lower("text")).select("question_id", "page", "question", "text", "low", F.explode(find_spans("low", F.array_distinct(low))).alias("h")).select("question_id", "page", "question", "text", "low", "h.*")
-    beside = lambda at: F.regexp_like(F.substring("low", at, F.lit(1)), F.lit("^[0-9a-z]$"))
-    hits = hits.where(~F.when(F.col("start") > 0, beside(F.col("start"))).otherwise(F.lit(False)) & ~beside(F.col("end") + 1))
+    cut = lambda x, s, e: F.substring(x, s + 1, e - s)
+    start, end, from_ = F.col("h.start"), F.col("h.end"), F.greatest(F.lit(0), F.col("h.start") - radius)
+    # each hit takes what lies around it along, not its page
+    hits = pages.withColumn("low", F.lower("text")).select("question_id", "page", "question", "text", "low", F.explode(find_spans("low", F.array_distinct(low))).alias("h"))
+    hits = hits.select(
+        "question_id", "page", "question", "h.*", F.char_length("text").alias("length"), from_.alias("from"), cut(F.col("text"), from_, end + radius).alias("wide"),
+        cut(F.col("text"), F.greatest(F.lit(0), start - near), end + near).alias("local"), F.when(start > 0, F.substring("low", start, F.lit(1))).alias("prior"), F.substring("low", end + 1, F.lit(1)).alias("next"),
+    )
+    beside = lambda c: F.regexp_like(c, F.lit("^[0-9a-z]$"))
+    hits = hits.where(~F.coalesce(beside(F.col("prior")), F.lit(False)) & ~beside(F.col("next")))
     w = W.partitionBy("question_id", "page").orderBy("start", "end", "value")
     around = hits.withColumns({"before": F.lag("end").over(w), "after": F.lead("start").over(w)})
-    cut = lambda s, e: F.substring("text", s + 1, e - s)
-    local = cut(F.greatest(F.lit(0), F.col("start") - near), F.col("end") + near)
-    score = F.size(F.array_intersect(F.array_remove(T.content_tokens(local, STOP), F.col("value")), T.content_tokens("question", STOP)))
+    score = F.size(F.array_intersect(F.array_remove(T.content_tokens("local", STOP), F.col("value")), T.content_tokens("question", STOP)))
     scored = around.withColumn("score", score).where(F.col("score") >= least)
-    left = F.greatest(F.lit(0), F.col("start") - radius, F.coalesce(F.col("before") + 1, F.lit(0)))
-    right = F.least(F.char_length("text"), F.col("end") + radius, F.coalesce("after", F.char_length("text")))
-    cand = scored.withColumn("window", cut(left, right))
+    left = F.greatest(F.col("from"), F.coalesce(F.col("before") + 1, F.lit(0)))
+    right = F.least(F.col("length"), F.col("end") + radius, F.coalesce("after", F.col("length")))
+    cand = scored.withColumn("window", cut(F.col("wide"), left - F.col("from"), right - F.col("from")))
     rank = F.row_number().over(W.partitionBy("question_id").orderBy(F.desc("score"), F.char_length("window"), "page", "start", "value"))
     best = cand.withColumn("r", rank).where("r = 1")
     once = F.regexp_count(F.lower("window"), F.concat(F.lit(T.LOWER_EDGE[0]), T.literal(F.col("value")), F.lit(T.LOWER_EDGE[1]))) == 1
     return best.where(once).select("question_id", "page", F.col("value").alias("alias"), "score", "window")
 
 
+def pages_of(questions: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows for windows(): every question with every page that has the first token of one of its aliases.
+
+    The tokens of all pages are an equi-join key, so no pair without a shared token is made.
+    questions: question_id, question, aliases; docs: page, text."""
+    tokens = lambda x: F.array_remove(F.split(F.lower(x), "[^0-9a-z]+"), "")
+    alias = questions.select("question_id", F.explode("aliases").alias("alias")).where(F.size(tokens("alias")) > 0)
+    # an alias without such a token is in reach of no key: its question is held against all pages
+    plain = questions.where(F.exists("aliases", lambda a: (F.trim(a) != "") & (F.size(tokens(a)) == 0))).select("question_id").crossJoin(docs.select("page"))
+    held = docs.select("page", F.explode(F.array_distinct(tokens("text"))).alias("token"))
+    keys = alias.select("question_id", F.get(tokens("alias"), F.lit(0)).alias("token")).distinct()
+    pairs = held.join(keys, "token").select("question_id", "page").union(plain).distinct()
+    return docs.join(pairs, "page").join(questions, "question_id").select("question_id", "page", "question", "aliases", "text")
+
+
 def negatives(pages: DataFrame, most: int = 5, chars: int = 900) -> DataFrame:
     """Openings of a question's pages that hold no alias, in page order."""
     low = F.lower("text")
