@@ -3,6 +3,7 @@
 import html as html_lib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -446,6 +447,20 @@ def test_licences(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+def test_wrapped_licences_are_recognised():
+    rules = licenses.default_rules()
+    scan = lambda t: [x for _, x in licenses.matched(licenses.recognised(t, rules), rules)]
+    mit, isc, gpl = licenses._TEXTS["MIT"], licenses._TEXTS["ISC"], [licenses._TEXTS["GPL-FREE"][0].format(3)]
+    bsd = [licenses._TEXTS[k][0] for k in ("BSD-HEAD", "BSD-SOURCE", "BSD-BINARY", "BSD-NAME")]
+    for texts, want in ((mit, "MIT"), (isc, "ISC"), (gpl, "GPL-3.0"), (bsd, "BSD-3-Clause")):
+        for width in (25, 72):
+            for mark in ("", " * ", "# "):
+                lines = [f"{mark}{x}" for t in texts for x in [*textwrap.wrap(t, width), ""]]
+                assert scan("\n".join(["/*", f"{mark}Copyright (c) 2020 A. B.", mark, *lines, "*/ code"])) == [want]
+    assert scan("words. Released  under\nthe  MIT License. more") == ["MIT"]
+    assert scan("Permission is hereby granted,\nto no one.") == []
+
+
 def test_a_gap_too_wide_breaks_a_sequence():
     rules = licenses.default_rules()
     near, far = [(0, "MIT/1"), (4, "MIT/2")], [(0, "BSD-HEAD/1"), (9, "BSD-SOURCE/1"), (10, "BSD-BINARY/1")]

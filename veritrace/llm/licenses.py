@@ -1,7 +1,9 @@
 """License scans by sentence rules.
 
-A text is cut into sentences; each is normalised (lower case, letters and digits only,
-single spaces) and looked up among known licence sentences. The identifiers in text order
+A text is cut at ends of sentences and of lines; parts are normalised (lower case, letters
+and digits only, single spaces) and looked up among known licence sentences, alone and
+joined to the parts that follow while the words go on as in a known sentence, so that
+wrapped lines count as the sentence they are. The identifiers in text order
 are matched against ordered rules: a rule is a sequence of identifiers, found with at most
 GAP unknown sentences between two of them; an earlier rule takes its sentences first.
 
@@ -13,7 +15,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -88,6 +90,11 @@ class Rules:
     #: in order of precedence
     rules: list[Rule] = field(default_factory=list)
 
+    @cached_property
+    def openings(self) -> frozenset[str]:
+        """The first words of every known sentence, at every length."""
+        return frozenset(" ".join(words[: n + 1]) for words in map(str.split, self.sentences) for n in range(len(words)))
+
 
 @lru_cache(maxsize=1)
 def default_rules() -> Rules:
@@ -119,17 +126,28 @@ def default_rules() -> Rules:
 
 
 def recognised(text: str, rules: Rules) -> list[tuple[int, str]]:
-    """(sentence number, identifier) of the known sentences of a text, in order."""
-    low = text.lower()
-    if not any(k in low for k in _KEYS):
+    """(sentence number, identifier) of the known sentences of a text, in order; of two that begin at one place the longer."""
+    plain = normalised(text)
+    if not any(k in plain for k in _KEYS):
         return []
-    get = rules.sentences.get
-    parts = _SENTENCE.split(text)
-    found = []
-    for k, part in enumerate(parts):
-        name = get(normalised(part)) or k + 1 < len(parts) and part.rstrip().endswith(":") and get(normalised(part + " " + parts[k + 1]))
+    cuts = _SENTENCE.split(text)
+    parts = [normalised(x) for x in cuts]
+    found, at, number = [], 0, 0
+    while at < len(parts):
+        joined, name, after, nxt = "", None, at, at
+        while parts[at] and nxt < len(parts):
+            if parts[nxt]:
+                joined = f"{joined} {parts[nxt]}" if joined else parts[nxt]
+                if joined not in rules.openings:
+                    break
+                if joined in rules.sentences:
+                    name, after = rules.sentences[joined], nxt
+            nxt += 1
         if name:
-            found.append((k, name))
+            found.append((number, name))
+            at, number = after + 1, number + 1
+        else:
+            at, number = at + 1, number + bool(parts[at])
     return found
 
 
