@@ -248,6 +248,33 @@ def test_matching_keeps_order():
     assert html_lib.unescape("&amp;") == "&"
 
 
+def _kept(page: str) -> str:
+    out = []
+
+    def walk(node):
+        for x in node.parts:
+            if isinstance(x, str):
+                out.append(x)
+            elif not x.skip:
+                walk(x)
+
+    walk(html_extract.parse(page))
+    return " ".join("".join(out).split())
+
+
+def test_attributes_drop_no_article_text():
+    for mark in ('style="overflow:hidden"', 'aria-hidden="false"', 'title="the hidden house"', "data-hidden=1", 'data-x=\'class="ad"\'', 'aria-label="Comments on Kant"'):
+        assert _kept(f"<body><article {mark}><p>text</p></article>") == "text", mark
+        assert _kept(f"<body><article><div {mark}>text</div></article>") == "text", mark
+    for name in ("related-work", "side-effects", "legal-history", "social-life", "comments-on-kant", "entry-header", "search-trees"):
+        for page in (f'<article><section id="{name}">text</section></article>', f'<main><div class="{name}">text</div></main>', f'<div><h2 id="{name}">text</h2></div>'):
+            assert _kept(page) == "text", page
+    assert _kept('<article><h2 id="search">text</h2></article>') == "text"
+    for mark in ("hidden", "hidden=''", 'HIDDEN class="x"', 'aria-hidden="true"', 'class="x ad"', 'class="comments"', 'id="disqus_thread"', 'class="related-posts"', 'role="navigation"', 'class="cookie-notice"'):
+        assert _kept(f"<article>text<div {mark}>no</div></article>") == "text", mark
+    assert _kept("<article hidden>no</article>") == ""
+
+
 # --- 6: token counts
 
 

@@ -39,12 +39,22 @@ _RAW_NAMES = frozenset("script style textarea title noscript template iframe xmp
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?=>)|[^>]*)>", re.S)
 _SKIP = frozenset("script style head nav header footer aside form button select option textarea template noscript iframe object svg canvas menu dialog input label fieldset title".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br img".split())
-_ATTRIBUTE = re.compile(r"""(?is)\b(class|id|role|aria-label|hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+#: A whole attribute, so that nothing is read out of another one's name or value.
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of class, id and role that mark a part as no article.
 _NOT_ARTICLE = re.compile(
     r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|header|masthead|footer|foot|sidebar|side|aside|breadcrumb\w*|cookie\w*|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|search|share|sharing|social|related|recommend\w*|comment\w*|disqus|repl(?:y|ies)|respond|widget|toolbar|pagination|pager|legal|copyright|contentinfo|navigation|complementary|dialog|form)(?=$|[\s_-])"
 )
 _NO_ARTICLE_ITSELF = re.compile(r"(?i)comments?|comment-\w+|reply|replies|ads?|advert\w*|promo|sponsored|related|teaser")
+#: Inside an article words are common in names of sections, so only whole names count: these of class, id and role,
+_WITHIN_NAMES = (
+    r"ads?|advert|advertisement|adverts|ad-(?:slot|unit|box|container|wrapper)|sponsored|sponsor|promo|breadcrumbs?|comments|comment-(?:list|form|area|section|thread|respond)|comments-(?:area|list|section)|commentlist|commentform|disqus|disqus_thread"
+    r"|respond|cookie-(?:notice|banner|consent|bar)|newsletter-(?:signup|form|box)|subscribe-(?:box|form)|share-(?:buttons|bar|links)|sharing-buttons|social-(?:share|links|buttons)|related-(?:posts|articles|stories|links)|recommended-(?:posts|articles)|popup|modal|pagination|pager|navbar|nav-(?:menu|links)|site-(?:header|footer|nav)"
+)
+_WITHIN_ID = re.compile(rf"(?i){_WITHIN_NAMES}")
+#: and these, which are slugs of headings too, of class and role only.
+_WITHIN = re.compile(rf"(?i){_WITHIN_NAMES}|banner|nav|navigation|menu|header|masthead|footer|sidebar|aside|cookie|consent|gdpr|notice|alert|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommended|comment|reply|replies|widget|toolbar|legal|copyright|contentinfo|complementary|dialog|form")
 #: Elements that an opening of these ends, if it is the innermost block.
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _SPACE = re.compile(r"\s+")
@@ -65,17 +75,26 @@ class Node:
         return [x for x in self.parts if isinstance(x, Node)]
 
 
-def _marks(attributes: str, whole: re.Pattern = None) -> tuple[str, bool]:
-    """Class names, and whether class, id or role say that this is no article; for a page's large parts only by names of their own."""
+def _marks(tag: str, attributes: str, within: bool) -> tuple[str, bool]:
+    """Class names, and whether hidden, class, id or role say that this is no article; for a page's large parts and
+    what lies within an article only by whole names. The id of a heading is made from its words and says nothing."""
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
         return "", False
-    label, skip = "", False
+    held: dict[str, str] = {}
     for name, value in _ATTRIBUTE.findall(attributes):
-        value, name = value.strip("\"'"), name.lower()
-        if name == "class":
-            label = value
-        skip = skip or name == "hidden" or bool(value and (any(map(whole.fullmatch, value.split())) if whole else _NOT_ARTICLE.search(value)))
-    return label, skip
+        held.setdefault(name.lower(), value.strip("\"'"))
+    skip = "hidden" in held or held.get("aria-hidden", "").lower() == "true"
+    large = tag in ("html", "body", "main", "article")
+    for name in ("class", "id", "role", "aria-label"):
+        value = held.get(name, "")
+        if skip or not value or name == "id" and tag in _HEADINGS:
+            continue
+        if large or within:
+            whole = _NO_ARTICLE_ITSELF if large else _WITHIN_ID if name == "id" else _WITHIN
+            skip = any(map(whole.fullmatch, [value.strip()] if name == "aria-label" else value.split()))
+        else:
+            skip = bool(_NOT_ARTICLE.search(value))
+    return held.get("class", ""), skip
 
 
 def parse(text: str) -> Node:
@@ -115,7 +134,7 @@ def parse(text: str) -> Node:
                     break
                 if stack[k].tag in ("ul", "ol", "dl", "table", "select", "tbody", "thead") or name in ("td", "th") and stack[k].tag == "tr":
                     break
-        label, skip = _marks(m[3], _NO_ARTICLE_ITSELF if name in ("html", "body", "main", "article") else None)
+        label, skip = _marks(name, m[3], stack[-1].article)
         node = Node(name, label, skip=skip and name not in ("html", "body") or name in _SKIP, article=stack[-1].article or name in ("article", "main"))
         stack[-1].parts.append(node)
         if name in _RAW_NAMES:
