@@ -67,6 +67,29 @@ def test_bootstrap_law(spark):
         assert st.mean(x) == pytest.approx(true, abs=0.02) and st.pstdev(x) == pytest.approx(spread, rel=0.15)
 
 
+def test_cluster_law_from_counts(spark):
+    import statistics as st
+
+    rows = spark.createDataFrame([("m", k // 4 if k < 60 else 90 + k, k % 3 - (k % 5 > 2)) for k in range(80)], "model string, cl int, v int").unionAll(spark.createDataFrame([("m", 7, None)], "model string, cl int, v int"))
+    plain = [r.v for r in B.cluster_means(rows, ["model"], "cl", "v", 400, "t").collect()]
+    counted = [r.v for r in B.cluster_multinomial_means(rows, ["model"], "cl", "v", 4000).collect()]
+    assert len(counted) == 4000
+    assert st.mean(counted) == pytest.approx(st.mean(plain), abs=0.03) and st.pstdev(counted) == pytest.approx(st.pstdev(plain), rel=0.15)
+
+
+def test_full_bootstrap_queries_have_all_resamples(spark):
+    from veritrace.config import SETTINGS
+    from veritrace.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    for small in ("paired_bootstrap", "bootstrap_percentiles", "equivalence_test", "clustered_bootstrap"):
+        few, many = ({r.model: r for r in registry.QUERIES[n](spark, sf).collect()} for n in (small, f"{small}_full"))
+        assert few.keys() == many.keys() and all(few[m].ci_low < many[m].ci_high and many[m].ci_low < few[m].ci_high for m in few)
+    assert registry.QUERIES["decision_flip_full"](spark, sf).first().replicates == SETTINGS.bootstrap_b
+    advice = registry.QUERIES["config_advice_full"](spark, sf).collect()
+    assert len(advice) == registry.QUERIES["config_advice"](spark, sf).count()
+
+
 def test_decision(spark):
     s = lambda p, a, c: spark.range(1).select(B.sensitive(F.lit(p), *map(F.lit, a), *map(F.lit, c)).alias("x")).first().x
     assert s(0.9, (0.10, 0.20), (0.21, 0.30)) and not s(0.9, (0.1, 0.25), (0.21, 0.3)) and not s(0.5, (0.1, 0.2), (0.21, 0.3))

@@ -159,3 +159,10 @@ def cluster_means(rows: DataFrame, keys: list[str], cluster: str, value: str, b:
     name = F.concat_ws("|", F.lit(tag), *[F.col(k).cast("string") for k in keys], F.col("r").cast("string"), F.col("j").cast("string"))
     draws = slots.select(*keys, "r", F.pmod(F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long"), F.col("n")).alias("i"))
     return draws.join(place.select(*keys, "i", "s", "m"), [*keys, "i"]).groupBy(*keys, "r").agg(F.try_divide(F.sum("s").cast("double"), F.sum("m").cast("double")).alias(value))
+
+
+def cluster_multinomial_means(rows: DataFrame, keys: list[str], cluster: str, value: str, b: int = SETTINGS.bootstrap_b, seed: int = SETTINGS.seed) -> DataFrame:
+    """The law of cluster_means from the counts of clusters with one sum and one size; value's sums are whole numbers of few levels."""
+    total = rows.groupBy(*keys, cluster).agg(F.sum(value).alias("s"), F.count(value).alias("m")).where("m > 0")
+    reps = multinomial_means(total, keys, ["s", "m"], {"s": lambda x: x["s"], "m": lambda x: x["m"]}, b, seed)
+    return reps.select(*keys, "r", F.try_divide("s", "m").alias(value))

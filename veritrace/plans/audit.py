@@ -233,6 +233,27 @@ def bootstrap_multinomial(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.order_ci(reps, ["model", "k"], "did")
 
 
+def _full(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """SETTINGS.bootstrap_b resamples of the gains; the queries named _full have them, beyond the SQL of their small forms."""
+    gains = {"apparent": lambda x: x["b"] - x["a"], "corrected": lambda x: x["d"] - x["c"], "did": lambda x: (x["b"] - x["a"]) - (x["d"] - x["c"])}
+    return B.multinomial_means(rows, keys, ["a", "b", "c", "d"], gains)
+
+
+@query()
+def paired_bootstrap_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.order_ci(_full(fourarm(spark, sf_dir, depths=(5,)), ["model"]), ["model"], "did")
+
+
+@query()
+def bootstrap_percentiles_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.linear_ci(_full(fourarm(spark, sf_dir, depths=(5,)), ["model"]), ["model"], "corrected")
+
+
+@query()
+def decision_flip_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = F.create_map(*[F.lit(x) for m in MODELS for x in m[:2]])
+    reps = _full(fourarm(spark, sf_dir, depths=(5,)), ["model"]).withColumns({"space": F.lit("all"), "ord": orders[F.col("model")]})
+    return B.flip_probability(reps, ["space"], "model", F.col("ord"))
 
 
 def _binomial_sql(k: str, n: str) -> str:

@@ -13,6 +13,7 @@ from ..operators import injection as I
 from ..operators import retrieval as R
 from ..operators import stats as B
 from ..operators import substitute as S
+from .audit import _full
 from .fixture import FOURARM, fourarm, table
 
 QUERIES: dict = {}
@@ -46,6 +47,17 @@ def config_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each model: the best depth by apparent and by corrected gain, how often they differ, and whether to change."""
     rows = fourarm(spark, sf_dir, depths=(1, 3, 5))
     reps = B.replicate_means(rows, ["model", "k"], list("abcd"), {"apparent": A.apparent(), "corrected": A.corrected()}, _REPS, "advice").persist()
+    return _advice(rows, reps)
+
+
+@query()
+def config_advice_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """config_advice from SETTINGS.bootstrap_b resamples."""
+    rows = fourarm(spark, sf_dir, depths=(1, 3, 5))
+    return _advice(rows, _full(rows, ["model", "k"]))
+
+
+def _advice(rows: DataFrame, reps: DataFrame) -> DataFrame:
     flip = B.flip_probability(reps, ["model"], "k", F.col("k")).select("model", "p_flip")
     ci = B.order_ci(reps, ["model", "k"], "corrected")
     point = rows.groupBy("model", "k").agg(F.round(F.avg(A.apparent()), 9).alias("ap"), F.round(F.avg(A.corrected()), 9).alias("co"))

@@ -13,7 +13,7 @@ from ..functions import text as T
 from ..operators import gold as G
 from ..operators import pool as P
 from ..operators import stats as B
-from .audit import _REPS, _boot_sql, _replicates
+from .audit import _REPS, _boot_sql, _full, _replicates
 from .evidence import _EDIT, _edited
 from .fixture import FOURARM, fourarm, table
 
@@ -114,7 +114,16 @@ def annotation_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT model, ci_low, ci_high, ci_low > -0.05 AND ci_high < 0.05 AS equivalent_5pp, ci_low > -0.03 AND ci_high < 0.03 AS equivalent_3pp FROM c"""
 )
 def equivalence_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ci = B.order_ci(_replicates(spark, sf_dir), ["model"], "did", (0.05, 0.95))
+    return _equivalence(_replicates(spark, sf_dir))
+
+
+@query()
+def equivalence_test_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _equivalence(_full(fourarm(spark, sf_dir, depths=(5,)), ["model"]))
+
+
+def _equivalence(replicates: DataFrame) -> DataFrame:
+    ci = B.order_ci(replicates, ["model"], "did", (0.05, 0.95))
     lo, hi = F.col("ci_low"), F.col("ci_high")
     return ci.select("model", "ci_low", "ci_high", N.within(lo, hi, 0.05).alias("equivalent_5pp"), N.within(lo, hi, 0.03).alias("equivalent_3pp"))
 
@@ -167,6 +176,13 @@ def clustered_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.linear_ci(B.cluster_means(rows, ["model"], "cl", "masking", _REPS, "cluster"), ["model"], "masking")
 
 
+@query()
+def clustered_bootstrap_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SETTINGS.bootstrap_b resamples of whole clusters."""
+    rows = fourarm(spark, sf_dir, depths=(5,)).select("model", F.floor(F.col("question_id") / 10).alias("cl"), A.masking().alias("masking"))
+    return B.linear_ci(B.cluster_multinomial_means(rows, ["model"], "cl", "masking"), ["model"], "masking")
+
+
 @query(
     """WITH f AS (SELECT DISTINCT item_id, w AS form FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{9,}')) AS w FROM benchmark)), n AS (SELECT DISTINCT x.item_id, y.item_id AS other FROM f x JOIN f y USING (form)),
 a AS (SELECT DISTINCT n.item_id, f.form FROM n JOIN f ON f.item_id = n.other) SELECT item_id AS question_id, count(*) AS n_forms, md5(string_agg(form, '|' ORDER BY form)) AS forms_md5 FROM a GROUP BY item_id"""
