@@ -53,10 +53,13 @@ def windows(pages: DataFrame, radius: int = 260, least: int = 2, near: int = 90,
     )
     beside = lambda c: F.regexp_like(c, F.lit("^[0-9a-z]$"))
     hits = hits.where(~F.coalesce(beside(F.col("prior")), F.lit(False)) & ~beside(F.col("next")))
+    score = F.size(F.array_intersect(F.array_remove(T.content_tokens("local", STOP), F.col("value")), T.content_tokens("question", STOP)))
+    hits = hits.withColumn("score", score).drop("question", "local", "prior", "next")
+    # a hit with too low a score bounds its neighbours' windows and needs no text for that
+    hits = hits.withColumn("wide", F.when(F.col("score") >= least, F.col("wide")))
     w = W.partitionBy("question_id", "page").orderBy("start", "end", "value")
     around = hits.withColumns({"before": F.lag("end").over(w), "after": F.lead("start").over(w)})
-    score = F.size(F.array_intersect(F.array_remove(T.content_tokens("local", STOP), F.col("value")), T.content_tokens("question", STOP)))
-    scored = around.withColumn("score", score).where(F.col("score") >= least)
+    scored = around.where(F.col("score") >= least)
     left = F.greatest(F.col("from"), F.coalesce(F.col("before") + 1, F.lit(0)))
     right = F.least(F.col("length"), F.col("end") + radius, F.coalesce("after", F.col("length")))
     cand = scored.withColumn("window", cut(F.col("wide"), left - F.col("from"), right - F.col("from")))
