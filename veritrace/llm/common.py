@@ -14,15 +14,29 @@ from pyspark.sql import functions as F
 _FALLBACK_DIR: list[str] = []
 
 
+#: Rows of an Arrow batch: texts are long, and a batch is held by the JVM and by its worker at once.
+BATCH_ROWS = 2000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    lean_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lean_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows, unless the session has a number of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where one machine runs everything may it be unset; a folder of our own serves then."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir is unset: executors and driver need a folder that all of them share")
     if not _FALLBACK_DIR:
         _FALLBACK_DIR.append("file://" + tempfile.mkdtemp(prefix="veritrace-"))
     return _FALLBACK_DIR[0]
@@ -30,9 +44,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: computed once, lineage cut, safe against lost executors."""
+    lean_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for df in tables:
+        session = df.sparkSession
+        path = session._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions_for(df: DataFrame, bytes_each: int = 32 << 20, most: int = 1 << 20) -> int:
@@ -155,6 +180,12 @@ def word_spans(data: np.ndarray, off: np.ndarray, sep: np.ndarray, lower: np.nda
     return s, np.concatenate(ends), np.concatenate(hashes), np.searchsorted(s, off)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct entries; by a sort, which is much quicker here than numpy's unique by hashing."""
+    x = np.sort(x)
+    return x if len(x) < 2 else x[np.concatenate([[True], x[1:] != x[:-1]])]
+
+
 def rolled(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of each n consecutive entries of h."""
     if len(h) < n:
@@ -176,6 +207,34 @@ def slices(batch: pa.RecordBatch, text: str, most: int = 2 << 20, least_rows: in
         at = end
 
 
+class Known:
+    """A sorted array of 64-bit hashes that can be looked up quickly: a table of flags by their first bits comes before the search."""
+
+    BITS = 20
+
+    def __init__(self, known: np.ndarray):
+        self.known = known
+        self.flags = np.zeros(1 << self.BITS, bool)
+        self.flags[self._first(known)] = True
+
+    @classmethod
+    def _first(cls, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - cls.BITS)).astype(np.int64)
+
+    def positions(self, h: np.ndarray) -> np.ndarray:
+        """Of the entries of h that are known."""
+        at = np.flatnonzero(self.flags[self._first(h)])
+        if not len(at):
+            return at
+        k = np.minimum(np.searchsorted(self.known, h[at]), len(self.known) - 1)
+        return at[self.known[k] == h[at]]
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(h), bool)
+        out[self.positions(h)] = True
+        return out
+
+
 def id_bitmap(ids: np.ndarray, bits: int) -> np.ndarray:
     """A Bloom filter of two probes over int64 ids in 2**bits bits."""
     out = np.zeros(1 << max(bits - 3, 0), np.uint8)
