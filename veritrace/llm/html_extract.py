@@ -1,16 +1,31 @@
 """Main text of pages by wrapper induction.
 
-Pages of a host are aligned with one page of that host (its pattern: the page with the
-least hash) by simple tree matching. A pattern node whose text is the same in the pages
-that have it is template; one whose text varies is a slot, and holds content, unless it
-lies in a part that by its element, role or class is a menu, header, footer, sidebar,
-notice, advert, form or comment. What a page has beyond the pattern is treated like a slot.
+Pages of a host are aligned with the host's pattern by simple tree matching. The pattern is
+a merged tree of a few of its pages (those with the least hashes): what a page has beyond
+the tree so far is inserted where it stands, so that parts that come and go and other
+layouts have their nodes. Over all pages of the host, each pattern node gets its texts'
+counts and its amount of text outside links. From these the wrapper follows:
+
+* a node whose text is the same on most pages that have it is template, except within an
+  article or main element, where a line that an author closes every article with is text;
+* the content region is found by going down from the root into the one container that holds
+  nearly all of the host's varying text, while there is one, down to an article or main
+  element at most; of what a page has beside the region only loose headings and paragraphs
+  stay;
+* varying slots in the region are content, unless their element, role or class says that
+  they are a menu, footer, sidebar, notice, advert, form or comment, which vary as articles
+  do. Names alone decide on hosts with fewer than LEAST_PAGES pages.
 
 The counts behind this cover every page of the host: each page is aligned on its own, next
 to the pattern, and (host, pattern node) counts are summed with partial sums, so that a
 host with a third of all pages is no larger for any task than another.
 
-Null or empty html gives an empty text. A page without host belongs to the host ''.
+Odd inputs. Null or empty html gives an empty text. A page without host belongs to the host
+''. Repeated rows get a row each and count each. Broken markup is read in linear time:
+unknown ends are dropped, open elements end with their parent, after an unclosed quote tags
+end at the next `>`. Of pages with the same least hash the first html in sort order is taken,
+and of texts with the same count the greater hash. An empty table gives an empty one; extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -21,6 +36,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -30,13 +46,18 @@ from .common import written
 
 #: A slot's text is template if so large a share of at least LEAST_PAGES pages agree on it.
 CONSTANT_SHARE, LEAST_PAGES = 0.6, 4
-#: Patterns are broadcast while they and their counts are below this; beyond, pages join them by host and salt.
-BROADCAST_BYTES, SALT = 16 << 20, 64
+#: A region's container holds this share of the varying text of what is around it.
+REGION_SHARE = 0.95
+#: Pages that a pattern is merged from.
+MERGED = 3
+#: Wrappers are broadcast while they are below this; beyond, pages meet them by host, in groups of about GROUP_PAGES.
+BROADCAST_BYTES, GROUP_PAGES = 16 << 20, 1000
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = re.compile(r"(?is)</(script|style|textarea|title|noscript|template|iframe|xmp)\s*>")
 _RAW_NAMES = frozenset("script style textarea title noscript template iframe xmp".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?=>)|[^>]*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?=>)|(?P<broken>[^>]*))>", re.S)
+_PLAIN_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _SKIP = frozenset("script style head nav header footer aside form button select option textarea template noscript iframe object svg canvas menu dialog input label fieldset title".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br img".split())
 #: A whole attribute, so that nothing is read out of another one's name or value.
@@ -58,6 +79,12 @@ _WITHIN = re.compile(rf"(?i){_WITHIN_NAMES}|banner|nav|navigation|menu|header|ma
 #: Elements that an opening of these ends, if it is the innermost block.
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _SPACE = re.compile(r"\s+")
+_SAME_ITEM = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}
+_LISTS = ("ul", "ol", "dl", "table", "select", "tbody", "thead")
+#: Elements that a content region can be.
+_CONTAINERS = frozenset("# html body div section main article center table tbody tr td span".split())
+#: Elements that stay beside a region.
+_LOOSE = _HEADINGS | {"p", "blockquote", "pre"}
 
 
 @dataclass
@@ -66,6 +93,8 @@ class Node:
     label: str
     parts: list = field(default_factory=list)  # str or Node, in page order
     size: int = 1
+    #: hash of the tags and classes of the whole subtree
+    shape: int = 0
     skip: bool = False
     #: it lies in an article or main element: constant text there is content too
     article: bool = False
@@ -100,9 +129,18 @@ def _marks(tag: str, attributes: str, within: bool) -> tuple[str, bool]:
 def parse(text: str) -> Node:
     """A tolerant tree: unknown ends are dropped, open elements end with their parent."""
     root = Node("#", "")
-    stack, at, n = [root], 0, len(text)
+    stack, block, at, n = [root], [0], 0, len(text)  # block: place of the innermost element that is not inline
+    where: dict[str, list[int]] = {}  # places of open elements by name
+    last_end, token = text.rfind(">"), _TOKEN
+
+    def cut(k: int) -> None:
+        while len(stack) > k:
+            where[stack.pop().tag].pop()
+            block.pop()
+
+    innermost = lambda *names: max((where[x][-1] for x in names if where.get(x)), default=0)
     while at < n:
-        m = _TOKEN.search(text, at)
+        m = token.search(text, at) if at <= last_end else None
         if m is None:
             stack[-1].parts.append(text[at:])
             break
@@ -112,109 +150,168 @@ def parse(text: str) -> Node:
         name = m[2]
         if not name:
             continue
-        name = name.lower()
+        if token is _TOKEN and m["broken"] is not None:  # a quote that is never closed: from here on quotes mean nothing
+            token = _PLAIN_TOKEN
+        name, rest = name.lower(), text[m.end(2) : m.end() - 1]
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == name:
-                    del stack[k:]
-                    break
+            if k := innermost(name):
+                cut(k)
             continue
         if name in _ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag not in _INLINE:
-                    break
+            if stack[block[-1]].tag == "p":
+                cut(block[-1])
         elif name in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            same = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}.get(name, (name,))
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in same:
-                    del stack[k:]
-                    break
-                if stack[k].tag in ("ul", "ol", "dl", "table", "select", "tbody", "thead") or name in ("td", "th") and stack[k].tag == "tr":
-                    break
-        label, skip = _marks(name, m[3], stack[-1].article)
-        node = Node(name, label, skip=skip and name not in ("html", "body") or name in _SKIP, article=stack[-1].article or name in ("article", "main"))
+            k = innermost(*_SAME_ITEM.get(name, (name,)))
+            if k > innermost(*_LISTS, *(("tr",) if name in ("td", "th") else ())):
+                cut(k)
+        within = stack[-1].article
+        label, skip = _marks(name, rest, within)
+        # a page's header goes, an article's holds its title
+        node = Node(name, label, skip=skip and name not in ("html", "body") or name in _SKIP and not (within and name == "header"), article=within or name in ("article", "main"))
         stack[-1].parts.append(node)
         if name in _RAW_NAMES:
             end = next((e for e in _RAW.finditer(text, at) if e[1].lower() == name), None)
             node.parts.append(text[at : end.start() if end else n])
             at = end.end() if end else n
-        elif name not in _VOID and not m[3].endswith("/"):
+        elif name not in _VOID and not rest.endswith("/"):
+            where.setdefault(name, []).append(len(stack))
+            block.append(block[-1] if name in _INLINE else len(stack))
             stack.append(node)
     _measure(root)
     return root
 
 
 def _measure(root: Node) -> None:
-    order, k = [root], 0
-    while k < len(order):
-        order += order[k].children
-        k += 1
-    for node in reversed(order):
-        node.size = 1 + sum(c.size for c in node.children)
+    for node in reversed(numbered(root)):
+        children = node.children
+        node.size = 1 + sum(c.size for c in children)
+        node.shape = xxhash.xxh3_64_intdigest(f"{node.tag}\0{node.label}\0{[c.shape for c in children] if children else ''}".encode("utf-8", "surrogatepass"))
 
 
 def _clean(text: str) -> str:
     return _SPACE.sub(" ", _html.unescape(text)).strip()
 
 
-def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
-    """Simple tree matching: pairs of nodes of a large order-keeping alignment of a and b.
+class Matching:
+    """Simple tree matching: the order-keeping alignment of two trees with the most pairs of nodes of equal tag and class.
 
-    Children are paired as they come where their tags and classes run alike from either
-    end, and by the matching's dynamic program in between; trees are walked with a stack.
+    Subtrees of one shape match whole, and where the children of two nodes begin or end with
+    such subtrees these belong to a best alignment; what is between goes through the dynamic
+    program, at any size, with scores of pairs of shapes computed once.
     """
-    pairs, todo = [], [(a, b)]
-    while todo:
-        x, y = todo.pop()
-        pairs.append((x, y))
-        todo += _children(x.children, y.children)
-    return pairs
-
-
-def _children(xs: list[Node], ys: list[Node]) -> list[tuple[Node, Node]]:
-    out = []
-    i = 0
-    while i < min(len(xs), len(ys)) and _same(xs[i], ys[i]):
-        out.append((xs[i], ys[i]))
-        i += 1
-    j = 0
-    while j < min(len(xs), len(ys)) - i and _same(xs[-1 - j], ys[-1 - j]):
-        out.append((xs[-1 - j], ys[-1 - j]))
-        j += 1
-    xs, ys = xs[i : len(xs) - j], ys[i : len(ys) - j]
-    if not xs or not ys:
+
+    #: Cells of a table of the dynamic program that are kept; beyond, it is halved.
+    CELLS = 1 << 22
+
+    def __init__(self):
+        self.scores: dict[tuple[int, int], int] = {}
+
+    def pairs(self, a: Node, b: Node) -> list[tuple[Node, Node]]:
+        out, todo = [], [(a, b)]
+        while todo:
+            x, y = todo.pop()
+            out.append((x, y))
+            if x.size > 1 < y.size:
+                todo += self._aligned(x.children, y.children)
         return out
-    if len(xs) * len(ys) > 250_000:  # only runs of equal labels are aligned in very long lists
-        return out + [(x, y) for x, y in zip(xs, ys) if _same(x, y)]
-    best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-    for p in range(len(xs) - 1, -1, -1):
-        for q in range(len(ys) - 1, -1, -1):
-            w = 1 + _score(xs[p], ys[q]) if _same(xs[p], ys[q]) else 0
-            best[p][q] = max(best[p + 1][q], best[p][q + 1], w and best[p + 1][q + 1] + w)
-    p = q = 0
-    while p < len(xs) and q < len(ys):
-        if best[p][q] == best[p + 1][q]:
-            p += 1
-        elif best[p][q] == best[p][q + 1]:
-            q += 1
-        else:
-            out.append((xs[p], ys[q]))
-            p, q = p + 1, q + 1
-    return out
+
+    def _score(self, a: Node, b: Node) -> int:
+        """Pairs of the best matching of two nodes of equal tag and class; without recursion, as trees may be deep."""
+        if a.shape == b.shape:
+            return a.size
+        if a.size == 1 or b.size == 1:
+            return 1
+        stack, scores = [(a, b)], self.scores
+        while stack:
+            x, y = stack[-1]
+            key = (x.shape, y.shape)
+            if key in scores:
+                stack.pop()
+                continue
+            ours, theirs = ({c.shape: c for c in n.children if c.size > 1} for n in (x, y))
+            missing = [(p, q) for p in ours.values() for q in theirs.values() if p.shape != q.shape and _same(p, q) and (p.shape, q.shape) not in scores]
+            if missing:
+                stack += missing
+            else:
+                scores[key] = 1 + sum(self._score(p, q) for p, q in self._aligned(x.children, y.children))
+                stack.pop()
+        return scores[a.shape, b.shape]
+
+    def _aligned(self, xs: list[Node], ys: list[Node]) -> list[tuple[Node, Node]]:
+        out, todo = [], [(xs, ys)]
+        while todo:
+            xs, ys = todo.pop()
+            i, j, most = 0, 0, min(len(xs), len(ys))
+            while i < most and xs[i].shape == ys[i].shape:
+                i += 1
+            while j < most - i and xs[-1 - j].shape == ys[-1 - j].shape:
+                j += 1
+            out += zip(xs[:i], ys[:i])
+            out += zip(xs[len(xs) - j :], ys[len(ys) - j :])
+            xs, ys = xs[i : len(xs) - j], ys[i : len(ys) - j]
+            if not xs or not ys:
+                continue
+            kinds = {y.shape: y for y in ys}
+            number = {shape: k for k, shape in enumerate(kinds)}
+            of = np.array([number[y.shape] for y in ys])
+            rows: dict[int, np.ndarray] = {}
+
+            def weights(x: Node) -> np.ndarray:
+                if x.shape not in rows:
+                    rows[x.shape] = np.array([self._score(x, y) if _same(x, y) else 0 for y in kinds.values()])
+                return rows[x.shape][of]
+
+            def step(row: np.ndarray, w: np.ndarray) -> np.ndarray:
+                """row: best scores of one more x against the first 0, 1, ... of the ys."""
+                return np.maximum.accumulate(np.maximum(row, np.concatenate([[0], row[:-1] + w])))
+
+            if len(xs) * len(ys) > self.CELLS and len(xs) > 1:
+                # halve the xs; the best cut of the ys is where both halves' scores add up to the most
+                half, zero = len(xs) // 2, np.zeros(len(ys) + 1, np.int64)
+                front = back = zero
+                for x in xs[:half]:
+                    front = step(front, weights(x))
+                for x in reversed(xs[half:]):
+                    back = step(back, weights(x)[::-1])
+                at = int(np.argmax(front + back[::-1]))
+                todo += [(xs[:half], ys[:at]), (xs[half:], ys[at:])]
+                continue
+            table = [np.zeros(len(ys) + 1, np.int64)]
+            for x in xs:
+                table.append(step(table[-1], weights(x)))
+            p, q = len(xs), len(ys)
+            while p and q:
+                if table[p][q] == table[p - 1][q]:
+                    p -= 1
+                elif table[p][q] == table[p][q - 1]:
+                    q -= 1
+                else:
+                    p, q = p - 1, q - 1
+                    out.append((xs[p], ys[q]))
+        return out
+
+
+def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
+    return Matching().pairs(a, b)
 
 
 def _same(x: Node, y: Node) -> bool:
     return x.tag == y.tag and x.label == y.label
 
 
-def _score(x: Node, y: Node, depth: int = 3) -> int:
-    """Matched nodes below x and y, looked at to a fixed depth."""
-    if depth == 0 or not x.size > 1 < y.size:
-        return 0
-    return sum(1 + _score(p, q, depth - 1) for p, q in _children(x.children, y.children))
+def merge(pattern: Node, page: Node) -> None:
+    """Inserts into the pattern what the page has beyond it, each part behind the sibling that it follows."""
+    for x, y in match(pattern, page):
+        held = {id(q): p for p, q in Matching()._aligned(x.children, y.children)}
+        last = None
+        for q in y.children:
+            if id(q) in held:
+                last = held[id(q)]
+            else:
+                at = 0 if last is None else next(k for k, part in enumerate(x.parts) if part is last) + 1
+                x.parts.insert(at, q)
+                last = q
+    _measure(pattern)
 
 
 def numbered(root: Node) -> list[Node]:
@@ -227,86 +324,135 @@ def numbered(root: Node) -> list[Node]:
     return out
 
 
-def blocks(root: Node) -> Iterator[tuple[Node, str]]:
-    """Text blocks outside the parts that are no article, each with the element that holds it."""
-    out: list[tuple[Node, str]] = []
+def blocks(root: Node) -> Iterator[tuple[Node, str, int]]:
+    """Text blocks outside the parts that are no article, each with the element that holds it and its characters outside links."""
+    out: list[tuple[Node, str, int]] = []
     held: list[str] = []
+    free = 0
 
     def flush(node: Node) -> None:
+        nonlocal free
         if held:
             text = _clean("".join(held))
             held.clear()
             if text:
-                out.append((node, text))
+                out.append((node, text, free))
+        free = 0
 
-    # (node, its block, position): a stack in place of recursion, so that depth costs no frames
-    stack = [(root, root, 0)]
+    # (node, its block, position, in a link): a stack in place of recursion, so that depth costs no frames
+    stack = [(root, root, 0, False)]
     while stack:
-        node, block, k = stack.pop()
+        node, block, k, link = stack.pop()
         if k == len(node.parts):
             if node is block:
                 flush(block)
             continue
-        stack.append((node, block, k + 1))
+        stack.append((node, block, k + 1, link))
         part = node.parts[k]
         if isinstance(part, str):
             held.append(part)
+            free += 0 if link else len(part.strip())
         elif part.tag == "br":
             held.append(" ")
         elif part.skip:
             if part.tag not in _INLINE:
                 flush(block)
         elif part.tag in _INLINE:
-            stack.append((part, block, 0))
+            stack.append((part, block, 0, link or part.tag == "a"))
         else:
             flush(block)
-            stack.append((part, part, 0))
+            stack.append((part, part, 0, link))
     return iter(out)
 
 
-@lru_cache(maxsize=32)
-def _pattern(text: str) -> tuple[Node, dict[int, int]]:
-    tree = parse(text)
-    return tree, {id(x): k for k, x in enumerate(numbered(tree))}
+class Pattern:
+    """A host's merged tree, its nodes numbered in page order."""
+
+    def __init__(self, pages: tuple[str, ...]):
+        self.tree = parse(pages[0]) if pages else Node("#", "")
+        for page in pages[1:]:
+            merge(self.tree, parse(page))
+        self.nodes = numbered(self.tree)
+        self.number = {id(x): k for k, x in enumerate(self.nodes)}
+
+    def places(self, tree: Node) -> dict[int, int]:
+        """Pattern node of each node of a page that has one, by the node's id."""
+        return {id(y): self.number[id(x)] for x, y in match(self.tree, tree)}
+
+    def outside(self, text: dict[int, int]) -> set[int]:
+        """Nodes that lie beside the content region; text: amount of varying text of each node."""
+        total = [text.get(k, 0) for k in range(len(self.nodes))]
+        for k in range(len(self.nodes) - 1, -1, -1):
+            for c in self.nodes[k].children:
+                total[k] += total[self.number[id(c)]]
+        out, at = set(), self.tree
+        while not at.article:
+            children = at.children
+            best = max(children, key=lambda c: total[self.number[id(c)]], default=None)
+            if best is None or best.tag not in _CONTAINERS or total[self.number[id(best)]] < REGION_SHARE * total[self.number[id(at)]] or not total[self.number[id(at)]]:
+                break
+            for c in children:
+                if c is not best and c.tag not in _LOOSE:
+                    out |= {self.number[id(x)] for x in numbered(c)}
+            at = best
+        return out
+
+
+@lru_cache(maxsize=256)
+def _pattern(pages: tuple[str, ...]) -> Pattern:
+    return Pattern(pages)
 
 
-def observe(page: str | None, pattern: str) -> list[tuple[int, int]]:
-    """(pattern node, hash of the text there) for each text-bearing block of the page that the pattern has."""
+def observe(page: str | None, pattern: Pattern) -> list[tuple[int, int, int]]:
+    """(pattern node, hash of the text there, characters outside links) for each text-bearing block of the page that the pattern has."""
     if not page:
         return []
     tree = parse(page)
-    pattern_tree, number = _pattern(pattern)
-    place = {id(y): number[id(x)] for x, y in match(pattern_tree, tree)}
-    seen: dict[int, list[str]] = {}
-    for node, text in blocks(tree):
+    place = pattern.places(tree)
+    seen: dict[int, list] = {}
+    for node, text, free in blocks(tree):
         if id(node) in place:
-            seen.setdefault(place[id(node)], []).append(text)
-    return [(k, _hash("\n".join(v))) for k, v in seen.items()]
+            got = seen.setdefault(place[id(node)], [[], 0])
+            got[0].append(text)
+            got[1] += free
+    return [(k, _hash("\n".join(v)), free) for k, (v, free) in seen.items()]
 
 
 def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def main_text(page: str | None, pattern: str | None, template: dict[int, int]) -> str:
-    """template: pattern node -> hash of the text that is the same on the host's pages."""
+@dataclass(frozen=True)
+class Wrapper:
+    pattern: Pattern
+    #: pattern node -> hash of the text that is the same on the host's pages
+    template: dict[int, int]
+    outside: frozenset[int]
+
+    @staticmethod
+    def of(pages: tuple[str, ...], nodes: list[tuple[int, int | None, int]]) -> Wrapper | None:
+        """nodes: of each pattern node its constant text's hash, or None, and its amount of varying text."""
+        if not nodes:
+            return None
+        pattern = _pattern(pages)
+        return Wrapper(pattern, {k: t for k, t, _ in nodes if t is not None}, frozenset(pattern.outside({k: m for k, _, m in nodes})))
+
+
+def main_text(page: str | None, wrapper: Wrapper | None = None) -> str:
     if not page:
         return ""
     tree = parse(page)
-    place = {}
-    if pattern and template:
-        pattern_tree, number = _pattern(pattern)
-        place = {id(y): number[id(x)] for x, y in match(pattern_tree, tree)}
     found = list(blocks(tree))
-    if template:
+    if wrapper:
+        place = wrapper.pattern.places(tree)
         whole: dict[int, list[str]] = {}
-        for node, text in found:
+        for node, text, _ in found:
             if id(node) in place:
                 whole.setdefault(place[id(node)], []).append(text)
-        # text of an article or main element is never template, however many pages share it
-        constant = {k for k, v in whole.items() if k in template and template[k] == _hash("\n".join(v))}
-        found = [(n, t) for n, t in found if n.article or place.get(id(n)) not in constant]
-    return "\n\n".join(t for _, t in found)
+        template = wrapper.template
+        gone = {k for k, v in whole.items() if k in wrapper.outside or k in template and template[k] == _hash("\n".join(v))}
+        found = [x for x in found if x[0].article or place.get(id(x[0])) not in gone]
+    return "\n\n".join(t for _, t, _ in found)
 
 
 def host(url):
@@ -315,67 +461,89 @@ def host(url):
 
 
 def _with_host(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host(F.col("url")).alias("host"))
 
 
 def patterns(pages: DataFrame) -> DataFrame:
-    """One page of each host: of its texts that with the least hash, which every task finds for its own rows first."""
-    return (
-        _with_host(pages)
-        .where(F.length("html") > 0)
-        .groupBy("host")
-        .agg(F.min(F.struct(F.xxhash64("html").alias("h"), F.col("html"))).alias("m"))
-        .select("host", F.col("m.html").alias("pattern"))
-    )
+    """host, up to MERGED of its pages, and the number of them: of their texts those with the least hashes, which every task finds for its own rows first."""
+    hashed = _with_host(pages).where(F.length("html") > 0).withColumn("h", F.xxhash64("html"))
+    least = hashed.groupBy("host", F.pmod("h", F.lit(MERGED)).alias("part")).agg(F.min(F.struct("h", "html")).alias("m"), F.count("*").alias("n"))
+    return least.groupBy("host").agg(F.transform(F.array_sort(F.collect_set("m")), lambda x: x["html"]).alias("pages"), F.sum("n").alias("n"))
 
 
-def template_counts(placed: DataFrame) -> DataFrame:
-    """host, node, text hash and pages, over all pages; placed: host, html, pattern."""
+_SEEN = "host string, node int, text long, n long, free long"
 
-    def run(batches):
-        for b in batches:
-            total: dict[tuple, int] = {}
-            hosts, pages, own = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("host", "html", "pattern"))
-            for h, page, pattern in zip(hosts, pages, own):
-                for k, text in observe(page, pattern or ""):
-                    total[h, k, text] = total.get((h, k, text), 0) + 1
-            if total:
-                yield pa.RecordBatch.from_pydict({"host": pa.array([k[0] for k in total], pa.string()), "node": pa.array([k[1] for k in total], pa.int32()), "text": pa.array([k[2] for k in total], pa.int64()), "n": pa.array(list(total.values()), pa.int64())})
 
-    return placed.mapInArrow(run, "host string, node int, text long, n long").groupBy("host", "node", "text").agg(F.sum("n").alias("n"))
+def _observed(pages: pa.RecordBatch | pa.Table, of) -> pa.Table:
+    total: dict[tuple, list[int]] = {}
+    hosts, texts = (pages.column(pages.schema.get_field_index(c)).to_pylist() for c in ("host", "html"))
+    for h, page in zip(hosts, texts):
+        for k, text, free in observe(page, of(h)):
+            got = total.setdefault((h, k, text), [0, 0])
+            got[0] += 1
+            got[1] += free
+    return pa.table(
+        {"host": pa.array([k[0] for k in total], pa.string()), "node": pa.array([k[1] for k in total], pa.int32()), "text": pa.array([k[2] for k in total], pa.int64()), "n": pa.array([v[0] for v in total.values()], pa.int64()), "free": pa.array([v[1] for v in total.values()], pa.int64())}
+    )
 
 
-def templates(counts: DataFrame) -> DataFrame:
-    """host and a map from each constant pattern node to its text's hash."""
-    best = counts.groupBy("host", "node").agg(F.sum("n").alias("pages"), F.max(F.struct("n", "text")).alias("top"))
-    return best.where((F.col("pages") >= LEAST_PAGES) & (F.col("top.n") >= CONSTANT_SHARE * F.col("pages"))).groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("node", F.col("top.text").alias("text")))).alias("template"))
+def wrappers(seen: DataFrame) -> DataFrame:
+    """host and its nodes: number, hash of the text that is constant or null, and amount of varying text."""
+    one = seen.groupBy("host", "node", "text").agg(F.sum("n").alias("n"), F.sum("free").alias("free"))
+    node = one.groupBy("host", "node").agg(F.sum("n").alias("pages"), F.sum("free").alias("free"), F.max(F.struct("n", "text", "free")).alias("top"))
+    constant = (F.col("pages") >= LEAST_PAGES) & (F.col("top.n") >= CONSTANT_SHARE * F.col("pages"))
+    kept = node.select("host", F.struct("node", F.when(constant, F.col("top.text")).alias("text"), (F.col("free") - F.when(constant, F.col("top.free")).otherwise(0)).alias("free")).alias("x"))
+    return kept.groupBy("host").agg(F.collect_list("x").alias("nodes"))
 
 
-def _beside(pages: DataFrame, small: DataFrame, size: int) -> DataFrame:
-    """Pages with their host's row of small (of `size` bytes): broadcast below the bound, else by host and salt."""
+def _by_host(pages: DataFrame, small: DataFrame, size: int, work, schema: str) -> DataFrame:
+    """work(pages, host -> row of small) over all pages; small has `size` bytes in all: broadcast below the bound, else
+    pages and a copy of their host's row meet in groups of about GROUP_PAGES, so that only large hosts are dealt out."""
     if size <= BROADCAST_BYTES:
-        return pages.join(F.broadcast(small), "host", "left")
-    salted = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    return pages.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int")).join(salted, ["host", "salt"], "left").drop("salt")
+        held = pages.sparkSession.sparkContext.broadcast({r["host"]: r.asDict(recursive=True) for r in small.collect()})
+
+        def run(batches):
+            for b in batches:
+                yield from work(b, held.value.get).to_batches()
+
+        return _with_host(pages).mapInArrow(run, schema)
+    sizes = small.select("host", F.ceil(F.col("n") / GROUP_PAGES).alias("parts"))
+    dealt = _with_host(pages).join(sizes, "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url", "html"), F.coalesce("parts", F.lit(1)))).drop("parts")
+    copies = small.join(sizes, "host").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        own = right.to_pylist()
+        return work(left, lambda h: own[0] if own else None)
+
+    return dealt.groupBy("host", "part").cogroup(copies.groupBy("host", "part")).applyInArrow(meet, schema)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """One row for each page: page_id, url and the article's text."""
     own = written(patterns(pages), "html-patterns")
-    size = own.agg(F.coalesce(F.sum(F.octet_length("pattern")), F.lit(0))).first()[0]
-    placed = _beside(_with_host(pages), own, size)
-    found = written(templates(template_counts(placed)), "html-templates")
-    both = own.join(found, "host", "left")
-    size += 16 * found.agg(F.coalesce(F.sum(F.size("template")), F.lit(0))).first()[0]
-
-    def run(batches):
-        for b in batches:
-            pages_, own_, maps = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("html", "pattern", "template"))
-            text = [main_text(p, o, dict(m or [])) for p, o, m in zip(pages_, own_, maps)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string())], ["page_id", "url", "text"])
-
-    placed = _beside(_with_host(pages), both, size).select("page_id", "url", "html", "pattern", "template")
-    return placed.mapInArrow(run, "page_id long, url string, text string")
+    size = own.agg(F.coalesce(F.sum(F.octet_length(F.array_join("pages", ""))), F.lit(0))).first()[0]
+
+    def look(batch, of):
+        return _observed(batch, lambda h: _pattern(tuple((of(h) or {}).get("pages") or ())))
+
+    found = wrappers(_by_host(pages, own, size, look, _SEEN))
+    both = written(own.join(found, "host", "left").select("host", "pages", "n", F.when(F.col("n") >= LEAST_PAGES, F.col("nodes")).alias("nodes")), "html-wrappers")
+    size += both.agg(F.coalesce(F.sum(F.greatest(F.size("nodes"), F.lit(0))), F.lit(0))).first()[0] * 100
+
+    def take(batch, of):
+        known: dict[str, Wrapper | None] = {}
+
+        def wrapper(h):
+            if h not in known:
+                row = of(h) or {}
+                known[h] = Wrapper.of(tuple(row.get("pages") or ()), [(x["node"], x["text"], x["free"]) for x in row.get("nodes") or ()])
+            return known[h]
+
+        hosts, texts = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("host", "html"))
+        text = pa.array([main_text(t, wrapper(h)) for h, t in zip(hosts, texts)], pa.string())
+        return pa.table([batch.column(batch.schema.get_field_index("page_id")), batch.column(batch.schema.get_field_index("url")), text], names=["page_id", "url", "text"])
+
+    return _by_host(pages, both, size, take, "page_id long, url string, text string")
 
 
 def digest(found: DataFrame) -> DataFrame:
