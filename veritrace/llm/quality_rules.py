@@ -1,11 +1,18 @@
 """Quality rules as a short-circuit cascade of column expressions.
 
-Each rule is a predicate "this text fails". Its cost and the share it rejects are
-estimated on a bounded sample; the cascade then evaluates rules in order of rejection
-per cost and stops at the first that fails. The order changes the work, never the verdict.
-
-Null text has no words. A text without words fails `few_words`. Everything is a built-in
-expression: no Python runs on the executors.
+Each rule is a predicate "this text fails". On a bounded sample each is timed as the
+cascade will evaluate it (over words that are split already, or over measures that are at
+hand), at two sizes so that the cost of a job falls out, and its verdicts are kept. The
+order is greedy: next comes the rule with the most rejections per cost among the texts that
+the rules before it leave. The cascade stops at the first rule that fails. The order changes
+the work, never the verdict.
+
+Everything is a built-in expression: no Python runs on the executors.
+
+Odd inputs. Null text has no words; a text without words fails `few_words`. Very long texts
+are measured whole, but do not enter the sample. Repeated rows get a row each, an empty table
+gives an empty one, and of rules that tie the cheaper and then the first by name goes first.
+Extra columns are neither read nor in the way: `measured` selects by name, `keep_good` adds none.
 """
 
 from __future__ import annotations
@@ -34,10 +41,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WHITE), "")
 
 
-def n_words(text: Column) -> Column:
-    return F.size(words(text)).cast("long")
-
-
 def word_chars(text: Column) -> Column:
     return F.char_length(F.translate(F.coalesce(text, F.lit("")), WHITE_CHARS, "")).cast("long")
 
@@ -51,14 +54,6 @@ def _lines(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.translate(x, WHITE_CHARS, "") != "")
 
 
-def n_lines(text: Column) -> Column:
-    return F.size(_lines(text)).cast("long")
-
-
-def n_dup_lines(text: Column) -> Column:
-    return let(_lines(text), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
-
-
 def repeated_in(w: Column) -> Column:
     """Words of the array w that lie in a window of five words found twice or more.
 
@@ -93,10 +88,6 @@ def repeated_in(w: Column) -> Column:
     )
 
 
-def n_repeat_words(text: Column) -> Column:
-    return let(words(text), repeated_in)
-
-
 def _share_over(part: Column, whole: Column, percent: int) -> Column:
     return part * 100 > whole * percent
 
@@ -108,19 +99,26 @@ def _upper(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Measures:
-    """What rules read: columns of a table where they are at hand, or expressions over the text."""
+    """What rules read: columns of a table where they are at hand, or expressions over the text and its words."""
 
     text: Column
     n_words: Column
     word_chars: Column
     n_symbols: Column
-    n_lines: Column
-    n_dup_lines: Column
     n_repeat_words: Column
+    #: lines with a word, and those equal to an earlier one
+    lines: Callable[[Callable[[Column, Column], Column]], Column]
+
+    @staticmethod
+    def of(text: Column, w: Column) -> Measures:
+        lines = lambda body: let(_lines(text), lambda x: body(F.size(x), F.size(x) - F.size(F.array_distinct(x))))
+        return Measures(text, F.size(w).cast("long"), word_chars(text), n_symbols(text), repeated_in(w), lines)
 
     @staticmethod
-    def of(text: Column) -> Measures:
-        return Measures(text, n_words(text), word_chars(text), n_symbols(text), n_lines(text), n_dup_lines(text), n_repeat_words(text))
+    def at_hand() -> Measures:
+        """Columns of measures()."""
+        c = F.col
+        return Measures(c("text"), c("w.n_words"), c("w.word_chars"), c("n_symbols"), c("w.n_repeat_words"), lambda body: body(c("l.n_lines"), c("l.n_dup_lines")))
 
 
 @dataclass(frozen=True)
@@ -136,7 +134,7 @@ BASE = (FEW_WORDS, REPEATS)
 RULES = (
     *BASE,
     Rule("symbols", lambda m: _share_over(m.n_symbols, m.n_words, 20)),
-    Rule("dup_lines", lambda m: _share_over(m.n_dup_lines, m.n_lines, 50)),
+    Rule("dup_lines", lambda m: m.lines(lambda n, dup: _share_over(dup, n, 50))),
     Rule("word_length", lambda m: let(F.struct(m.n_words.alias("n"), m.word_chars.alias("c")), lambda x: (x["c"] > 20 * x["n"]) | (x["c"] < 2 * x["n"]))),
     Rule("shouting", lambda m: _upper(m.text)),
 )
@@ -145,39 +143,53 @@ RULES = (
 @dataclass(frozen=True)
 class Estimate:
     rule: Rule
+    #: for a text
     seconds: float
-    rejected: float
+    #: of each text of the sample, whether the rule rejects it
+    rejects: tuple[bool, ...]
 
     @property
-    def worth(self) -> float:
-        return self.rejected / max(self.seconds, 1e-6)
+    def rejected(self) -> float:
+        return sum(self.rejects) / max(len(self.rejects), 1)
 
 
-def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", rows: int = SAMPLE_ROWS, repeats: int = 4) -> list[Estimate]:
-    """Cost and selectivity of each rule on at most `rows` texts of at most SAMPLE_BYTES bytes each."""
-    spark = docs.sparkSession
-    sample = [r[0] for r in docs.select(text).where(F.octet_length(text) <= SAMPLE_BYTES).take(rows)]
-    if not sample:
-        return [Estimate(r, 1.0, 0.0) for r in rules]
-    held = spark.createDataFrame([(t,) for t in sample], "text string").select("text", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("k"))
+def estimate(sample: DataFrame, measures: Measures, rules: tuple[Rule, ...] = RULES, repeats: tuple[int, int] = (1, 9)) -> list[Estimate]:
+    """Cost and rejections of each rule; sample: a bounded table of what measures reads."""
+    rows = sample.collect()
+    if not rows:
+        return [Estimate(r, 1e-9, ()) for r in rules]
+    held = sample.sparkSession.createDataFrame(rows, sample.schema)
+    fails = [F.coalesce(r.fails(measures), F.lit(True)) for r in rules]
+    verdicts = held.select(*(f.alias(str(k)) for k, f in enumerate(fails))).collect()
 
-    def timed(fails: Column) -> tuple[float, float]:
+    def seconds(f: Column, times: int) -> float:
+        more = held.select("*", F.explode(F.sequence(F.lit(1), F.lit(times))).alias("__k"))
         began = time.perf_counter()
-        share = held.agg(F.avg(F.coalesce(fails, F.lit(True)).cast("int"))).first()[0]
-        return time.perf_counter() - began, float(share)
+        more.agg(F.count(F.when(f, 1))).collect()
+        return time.perf_counter() - began
 
-    timed(F.length("text") < 0)  # warm-up
-    floor = timed(F.length("text") < 0)[0]
     out = []
-    for rule in rules:
-        seconds, rejected = timed(rule.fails(Measures.of(F.col("text"))))
-        out.append(Estimate(rule, max(seconds - floor, 1e-4), rejected))
+    for k, (rule, f) in enumerate(zip(rules, fails)):
+        seconds(f, repeats[0])  # its code is made here, not in what is timed
+        few, many = (min(seconds(f, n) for _ in range(2)) for n in repeats)
+        out.append(Estimate(rule, max((many - few) / (len(rows) * (repeats[1] - repeats[0])), 1e-9), tuple(v[k] for v in verdicts)))
     return out
 
 
-def cascade(text: Column | Measures, order: list[Rule] | tuple[Rule, ...]) -> Column:
+def ordered(estimates: list[Estimate]) -> list[Rule]:
+    """By rejections per cost, counted among the texts that earlier rules leave."""
+    left, out = list(estimates), []
+    alive = list(range(len(estimates[0].rejects) if estimates else 0))
+    while left:
+        best = min(left, key=lambda e: (-sum(e.rejects[k] for k in alive) / e.seconds, e.seconds, e.rule.name))
+        left.remove(best)
+        out.append(best.rule)
+        alive = [k for k in alive if not best.rejects[k]]
+    return out
+
+
+def cascade(measures: Measures, order: list[Rule] | tuple[Rule, ...]) -> Column:
     """Name of the first rule in this order that rejects the text, else null; later rules are not evaluated."""
-    measures = text if isinstance(text, Measures) else Measures.of(text)
     out = None
     for rule in order:
         fails = F.coalesce(rule.fails(measures), F.lit(True))
@@ -185,13 +197,31 @@ def cascade(text: Column | Measures, order: list[Rule] | tuple[Rule, ...]) -> Co
     return F.lit(None).cast("string") if out is None else out
 
 
-def ordered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> list[Rule]:
-    return [e.rule for e in sorted(estimate(docs, rules, text), key=lambda e: (-e.worth, e.seconds, e.rule.name))]
+def rejected_by(text: Column, order: list[Rule] | tuple[Rule, ...]) -> Column:
+    """The cascade over a text, whose words are split once for all rules."""
+    return let(words(text), lambda w: cascade(Measures.of(text, w), order))
+
+
+def _sample(docs: DataFrame, text: str) -> DataFrame:
+    return docs.select(F.col(text).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES).limit(SAMPLE_ROWS)
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The rows of docs that no rule rejects, with docs' columns."""
-    return docs.where(cascade(F.col(text), ordered(docs, rules, text)).isNull())
+    sample = _sample(docs, text).select("text", words(F.col("text")).alias("w"))
+    order = ordered(estimate(sample, Measures.of(F.col("text"), F.col("w")), rules))
+    return docs.where(rejected_by(docs[text], order).isNull())
+
+
+def measures(docs: DataFrame, *columns: str) -> DataFrame:
+    """columns, text, and the base measures of each text; words and lines are split once."""
+    return docs.select(
+        *columns,
+        let(words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"), repeated_in(w).alias("n_repeat_words"))).alias("w"),
+        n_symbols(F.col("text")).alias("n_symbols"),
+        let(_lines(F.col("text")), lambda x: F.struct(F.size(x).alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))).alias("l"),
+        "text",
+    )
 
 
 def measured(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -200,27 +230,18 @@ def measured(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     The base measures are asked for in every row, so the base rules read them; the
     remaining rules run as a cascade, and only where the base passes.
     """
-    rest = tuple(r for r in rules if r not in BASE)
-    order = ordered(docs, rest)
-    got = docs.select(
-        "doc_id",
-        let(words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"), repeated_in(w).alias("n_repeat_words"))).alias("w"),
-        n_symbols(F.col("text")).alias("n_symbols"),
-        let(_lines(F.col("text")), lambda x: F.struct(F.size(x).alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))).alias("l"),
-        "text",
-    )
-    measures = Measures(F.col("text"), F.col("w.n_words"), F.col("w.word_chars"), F.col("n_symbols"), F.col("l.n_lines"), F.col("l.n_dup_lines"), F.col("w.n_repeat_words"))
-    n, repeats = F.col("w.n_words"), F.col("w.n_repeat_words")
-    failed = (n < 10) | _share_over(repeats, n, 20)
-    return got.select(
+    rest, at_hand = tuple(r for r in rules if r not in BASE), Measures.at_hand()
+    order = ordered(estimate(measures(_sample(docs, "text")), at_hand, rest))
+    failed = (at_hand.n_words < 10) | _share_over(at_hand.n_repeat_words, at_hand.n_words, 20)
+    return measures(docs, "doc_id").select(
         "doc_id",
-        n.alias("n_words"),
-        measures.word_chars.alias("word_chars"),
+        at_hand.n_words.alias("n_words"),
+        at_hand.word_chars.alias("word_chars"),
         "n_symbols",
-        measures.n_dup_lines.alias("n_dup_lines"),
-        repeats.alias("n_repeat_words"),
+        F.col("l.n_dup_lines").alias("n_dup_lines"),
+        at_hand.n_repeat_words.alias("n_repeat_words"),
         failed.alias("base_failed"),
-        F.when(failed, False).otherwise(cascade(measures, order).isNull()).alias("kept"),
+        F.when(failed, False).otherwise(cascade(at_hand, order).isNull()).alias("kept"),
     )
 
 
