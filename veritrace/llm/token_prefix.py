@@ -8,7 +8,9 @@ depend on what surrounds them; the steps in count within a unit are kept, and a
 counts are the running sum of its units' steps. Truncation and budget questions are
 lookups in that sum.
 
-Null text is empty. A prefix ends at a code point. Counts can fall as a prefix grows
+Odd inputs. Null text is empty. Repeated rows get a row each; an empty table gives an empty
+one; extra columns are not read. Time is linear in the text: units of any length, runs of
+blanks too, are gone through once. A prefix ends at a code point. Counts can fall as a prefix grows
 (a finished word may be one token), so `longest prefix within n tokens` is the last
 prefix whose count is at most n.
 """
@@ -32,6 +34,8 @@ _W, _NOT = r"\p{White_Space}", r"[^\p{White_Space}\p{L}\p{N}]+"
 _NEXT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?{_NOT}|{_W}+(?!\P{{White_Space}})|{_W}+"
 #: Two or more white-space characters go with what follows them: that splits off the last one.
 _UNIT = rf"{_W}+ (?:\p{{L}}+|\p{{N}}+|{_NOT})|{_W}{{2,}}(?:'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}+|{_NOT})?|{_NEXT}"
+_BLANKS = regex.compile(rf"{_W}+")
+_CONTRACTIONS = frozenset("'s 't 're 've 'm 'll 'd".split())
 _SIMPLE = regex.compile(rf" ?(?:\p{{L}}+|\p{{N}}+|{_NOT})|{_W}")
 
 
@@ -61,6 +65,10 @@ class PrefixCounter:
         names = {t: i for t, i in vocab.items() if t not in self.special}
         self.ids = {raw(t): i for t, i in names.items()}
         self.longest = max(map(len, self.ids))
+        #: lengths of the tokens that end in two bytes, longest first
+        self.tails: dict[bytes, list[int]] = {}
+        for n, tail in sorted({(len(t), t[-2:]) for t in self.ids if len(t) > 1}, reverse=True):
+            self.tails.setdefault(tail, []).append(n)
         self.pair: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {i: (i, i) for i in names.values()}
         self.rank: dict[int, int] = {i: 0 for i in names.values()}
@@ -106,10 +114,12 @@ class PrefixCounter:
     def byte_counts(self, s: bytes) -> list[int]:
         """Tokens of s[:i] for i in 0..len(s), for one piece."""
         n, get, longest = len(s), self.ids.get, self.longest
-        agree, stay = self.agree.get, self._stay
+        agree, stay, tails = self.agree.get, self._stay, self.tails.get
         last, count = [-1] * (n + 1), [0] * (n + 1)
         for i in range(1, n + 1):
-            for j in range(i - longest if i > longest else 0, i):
+            # in a long piece only lengths that a token with these last two bytes can have are tried
+            at = range(i - longest if i > longest else 0, i) if i < 24 else [i - k for k in (*tails(s[i - 2 : i], ()), 1) if k <= i]
+            for j in at:
                 t = get(s[j:i])
                 if t is not None:
                     if j:
@@ -126,15 +136,35 @@ class PrefixCounter:
     def _total(self, text: str) -> int:
         return sum(self.byte_counts(p.encode())[-1] for p in self._pieces(text))
 
+    def _counts(self, piece: str) -> list[int]:
+        """Tokens at each code point of one piece, whose prefixes are pieces too."""
+        raw = piece.encode()
+        counts = self.byte_counts(raw)
+        if len(raw) == len(piece):
+            return counts
+        return [0, *(counts[k] for k in range(1, len(raw) + 1) if k == len(raw) or raw[k] & 0xC0 != 0x80)]
+
     def steps(self, unit: str) -> bytes:
-        """Change of the count at each code point of a unit, as int8."""
+        """Change of the count at each code point of a unit, as int8; in time that is linear in its length.
+
+        A run of white space is one piece while nothing follows; what follows takes its last
+        character off: a blank as part of the next piece, any other as a piece of its own.
+        """
         if _SIMPLE.fullmatch(unit):
-            raw = unit.encode()
-            counts = self.byte_counts(raw)
-            if len(raw) != len(unit):
-                ends = [k for k in range(1, len(raw) + 1) if k == len(raw) or raw[k] & 0xC0 != 0x80]
-                counts = [0] + [counts[k] for k in ends]
-        else:
+            counts = self._counts(unit)
+        elif blanks := _BLANKS.match(unit):
+            m = blanks.end()
+            run, rest = self._counts(unit[:m]), unit[m:]
+            counts = run
+            if rest in _CONTRACTIONS and unit[m - 1] != " ":
+                ahead = run[m - 1] + self._total(unit[m - 1])
+                counts = run + [ahead + self._total(rest[:k]) for k in range(1, len(rest) + 1)]
+            elif rest and unit[m - 1] == " ":
+                counts = run + [run[m - 1] + k for k in self._counts(unit[m - 1 :])[2:]]
+            elif rest:
+                ahead = run[m - 1] + self._total(unit[m - 1])
+                counts = run + [ahead + k for k in self._counts(rest)[1:]]
+        else:  # a contraction
             counts = [self._total(unit[:k]) for k in range(len(unit) + 1)]
         return np.diff(np.array(counts, np.int64)).astype(np.int8).tobytes()
 
