@@ -7,8 +7,15 @@ documents. Documents are probed for these shingles alone; the offset of the shin
 the only place where the window can lie (positional bound), which must fit inside the
 document (length bound); then the words themselves are compared.
 
-Null texts have no words; rows of the benchmark without an id or words are never found.
-Repeated item ids count once. Repeated document rows each get a row.
+The benchmark is worked through in blocks of at most BLOCK_BYTES bytes of its texts. A block's
+windows are flat arrays of 64-bit hashes of words and of places in them, about fifteen bytes
+for each byte of text; one block's index is held at a time, by the driver and by each task.
+
+Odd inputs. Null texts have no words; rows of the benchmark without an id or words are never
+found. Repeated item ids count once, and an item id that has two texts has the windows of
+both. Repeated document rows each get a row. Very long texts are read in segments. Of shingles
+with the same count the one with the lesser hash is the window's key. An empty benchmark hits
+nothing, empty documents give no rows. Extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,181 +27,174 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, PUNCT, buffers, rolled, slices, word_spans
+from .common import LOWER, PUNCT, Known, buffers, discarded, distinct, mixed, rolled, slices, word_spans, written
 
 #: Words of a prefix shingle.
 SHINGLE = 2
 #: Benchmark bytes held at once by driver and executors; more are worked through in blocks.
-BLOCK_BYTES = 24 << 20
-_TABLE_BITS = 20
+BLOCK_BYTES = 8 << 20
+#: Counts of a slice of shingles, which are summed and sent to the driver as one value.
+SLICE = 1 << 16
 
 
 class Windows:
-    """Windows of a block of items, by 64-bit hashes of their shingles and of the whole."""
+    """Distinct windows of a block of items: places in the block's words. Windows are told apart by 64-bit hashes of 64-bit hashes of words."""
 
     def __init__(self, items: list[tuple], window: int):
-        column = pa.array([t for _, t in items], pa.string())
-        data, off = buffers(column)
-        start, end, _, first = word_spans(data, off, PUNCT, LOWER)
-        low = LOWER[data] if len(data) else data
-        self.window = window
-        self.items: dict[tuple, set[str]] = {}
-        for k, (name, _) in enumerate(items):
-            a, b = int(first[k]), int(first[k + 1])
-            if name is None or a == b:
-                continue
-            n = min(window, b - a)
-            for at in range(a, b - n + 1):
-                words = tuple(bytes(low[start[i] : end[i]]) for i in range(at, at + n))
-                self.items.setdefault(words, set()).add(str(name))
-        self.keys = list(self.items)
-        self.hashes = [self._hash(w) for w in self.keys]
-        self.shingles = [rolled(x, min(SHINGLE, len(x))) for x in self.hashes]
-
-    @staticmethod
-    def _hash(words: tuple) -> np.ndarray:
-        data, off = buffers(pa.array([b" ".join(words)], pa.binary()))
-        return word_spans(data, off, PUNCT, LOWER)[2]
-
-
-def _flag_table(h: np.ndarray) -> np.ndarray:
-    out = np.zeros(1 << _TABLE_BITS, bool)
-    out[(h >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
-    return out
-
-
-def _present(h: np.ndarray, flags: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Positions of h whose value is in the sorted array known."""
-    at = np.flatnonzero(flags[(h >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)])
-    if not len(at):
-        return at
-    k = np.minimum(np.searchsorted(known, h[at]), len(known) - 1)
-    return at[known[k] == h[at]]
-
-
-def shingle_counts(docs: DataFrame, known: np.ndarray, size: int) -> dict[int, int]:
+        items = [(n, t) for n, t in items if n is not None]
+        data, off = buffers(pa.array([t for _, t in items], pa.string()))
+        self.start, self.end, self.h, first = word_spans(data, off, PUNCT, LOWER)
+        self.low = LOWER[data] if len(data) else data
+        words = np.diff(first) if len(items) else np.zeros(0, np.int64)
+        n = np.minimum(words, window)
+        count = np.where(n > 0, words - n + 1, 0)
+        item, size = np.repeat(np.arange(len(items)), count), np.repeat(n, count)
+        at = np.repeat(first[:-1] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        key = np.zeros(len(at), np.uint64)
+        for k in np.unique(size).tolist():
+            own = size == k
+            key[own] = mixed(rolled(self.h, k)[at[own]] + np.uint64(k))
+        _, firsts, number = np.unique(key, return_index=True, return_inverse=True)
+        #: of each window its first word and its number of words
+        self.at, self.size = at[firsts], size[firsts]
+        names = sorted({name for name, _ in items})
+        place = {name: k for k, name in enumerate(names)}
+        pair = distinct(number.astype(np.int64) * max(1, len(names)) + np.array([place[name] for name, _ in items], np.int64)[item]) if len(at) else np.zeros(0, np.int64)
+        #: the items of window w are names[k] for k in item[item_off[w] : item_off[w + 1]]
+        self.names, self.item = names, pair % max(1, len(names))
+        self.item_off = np.searchsorted(pair // max(1, len(names)), np.arange(len(firsts) + 1))
+
+    def shingle_size(self) -> np.ndarray:
+        return np.minimum(self.size, SHINGLE)
+
+
+def shingle_counts(docs: DataFrame, known: np.ndarray, size: int) -> np.ndarray:
     """How often each shingle of `known` (sorted, of `size` words) occurs in all documents."""
-    flags = _flag_table(known)
+    held = docs.sparkSession.sparkContext.broadcast(Known(known))
 
     def count(batches):
         total = np.zeros(len(known), np.int64)
         for whole in batches:
             for b in slices(whole, "text"):
-                data, off = buffers(b.column(0))
-                _, _, h, _ = word_spans(data, off, PUNCT, LOWER)
-                r = rolled(h, size)
-                total += np.bincount(np.searchsorted(known, r[_present(r, flags, known)]), minlength=len(known))
-        got = np.flatnonzero(total)
-        if len(got):
-            yield pa.RecordBatch.from_pydict({"k": pa.array(got, pa.int64()), "n": pa.array(total[got], pa.int64())})
-
-    rows = docs.select("text").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
-    return {r["k"]: r["n"] for r in rows}
+                r = rolled(word_spans(*buffers(b.column(0)), PUNCT, LOWER)[2], size)
+                total += np.bincount(np.searchsorted(held.value.known, r[held.value.positions(r)]), minlength=len(total))
+        parts = [(k, total[k * SLICE : (k + 1) * SLICE]) for k in range(-(-len(total) // SLICE))]
+        parts = [(k, x.tobytes()) for k, x in parts if x.any()]
+        if parts:
+            yield pa.RecordBatch.from_pydict({"k": pa.array([k for k, _ in parts], pa.int64()), "n": pa.array([x for _, x in parts], pa.binary())})
+
+    def add(t: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py(), np.int64) for x in t.column("n"))
+        return pa.table({"k": t.column("k")[:1], "n": pa.array([total.tobytes()], pa.binary())})
+
+    out = np.zeros(len(known), np.int64)
+    for r in docs.select("text").mapInArrow(count, "k long, n binary").groupBy("k").applyInArrow(add, "k long, n binary").collect():
+        part = np.frombuffer(bytes(r["n"]), np.int64)
+        out[r["k"] * SLICE : r["k"] * SLICE + len(part)] = part
+    return out
 
 
 class Index:
     """Prefix shingle -> windows, for the probe."""
 
-    def __init__(self, windows: Windows, counts: dict[int, dict[int, int]]):
-        """counts: by shingle size, occurrences of a shingle (as int) over all documents."""
-        posting: dict[int, dict[int, list[tuple[int, int]]]] = {}
-        for k, s in enumerate(windows.shingles):
-            size = min(SHINGLE, len(windows.keys[k]))
-            seen = counts.get(size, {})
-            offset = min(range(len(s)), key=lambda i: (seen.get(int(s[i]), 0), int(s[i])))
-            if seen.get(int(s[offset]), 0):  # else the window is nowhere
-                posting.setdefault(size, {}).setdefault(int(s[offset]), []).append((k, offset))
-        self.known = {n: np.array(sorted(p), np.uint64) for n, p in posting.items()}
-        self.posting = posting
-        self.keys = windows.keys
-        self.items = [sorted(windows.items[w]) for w in windows.keys]
-        self.hashes = windows.hashes
-        self.flags = {n: _flag_table(known) for n, known in self.known.items()}
+    def __init__(self, windows: Windows, counts: dict[int, tuple[np.ndarray, np.ndarray]]):
+        """counts: by shingle size, the sorted shingles and their occurrences over all documents."""
+        self.windows = w = windows
+        #: by shingle size: the keys, and the windows of key k with their keys' offsets in them, from first[k] to first[k + 1]
+        self.keys: dict[int, tuple[Known, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size, (known, occurs) in counts.items():
+            own = np.flatnonzero(w.shingle_size() == size)
+            r = rolled(w.h, size)
+            seen = occurs[np.minimum(np.searchsorted(known, r), len(known) - 1)]
+            best, offset = w.at[own].copy(), np.zeros(len(own), np.int64)
+            for k in range(1, int(w.size[own].max()) - size + 1):
+                at = np.minimum(w.at[own] + k, len(r) - 1)
+                better = (k <= w.size[own] - size) & ((seen[at] < seen[best]) | (seen[at] == seen[best]) & (r[at] < r[best]))
+                best[better], offset[better] = at[better], k
+            found = seen[best] > 0  # else the window is nowhere
+            key, own, offset = r[best[found]], own[found], offset[found]
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            if len(key):
+                first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                self.keys[size] = Known(key[first]), np.r_[first, len(key)], own[order], offset[order]
 
 
 def _probe(index: Index, data, off):
     """Each text's first word, and for texts with a hit: positions of hit words and found item ids."""
     start, end, h, first = word_spans(data, off, PUNCT, LOWER)
     hits: dict[int, tuple[set, set]] = {}
-    for size, known in index.known.items():
+    w = index.windows
+    for size, (known, posting, window, offset) in index.keys.items():
         r = rolled(h, size)
-        at = _present(r, index.flags[size], known)
-        posting = index.posting[size]
-        for p, d in zip(at.tolist(), (np.searchsorted(first, at, "right") - 1).tolist()):
+        at = known.positions(r)
+        key = np.searchsorted(known.known, r[at])
+        for p, k, d in zip(at.tolist(), key.tolist(), (np.searchsorted(first, at, "right") - 1).tolist()):
             a, b = int(first[d]), int(first[d + 1])
-            for k, offset in posting[int(r[p])]:
-                words = index.keys[k]
-                q, n = p - offset, len(words)
+            for i in range(posting[k], posting[k + 1]):
+                x = int(window[i])
+                q, n, own = p - int(offset[i]), int(w.size[x]), int(w.at[x])
                 if q < a or q + n > b:  # positional and length bound
                     continue
-                if np.array_equal(h[q : q + n], index.hashes[k]) and all(bytes(LOWER[data[start[q + i] : end[q + i]]]) == w for i, w in enumerate(words)):
+                if np.array_equal(h[q : q + n], w.h[own : own + n]) and all(np.array_equal(LOWER[data[start[q + j] : end[q + j]]], w.low[w.start[own + j] : w.end[own + j]]) for j in range(n)):
                     got = hits.setdefault(d, (set(), set()))
                     got[0].update(range(q - a, q - a + n))
-                    got[1].update(index.items[k])
+                    got[1].update(w.names[j] for j in w.item[w.item_off[x] : w.item_off[x + 1]])
     return first, hits
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int):
+    """The blocks' items, one after the other, and the number of blocks."""
     total = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n"), F.count("*").alias("rows")).first()
     n = max(1, -(-(total["n"] + 64 * total["rows"]) // block_bytes))
-    for k in range(n):
-        part = benchmark if n == 1 else benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [(None if r["item_id"] is None else str(r["item_id"]), r["text"]) for r in part.select("item_id", "text").collect()]
+
+    def items():
+        for k in range(n):
+            part = benchmark if n == 1 else benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+            yield [(None if r["item_id"] is None else str(r["item_id"]), r["text"]) for r in part.select("item_id", "text").collect()]
+
+    return items(), n
 
 
 def _indexed(docs: DataFrame, items: list[tuple], window: int) -> Index:
     windows, counts = Windows(items, window), {}
-    for size in range(1, SHINGLE + 1):
-        own = [s for k, s in enumerate(windows.shingles) if min(SHINGLE, len(windows.keys[k])) == size]
-        if own:
-            known = np.unique(np.concatenate(own))
-            counts[size] = {int(known[k]): n for k, n in shingle_counts(docs, known, size).items()}
+    for size in np.unique(windows.shingle_size()).tolist():
+        own = windows.shingle_size() == size
+        r, at, n = rolled(windows.h, size), windows.at[own], windows.size[own] - size + 1
+        known = distinct(r[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+        counts[size] = known, shingle_counts(docs, known, size)
     return Index(windows, counts)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row for each document: doc_id, n_words, positions of hit words (from 0) and the item ids found, both sorted."""
-    schema = "doc_id long, n_words long, hits array<int>, items array<string>"
-    parts = [_indexed(docs, items, window) for items in _blocks(benchmark, block_bytes)]
+_FOUND = "doc_id long, n_words long, hits array<int>, items array<string>"
 
-    def run(index: Index, every: bool):
-        def probe(batches):
-            for whole in batches:
-                for b in slices(whole, "text"):
-                    data, off = buffers(b.column(1))
-                    first, hits = _probe(index, data, off)
-                    rows = range(b.num_rows) if every else sorted(hits)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            b.column(0).take(pa.array(rows, pa.int64())),
-                            pa.array(np.diff(first)[list(rows)] if b.num_rows else [], pa.int64()),
-                            pa.array([sorted(hits[k][0]) if k in hits else [] for k in rows], pa.list_(pa.int32())),
-                            pa.array([sorted(hits[k][1]) if k in hits else [] for k in rows], pa.list_(pa.string())),
-                        ],
-                        ["doc_id", "n_words", "hits", "items"],
-                    )
-
-        return probe
 
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row for each document: doc_id, n_words, positions of hit words (from 0) and the item ids found, both sorted."""
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    if len(parts) == 1:
-        return read.mapInArrow(run(parts[0], True), schema)
-    # Several blocks: each finds its own hits in the documents; rows meet by the document's content and id.
+    # in several blocks each writes the hits that it finds, so that its index can go; rows meet by the document's content and id
     keyed = read.withColumn("row", F.sha2(F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))), 256))
-    found = None
-    for k, index in enumerate(parts):
-        def probe(batches, inner=run(index, True)):
+    found = []
+    blocks, n = _blocks(benchmark, block_bytes)
+    for items in blocks:
+        index = _indexed(docs, items, window)
+
+        def probe(batches, index=index, every=not found):
             for whole in batches:
-                at = 0
-                for out in inner([whole.select(["doc_id", "text"])]):
-                    yield pa.RecordBatch.from_arrays([*out.columns, whole.column(2).slice(at, out.num_rows)], [*out.schema.names, "row"])
-                    at += out.num_rows
-
-        part = keyed.mapInArrow(probe, schema + ", row string")
-        part = part if k == 0 else part.where(F.size("items") > 0)
-        part = part.withColumn("first", F.lit(k == 0))
-        found = part if found is None else found.unionByName(part)
-    merged = found.groupBy("row").agg(
+                for b in slices(whole, "text"):
+                    first, hits = _probe(index, *buffers(b.column(1)))
+                    rows = np.arange(b.num_rows) if every else np.array(sorted(hits), np.int64)
+                    columns = [b.column(0).take(pa.array(rows)), pa.array(np.diff(first)[rows] if b.num_rows else [], pa.int64())]
+                    columns += [pa.array([sorted(hits[k][x]) if k in hits else [] for k in rows.tolist()], pa.list_(kind)) for x, kind in ((0, pa.int32()), (1, pa.string()))]
+                    yield pa.RecordBatch.from_arrays(columns + [b.column(k).take(pa.array(rows)) for k in range(2, b.num_columns)], ["doc_id", "n_words", "hits", "items", *b.schema.names[2:]])
+
+        if n == 1:
+            return read.mapInArrow(probe, _FOUND)
+        found.append(written(keyed.mapInArrow(probe, _FOUND + ", row string").withColumn("first", F.lit(not found)), "contamination-block"))
+    merged = found[0]
+    for part in found[1:]:
+        merged = merged.unionByName(part)
+    merged = merged.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"),
         F.max("n_words").alias("n_words"),
         F.sum(F.col("first").cast("int")).alias("copies"),
@@ -217,10 +217,10 @@ def digest(found: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_share: float = 0.0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows of docs whose hit words make up at most this share of their words; docs' columns."""
-    left = docs
-    for items in _blocks(benchmark, block_bytes):
-        index = _indexed(docs, items, window)
-        at = docs.columns.index("text")
+    left, before, at = docs, None, docs.columns.index("text")
+    blocks, n = _blocks(benchmark, block_bytes)
+    for items in blocks:
+        index = _indexed(left, items, window)
 
         def keep(batches, index=index, at=at):
             for whole in batches:
@@ -233,6 +233,11 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_sha
                     yield b.filter(pa.array(ok))
 
         left = left.mapInArrow(keep, docs.schema)
+        if n > 1:  # so that one block's index is held at a time
+            left = written(left, "contamination-left")
+            if before is not None:
+                discarded(before)
+            before = left
     return left
 
 
