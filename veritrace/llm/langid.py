@@ -4,17 +4,22 @@ Lower-cased code points give n-grams of one to three characters, hashed into 2**
 columns. Document frequencies come from every learnable document; weights are trained by
 FTRL with elastic-net penalties on a bounded sample (SAMPLE_ROWS, in the order of a hash of
 doc_id), of which CALIBRATION is kept back to fit a temperature. Every text is scored whole.
-A text that is null or has no letter is `und` with score 0.
+A text that is null or has no letter (Unicode's category L) is `und` with score 0.
+
+Odd inputs. Each row gets a row, repeated doc_ids too; a doc_id that has two languages is
+learned once for each. Ties of probability go to the language that sorts first, ties of
+the sample's hash to the lesser doc_id. Very long texts are scored whole. Without learnable
+rows every text is `und`. Extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +31,7 @@ BITS = 16
 ORDERS = (1, 2, 3)
 #: Labelled rows that a fit may use, and the share of them kept for the temperature.
 SAMPLE_ROWS, CALIBRATION = 2400, 0.25
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _FACTOR = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
 
