@@ -7,13 +7,16 @@ within its class. A text's score is the sum of log p(word | neighbours) over all
 The vocabulary is the most frequent words by exact counts over all documents; other words
 fall into hashed places of the last class. The network is trained in numpy on all documents
 (TRAIN_SHARE is the whole), in shards of about SHARD_WORDS words: every shard trains from the same start, the weights are
-averaged by words, for ROUNDS rounds. Null and empty texts have no words and score 0.
+averaged by words, for ROUNDS rounds.
+
+Odd inputs. Null and empty texts have no words and score 0. Very long texts are scored whole,
+in segments. Words with the same count are ordered by hash. Repeated rows train and score
+each; without any word the network stays as it starts. An empty table gives an empty one.
+Extra columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +29,8 @@ VOCABULARY = CLASSES * WIDTH
 PAD = VOCABULARY
 PLACES, HIDDEN = (-2, -1, 1, 2), 16
 TRAIN_SHARE, SHARD_WORDS, ROUNDS = 1.0, 400_000, 2
+#: Words that are scored at once: as many as fit a core's cache.
+CHUNK = 1 << 13
 #: Slices of the weights that are averaged apart.
 SLICES = 16
 
@@ -85,6 +90,9 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
     return Vocabulary([r["h"] for r in sorted(top, key=lambda r: (-r["n"], r["h"]))])
 
 
+_PLACE_AT = (np.arange(len(PLACES)) * (VOCABULARY + 1)).astype(np.uint16)
+
+
 class Network:
     """Weights in one vector; the parts are views of it."""
 
@@ -99,17 +107,31 @@ class Network:
             n = int(np.prod(shape))
             setattr(self, name, vector[at : at + n].reshape(shape))
             at += n
+        self.flat = self.embed.reshape(-1, HIDDEN)
 
     def forward(self, context: np.ndarray) -> np.ndarray:
-        return np.tanh(self.hidden + sum(self.embed[p][context[:, p]] for p in range(len(PLACES))))
+        h = self.embed[0].take(context[:, 0], axis=0)
+        for p in range(1, len(PLACES)):
+            h += self.embed[p].take(context[:, p], axis=0)
+        h += self.hidden
+        return np.tanh(h, out=h)
+
+    def _logits(self, h: np.ndarray, spans) -> tuple[np.ndarray, np.ndarray]:
+        """Of classes, and of the words of each row's class; spans: class and its rows (i, j)."""
+        cls, word = h @ self.cls, np.empty((len(h), WIDTH), np.float32)
+        cls += self.cls_bias
+        for c, i, j in spans:
+            np.matmul(h[i:j], self.word[c], out=word[i:j])
+            word[i:j] += self.word_bias[c]
+        return cls, word
 
     def log_p(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        h = self.forward(context)
-        cls = target // WIDTH
-        out = _log_softmax(h @ self.cls + self.cls_bias)[np.arange(len(target)), cls]
-        for rows, c in _by_class(cls):
-            inner = _log_softmax(h[rows] @ self.word[c] + self.word_bias[c])
-            out[rows] += inner[np.arange(len(rows)), target[rows] % WIDTH]
+        order, cls, spans = _by_class(target)
+        place, at = target[order] % WIDTH, np.arange(len(order))
+        one, two = self._logits(self.forward(context[order]), spans)
+        own = one[at, cls] + two[at, place]
+        out = np.empty(len(order), np.float32)
+        out[order] = own - _log_sum(one) - _log_sum(two)
         return out
 
     def gradient(self, context: np.ndarray, target: np.ndarray) -> Network:
@@ -120,73 +142,79 @@ class Network:
 
     def gradient_into(self, g: Network, context: np.ndarray, target: np.ndarray) -> list[tuple[str, np.ndarray | slice]]:
         """Writes the parts of the gradient that are not zero to g; returns which they are, by name and place."""
-        order = np.argsort(target // WIDTH, kind="stable")
-        context, target, n = context[order], target[order], len(target)
-        h, cls, at = self.forward(context), target // WIDTH, np.arange(n)
-        d = np.exp(_log_softmax(h @ self.cls + self.cls_bias))
-        d[at, cls] -= 1
-        d /= n
-        g.cls[:], g.cls_bias[:] = h.T @ d, d.sum(0)
-        back = d @ self.cls.T
-        first = np.flatnonzero(np.r_[True, cls[1:] != cls[:-1]])
-        spans, seen = list(zip(first, np.r_[first[1:], n])), cls[first]
-        d = self.word_bias[cls]
-        for c, (i, j) in zip(seen, spans):
-            d[i:j] += h[i:j] @ self.word[c]
-        d = np.exp(_log_softmax(d))
-        d[at, target % WIDTH] -= 1
-        d /= n
-        g.word_bias[seen] = np.add.reduceat(d, first, axis=0)
-        for c, (i, j) in zip(seen, spans):
-            g.word[c] = h[i:j].T @ d[i:j]
-            back[i:j] += d[i:j] @ self.word[c].T
+        order, cls, spans = _by_class(target)
+        context, place, n = context[order], target[order] % WIDTH, len(target)
+        at = np.arange(n)
+        h = self.forward(context)
+        one, two = self._logits(h, spans)
+        for d, own in ((one, cls), (two, place)):  # softmax less one at the target, over n
+            _log_sum(d)
+            d *= (1 / (n * (d @ np.ones(d.shape[1], np.float32))))[:, None]
+            d[at, own] -= np.float32(1 / n)
+        g.cls[:], g.cls_bias[:] = h.T @ one, one.sum(0)
+        back = one @ self.cls.T
+        for c, i, j in spans:
+            g.word[c], g.word_bias[c] = h[i:j].T @ two[i:j], two[i:j].sum(0)
+            back[i:j] += two[i:j] @ self.word[c].T
         back *= 1 - h * h
         g.hidden[:] = back.sum(0)
-        touched = [("cls", slice(None)), ("cls_bias", slice(None)), ("word", seen), ("word_bias", seen), ("hidden", slice(None))]
-        for p in range(len(PLACES)):
-            order = np.argsort(context[:, p], kind="stable")
-            ids = context[order, p]
-            first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-            g.embed[p][ids[first]] = np.add.reduceat(back[order], first, axis=0)
-            touched.append(("embed", (p, ids[first])))
+        seen = np.array([c for c, _, _ in spans])
+        words = slice(None) if len(seen) == CLASSES else seen
+        touched = [("cls", slice(None)), ("cls_bias", slice(None)), ("word", words), ("word_bias", words), ("hidden", slice(None))]
+        # all places in one pass: row p * (VOCABULARY + 1) + word of the flat table
+        ids = (context.astype(np.uint16) + _PLACE_AT).ravel()
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        own = ids[first].astype(np.int64)
+        g.flat[own] = np.add.reduceat(back[order // len(PLACES)], first, axis=0)
+        touched.append(("flat", own))
         return touched
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    """log of the sum of exp of each row; x becomes exp(x - its row's maximum)."""
+    top = x.max(1)
+    x -= top[:, None]
+    np.exp(x, out=x)
+    return top + np.log(x @ np.ones(x.shape[1], np.float32))
 
 
-def _by_class(cls: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+def _by_class(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """Rows in the order of their classes, the classes in that order, and (class, first row, end) of each."""
+    cls = (target // WIDTH).astype(np.uint8)
     order = np.argsort(cls, kind="stable")
-    first = np.flatnonzero(np.r_[True, cls[order][1:] != cls[order][:-1]]) if len(cls) else []
-    for rows in np.split(order, first[1:]) if len(cls) else ():
-        yield rows, int(cls[rows[0]])
+    cls = cls[order]
+    first = np.flatnonzero(np.r_[True, cls[1:] != cls[:-1]]) if len(cls) else np.zeros(0, int)
+    return order, cls, list(zip(cls[first].tolist(), first.tolist(), [*first[1:].tolist(), len(cls)]))
 
 
 def contexts(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Neighbours of each word within its text; PAD beyond its ends."""
-    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    out = np.full((len(ids), len(PLACES)), PAD, np.int64)
-    at = np.arange(len(ids))
-    for p, o in enumerate(PLACES):
-        inside = (at + o >= first[:-1][owner]) & (at + o < first[1:][owner])
-        out[inside, p] = ids[at[inside] + o]
-    return out
+    n, reach = np.diff(first), max(PLACES)
+    at = np.arange(len(ids)) + np.repeat(reach * (1 + np.arange(len(n))), n)  # texts stand apart by as many pads as the window reaches
+    padded = np.full(len(ids) + reach * (len(n) + 1), PAD, np.uint16)
+    padded[at] = ids
+    return np.stack([padded[at + o] for o in PLACES], axis=1)
 
 
 def train(network: Network, context: np.ndarray, target: np.ndarray, rate: float = 0.15, batch: int = 2048) -> Network:
     """One pass of Adagrad over the words in a fixed order; a part whose gradient is zero stays as it is and is passed over."""
     net = Network(network.vector.copy())
+    context, target = context.astype(np.uint16), target.astype(np.uint16)
     total, step = Network(np.full(net.SIZE, 1e-6, np.float32)), Network(np.zeros(net.SIZE, np.float32))
     order = np.random.default_rng(3).permutation(len(target))
     for at in range(0, len(order), batch):
         rows = order[at : at + batch]
         for name, part in net.gradient_into(step, context[rows], target[rows]):
             g = getattr(step, name)[part]
-            seen = getattr(total, name)[part] + g * g
+            seen = g * g
+            seen += getattr(total, name)[part]
             getattr(total, name)[part] = seen
-            getattr(net, name)[part] -= rate * g / np.sqrt(seen)
+            np.sqrt(seen, out=seen)
+            np.divide(g, seen, out=seen)
+            seen *= np.float32(rate)
+            getattr(net, name)[part] -= seen
     return net
 
 
@@ -247,8 +275,8 @@ def scored(docs: DataFrame, vocab: Vocabulary, network: Network) -> DataFrame:
                 _, _, h, first = word_spans(*buffers(b.column(1)), WHITE, LOWER)
                 ids = words.of(h)
                 around, log_p = contexts(ids, first), np.zeros(len(ids) + 1)
-                for at in range(0, len(ids), 1 << 16):
-                    log_p[1 + at : 1 + at + (1 << 16)] = net.log_p(around[at : at + (1 << 16)], ids[at : at + (1 << 16)])
+                for at in range(0, len(ids), CHUNK):
+                    log_p[1 + at : 1 + at + CHUNK] = net.log_p(around[at : at + CHUNK], ids[at : at + CHUNK])
                 total = np.cumsum(log_p)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(first), pa.int64()), pa.array(total[first[1:]] - total[first[:-1]], pa.float64())], ["doc_id", "n_words", "log_likelihood"])
 
