@@ -153,27 +153,29 @@ class Estimate:
         return sum(self.rejects) / max(len(self.rejects), 1)
 
 
-def estimate(sample: DataFrame, measures: Measures, rules: tuple[Rule, ...] = RULES, repeats: tuple[int, int] = (1, 9)) -> list[Estimate]:
-    """Cost and rejections of each rule; sample: a bounded table of what measures reads."""
+def estimate(sample: DataFrame, fails: Callable[[Rule], Column], base: Column, rules: tuple[Rule, ...] = RULES, times: tuple[int, int] = (1, 9)) -> list[Estimate]:
+    """Cost and rejections of each rule on a bounded table; fails gives a rule's column over it, of whose cost that of base
+    is no part: the cascade pays it once whatever the order."""
     rows = sample.collect()
     if not rows:
         return [Estimate(r, 1e-9, ()) for r in rules]
     held = sample.sparkSession.createDataFrame(rows, sample.schema)
-    fails = [F.coalesce(r.fails(measures), F.lit(True)) for r in rules]
-    verdicts = held.select(*(f.alias(str(k)) for k, f in enumerate(fails))).collect()
+    columns = [F.coalesce(fails(r), F.lit(True)) for r in rules]
+    verdicts = held.select(*(f.alias(str(k)) for k, f in enumerate(columns))).collect()
 
-    def seconds(f: Column, times: int) -> float:
-        more = held.select("*", F.explode(F.sequence(F.lit(1), F.lit(times))).alias("__k"))
+    def seconds(f: Column, n: int) -> float:
+        more = held.select("*", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("__k"))
         began = time.perf_counter()
         more.agg(F.count(F.when(f, 1))).collect()
         return time.perf_counter() - began
 
-    out = []
-    for k, (rule, f) in enumerate(zip(rules, fails)):
-        seconds(f, repeats[0])  # its code is made here, not in what is timed
-        few, many = (min(seconds(f, n) for _ in range(2)) for n in repeats)
-        out.append(Estimate(rule, max((many - few) / (len(rows) * (repeats[1] - repeats[0])), 1e-9), tuple(v[k] for v in verdicts)))
-    return out
+    def for_a_text(f: Column) -> float:
+        seconds(f, times[0])  # its code is made here, not in what is timed
+        few, many = (seconds(f, n) for n in times)
+        return (many - few) / (len(rows) * (times[1] - times[0]))
+
+    paid = for_a_text(base)
+    return [Estimate(rule, max(for_a_text(f) - paid, 1e-9), tuple(v[k] for v in verdicts)) for k, (rule, f) in enumerate(zip(rules, columns))]
 
 
 def ordered(estimates: list[Estimate]) -> list[Rule]:
@@ -208,8 +210,8 @@ def _sample(docs: DataFrame, text: str) -> DataFrame:
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The rows of docs that no rule rejects, with docs' columns."""
-    sample = _sample(docs, text).select("text", words(F.col("text")).alias("w"))
-    order = ordered(estimate(sample, Measures.of(F.col("text"), F.col("w")), rules))
+    own = F.col("text")
+    order = ordered(estimate(_sample(docs, text), lambda r: rejected_by(own, [r]).isNotNull(), let(words(own), lambda w: F.size(w) < 0), rules))
     return docs.where(rejected_by(docs[text], order).isNull())
 
 
@@ -231,7 +233,7 @@ def measured(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     remaining rules run as a cascade, and only where the base passes.
     """
     rest, at_hand = tuple(r for r in rules if r not in BASE), Measures.at_hand()
-    order = ordered(estimate(measures(_sample(docs, "text")), at_hand, rest))
+    order = ordered(estimate(measures(_sample(docs, "text")), lambda r: r.fails(at_hand), F.col("n_symbols") < 0, rest))
     failed = (at_hand.n_words < 10) | _share_over(at_hand.n_repeat_words, at_hand.n_words, 20)
     return measures(docs, "doc_id").select(
         "doc_id",
