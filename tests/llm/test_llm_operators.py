@@ -4,6 +4,7 @@ import html as html_lib
 import random
 import re
 import textwrap
+import time
 import zlib
 
 import numpy as np
@@ -85,6 +86,11 @@ def test_language_by_held_out_accuracy(spark):
     assert all(0 <= v.score <= 1 for v in by_id.values()) and model.temperature > 0
 
 
+def test_numbers_are_no_letters():
+    model = langid.Model(["aa"], np.zeros((1 << langid.BITS, 2), np.float32), np.zeros(1), 1.0)
+    assert model.predict(["½ ² Ⅷ 12", "½ a"])[0] == ["und", "aa"]
+
+
 def test_language_of_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string")
     model = langid.fit(none)
@@ -130,13 +136,35 @@ def test_jaccard_is_exact(spark):
 
 
 def test_jaccard_with_hard_classes(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "FREQUENT", 2)  # combinations of two
+    monkeypatch.setattr(jaccard, "FREQUENT_HARD", 2)  # combinations of two
     monkeypatch.setattr(jaccard, "FAMILY_BLOCK", 8)
     r = random.Random(8)
     docs = near_copies(r, prose(r, 100), 60, 4) + near_copies(r, prose(r, 30), 30, 1) + [prose(r, 20) for _ in range(10)]
     assert joined(frame(spark, docs), buckets=3) == sorted(map(repr, jaccard.brute_force(list(enumerate(docs)))))
 
 
+def test_jaccard_combines_frequent_tokens(spark):
+    """With the parameters of production: a passage that more texts hold than a token that is indexed singly may have."""
+    r = random.Random(11)
+    passage = prose(r, 12)
+    own = lambda n: " ".join(f"w{r.randrange(10**9)}" for _ in range(n))
+    docs = [passage + " " + own(2) for _ in range(jaccard.FREQUENT_HARD // 4)] + near_copies(r, prose(r, 60), 12, 1) + [own(20)]
+    docs += [passage + " " + own(1), passage + " " + " ".join(docs[0].split()[12:] + ["z"])]
+    report = {}
+    got = {x.doc_id: x.component_id for x in jaccard.joined(frame(spark, docs), report=report).collect()}
+    assert got == {i: c for i, _, c in jaccard.brute_force(list(enumerate(docs)))}
+    assert report["combined_hard_keys"] > 0 and report["single_keys"] > 0 and report["hard"] >= jaccard.FREQUENT_HARD // 4
+
+
+def test_jaccard_of_hot_tokens_and_parts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "PART", 50)
+    r = random.Random(12)
+    line = prose(r, 8)
+    docs = [line + "\n" + prose(r, r.choice([2, 30])) for _ in range(80)] + near_copies(r, line + " " + prose(r, 40), 40, 2) + [line] * 50 + [None, ""] * 20
+    assert len(jaccard.hot_tokens(frame(spark, docs))) > 0
+    assert joined(frame(spark, docs), buckets=3) == sorted(map(repr, jaccard.brute_force(list(enumerate(docs)))))
+
+
 def test_jaccard_of_empty_tables(spark):
     assert joined(frame(spark, [])) == []
     assert joined(frame(spark, [None, ""])) == ["(0, 0, 0)", "(1, 0, 1)"]
@@ -234,11 +262,82 @@ def test_extraction_of_empty_table(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def induced(pages):
+    """Texts of one host's pages, without Spark."""
+    own = html_extract.Pattern(tuple(pages[: html_extract.MERGED]))
+    seen = [html_extract.observe(p, own) for p in pages]
+    nodes = {}
+    for k, text, free in (x for s in seen for x in s):
+        nodes.setdefault(k, []).append((text, free))
+    rows = []
+    for k, v in nodes.items():
+        top = max({t for t, _ in v}, key=lambda t: sum(x == t for x, _ in v))
+        same = sum(x == top for x, _ in v)
+        constant = len(v) >= html_extract.LEAST_PAGES and same >= html_extract.CONSTANT_SHARE * len(v)
+        rows.append((k, top if constant else None, sum(f for t, f in v if not (constant and t == top))))
+    wrapper = html_extract.Wrapper(own, {k: t for k, t, _ in rows if t is not None}, frozenset(own.outside({k: m for k, _, m in rows})))
+    return [html_extract.main_text(p, wrapper) for p in pages]
+
+
 def test_constant_nodes_outside_articles_become_template():
-    pages = [f"<body><div><p>same words</p></div><div><p>own {k}</p></div></body>" for k in range(6)]
-    seen = [dict(html_extract.observe(p, pages[0])) for p in pages]
-    constant = {k: v for k, v in seen[0].items() if all(s.get(k) == v for s in seen)}
-    assert [html_extract.main_text(p, pages[0], constant) for p in pages] == [f"own {k}" for k in range(6)]
+    assert induced([f"<body><div><p>same words</p></div><div><p>own {k}</p></div></body>" for k in range(6)]) == [f"own {k}" for k in range(6)]
+
+
+def test_the_region_is_where_text_varies():
+    r = random.Random(13)
+    body = [prose(r, 60) for _ in range(6)]
+    pages = [f"<body><div><ul><li><a href=x>{prose(r, 2)}</a></ul></div><h1>t {k}</h1><div><div>{body[k]}</div><div><p>second {body[k - 1][:150]}</div></div><div>{prose(r, 3)}</div></body>" for k in range(6)]
+    assert induced(pages) == [f"t {k}\n\n{body[k]}\n\nsecond {body[k - 1][:150].strip()}" for k in range(6)]
+    assert all(html_extract.main_text(p) != t for p, t in zip(pages, induced(pages)))  # names alone see no difference
+
+
+def test_parts_of_other_layouts_have_a_place_in_the_pattern():
+    pages = [f"<body><div><p>own {k} {k * 7}</p></div>" + ("<div class=z>standing words</div>" if k % 2 else "<section>other words</section>") + "</body>" for k in range(12)]
+    assert induced(pages) == [f"own {k} {k * 7}" for k in range(12)]
+
+
+def plain_match(x, y):
+    """Most pairs of an order-keeping matching, by the textbook recursion."""
+    if (x.tag, x.label) != (y.tag, y.label):
+        return 0
+    a, b = x.children, y.children
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a)):
+        for j in range(len(b)):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + plain_match(a[i], b[j]))
+    return 1 + best[-1][-1]
+
+
+def test_matching_has_the_most_pairs(monkeypatch):
+    r = random.Random(14)
+
+    def tree(depth):
+        return "".join(f"<{t}>{tree(depth - 1)}</{t}>" for t in r.choices(["div", "ul", "section"], k=r.randint(0, 4))) if depth else ""
+
+    for cells in (html_extract.Matching.CELLS, 2):
+        monkeypatch.setattr(html_extract.Matching, "CELLS", cells)
+        for _ in range(150):
+            a, b = html_extract.parse(tree(3)), html_extract.parse(tree(3))
+            pairs = html_extract.match(a, b)
+            assert len(pairs) == plain_match(a, b) and len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == len(pairs)
+    many = [html_extract.parse("".join(f"<{r.choice(['p', 'div'])}>" + "</div>" * 0 for _ in range(3000))) for _ in range(2)]
+    assert html_extract.match(*many)
+
+
+def test_broken_pages_take_linear_time():
+    began = time.perf_counter()
+    for page_ in ('<a "' * 250_000, "<div>" * 150_000 + "</x>" * 150_000, "<a '>' " * 150_000 + "'", "<b>" * 150_000 + "<p></p>" * 100_000, "<ul>" + "<div>" * 100_000 + "<li>" * 100_000):
+        html_extract.parse(page_)
+    assert time.perf_counter() - began < 60
+
+
+def test_titles_and_names_within_articles_stay():
+    for page_, want in (
+        ("<article><header><h1>title</h1></header><p>text</p><footer>no</footer></article>", "title\n\ntext"),
+        ('<main><div class="long-form">a</div><p class="share-price">b</p></main>', "a\n\nb"),
+        ("<header>no</header><main>text</main>", "text"),
+    ):
+        assert html_extract.main_text(page_) == want
 
 
 def test_matching_keeps_order():
@@ -294,6 +393,18 @@ def test_prefix_counts_are_the_librarys(spark):
         assert count(t[: row.limit_chars]) <= 1024 and (row.limit_chars == len(t) or count(t[: row.limit_chars + 1]) > 1024)
 
 
+def test_very_long_units_take_linear_time():
+    tokenizers = pytest.importorskip("tokenizers")
+    lib = tokenizers.Tokenizer.from_file(token_prefix.tokenizer_path())
+    count = lambda t: len(lib.encode(t, add_special_tokens=False).ids)
+    for t in (" " * 20_000 + "x", "\n" * 20_000 + "'re", "a" * 20_000, "=" * 20_000, " \n" * 10_000 + "12", "\t" * 5000 + "'s", "  're", "\n\n'll x", "\n 've"):
+        assert token_prefix.counter().text_steps(t).sum(dtype=np.int64) == count(t), t[-9:]
+    began = time.perf_counter()
+    for c in " \n":
+        assert token_prefix.counter().text_steps(c * 1_000_000).sum(dtype=np.int64) > 0
+    assert time.perf_counter() - began < 60
+
+
 def test_stored_steps_answer_budgets(spark):
     text = odd_texts()[7][:2000]
     row = token_prefix.token_counts(frame(spark, [text]), keep_steps=True).first()
@@ -368,15 +479,24 @@ def test_quality_measures_are_exact(spark):
 
 def test_the_cascades_order_changes_no_verdict(spark):
     docs = frame(spark, odd_texts() + ["# | # | # |" * 9, "clean words of a common kind that say something new here today"], EXTRA)
-    kept = lambda order: {r.doc_id for r in docs.where(quality_rules.cascade(docs.text, order).isNull()).collect()}
+    kept = lambda order: {r.doc_id for r in docs.where(quality_rules.rejected_by(docs.text, order).isNull()).collect()}
     one = kept(quality_rules.RULES)
     assert one == kept(quality_rules.RULES[::-1]) == {r.doc_id for r in quality_rules.keep_good(docs).collect()} == {r.doc_id for r in quality_rules.measured(docs).where("kept").collect()}
     assert len(odd_texts()) + 1 in one
-    costs = quality_rules.estimate(docs)
-    assert len(costs) == len(quality_rules.RULES) and all(e.seconds > 0 and 0 <= e.rejected <= 1 for e in costs)
+    costs = quality_rules.estimate(quality_rules.measures(docs), lambda rule: rule.fails(quality_rules.Measures.at_hand()), quality_rules.F.col("n_symbols") < 0)
+    assert len(costs) == len(quality_rules.RULES) and all(e.seconds > 0 and 0 <= e.rejected <= 1 and len(e.rejects) == docs.count() for e in costs)
     assert quality_rules.measured(frame(spark, [])).count() == 0
 
 
+def test_the_order_is_by_conditional_rejection_per_cost():
+    rule = lambda n: quality_rules.Rule(n, None)
+    a = quality_rules.Estimate(rule("a"), 1.0, (True, True, True, False))
+    b = quality_rules.Estimate(rule("b"), 1.0, (True, True, False, False))  # nothing that a leaves
+    c = quality_rules.Estimate(rule("c"), 2.0, (False, False, False, True))
+    assert [r.name for r in quality_rules.ordered([b, c, a])] == ["a", "c", "b"]
+    assert quality_rules.ordered([]) == [] and [r.name for r in quality_rules.ordered([quality_rules.Estimate(rule("x"), 1, ())])] == ["x"]
+
+
 # --- 9: language model
 
 
@@ -459,26 +579,66 @@ def test_lm_of_empty_tables(spark):
 # --- 10: licences
 
 
+def licence_texts(*names, holder="the copyright holder"):
+    return [x.replace("*", holder).replace("{}", "3") for n in names for x in licenses._TEXTS[n][:1 if n == "GPL-FREE" else None]]
+
+
 def test_licences(spark):
     mit = " ".join(licenses._TEXTS["MIT"])
-    bsd = "\n".join(licenses._TEXTS[k][0] for k in ("BSD-HEAD", "BSD-SOURCE", "BSD-BINARY"))
+    bsd = "\n".join(licence_texts("BSD-HEAD", "BSD-SOURCE", "BSD-BINARY"))
+    apache = """Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n
+Unless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an "AS IS" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\nSee the License for the specific language governing permissions and\nlimitations under the License."""
     docs = [
         "words. Released under the MIT License. more", "Licensed under the Apache License, Version 2.0.", "x\nThis work is licensed under the GNU General Public License, version 3.\ny",
-        "Licensed under CC BY-NC 4.0.", mit.upper(), bsd, bsd + "\n" + licenses._TEXTS["BSD-NAME"][0], "SPDX-License-Identifier: MIT", "a licence to kill", None, "", mit + "\n" + mit,
-        licenses._TEXTS["GPL-FREE"][0].format(2),
+        "Licensed under CC BY-NC 4.0.", mit.upper(), bsd, bsd + "\n" + "\n".join(licence_texts("BSD-NAME")), "SPDX-License-Identifier: MIT", "a licence to kill", None, "", mit + "\n" + mit,
+        licenses._TEXTS["GPL-FREE"][0].format(2), apache, bsd + "\n" + "\n".join(licence_texts("BSD-NAME", "BSD-AS-IS", "BSD-LIABLE", holder="Foo Bar Inc")), "The code is MIT licensed.", "\n".join(licence_texts("GPL-FREE", "GPL-HOPE", "GPL-SEE", holder="program")),
+        "\n".join(licence_texts("MPL-FORM", "MPL-COPY")), "Foo is free software; " + licenses._TEXTS["LGPL-FREE"][0].format("2.1").split("; ", 1)[1],
     ]
     got = {r.doc_id: r for r in licenses.scan(frame(spark, docs, EXTRA)).collect()}
-    want = [["MIT"], ["Apache-2.0"], ["GPL-3.0"], ["CC-BY-NC-4.0"], ["MIT"], ["BSD-2-Clause"], ["BSD-3-Clause"], ["MIT"], [], [], [], ["MIT", "MIT"], ["GPL-2.0"]]
+    want = [["MIT"], ["Apache-2.0"], ["GPL-3.0"], ["CC-BY-NC-4.0"], ["MIT"], ["BSD-2-Clause"], ["BSD-3-Clause"], ["MIT"], [], [], [], ["MIT", "MIT"], ["GPL-2.0"], ["Apache-2.0"], ["BSD-3-Clause"], ["MIT"], ["GPL-3.0"], ["MPL-2.0"], ["LGPL-2.1"]]
     assert [got[k].licences for k in range(len(docs))] == want
-    assert licenses.digest(licenses.scan(frame(spark, docs))).where("n_matches > 0").count() == 10
+    assert [len(got[k].sentences) for k in (13, 14, 16)] == [5, 6, 3]  # of rules of so many sentences
+    assert licenses.digest(licenses.scan(frame(spark, docs))).where("n_matches > 0").count() == 16
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+def plain_matched(found, rules):
+    """The same by trying every choice of places in order."""
+    free, out = dict(found), []
+    for rule in rules.rules:
+        for start, _ in found:
+            if free.get(start) != rule.sequence[0]:
+                continue
+            used = [start]
+            for name in rule.sequence[1:]:
+                used += [k for k in range(used[-1] + 1, used[-1] + 2 + licenses.GAP) if free.get(k) == name][:1] or [None]
+                if used[-1] is None:
+                    break
+            if None not in used:
+                out.append((start, rule.licence))
+                for k in used:
+                    del free[k]
+    return sorted(out)
+
+
+def test_rules_match_as_the_plain_matcher_does():
+    rules, r = licenses.default_rules(), random.Random(15)
+    names = sorted({n for rule in rules.rules for n in rule.sequence if not n.endswith("notice")})
+    for _ in range(300):
+        places = sorted(r.sample(range(60), 25))
+        found = [(k, r.choice(names[: r.randint(3, len(names))])) for k in places]
+        assert licenses.matched(found, rules) == plain_matched(found, rules)
+    began = time.perf_counter()
+    text = "Released under the MIT License.\n" * 40_000
+    assert len(licenses.matched(licenses.recognised(text, rules), rules)) == 40_000
+    assert time.perf_counter() - began < 30
+
+
 def test_wrapped_licences_are_recognised():
     rules = licenses.default_rules()
     scan = lambda t: [x for _, x in licenses.matched(licenses.recognised(t, rules), rules)]
     mit, isc, gpl = licenses._TEXTS["MIT"], licenses._TEXTS["ISC"], [licenses._TEXTS["GPL-FREE"][0].format(3)]
-    bsd = [licenses._TEXTS[k][0] for k in ("BSD-HEAD", "BSD-SOURCE", "BSD-BINARY", "BSD-NAME")]
+    bsd = licence_texts("BSD-HEAD", "BSD-SOURCE", "BSD-BINARY", "BSD-NAME", "BSD-AS-IS", "BSD-LIABLE", holder="Foo")
     for texts, want in ((mit, "MIT"), (isc, "ISC"), (gpl, "GPL-3.0"), (bsd, "BSD-3-Clause")):
         for width in (25, 72):
             for mark in ("", " * ", "# "):
