@@ -52,6 +52,15 @@ def issues(rows: DataFrame, config_key: str | None = None) -> DataFrame:
     return rows.select("question_id", "model", F.explode(F.array_compact(F.array(*checks))).alias("issue"))
 
 
+def eligible(policy: str, pair_hit: Column) -> Column:
+    """Items of the per-protocol subset: with a strict policy those whose gold passage both arms retrieved, else all that are sound."""
+    if policy == "require_pair_hit":
+        return F.coalesce(pair_hit, F.lit(False))
+    if policy == "structural_only":
+        return F.lit(True)
+    raise ValueError(f"unknown policy: {policy}")
+
+
 def summary(rows: DataFrame, *keys: str) -> DataFrame:
     """Intention-to-treat and per-protocol means for each group, from one pass with partial sums."""
     kept = F.coalesce(F.col("passed_gates"), F.lit(True))

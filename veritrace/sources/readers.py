@@ -122,6 +122,26 @@ def assert_same_keys(x: DataFrame, y: DataFrame, key: str) -> None:
         raise ValueError(f"keys differ or repeat: {[r[key] for r in bad]}")
 
 
+def checked_arms(spark: SparkSession, paths: dict[int, str]) -> DataFrame:
+    """Arms of one model's runs by depth k. Fails unless every run has the same items, each once, arms are 0 or 1, and
+    the closed-book arms a and c of an item are the same at every depth."""
+    runs = {k: fourarm(spark, path) for k, path in paths.items()}
+    first, *others = runs.values()
+    assert_same_keys(first, first.select("question_id"), "question_id")
+    for other in others:
+        assert_same_keys(first, other, "question_id")
+    rows = None
+    for k, run in runs.items():
+        run = run.withColumn("k", F.lit(k))
+        rows = run if rows is None else rows.unionByName(run)
+    arm = lambda c: F.coalesce(F.col(c).isin(0, 1), F.lit(False))
+    found = rows.groupBy("question_id").agg(F.bool_and(arm("a") & arm("b") & arm("c") & arm("d")).alias("valid"), (F.count_distinct("a") + F.count_distinct("c")).alias("closed"))
+    bad = found.where("NOT valid OR closed <> 2").limit(5).collect()
+    if bad:
+        raise ValueError(f"arms are not 0 or 1, or closed-book arms differ between depths: {[r['question_id'] for r in bad]}")
+    return rows
+
+
 def last_per_key(rows: DataFrame, key: str, ord_: str) -> DataFrame:
     """The last row written for each key."""
     return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), ord_).alias("x")).select(key, "x.*")
