@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 _FALLBACK_DIR: list[str] = []
 
 
-#: Rows of an Arrow batch: texts are long, and a batch is held by the JVM and by its worker at once.
-BATCH_ROWS = 2000
+#: Rows and bytes of an Arrow batch: texts are long, and a batch is held by the JVM and by its worker at once.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lean_batches(spark: SparkSession) -> None:
-    """Arrow batches of BATCH_ROWS rows, unless the session has a number of its own."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Arrow batches of at most BATCH_ROWS rows and about BATCH_BYTES bytes, unless the session has bounds of its own."""
+    for key, default, own in (("maxRecordsPerBatch", "10000", str(BATCH_ROWS)), ("maxBytesPerBatch", "67108864b", f"{BATCH_BYTES}b")):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key, None) == default:
+            spark.conf.set(key, own)
 
 
 def shared_dir(spark: SparkSession) -> str:
