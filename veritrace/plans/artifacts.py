@@ -67,14 +67,14 @@ def pool_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs of a retriever-format pool, written and read."""
     questions = _pool(spark, sf_dir, _typed())
     rows = R.paragraphs(questions).join(questions.select(F.col("id").alias("question_id"), "answer_type"), "question_id")
-    return rows.select("question_id", "answer_type", "ord", "doc_id", "grp", F.char_length("text").alias("n_chars"))
+    return rows.select("question_id", "answer_type", "ord", "doc_id", "grp", F.char_length("text").cast("long").alias("n_chars"))
 
 
 @query(f"{_ITEMS} SELECT ord, 'corpus:' || ord AS doc_id, len(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS n_tokens FROM p WHERE item_id % 3 < 2")
 def corpus_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shared corpus of the questions of two answer types."""
     kept = G.type_slice(_pool(spark, sf_dir, _typed()), ("date", "numeric"))
-    return R.corpus(kept).select("ord", "doc_id", F.size("tokens").alias("n_tokens"))
+    return R.corpus(kept).select(F.col("ord").cast("long").alias("ord"), "doc_id", F.size("tokens").cast("long").alias("n_tokens"))
 
 
 _WORD = "regexp_extract(lower(text), '([a-z]{4,})', 1)"
@@ -102,7 +102,7 @@ def multihop_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.multi_hop(questions).join(questions.select(F.col("id").alias("question_id"), "answer_type"), "question_id").select("question_id", "answer_type", F.size("gold").alias("n_gold"), F.array_join("gold_sentences", "|").alias("gold"))
 
 
-@query(f"WITH {FOURARM} SELECT k, count(*) AS n, sum(a) AS a, sum(b) AS b, sum(c) AS c, sum(d) AS d, count(*) FILTER (passed_gates) AS n_pp FROM fourarm WHERE model = 'm1' AND k IN (1, 5) GROUP BY k")
+@query(f"WITH {FOURARM} SELECT k, count(*) AS n, sum(a)::BIGINT AS a, sum(b)::BIGINT AS b, sum(c)::BIGINT AS c, sum(d)::BIGINT AS d, count(*) FILTER (passed_gates) AS n_pp FROM fourarm WHERE model = 'm1' AND k IN (1, 5) GROUP BY k")
 def arms_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of two depths as JSON lines by label, read with every check."""
     rows, path = fourarm(spark, sf_dir, (1, 5)).where("model = 'm1'"), folder(spark, "runs")
@@ -148,7 +148,7 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("conv_id", "turn", F.md5(T.prompt(F.col("text"), context)).alias("prompt_md5"), F.round(T.unigram_recall(T.bm25_tokens("text"), T.bm25_tokens("answer")), 9).alias("recall"), N.hash_mod(F.col("text"), F.lit(65536).cast("long")).alias("seed"))
 
 
-@query("""SELECT lang AS grp, count(*) AS n, sum((doc_id % 7 = 0)::INT) AS noop, round(avg((doc_id % 7 = 0)::INT), 9) AS rate, median(1 + doc_id % 3)::DOUBLE AS median_forms, round(avg(1 + doc_id % 3), 2) AS mean_forms
+@query("""SELECT lang AS grp, count(*) AS n, sum((doc_id % 7 = 0)::INT)::BIGINT AS noop, round(avg((doc_id % 7 = 0)::INT), 9) AS rate, median(1 + doc_id % 3)::DOUBLE AS median_forms, round(avg(1 + doc_id % 3), 2) AS mean_forms
 FROM documents GROUP BY lang""")
 def trap_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edits that put another spelling of the old answer in its place."""
@@ -159,7 +159,7 @@ def trap_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT doc_id, unnest([{'t': 'c0_gold', 's': 1}, {'t': 'c1_k5', 's': 5}, {'t': 'c2_w1', 's': 2}, {'t': 'c2_w2', 's': 2}, {'t': 'c2_w3', 's': 2}, {'t': 'c2_w4', 's': 2}, {'t': 'c3_k1_actual', 's': 1}]) AS x FROM documents)
-SELECT x.t AS tag, count(*) AS n, sum(((doc_id + x.s) % 3 = 0)::INT) AS answered_new, round(avg(((doc_id + x.s) % 3 = 0)::INT), 9) AS rate FROM c WHERE x.t <> 'c3_k1_actual' OR doc_id % 3 <> 0 GROUP BY x.t""")
+SELECT x.t AS tag, count(*) AS n, sum(((doc_id + x.s) % 3 = 0)::INT)::BIGINT AS answered_new, round(avg(((doc_id + x.s) % 3 = 0)::INT), 9) AS rate FROM c WHERE x.t <> 'c3_k1_actual' OR doc_id % 3 <> 0 GROUP BY x.t""")
 def window_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conditions that tell a single bad window from dilution."""
     d = F.col("doc_id")
@@ -169,7 +169,7 @@ def window_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_EDIT}, r AS (SELECT question_id, ({_KNOWN})::INT AS a FROM ap WHERE n_old = 1),
 s AS (SELECT *, unnest(['require_pair_hit', 'structural_only']) AS policy FROM r)
-SELECT policy, count(*) AS n, round(avg(1 - a), 9) AS apparent_gain, 1.0 AS corrected_gain, count(*) FILTER (policy = 'structural_only' OR question_id % 2 = 0) AS n_pp,
+SELECT policy, count(*) AS n, round(avg(1 - a), 9) AS apparent_gain, 1.0::DOUBLE AS corrected_gain, count(*) FILTER (policy = 'structural_only' OR question_id % 2 = 0) AS n_pp,
   round(avg(-a) FILTER (policy = 'structural_only' OR question_id % 2 = 0), 9) AS did_pp FROM s GROUP BY policy""")
 def end_to_end_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edits, four arms of a stub generator, run files by label, checked loading, and the summary under each protocol policy."""
