@@ -60,7 +60,7 @@ FREQUENT_HARD = 4 * FAMILY_BLOCK
 #: Classes of a block in verification.
 BLOCK = 64
 #: Tokens that a bucket sorts at once.
-PART = 1 << 22
+PART = 1 << 19
 _SALT = np.uint64(0xA0761D6478BD642F)
 
 
@@ -98,8 +98,8 @@ def hot_tokens(docs: DataFrame, share: float = HOT_SHARE, least: int = HOT_LEAST
 
     def run(batches):
         for whole in batches:
-            for b in slices(whole, "text", 4 << 20, least_rows=64):
-                bound, cells, held, at = max(2, share / 2 * b.num_rows), np.zeros(1 << 20, np.int64), [], 0
+            for b in slices(whole, "text", 2 << 20, least_rows=64):
+                bound, cells, held, at = max(2, share / 2 * b.num_rows), np.zeros(1 << 18, np.int64), [], 0
                 for part in slices(b, "text", 1 << 20):
                     _, _, h, first = word_spans(*buffers(part.column(0)), WHITE, LOWER)
                     n = np.maximum(np.diff(first) - SHINGLE + 1, 0)
@@ -107,9 +107,9 @@ def hot_tokens(docs: DataFrame, share: float = HOT_SHARE, least: int = HOT_LEAST
                     token = rolled(h, SHINGLE)[start] if len(start) else start.astype(np.uint64)
                     held.append((token, np.repeat(np.arange(at, at + part.num_rows, dtype=np.int32), n)))
                     at += part.num_rows
-                    cells += np.bincount((token >> np.uint64(44)).astype(np.int64), minlength=1 << 20)
+                    cells += np.bincount((token >> np.uint64(46)).astype(np.int64), minlength=1 << 18)
                 token, owner = (np.concatenate(x) for x in zip(*held))
-                many = cells[(token >> np.uint64(44)).astype(np.int64)] >= bound
+                many = cells[(token >> np.uint64(46)).astype(np.int64)] >= bound
                 token, owner = token[many], owner[many]
                 order = np.lexsort((owner, token))
                 token, owner = token[order], owner[order]
@@ -161,7 +161,7 @@ def _spread(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
     def run(batches):
         seen: set[int] = set()
         at = 0
-        for b in (part for whole in batches for part in slices(whole, "text", 4 << 20)):
+        for b in (part for whole in batches for part in slices(whole, "text", 2 << 20)):
             rows: list[tuple] = []
             posts, owners, lengths, hots, hot_owners = [], [], [], [], []
             for part in slices(b, "text", 1 << 20):
@@ -245,7 +245,7 @@ def _bucket(t: pa.Table, groups: int) -> pa.Table:
         high, low = _joined(t, "high", np.uint32), _joined(t, "low", np.uint8)
         known, number = np.unique(_joined(t, "classes", np.int64), return_inverse=True)
         owner = np.repeat(number.astype(np.uint32), _joined(t, "counts", np.uint32))
-        del t, number
+        del t, number  # the table is as large as what was read out of it
         place = _group_of(known, groups)
         order = np.argsort(place, kind="stable")  # classes by group, so that owners are numbered in it
         rank = np.empty(len(order), np.uint32)
