@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +84,49 @@ def least_by_hash(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     return df.orderBy(h, *keys).limit(rows)
 
 
+#: Bytes of a group after which memory is given back; after less it is not worth the call.
+_LARGE = 1 << 20
+
+
+def _give_back() -> None:
+    """Returns memory that this process has freed to the system: a worker that waits for its next task keeps it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim:
+        trim(0)
+
+
+def lean(f: Callable) -> Callable:
+    """f for mapInArrow, or for one or two grouped tables, giving memory back when its task or group is done."""
+    if inspect.isgeneratorfunction(f):
+
+        def wrapped(batches):
+            try:
+                yield from f(batches)
+            finally:
+                _give_back()
+
+    elif len(inspect.signature(f).parameters) == 1:
+
+        def wrapped(table):
+            try:
+                return f(table)
+            finally:
+                if table.nbytes > _LARGE:
+                    _give_back()
+
+    else:
+
+        def wrapped(left, right):
+            try:
+                return f(left, right)
+            finally:
+                if left.nbytes + right.nbytes > _LARGE:
+                    _give_back()
+
+    return wrapped
+
+
 # --- scanning of UTF-8 columns -------------------------------------------------------------
 
 _BYTES = np.arange(256)

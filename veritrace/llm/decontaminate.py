@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, PUNCT, Known, buffers, discarded, distinct, mixed, rolled, slices, word_spans, written
+from .common import LOWER, PUNCT, Known, buffers, discarded, distinct, lean, mixed, rolled, slices, word_spans, written
 
 #: Words of a prefix shingle.
 SHINGLE = 2
@@ -72,6 +72,7 @@ def shingle_counts(docs: DataFrame, known: np.ndarray, size: int) -> np.ndarray:
     """How often each shingle of `known` (sorted, of `size` words) occurs in all documents."""
     held = docs.sparkSession.sparkContext.broadcast(Known(known))
 
+    @lean
     def count(batches):
         total = np.zeros(len(known), np.int64)
         for whole in batches:
@@ -83,6 +84,7 @@ def shingle_counts(docs: DataFrame, known: np.ndarray, size: int) -> np.ndarray:
         if parts:
             yield pa.RecordBatch.from_pydict({"k": pa.array([k for k, _ in parts], pa.int64()), "n": pa.array([x for _, x in parts], pa.binary())})
 
+    @lean
     def add(t: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x.as_py(), np.int64) for x in t.column("n"))
         return pa.table({"k": t.column("k")[:1], "n": pa.array([total.tobytes()], pa.binary())})
@@ -179,6 +181,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     for items in blocks:
         index = _indexed(docs, items, window)
 
+        @lean
         def probe(batches, index=index, every=not found):
             for whole in batches:
                 for b in slices(whole, "text"):
@@ -222,6 +225,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_sha
     for items in blocks:
         index = _indexed(left, items, window)
 
+        @lean
         def keep(batches, index=index, at=at):
             for whole in batches:
                 for b in slices(whole, "text"):

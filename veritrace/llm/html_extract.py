@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import lean, written
 
 #: A slot's text is template if so large a share of at least LEAST_PAGES pages agree on it.
 CONSTANT_SHARE, LEAST_PAGES = 0.6, 4
@@ -502,6 +502,7 @@ def _by_host(pages: DataFrame, small: DataFrame, size: int, work, schema: str) -
     if size <= BROADCAST_BYTES:
         held = pages.sparkSession.sparkContext.broadcast({r["host"]: r.asDict(recursive=True) for r in small.collect()})
 
+        @lean
         def run(batches):
             for b in batches:
                 yield from work(b, held.value.get).to_batches()
@@ -511,6 +512,7 @@ def _by_host(pages: DataFrame, small: DataFrame, size: int, work, schema: str) -
     dealt = _with_host(pages).join(sizes, "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url", "html"), F.coalesce("parts", F.lit(1)))).drop("parts")
     copies = small.join(sizes, "host").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
 
+    @lean
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         own = right.to_pylist()
         return work(left, lambda h: own[0] if own else None)

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import LOWER, WHITE, Known, bloom, buffers, discarded, distinct, in_bitmap, mixed, partitions_for, rolled, slices, word_spans, written
+from .common import LOWER, WHITE, Known, bloom, buffers, discarded, distinct, in_bitmap, lean, mixed, partitions_for, rolled, slices, word_spans, written
 
 SHINGLE = 5
 #: Classes that may share a token for it to be indexed singly.
@@ -96,6 +96,7 @@ def hot_tokens(docs: DataFrame, share: float = HOT_SHARE, least: int = HOT_LEAST
     are sets of their own, whose token is never shared.
     """
 
+    @lean
     def run(batches):
         for whole in batches:
             for b in slices(whole, "text", 2 << 20, least_rows=64):
@@ -158,6 +159,7 @@ def _spread(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
     """A row for each document, packed postings by bucket, and the hot tokens of classes."""
     held = docs.sparkSession.sparkContext.broadcast(Known(hot))
 
+    @lean
     def run(batches):
         seen: set[int] = set()
         at = 0
@@ -269,6 +271,7 @@ def _bucket(t: pa.Table, groups: int) -> pa.Table:
     return pa.concat_tables(out)
 
 
+@lean
 def _gathered(t: pa.Table) -> pa.Table:
     """Rows of documents, and of the classes of a group those that may have a partner: their shared tokens in the order of
     the number of classes that have them, how many of those lie in the prefix, and how many of these are indexed singly."""
@@ -319,6 +322,7 @@ def _least_overlap(n):
 def _exploded(held: DataFrame, upto: str | None = None) -> DataFrame:
     """a, n and token of each class's tokens, or of the first `upto` of them."""
 
+    @lean
     def run(batches):
         for whole in batches:
             for b in slices(whole, "tokens", 4 << 20):
@@ -351,6 +355,7 @@ def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
     wanted = placed.select(F.col("g").alias("h"), F.explode(F.array("a", "b")).alias("a")).distinct()
     sent = wanted.join(held, "a").select("h", "a", "n", "tokens")
 
+    @lean
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
         sets = {a: (n, np.frombuffer(x.as_py(), np.int64)) for a, n, x in zip(right.column("a").to_pylist(), right.column("n").to_pylist(), right.column("tokens"))}
         ok = [_linked(*sets[a], *sets[b]) for a, b in zip(left.column("a").to_pylist(), left.column("b").to_pylist())]
@@ -374,6 +379,7 @@ def components(edges: DataFrame) -> DataFrame:
     nothing moves; each round is a table in the shared folder.
     """
 
+    @lean
     def forest(batches):
         parent: dict[int, int] = {}
 
@@ -494,6 +500,7 @@ def _hard_links(held: DataFrame, links: DataFrame, label: DataFrame, report: dic
     return links.unionByName(more)
 
 
+@lean
 def _forest_across(t: pa.Table) -> pa.Table:
     """Links between the two sides (or within the one) that join components, as a forest of them; the overlaps of all pairs are counted exactly."""
     side, a, c, size = (t.column(k).to_numpy() for k in ("side", "a", "c", "n"))
@@ -535,7 +542,7 @@ def _forest_across(t: pa.Table) -> pa.Table:
 def joined(docs: DataFrame, buckets: int | None = None, report: dict | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles and component_id. report gets the numbers of keys that were indexed."""
     buckets = min(buckets or partitions_for(docs, 10 << 20), 1 << 23)
-    tokens = _spread(docs, buckets, hot_tokens(docs)).groupBy("bucket").applyInArrow(lambda t: _bucket(t, buckets), _MAPPED)
+    tokens = _spread(docs, buckets, hot_tokens(docs)).groupBy("bucket").applyInArrow(lean(lambda t: _bucket(t, buckets)), _MAPPED)
     found = written(tokens.groupBy("bucket").applyInArrow(_gathered, _FOUND), "jaccard-found")
     rows = found.where(F.col("kind") == _DOC)
     sized = written(rows.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n")), "jaccard-classes")
@@ -565,6 +572,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     bitmap, at = docs.sparkSession.sparkContext.broadcast(bloom(gone)), docs.columns.index("doc_id")
 
     def part(inside: bool):
+        @lean
         def run(batches):
             for b in batches:
                 ids = b.column(at).cast(pa.int64())

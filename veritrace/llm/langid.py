@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import least_by_hash, slices
+from .common import lean, least_by_hash, slices
 from .ftrl import Ftrl, softmax, temperature
 from .quality_model import fold
 
@@ -57,6 +57,7 @@ def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """Documents that hold each column, over all rows of docs; and their number."""
 
+    @lean
     def run(batches):
         total, rows = np.zeros(1 << BITS, np.int64), 0
         for whole in batches:
@@ -114,6 +115,7 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, epochs: int = 3) -> Model:
     idf = np.log((1 + n) / (1 + frequency)) + 0.05
     chosen = least_by_hash(learnable.select("doc_id", "lang").distinct(), rows, "doc_id", "lang")
 
+    @lean
     def run(batches):
         for whole in batches:
             for b in slices(whole, "text", 1 << 20):
@@ -150,6 +152,7 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score of each document."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def run(batches):
         m = held.value
         for whole in batches:

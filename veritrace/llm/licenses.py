@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 GAP, SLOT = 3, 12
 
 # Sentences of public licence texts; {} is a version, * a slot.
@@ -258,6 +260,7 @@ def scan(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
     """One row for each document: doc_id, the identifiers of known sentences and the licences, both in text order."""
     rules = rules or default_rules()
 
+    @lean
     def run(batches):
         for b in batches:
             seen = [recognised(t or "", rules) for t in b.column(1).to_pylist()]

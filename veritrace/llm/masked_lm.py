@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WHITE, buffers, slices, word_spans, written
+from .common import LOWER, WHITE, buffers, lean, slices, word_spans, written
 
 CLASSES = WIDTH = 64
 VOCABULARY = CLASSES * WIDTH
@@ -38,6 +38,7 @@ SLICES = 16
 def word_counts(docs: DataFrame) -> DataFrame:
     """Word hash and its count, over all documents."""
 
+    @lean
     def run(batches):
         known, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
@@ -224,6 +225,7 @@ def fit(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, share: float =
     key = F.xxhash64("doc_id", "text")
     chosen = docs.select("doc_id", "text").where(F.pmod(key, F.lit(1 << 20)) < int(share * (1 << 20))).select(F.pmod(F.shiftright(key, 20), F.lit(1 << 30)).alias("k"), "text")
 
+    @lean
     def encode(batches):
         for whole in batches:
             for b in slices(whole, "text"):
@@ -239,6 +241,7 @@ def fit(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, share: float =
     for _ in range(rounds if n_words else 0):
         start = spark.sparkContext.broadcast(network.vector)
 
+        @lean
         def learn(t: pa.Table) -> pa.Table:
             rows = sorted(zip(t.column("k").to_pylist(), t.column("ids").to_pylist()))
             texts = [np.frombuffer(x, np.uint16).astype(np.int64) for _, x in rows]
@@ -248,6 +251,7 @@ def fit(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, share: float =
             shard = t.column("shard")[0].as_py()
             return pa.table({"s": pa.array(range(SLICES), pa.int32()), "g": pa.array([shard % groups] * SLICES, pa.int32()), "n": pa.array([len(ids)] * SLICES, pa.int64()), "v": pa.array([v[k * size : (k + 1) * size].tobytes() for k in range(SLICES)], pa.binary())})
 
+        @lean
         def add(t: pa.Table) -> pa.Table:
             v = None
             for x in t.column("v"):
@@ -267,6 +271,7 @@ def scored(docs: DataFrame, vocab: Vocabulary, network: Network) -> DataFrame:
     """One row for each document: doc_id, n_words and the sum of its words' log-probabilities."""
     held = docs.sparkSession.sparkContext.broadcast((vocab, network.vector))
 
+    @lean
     def run(batches):
         words, vector = held.value
         net = Network(vector)

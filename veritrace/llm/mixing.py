@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import quality_model as qm
-from .common import buffers, slices, written
+from .common import buffers, lean, slices, written
 from .ftrl import Ftrl, softmax
 
 #: Labelled rows that the classifier may use.
@@ -72,6 +72,7 @@ def posteriors(docs: DataFrame, model: Posteriors) -> DataFrame:
     """doc_id, n_tokens (words) and p of each document."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def run(batches):
         m = held.value
         for whole in batches:
@@ -114,6 +115,7 @@ def fit_rates(table: DataFrame, weights: list[float], total_share: float = TOTAL
     names = [f"t{i}" for i in range(k)]
 
     def totals(start: float, taken: list, ahead: float | None = None) -> np.ndarray:
+        @lean
         def run(batches):
             total = np.zeros(k)
             for b in batches:
@@ -162,6 +164,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict = TARGETS, total_sha
     fit = fit_rates(held, [targets.get(d, 0.0) for d in model.domains], total_share)
     k, domains = len(model.domains), model.domains
 
+    @lean
     def run(batches):
         for b in batches:
             n, p = b.column(1).to_numpy(), _matrix(b.column(2), k)

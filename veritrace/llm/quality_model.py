@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SAME, WHITE, buffers, least_by_hash, mixed, slices, word_spans
+from .common import SAME, WHITE, buffers, lean, least_by_hash, mixed, slices, word_spans
 from .ftrl import Ftrl
 
 BITS = 18
@@ -66,6 +66,7 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> list[t
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     chosen = least_by_hash(known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label).cast("int").alias("y")), rows, "doc_id")
 
+    @lean
     def run(batches):
         for whole in batches:
             for b in slices(whole, "text"):
@@ -96,6 +97,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of each document."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def run(batches):
         m = held.value
         for whole in batches:
@@ -109,6 +111,7 @@ def keep_good(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
     """Rows of docs that score at least this much; docs' columns."""
     held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
+    @lean
     def run(batches):
         m = held.value
         for whole in batches:

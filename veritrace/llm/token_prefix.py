@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 DEFAULT_FILE = "byte_bpe_50k.json"
 #: Units of a worker's cache; a full cache becomes the old one, from which units in use come back.
 CACHE_UNITS = 600_000
@@ -225,6 +227,7 @@ def token_counts(docs: DataFrame, limit: int = 1024, file: str = DEFAULT_FILE, k
     """
     schema = "doc_id long, n_bytes long, n_tokens long, limit_chars long" + ", steps binary" * keep_steps
 
+    @lean
     def run(batches):
         of = counter(file).text_steps
         for b in batches:
