@@ -8,6 +8,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from veritrace.llm import decontaminate, html_extract, jaccard, langid, licenses, masked_lm, mixing, quality_model, quality_rules, token_prefix
@@ -652,3 +653,18 @@ def test_a_gap_too_wide_breaks_a_sequence():
     rules = licenses.default_rules()
     near, far = [(0, "MIT/1"), (4, "MIT/2")], [(0, "BSD-HEAD/1"), (9, "BSD-SOURCE/1"), (10, "BSD-BINARY/1")]
     assert licenses.matched(near, rules) == [(0, "MIT")] and licenses.matched(far, rules) == []
+
+
+def test_lean_changes_no_result():
+    from veritrace.llm.common import lean
+
+    big = pa.table({"x": pa.array(range(1 << 18), pa.int64())})
+
+    def doubled(batches):
+        for b in batches:
+            yield b * 2
+
+    assert list(lean(doubled)(iter([1, 2]))) == [2, 4]
+    for t in (big, big[:0]):
+        assert lean(lambda t: t)(t).equals(t)
+        assert lean(lambda a, b: pa.concat_tables([a, b]))(t, big).num_rows == t.num_rows + big.num_rows
