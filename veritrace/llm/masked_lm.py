@@ -29,6 +29,9 @@ VOCABULARY = CLASSES * WIDTH
 PAD = VOCABULARY
 PLACES, HIDDEN = (-2, -1, 1, 2), 16
 TRAIN_SHARE, SHARD_WORDS, ROUNDS = 1.0, 400_000, 2
+#: Words of a training step: a pass over a full shard takes about PASS_STEPS of them, between these bounds. The rate is for
+#: the least; it grows with the square root of a step's words.
+PASS_STEPS, STEP_WORDS, RATE = 48, (2048, 8192), 0.2
 #: Words that are scored at once: as many as fit a core's cache.
 CHUNK = 1 << 13
 #: Slices of the weights that are averaged apart.
@@ -149,8 +152,8 @@ class Network:
         h = self.forward(context)
         one, two = self._logits(h, spans)
         for d, own in ((one, cls), (two, place)):  # softmax less one at the target, over n
-            _log_sum(d)
-            d *= (1 / (n * (d @ np.ones(d.shape[1], np.float32))))[:, None]
+            _, total = _exponents(d)
+            d *= (1 / (n * total))[:, None]
             d[at, own] -= np.float32(1 / n)
         g.cls[:], g.cls_bias[:] = h.T @ one, one.sum(0)
         back = one @ self.cls.T
@@ -173,12 +176,18 @@ class Network:
         return touched
 
 
-def _log_sum(x: np.ndarray) -> np.ndarray:
-    """log of the sum of exp of each row; x becomes exp(x - its row's maximum)."""
+def _exponents(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's maximum, and its sum of exp(x - that); x becomes the exponents."""
     top = x.max(1)
     x -= top[:, None]
     np.exp(x, out=x)
-    return top + np.log(x @ np.ones(x.shape[1], np.float32))
+    return top, x @ np.ones(x.shape[1], np.float32)
+
+
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    """log of the sum of exp of each row; x is used up."""
+    top, total = _exponents(x)
+    return top + np.log(total)
 
 
 def _by_class(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
@@ -199,9 +208,12 @@ def contexts(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.stack([padded[at + o] for o in PLACES], axis=1)
 
 
-def train(network: Network, context: np.ndarray, target: np.ndarray, rate: float = 0.15, batch: int = 2048) -> Network:
+def train(network: Network, context: np.ndarray, target: np.ndarray, rate: float = RATE, batch: int | None = None) -> Network:
     """One pass of Adagrad over the words in a fixed order; a part whose gradient is zero stays as it is and is passed over."""
     net = Network(network.vector.copy())
+    least, most = STEP_WORDS
+    batch = batch or min(max(len(target) // PASS_STEPS, least), most)
+    rate *= (batch / least) ** 0.5
     context, target = context.astype(np.uint16), target.astype(np.uint16)
     total, step = Network(np.full(net.SIZE, 1e-6, np.float32)), Network(np.zeros(net.SIZE, np.float32))
     order = np.random.default_rng(3).permutation(len(target))
