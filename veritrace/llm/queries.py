@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, jaccard, langid, licenses, masked_lm, mixing, quality_model, quality_rules, token_prefix
+from . import decontaminate, html_extract, jaccard, langid, licenses, masked_lm, merkle, mixing, quality_model, quality_rules, token_prefix
 from .common import table
 
 
@@ -55,9 +55,13 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_ngram_jaccard_join, op4_quality_classifier, op5_html_extraction, op6_token_counts, op7_mixing, op8_quality_rules, op9_lm_scoring, op10_license_scan)}
+    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_ngram_jaccard_join, op4_quality_classifier, op5_html_extraction, op6_token_counts, op7_mixing, op8_quality_rules, op9_lm_scoring, op10_license_scan, op12_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontaminate.ORACLE_SQL, "op3_ngram_jaccard_join": jaccard.ORACLE_SQL, "op8_quality_rules": quality_rules.ORACLE_SQL}
+    return {"op1_decontamination": decontaminate.ORACLE_SQL, "op3_ngram_jaccard_join": jaccard.ORACLE_SQL, "op8_quality_rules": quality_rules.ORACLE_SQL, "op12_merkle_manifest": merkle.ORACLE_SQL}
