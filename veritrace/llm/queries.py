@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations, decontaminate, html_extract, jaccard, langid, licenses, masked_lm, merkle, mixing, quality_model, quality_rules, token_prefix
+from . import conversations, decontaminate, html_extract, jaccard, langid, licenses, lines, masked_lm, merkle, mixing, quality_model, quality_rules, token_prefix
 from .common import table
 
 
@@ -55,6 +55,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.digest(table(spark, sf_dir, "documents"))
 
@@ -64,8 +68,8 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_ngram_jaccard_join, op4_quality_classifier, op5_html_extraction, op6_token_counts, op7_mixing, op8_quality_rules, op9_lm_scoring, op10_license_scan, op12_merkle_manifest, op13_conversation_repair)}
+    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_ngram_jaccard_join, op4_quality_classifier, op5_html_extraction, op6_token_counts, op7_mixing, op8_quality_rules, op9_lm_scoring, op10_license_scan, op11_line_dedup, op12_merkle_manifest, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontaminate.ORACLE_SQL, "op3_ngram_jaccard_join": jaccard.ORACLE_SQL, "op8_quality_rules": quality_rules.ORACLE_SQL, "op12_merkle_manifest": merkle.ORACLE_SQL, "op13_conversation_repair": conversations.ORACLE_SQL}
+    return {"op1_decontamination": decontaminate.ORACLE_SQL, "op3_ngram_jaccard_join": jaccard.ORACLE_SQL, "op8_quality_rules": quality_rules.ORACLE_SQL, "op11_line_dedup": lines.ORACLE_SQL, "op12_merkle_manifest": merkle.ORACLE_SQL, "op13_conversation_repair": conversations.ORACLE_SQL}
