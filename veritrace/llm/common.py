@@ -67,7 +67,7 @@ def partitions_for(df: DataFrame, bytes_each: int = 32 << 20, most: int = 1 << 2
     """Partitions for a shuffle that grows with the input: the session's number, or more for a large scan."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(least, min(size // bytes_each, most))
+    return max(least, min(size // bytes_each, most)) if size < 1 << 60 else least  # Spark's word for an unknown size
 
 
 def least_by_hash(df: DataFrame, rows: int, *keys: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import lean, partitions_for, written
+from .common import lean, written
 from .merkle import crc32_sql
 from .ranking import group_key, ranked
 
@@ -225,7 +225,7 @@ def _in_order(blocks: DataFrame, f, schema: str, backwards: bool = False) -> Dat
                 yield from _table(out, schema).to_batches()
 
     order = F.desc("block") if backwards else F.asc("block")
-    return blocks.repartition(partitions_for(blocks), "key").sortWithinPartitions("key", order).mapInArrow(lean(stream), schema)
+    return blocks.repartition("key").sortWithinPartitions("key", order).mapInArrow(lean(stream), schema)
 
 
 # --- conversations of several blocks
@@ -329,7 +329,7 @@ def _assembled(sized: DataFrame) -> DataFrame:
         if state is not None:
             yield from _table([done()], _REPORT).to_batches()
 
-    return sized.repartition(partitions_for(sized), "key").sortWithinPartitions("key", "block").mapInArrow(lean(stream), _REPORT)
+    return sized.repartition("key").sortWithinPartitions("key", "block").mapInArrow(lean(stream), _REPORT)
 
 
 def _parts(rows: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, mixed, partitions_for, written
+from .common import lean, mixed, written
 
 #: Characters of a key that counts, and documents that must hold it.
 LEAST, MANY = 20, 3
