@@ -97,3 +97,24 @@ def test_question_kinds(spark):
     assert [k(x) for x in ("How many moons", "In which year", "When did", "Who is", "Which city", "Which album", "Which navy", "Name it")] == ["count", "year", "time", "person", "place", "work", "org", "other"]
     same = lambda a, b: one(spark, P.same_value(F.col("a"), F.col("b")), a=a, b=b)
     assert same("St. Louis", "st louis") and same("Keatsian", "Keats") and not same("ab", "abc") and not same("", "x")
+
+
+def test_categories_are_of_the_whole_output(spark):
+    """Worked by hand: aliases anywhere in the output, refusals in its first sentence, only an empty output is empty."""
+    c = lambda r: one(spark, T.categorize(F.col("r"), F.array(F.lit("42"), F.lit("")), F.array(F.lit("41"))), r=r)
+    said = {"Sure. It is 42.": "new", "It was 41. Later 42.": "new", "It was 41. Later 420.": "old", "Answer:": "other", "": "empty", "Unknown. Sorry.": "refusal", "Well. Unknown.": "other", " ": "other"}
+    assert {r: c(r) for r in said} == said
+
+
+def test_recalls_are_of_normalised_tokens(spark):
+    r = lambda f, q, p: one(spark, f(T.answer_tokens("q"), T.answer_tokens("p")), q=q, p=p)
+    assert r(T.unigram_recall, "Don't stop the music", "dont stop music") == 1.0
+    assert r(T.unigram_recall, "a b b c", "b") == 2 / 3 and r(T.unigram_recall, "the", "x") == 0.0
+    assert r(T.bigram_recall, "x y x y z", "x y, the y z") == 2 / 3 and r(T.bigram_recall, "x", "x") == 0.0
+
+
+def test_prompts_word_by_word(spark):
+    p = lambda c, chat: one(spark, T.prompt(F.lit("Who?"), F.col("c"), chat), c=c)
+    assert p("It was he.", False) == "Read the following context and answer the question with the shortest possible answer. Strictly follow the context; if the context says a value, use that exact value.\nContext: It was he.\n\nQ: Who?\nA: The answer is"
+    assert p("", True) == "Answer the question with the shortest possible answer.\nQ: Who?\nA:"
+    assert p(None, T.is_instruct(F.lit("m-Instruct"))).endswith("A:") and p(None, T.is_instruct(F.lit("Instruct-m"))).endswith("is")

@@ -192,3 +192,10 @@ def test_edited_paragraphs(spark):
     p = spark.createDataFrame([(1, 0, "old text"), (1, 1, "other"), (2, 0, "old text")], "question_id int, ord int, text string")
     e = spark.createDataFrame([(1, "old text", "new text")], "question_id int, old_passage string, new_passage string")
     assert {(r.question_id, r.ord): r.text for r in S.edited_paragraphs(p, e).collect()} == {(1, 0): "new text", (1, 1): "other", (2, 0): "old text"}
+
+
+def test_gate4_goes_by_its_own_limit(spark):
+    rows = spark.createDataFrame([(m, "new" if k < n else "old") for m, n in (("a", 38), ("b", 35), ("c", 20)) for k in range(40)], "model string, cls string")
+    verdicts = lambda df: {r.model: (r.passed, r.verdict) for r in df.collect()}
+    assert verdicts(V.gate4(rows, "model")) == {"a": (True, "GO"), "b": (False, "REVISE"), "c": (False, "ABANDON")}
+    assert verdicts(V.gate4(rows, "model", large=F.lit(True)))["b"] == (True, "GO")

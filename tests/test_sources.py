@@ -164,3 +164,31 @@ def test_pages_of_leaves_no_hit_out(spark):
     ask = spark.createDataFrame([(1, "foo bar", ["X-ray", ""]), (2, "foo bar", ["é", "foo"]), (3, "foo bar", ["bar's"]), (4, "foo bar", ["of foo"])], "question_id int, question string, aliases array<string>")
     rows = lambda pages: sorted(map(tuple, G.windows(pages, least=0).collect()))
     assert rows(G.pages_of(ask, docs)) == rows(ask.crossJoin(docs)) != []
+
+
+def test_breakdown_is_of_strict_failures(spark):
+    rows = spark.createDataFrame([("42",), ("Sure. It is 42.",), ("41.",), ("",), ("not mentioned",), ("x",)], "raw string")
+    r = X.compliance(rows.select("raw", F.array(F.lit("42")).alias("new_aliases"), F.array(F.lit("41")).alias("old_aliases"))).first()
+    assert (r.n, r.strict_new, r.lenient_new) == (6, round(1 / 6, 9), round(2 / 6, 9)) and (r.n_empty, r.n_new, r.n_old, r.n_refusal, r.n_other) == (1, 1, 1, 1, 1)
+
+
+def test_a_model_is_loaded_once_for_a_partition(spark):
+    def counted(batches):
+        loads = {"n": 0}
+        loads["n"] += 1
+        for k, b in enumerate(batches):
+            yield b["question"].map(lambda q: f"{q}|{loads['n']}|{k}")
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows = spark.range(0, 10, 1, 1).select("id", F.concat(F.lit("q"), "id").alias("question"), F.lit("").alias("context"))
+        got = [r.raw_output for r in X.from_batches(counted)(rows).orderBy("id").collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == [f"q{k}|1|{k // 3}" for k in range(10)]
+
+
+def test_flags_are_the_words_of_the_sheets(spark):
+    from veritrace.sources.readers import FALSE_WORDS, TRUE_WORDS
+
+    assert "合格" in TRUE_WORDS and "不合格" in FALSE_WORDS and not {"√", "×"} & {*TRUE_WORDS, *FALSE_WORDS}

@@ -152,9 +152,9 @@ def is_refusal(raw: Column) -> Column:
 
 
 def categorize(raw: Column, new: Column, old: Column) -> Column:
-    """empty, new, old, refusal or other, by whole words."""
-    said = F.lower(extract_answer(raw))
-    holds = lambda xs: F.exists(F.filter(F.transform(xs, lambda a: F.lower(strip(a))), lambda a: a != ""), lambda a: contains_whole(said, a))
+    """empty, new, old, refusal or other: aliases are looked for in the whole output, refusals in the extracted answer."""
+    said = F.lower(_text(raw))
+    holds = lambda xs: F.exists(F.filter(F.transform(xs, F.lower), lambda a: a != ""), lambda a: contains_whole(said, a))
     return F.when(said == "", "empty").when(holds(new), "new").when(holds(old), "old").when(is_refusal(raw), "refusal").otherwise("other")
 
 
@@ -205,14 +205,34 @@ def ngrams(tokens: Column, n: int) -> Column:
 
 
 def unigram_recall(question: Column, passage: Column) -> Column:
-    """Share of the question's tokens (as often as they occur) that the passage has."""
+    """Share of the question's answer_tokens (as often as they occur) that the passage has."""
     hit = F.size(F.filter(question, lambda w: F.array_contains(passage, w)))
     return F.coalesce(F.try_divide(hit.cast("double"), F.size(question).cast("double")), F.lit(0.0))
 
 
-def prompt(question: Column, context: Column) -> Column:
-    """Prompt with a context, or without where it is null or empty."""
-    ask = F.concat(F.lit("Q: "), question, F.lit("\nA:"))
-    return F.when(F.coalesce(context, F.lit("")) == "", F.concat(F.lit("Answer the question with the shortest possible answer.\n"), ask)).otherwise(
-        F.concat(F.lit("Answer the question based on the context.\nContext: "), context, F.lit("\n\n"), ask)
-    )
+def bigram_recall(question: Column, passage: Column) -> Column:
+    """Share of the question's distinct pairs of neighbouring answer_tokens that the passage has."""
+    q, p = F.array_distinct(ngrams(question, 2)), ngrams(passage, 2)
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(q, p)).cast("double"), F.size(q).cast("double")), F.lit(0.0))
+
+
+# What a prompt says with and without a context, and how it ends for base and for chat models.
+WITH_CONTEXT = (
+    "Read the following context and answer the question with the shortest possible answer. "
+    "Strictly follow the context; if the context says a value, use that exact value.\n"
+)
+WITHOUT_CONTEXT = "Answer the question with the shortest possible answer.\n"
+PROMPT_END = "A: The answer is"
+CHAT_END = "A:"
+
+
+def prompt(question: Column, context: Column, chat: Column | bool = False) -> Column:
+    """Prompt with a context, or without where it is null or empty; chat models get no opening of an answer."""
+    end = F.when(F.lit(chat) if isinstance(chat, bool) else chat, CHAT_END).otherwise(PROMPT_END)
+    ask = F.concat(F.lit("Q: "), question, F.lit("\n"), end)
+    return F.when(F.coalesce(context, F.lit("")) == "", F.concat(F.lit(WITHOUT_CONTEXT), ask)).otherwise(F.concat(F.lit(WITH_CONTEXT + "Context: "), context, F.lit("\n\n"), ask))
+
+
+def is_instruct(model: Column) -> Column:
+    """Whether a model is one that takes chat prompts, by its name."""
+    return F.endswith(model, F.lit("-Instruct"))

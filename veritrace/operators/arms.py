@@ -7,6 +7,7 @@ behind an iterator of batches is wrapped by `from_batches`. Closed-book arms sha
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -29,18 +30,28 @@ def stub(memory: Column | None = None) -> Generator:
     return lambda rows: rows.withColumn("raw_output", said)
 
 
-def from_batches(generate: Callable[[Iterator[pd.DataFrame]], Iterator[pd.Series]]) -> Generator:
-    """A generator from a function over batches of prompts, run by Arrow where the rows are."""
+def from_batches(generate: Callable[[Iterator[pd.DataFrame]], Iterator[pd.Series]], chat: Column | bool = False) -> Generator:
+    """A generator from a function over the batches of a partition, run by Arrow where the rows are.
+
+    `generate` is called once for a partition, so what it loads is loaded once, and yields the outputs of each batch in turn."""
 
     def run(rows: DataFrame) -> DataFrame:
-        prompts = rows.withColumn("prompt", T.prompt(F.col("question"), F.col("context")))
+        prompts = rows.withColumn("prompt", T.prompt(F.col("question"), F.col("context"), chat))
         schema = ", ".join(f"{c} {t}" for c, t in prompts.dtypes) + ", raw_output string"
 
         def apply(batches):
-            for b in batches:
-                b = b.copy()
-                b["raw_output"] = next(iter(generate(iter([b]))))
-                yield b
+            waiting = deque()
+
+            def given():
+                for b in batches:
+                    waiting.append(b)
+                    yield b
+
+            for said in generate(given()):
+                b = waiting.popleft()
+                yield b.assign(raw_output=pd.Series(said).to_numpy())
+            if waiting:
+                raise ValueError(f"{len(waiting)} batches have no outputs")
 
         return prompts.mapInPandas(apply, schema).drop("prompt")
 
@@ -76,12 +87,12 @@ def rescored(rows: DataFrame) -> DataFrame:
 
 
 def compliance(rows: DataFrame, *keys: str) -> DataFrame:
-    """Strict and lenient compliance and what failures look like. rows: raw, new_aliases, old_aliases."""
+    """Strict and lenient compliance, and the kinds of outputs that fail strictly. rows: raw, new_aliases, old_aliases."""
     strict = T.classify_output(F.col("raw"), F.col("new_aliases"), F.col("old_aliases"))
     kind = T.categorize(F.col("raw"), F.col("new_aliases"), F.col("old_aliases"))
     r = rows.select(*keys, strict.alias("strict"), kind.alias("kind"))
     share = lambda c: F.round(F.avg(c.cast("int")), 9)
-    return r.groupBy(*keys).agg(F.count("*").alias("n"), share(F.col("strict") == "new").alias("strict_new"), share(F.col("kind") == "new").alias("lenient_new"), *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("empty", "old", "refusal", "other")])
+    return r.groupBy(*keys).agg(F.count("*").alias("n"), share(F.col("strict") == "new").alias("strict_new"), share(F.col("kind") == "new").alias("lenient_new"), *[F.count_if((F.col("kind") == k) & (F.col("strict") != "new")).alias(f"n_{k}") for k in ("empty", "new", "old", "refusal", "other")])
 
 
 def hit_tags(hits: DataFrame) -> DataFrame:

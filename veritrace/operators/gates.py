@@ -75,7 +75,7 @@ def gate4(rows: DataFrame, *keys: str, large: Column | None = None) -> DataFrame
     lim = SETTINGS.gates[4]
     g = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg((F.col("cls") == "new").cast("int")).alias("rate"))
     least = F.lit(lim.passes) if large is None else F.when(large, SETTINGS.large_model_compliance).otherwise(lim.passes)
-    return _outcome(g, list(keys), 4, F.col("n"), F.col("rate"), F.col("rate") >= least, N.verdict(F.col("rate"), lim.go, lim.abandon, lim.direction, F.col("n") >= lim.least_n))
+    return _outcome(g, list(keys), 4, F.col("n"), F.col("rate"), F.col("rate") >= least, N.verdict(F.col("rate"), least, lim.abandon, lim.direction, F.col("n") >= lim.least_n))
 
 
 def gate5(new_passage: Column, new: Column) -> Column:

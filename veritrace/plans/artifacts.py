@@ -15,7 +15,7 @@ from ..sources import readers as R
 from ..sources import sinks as K
 from ..sources.scratch import folder
 from .evidence import _EDIT
-from .fixture import FOURARM, TURNS, fourarm, table, turns
+from .fixture import FOURARM, TURNS, fourarm, table, tokens_sql, turns
 from .reports import _KNOWN, _items, _memory
 
 QUERIES: dict = {}
@@ -131,21 +131,21 @@ def file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.crossJoin(F.broadcast(K.file_hashes(spark, [path]))).select("label", F.array_join("models", ",").alias("models"), F.size("data_sha256").alias("n_files"), "length", "sha256")
 
 
-_TOKENS = "list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda x: x <> '')"
+_ASKED = "'Q: ' || text || chr(10) || CASE WHEN role = 'user' THEN 'A:' ELSE 'A: The answer is' END"
 
 
-@query(rf"""WITH {TURNS}, t AS (SELECT conv_id, turn, text, answer, {_TOKENS.format('text')} AS q, {_TOKENS.format('answer')} AS p FROM turns)
-SELECT conv_id, turn, CASE WHEN turn % 2 = 0 AND answer <> '' THEN md5('Answer the question based on the context.' || chr(10) || 'Context: ' || answer || chr(10) || chr(10) || 'Q: ' || text || chr(10) || 'A:')
-  ELSE md5('Answer the question with the shortest possible answer.' || chr(10) || 'Q: ' || text || chr(10) || 'A:') END AS prompt_md5,
+@query(rf"""WITH {TURNS}, t AS (SELECT conv_id, turn, role, text, answer, {tokens_sql('text')} AS q, {tokens_sql('answer')} AS p FROM turns)
+SELECT conv_id, turn, CASE WHEN turn % 2 = 0 AND answer <> '' THEN md5('Read the following context and answer the question with the shortest possible answer. Strictly follow the context; if the context says a value, use that exact value.' || chr(10) || 'Context: ' || answer || chr(10) || chr(10) || {_ASKED})
+  ELSE md5('Answer the question with the shortest possible answer.' || chr(10) || {_ASKED}) END AS prompt_md5,
   CASE WHEN len(q) = 0 THEN 0 ELSE round(len(list_filter(q, lambda w: list_contains(p, w))) / len(q), 9) END AS recall,
   ('0x' || right(sha256(text), 4))::BIGINT AS seed FROM t""")
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompts with and without a context, the passage's unigram recall and a seed from the text."""
+    """Prompts of base and chat models with and without a context, the passage's unigram recall and a seed from the text."""
     from ..functions import numeric as N
 
     t = turns(spark, sf_dir)
-    context = F.when(F.col("turn") % 2 == 0, F.col("answer"))
-    return t.select("conv_id", "turn", F.md5(T.prompt(F.col("text"), context)).alias("prompt_md5"), F.round(T.unigram_recall(T.bm25_tokens("text"), T.bm25_tokens("answer")), 9).alias("recall"), N.hash_mod(F.col("text"), F.lit(65536).cast("long")).alias("seed"))
+    context, model = F.when(F.col("turn") % 2 == 0, F.col("answer")), F.when(F.col("role") == "user", "m-Instruct").otherwise("m")
+    return t.select("conv_id", "turn", F.md5(T.prompt(F.col("text"), context, T.is_instruct(model))).alias("prompt_md5"), F.round(T.unigram_recall(T.answer_tokens("text"), T.answer_tokens("answer")), 9).alias("recall"), N.hash_mod(F.col("text"), F.lit(65536).cast("long")).alias("seed"))
 
 
 @query("""SELECT lang AS grp, count(*) AS n, sum((doc_id % 7 = 0)::INT)::BIGINT AS noop, round(avg((doc_id % 7 = 0)::INT), 9) AS rate, median(1 + doc_id % 3)::DOUBLE AS median_forms, round(avg(1 + doc_id % 3), 2) AS mean_forms

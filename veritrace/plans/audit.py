@@ -143,7 +143,7 @@ def gate3_answerability(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {FOURARM}, g AS (SELECT model, count(*) AS n, avg(({_CLS} = 'new')::INT) AS x FROM fourarm WHERE k = 5 GROUP BY model)
 SELECT model, 4 AS gate_id, n, round(x, 9) AS value, CASE WHEN n >= 30 THEN x >= 0.9 END AS passed, CASE WHEN n >= 30 THEN 'JUDGED' ELSE 'INSUFFICIENT' END AS status,
-  CASE WHEN n < 30 THEN 'INSUFFICIENT' WHEN x < 0.55 THEN 'ABANDON' ELSE 'REVISE' END AS verdict FROM g"""
+  CASE WHEN n < 30 THEN 'INSUFFICIENT' WHEN x >= 0.9 THEN 'GO' WHEN x < 0.55 THEN 'ABANDON' ELSE 'REVISE' END AS verdict FROM g"""
 )
 def gate4_compliance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.gate4(_classed(spark, sf_dir), "model")

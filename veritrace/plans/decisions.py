@@ -14,7 +14,7 @@ from ..operators import retrieval as R
 from ..operators import stats as B
 from ..operators import substitute as S
 from .audit import _full
-from .fixture import FOURARM, fourarm, table
+from .fixture import FOURARM, TURNS, fourarm, pairs_sql, table, tokens_sql, turns
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -146,10 +146,12 @@ def gold_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.coalesce("gold_rank", F.lit(0)).alias("gold_rank"))
 
 
-@query("SELECT conv_id, turn, round(len(list_filter(q, lambda w: list_contains(p, w))) / greatest(len(q), 1), 9) AS unigram_recall FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z0-9]+') AS q, regexp_extract_all(lower(answer), '[a-z0-9]+') AS p FROM (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS answer FROM conversations WHERE text IS NOT NULL) WHERE answer IS NOT NULL)")
+@query(
+    f"""WITH {TURNS}, t AS (SELECT conv_id, turn, {tokens_sql('text')} AS q, {tokens_sql('answer')} AS p FROM turns), g AS (SELECT *, list_distinct({pairs_sql('q')}) AS qb, {pairs_sql('p')} AS pb FROM t)
+SELECT conv_id, turn, round(CASE WHEN len(q) = 0 THEN 0 ELSE len(list_filter(q, lambda w: list_contains(p, w))) / len(q) END, 9) AS unigram_recall,
+  round(CASE WHEN len(qb) = 0 THEN 0 ELSE len(list_filter(qb, lambda w: list_contains(pb, w))) / len(qb) END, 9) AS bigram_recall FROM g"""
+)
 def unigram_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of a turn's tokens that the next turn has."""
-    from .fixture import turns
-
-    t = turns(spark, sf_dir).select("conv_id", "turn", T.bm25_tokens("text").alias("q"), T.bm25_tokens("answer").alias("p"))
-    return t.select("conv_id", "turn", F.round(T.unigram_recall(F.col("q"), F.col("p")), 9).alias("unigram_recall"))
+    """Shares of a turn's tokens and pairs of tokens that the next turn has."""
+    t = turns(spark, sf_dir).select("conv_id", "turn", T.answer_tokens("text").alias("q"), T.answer_tokens("answer").alias("p"))
+    return t.select("conv_id", "turn", *[F.round(f(F.col("q"), F.col("p")), 9).alias(f.__name__) for f in (T.unigram_recall, T.bigram_recall)])

@@ -12,7 +12,7 @@ from ..operators import injection as I
 from ..operators import pool as P
 from ..operators import retrieval as R
 from ..operators import substitute as S
-from .fixture import TURNS, first_line_sql, norm_sql, table, turns
+from .fixture import TURNS, first_line_sql, norm_sql, table, tokens_sql, turns
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -113,7 +113,7 @@ LEAST_RECALL = 0.8
 
 
 @query(
-    f"""WITH q AS (SELECT item_id, {_TOK} AS w FROM benchmark), d AS (SELECT doc_id, {_TOK} AS w FROM documents), qb AS (SELECT DISTINCT item_id, unnest({_BI}) AS g FROM q), n AS (SELECT item_id, count(*) AS n FROM qb GROUP BY 1),
+    f"""WITH q AS (SELECT item_id, {tokens_sql('text')} AS w FROM benchmark), d AS (SELECT doc_id, {tokens_sql('text')} AS w FROM documents), qb AS (SELECT DISTINCT item_id, unnest({_BI}) AS g FROM q), n AS (SELECT item_id, count(*) AS n FROM qb GROUP BY 1),
 db AS (SELECT DISTINCT doc_id, unnest({_BI}) AS g FROM d WHERE len(w) > 1), hit AS (SELECT item_id, doc_id, count(*) AS h FROM qb JOIN db USING (g) GROUP BY ALL)
 SELECT item_id, doc_id, round(h / n, 9) AS bigram_recall FROM hit JOIN n USING (item_id) WHERE h >= {LEAST_RECALL} * n"""
 )
@@ -124,8 +124,8 @@ def leak_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
     only those are joined; the rest of the item's bigrams are counted for these candidates."""
     # bigrams as 64-bit hashes; the tokens are bound to a variable so that they are made once
     pairs = lambda t: F.transform(F.sequence(F.lit(0), F.size(t) - 2), lambda i: F.xxhash64(F.get(t, i), F.get(t, i + 1)))
-    bi = lambda c: F.array_distinct(F.element_at(F.transform(F.array(T.bm25_tokens(c)), pairs), 1))
-    two = F.size(T.bm25_tokens("text")) >= 2
+    bi = lambda c: F.array_distinct(F.element_at(F.transform(F.array(T.answer_tokens(c)), pairs), 1))
+    two = F.size(T.answer_tokens("text")) >= 2
     items = table(spark, sf_dir, "benchmark").where(two).select("item_id", bi("text").alias("g"))
     gram = items.select("item_id", F.size("g").alias("n"), F.explode("g").alias("gram"))
     docs = table(spark, sf_dir, "documents").where(two).select("doc_id", bi("text").alias("g"))

@@ -58,6 +58,16 @@ def norm_sql(x: str) -> str:
     return f"array_to_string(list_filter(string_split_regex(regexp_replace(lower(trim({x})), '[[:punct:]]', '', 'g'), '\\s+'), lambda w: w NOT IN ('', 'a', 'an', 'the')), ' ')"
 
 
+def tokens_sql(x: str) -> str:
+    """Tokens of a normalised answer."""
+    return f"list_filter(string_split({norm_sql(x)}, ' '), lambda w: w <> '')"
+
+
+def pairs_sql(w: str) -> str:
+    """Neighbouring tokens of a list."""
+    return f"list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1])"
+
+
 def first_line_sql(x: str) -> str:
     """The extracted answer."""
     line = f"trim(split_part(trim({x}, e' \\n\\t\\r'), e'\\n', 1), e' \\t\\r')"

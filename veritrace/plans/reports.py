@@ -15,7 +15,7 @@ from ..operators import pool as P
 from ..operators import stats as B
 from .audit import _REPS, _boot_sql, _full, _replicates
 from .evidence import _EDIT, _edited
-from .fixture import FOURARM, fourarm, table
+from .fixture import FOURARM, TURNS, first_line_sql, fourarm, norm_sql, table, turns
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -61,16 +61,19 @@ def rescored_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.rescored(raw).groupBy("scope").agg(F.count("*").alias("n"), *[F.round(F.avg(k), 9).alias(k) for k in "abcd"])
 
 
+_REFUSALS = ", ".join("'" + x.replace("'", "''") + "'" for x in T.REFUSALS)
+_HOLDS = lambda a: f"({a} <> '' AND regexp_matches(lower(answer), '(^|[^0-9a-z])' || regexp_escape(lower({a})) || '([^0-9a-z]|$)'))"
+
+
 @query(
-    """WITH x AS (SELECT role, CASE turn % 4 WHEN 0 THEN 'The answer is 42. More.' WHEN 1 THEN 'I do not think; it is not mentioned' WHEN 2 THEN '41' ELSE '' END AS raw FROM conversations)
-SELECT role, count(*) AS n, round(avg((raw LIKE '%42%')::INT), 9) AS strict_new, round(avg((raw LIKE '%42%')::INT), 9) AS lenient_new, count(*) FILTER (WHERE raw = '') AS n_empty, count(*) FILTER (WHERE raw = '41') AS n_old, count(*) FILTER (WHERE raw LIKE '%mentioned%') AS n_refusal, 0::BIGINT AS n_other FROM x GROUP BY role"""
+    f"""WITH {TURNS}, w AS (SELECT *, string_split(text, ' ') AS w FROM turns), x AS (SELECT role, answer, w[1] AS new, coalesce(w[2], '') AS old, {norm_sql(first_line_sql('answer'))} AS said FROM w),
+y AS (SELECT role, said = {norm_sql('new')} AS strict, CASE WHEN answer = '' THEN 'empty' WHEN {_HOLDS('new')} THEN 'new' WHEN {_HOLDS('old')} THEN 'old' WHEN list_aggregate(list_transform([{_REFUSALS}], lambda m: contains(lower({first_line_sql('answer')}), m)), 'bool_or') THEN 'refusal' ELSE 'other' END AS kind FROM x)
+SELECT role, count(*) AS n, round(avg(strict::INT), 9) AS strict_new, round(avg((kind = 'new')::INT), 9) AS lenient_new, {', '.join(f"count(*) FILTER (WHERE NOT strict AND kind = '{k}') AS n_{k}" for k in ('empty', 'new', 'old', 'refusal', 'other'))} FROM y GROUP BY role"""
 )
 def compliance_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = F.pmod("turn", F.lit(4))
-    raw = F.when(m == 0, "The answer is 42. More.").when(m == 1, "I do not think; it is not mentioned").when(m == 2, "41").otherwise("")
-    # the refusal is said in the second sentence, so the raw output is passed with its mark first
-    raw = F.when(m == 1, "it is not mentioned").otherwise(raw)
-    rows = table(spark, sf_dir, "conversations").select("role", raw.alias("raw"), F.array(F.lit("42")).alias("new_aliases"), F.array(F.lit("41")).alias("old_aliases"))
+    """Turns as outputs: the first word of the turn before is the new answer, its second the old one."""
+    word = lambda k: F.array(F.coalesce(F.get(F.split("text", " "), k), F.lit("")))
+    rows = turns(spark, sf_dir).select("role", F.col("answer").alias("raw"), word(0).alias("new_aliases"), word(1).alias("old_aliases"))
     return X.compliance(rows, "role")
 
 

@@ -148,8 +148,8 @@ def last_per_key(rows: DataFrame, key: str, ord_: str) -> DataFrame:
 
 
 # What sheets may hold for true and false.
-TRUE_WORDS = ("true", "1", "yes", "y", "t", "是", "对", "√")
-FALSE_WORDS = ("false", "0", "no", "n", "f", "否", "错", "×")
+TRUE_WORDS = ("是", "true", "t", "1", "y", "yes", "对", "合格")
+FALSE_WORDS = ("否", "false", "f", "0", "n", "no", "错", "不合格")
 
 
 def sheet(spark: SparkSession, path: str, columns: dict[str, tuple[str, ...]], flags: tuple[str, ...]) -> DataFrame:
