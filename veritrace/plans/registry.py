@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import artifacts, audit, decisions, evidence, reports
+from . import artifacts, audit, decisions, evidence, reports, resampling
 
-QUERIES = {**audit.QUERIES, **evidence.QUERIES, **reports.QUERIES, **decisions.QUERIES, **artifacts.QUERIES}
-SQL = {**audit.SQL, **evidence.SQL, **reports.SQL, **decisions.SQL, **artifacts.SQL}
+QUERIES = {**audit.QUERIES, **evidence.QUERIES, **reports.QUERIES, **decisions.QUERIES, **artifacts.QUERIES, **resampling.QUERIES}
+SQL = {**audit.SQL, **evidence.SQL, **reports.SQL, **decisions.SQL, **artifacts.SQL, **resampling.SQL}
