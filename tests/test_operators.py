@@ -199,3 +199,30 @@ def test_gate4_goes_by_its_own_limit(spark):
     verdicts = lambda df: {r.model: (r.passed, r.verdict) for r in df.collect()}
     assert verdicts(V.gate4(rows, "model")) == {"a": (True, "GO"), "b": (False, "REVISE"), "c": (False, "ABANDON")}
     assert verdicts(V.gate4(rows, "model", large=F.lit(True)))["b"] == (True, "GO")
+
+
+def test_automaton_finds_every_pattern(spark):
+    import random
+
+    from veritrace.operators import automaton as M
+
+    r = random.Random(8)
+    word = lambda n: "".join(r.choices("abé", k=n))
+    texts = [word(r.randrange(40)) for _ in range(60)] + [None, ""]
+    names = sorted({word(r.randrange(1, 5)) for _ in range(50)}) + ["", None]
+    t = spark.createDataFrame([*enumerate(texts)], "found_id int, text string").withColumnRenamed("found_id", "id")
+    p = spark.createDataFrame([(x,) for x in names], "name string")
+    for block in (M.BLOCK_BYTES, 40):  # one block, and several
+        rows = M.occurring(t, "text", p, "name", block).select("id", F.explode("found").alias("x")).collect()
+        assert sorted((x.id, x.x) for x in rows) == sorted((i, x) for i, text in enumerate(texts) for x in names if x and text and x in text)
+    assert M.occurring(t, "text", p.where("false"), "name").count() == 0
+
+
+def test_cooccurrences_without_nested_loops(spark):
+    texts = ["Ann met Bob in Rome", "Bob went to ROME", None, "ann", "Rome Ann", ""]
+    pairs = [("Ann", "Rome"), ("Bob", "rome"), ("Bob", "Paris"), ("", "Rome"), ("", ""), ("Ann", "nn")]
+    df = P.cooccurrences(spark.createDataFrame(pairs, "subject string, value string"), spark.createDataFrame([(t,) for t in texts], "text string"), block_bytes=6)
+    want = {(s, v): sum(t is not None and s.lower() in t.lower() and v.lower() in t.lower() for t in texts) for s, v in pairs}
+    assert {(r.subject, r.value): r.n for r in df.collect()} == want
+    plan = P.cooccurrences(spark.createDataFrame([p for p in pairs if all(p)], "subject string, value string"), spark.createDataFrame([(t,) for t in texts], "text string"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("NestedLoop") <= 1  # of the one row that counts all paragraphs

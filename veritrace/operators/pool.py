@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..config import SETTINGS
 from ..functions import numeric as N
 from ..functions import text as T
+from . import automaton as M
 
 # Question kinds by their wording, tried in this order.
 QUESTION_KINDS = (
@@ -139,16 +140,26 @@ def borrow_names(targets: DataFrame, pool: DataFrame, typed: bool = SETTINGS.str
     return numbered.where(F.col("i") == N.hash_mod(F.concat_ws("|", F.col("question_id").cast("string"), "old"), F.col("n"))).select("question_id", "old", F.col("value").alias("new"), "level", F.col("n").alias("n_candidates"))
 
 
-def cooccurrences(pairs: DataFrame, paragraphs: DataFrame) -> DataFrame:
+def cooccurrences(pairs: DataFrame, paragraphs: DataFrame, block_bytes: int = M.BLOCK_BYTES) -> DataFrame:
     """Paragraphs that hold both strings of each pair, in lower case, anywhere; 0 where none does. pairs: subject, value.
 
-    Paragraphs that hold a subject are found once; values are looked for in those alone."""
-    low = paragraphs.select(F.lower("text").alias("text"))
-    subject = pairs.select(F.lower("subject").alias("s")).distinct()
-    held = low.join(subject, F.contains("text", "s"))
+    One automaton finds the subjects of each paragraph; the pairs of those subjects, joined by equality, are then sought in
+    what another finds of their values. An empty string is in every paragraph."""
     both = pairs.select("subject", "value", F.lower("subject").alias("s"), F.lower("value").alias("v")).distinct()
-    n = both.join(held, "s").where(F.contains("text", "v")).groupBy("subject", "value").agg(F.count("*").alias("n"))
-    return both.select("subject", "value").join(n, ["subject", "value"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    low = paragraphs.select(F.monotonically_increasing_id().alias("id"), F.lower("text").alias("text")).where(F.col("text").isNotNull())
+    names = both.select(F.explode(F.array("s", "v")).alias("name"))
+    found = M.occurring(low, "text", names, "name", block_bytes).select("id", F.explode("found").alias("name"))
+    found = found.groupBy("id").agg(F.collect_set("name").alias("found"))  # of one text, which holds them all
+    held = found.select("found", F.explode("found").alias("s"))
+    some = both.where("s <> '' AND v <> ''")
+    n = some.join(held, "s").where(F.array_contains("found", F.col("v"))).groupBy("subject", "value").agg(F.count("*").alias("n"))
+    # pairs with an empty side: counts of the other one, or of all paragraphs
+    one = held.groupBy(F.col("s").alias("name")).agg(F.count("*").alias("n"))
+    half = both.where("(s = '') <> (v = '')").withColumn("name", F.concat("s", "v")).join(one, "name").select("subject", "value", "n")
+    none = both.where("s = '' AND v = ''").join(F.broadcast(low.agg(F.count("*").alias("n")))).select("subject", "value", "n")  # one row
+    counts = n.unionByName(half).unionByName(none)
+    out = both.select("subject", "value").join(counts, ["subject", "value"], "left")
+    return out.withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def alias_closure(answers: DataFrame) -> DataFrame:
