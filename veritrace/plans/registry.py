@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import artifacts, audit, corpora, decisions, evidence, reports, resampling
+from . import artifacts, audit, corpora, decisions, dense, evidence, reports, resampling
 
-QUERIES = {**audit.QUERIES, **evidence.QUERIES, **reports.QUERIES, **decisions.QUERIES, **artifacts.QUERIES, **resampling.QUERIES, **corpora.QUERIES}
-SQL = {**audit.SQL, **evidence.SQL, **reports.SQL, **decisions.SQL, **artifacts.SQL, **resampling.SQL, **corpora.SQL}
+QUERIES = {**audit.QUERIES, **evidence.QUERIES, **reports.QUERIES, **decisions.QUERIES, **artifacts.QUERIES, **resampling.QUERIES, **corpora.QUERIES, **dense.QUERIES}
+SQL = {**audit.SQL, **evidence.SQL, **reports.SQL, **decisions.SQL, **artifacts.SQL, **resampling.SQL, **corpora.SQL, **dense.SQL}
