@@ -373,6 +373,44 @@ def test_attributes_drop_no_article_text():
     for mark in ("hidden", "hidden=''", 'HIDDEN class="x"', 'aria-hidden="true"', 'class="x ad"', 'class="comments"', 'id="disqus_thread"', 'class="related-posts"', 'role="navigation"', 'class="cookie-notice"'):
         assert _kept(f"<article>text<div {mark}>no</div></article>") == "text", mark
     assert _kept("<article hidden>no</article>") == ""
+    for name in ("reader-comments", "user-comments", "ad-banner", "promo-box", "site-notice", "ad_slot_2", "comments-wrapper"):
+        for kind in ("class", "id"):
+            assert _kept(f"<article>text<div {kind}={name}>no</div></article>") == "text", name
+    for name in ("side-effects", "social-history", "search-algorithm", "section-header", "entry-header", "legal-history", "related-work", "notice-board", "post-header"):
+        assert _kept(f"<body><div class={name}><p>text</p></div></body>") == "text", name
+        assert _kept(f"<article><div class={name}><p>text</p></div></article>") == "text", name
+    for name in ("site-header", "page-header", "header", "side", "share-bar", "related-posts", "search-form", "notice", "main-nav", "left-sidebar"):
+        assert _kept(f"<body><div class={name}><p>no</p></div><p>text</p></body>") == "text", name
+
+
+def test_long_texts_are_cut_without_a_difference(monkeypatch):
+    import numpy as np
+
+    from veritrace.llm import langid
+
+    texts = ["Ein kurzer Text.", "", "ΑΣ ΣΑΣ é" * 40, "x", "ab" * 33]
+
+    def plain(text):  # each n-gram by itself
+        out = {}
+        low = text.lower()
+        for n in langid.ORDERS:
+            for at in range(len(low) - n + 1):
+                h = np.uint32(n)
+                for k, c in enumerate(low[at : at + n]):
+                    h = np.uint32((int(h ^ np.uint32(ord(c))) * int(langid._FACTOR[k % 3])) & 0xFFFFFFFF)
+                    h ^= h >> np.uint32(15)
+                column = int(h) >> (32 - langid.BITS)
+                out[column] = out.get(column, 0) + 1
+        return out
+
+    r = np.random.default_rng(4)
+    model = langid.Model(["a", "b"], r.random((1 << langid.BITS, 3)).astype(np.float32), r.random(2), 1.0)
+    whole = model.logits(texts)
+    for size in (1 << 18, 1, 2, 3, 7, 50):
+        monkeypatch.setattr(langid, "CHUNK", size)
+        for t in texts:
+            assert dict(zip(*(x.tolist() for x in langid.counts(t)))) == plain(t), size
+        assert np.allclose(model.logits(texts), whole, rtol=1e-5)
 
 
 # --- 6: token counts

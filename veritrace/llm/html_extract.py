@@ -63,10 +63,28 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: A whole attribute, so that nothing is read out of another one's name or value.
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words of class, id and role that mark a part as no article.
+#: Parts of class, id and role that mark an element outside an article as no article, whatever is beside them,
 _NOT_ARTICLE = re.compile(
-    r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|header|masthead|footer|foot|sidebar|side|aside|breadcrumb\w*|cookie\w*|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|search|share|sharing|social|related|recommend\w*|comment\w*|disqus|repl(?:y|ies)|respond|widget|toolbar|pagination|pager|legal|copyright|contentinfo|navigation|complementary|dialog|form)(?=$|[\s_-])"
+    r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|masthead|footer|foot|sidebar|aside|breadcrumb\w*|cookie\w*|consent|gdpr|popup|modal|overlay|newsletter|subscri\w*|signup|login|comment\w*|disqus|repl(?:y|ies)|respond|widget|toolbar|pagination|pager|copyright|contentinfo|navigation|complementary)(?=$|[\s_-])"
 )
+#: and words that mark one only where all parts of the name are among these or the general ones below.
+_PARTS = frozenset("header side notice alert share sharing social search related recommend recommended recommendations legal dialog form".split())
+#: Words for reader comments, adverts and notices, which mark an element in an article in a name that has general ones beside them.
+_WITHIN_PARTS = frozenset("comment comments ad ads advert adverts advertisement promo promos promotion sponsor sponsored banner notice cookie cookies consent newsletter subscribe signup popup modal disqus".split())
+_GENERAL = frozenset(
+    "reader readers user users visitor site page global top bottom left right inner outer box container wrapper wrap block panel pane list area section slot unit bar links link buttons button icons items thread respond widget strip row col column module group media feed posts articles stories content main primary secondary small large sticky fixed overlay close".split()
+)
+#: Words that make a header that of a text.
+_OF_TEXT = frozenset("section entry article post chapter content story main".split())
+_PART = re.compile(r"[\s_-]+")
+
+
+def _compound(name: str, words: frozenset) -> bool:
+    """One of the words, with nothing but general words and others of them beside it; numbers count as general."""
+    held = [p for p in _PART.split(name.lower()) if p and not p.isdigit()]
+    return any(p in words for p in held) and all(p in words or p in _GENERAL for p in held) and not ("header" in held and any(p in _OF_TEXT for p in held))
+
+
 _NO_ARTICLE_ITSELF = re.compile(r"(?i)comments?|comment-\w+|reply|replies|ads?|advert\w*|promo|sponsored|related|teaser")
 #: Inside an article words are common in names of sections, so only whole names count: these of class, id and role,
 _WITHIN_NAMES = (
@@ -120,9 +138,10 @@ def _marks(tag: str, attributes: str, within: bool) -> tuple[str, bool]:
             continue
         if large or within:
             whole = _NO_ARTICLE_ITSELF if large else _WITHIN_ID if name == "id" else _WITHIN
-            skip = any(map(whole.fullmatch, [value.strip()] if name == "aria-label" else value.split()))
+            names = [value.strip()] if name == "aria-label" else value.split()
+            skip = any(map(whole.fullmatch, names)) or not large and name in ("class", "id") and any(len(_PART.split(x)) > 1 and _compound(x, _WITHIN_PARTS) for x in names)
         else:
-            skip = bool(_NOT_ARTICLE.search(value))
+            skip = bool(_NOT_ARTICLE.search(value)) or any(_compound(x, _PARTS) for x in value.split())
     return held.get("class", ""), skip
 
 

@@ -3,12 +3,14 @@
 Lower-cased code points give n-grams of one to three characters, hashed into 2**BITS
 columns. Document frequencies come from every learnable document; weights are trained by
 FTRL with elastic-net penalties on a bounded sample (SAMPLE_ROWS, in the order of a hash of
-doc_id), of which CALIBRATION is kept back to fit a temperature. Every text is scored whole.
+doc_id), of which CALIBRATION is kept back to fit a temperature. Every text is scored whole,
+in parts of CHUNK code points whose sums are added.
 A text that is null or has no letter (Unicode's category L) is `und` with score 0.
 
 Odd inputs. Each row gets a row, repeated doc_ids too; a doc_id that has two languages is
 learned once for each. Ties of probability go to the language that sorts first, ties of
-the sample's hash to the lesser doc_id. Very long texts are scored whole. Without learnable
+the sample's hash to the lesser doc_id. Very long texts are scored whole, in
+memory of a few times their own size. Without learnable
 rows every text is `und`. Extra columns are not read, whatever their names.
 """
 
@@ -35,23 +37,57 @@ _LETTER = regex.compile(r"\p{L}")
 _FACTOR = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
 
+#: Code points that are looked at together; longer texts are cut, and their parts' sums added.
+CHUNK = 1 << 18
+
+
+def parts(texts: list[str]) -> Iterator[tuple[np.ndarray, list[str], np.ndarray]]:
+    """Groups of at most CHUNK code points: numbers of the texts, lower-cased parts of them, and how many n-grams start in each part.
+
+    A part reaches as far beyond its own places as the longest n-gram that starts in them."""
+    numbers, held, own, total = [], [], [], 0
+    for k, text in enumerate(texts):
+        low = text.lower()  # as a whole, as some letters depend on what is beside them
+        for at in range(0, len(low), CHUNK):
+            n = min(CHUNK, len(low) - at)
+            if total + n > CHUNK:
+                yield np.array(numbers), held, np.array(own, np.int64)
+                numbers, held, own, total = [], [], [], 0
+            numbers.append(k)
+            held.append(low[at : at + n + ORDERS[-1] - 1])
+            own.append(n)
+            total += n
+    if held:
+        yield np.array(numbers), held, np.array(own, np.int64)
+
+
 def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each order: columns of all n-grams of the texts in turn, and the text that each belongs to."""
-    lowered = [t.lower() for t in texts]
-    length = np.array([len(t) for t in lowered], np.int64)
-    points = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
-    end = np.cumsum(length)
-    owner = np.repeat(np.arange(len(texts)), length)
-    left = np.repeat(end, length) - np.arange(len(points))  # code points left in the text
-    for n in ORDERS:
-        if len(points) < n:
-            continue
-        h = np.full(len(points) - n + 1, np.uint32(n), np.uint32)
-        for k in range(n):
-            h = (h ^ points[k : len(points) - n + 1 + k]) * _FACTOR[k % 3]
-            h ^= h >> np.uint32(15)
-        inside = left[: len(h)] >= n
-        yield (h[inside] >> np.uint32(32 - BITS)).astype(np.int64), owner[: len(h)][inside]
+    """For each group of parts and each order: columns of its n-grams, and the number of the text that each belongs to."""
+    for numbers, held, own in parts(texts):
+        length = np.array([len(t) for t in held], np.int64)
+        points = np.frombuffer("".join(held).encode("utf-32-le", "surrogatepass"), np.uint32)
+        end = np.cumsum(length)
+        owner = np.repeat(numbers, length)
+        left = np.repeat(end, length) - np.arange(len(points))  # code points left in the part
+        starts = left > np.repeat(length - own, length)
+        for n in ORDERS:
+            if len(points) < n:
+                continue
+            h = np.full(len(points) - n + 1, np.uint32(n), np.uint32)
+            for k in range(n):
+                h = (h ^ points[k : len(points) - n + 1 + k]) * _FACTOR[k % 3]
+                h ^= h >> np.uint32(15)
+            inside = (left[: len(h)] >= n) & starts[: len(h)]
+            yield (h[inside] >> np.uint32(32 - BITS)).astype(np.int64), owner[: len(h)][inside]
+
+
+def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Columns of a text's n-grams and how often it has each."""
+    total = np.zeros(1 << BITS, np.int64)
+    for column, _ in grams([text]):
+        total += np.bincount(column, minlength=1 << BITS)
+    held = np.flatnonzero(total)
+    return held, total[held]
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -119,8 +155,7 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, epochs: int = 3) -> Model:
     def run(batches):
         for whole in batches:
             for b in slices(whole, "text", 1 << 20):
-                parts = [np.concatenate([c for c, _ in grams([t])] or [np.zeros(0, np.int64)]) for t in b.column(1).to_pylist()]
-                got = [np.unique(x, return_counts=True) for x in parts]
+                got = [counts(t) for t in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), b.column(2), pa.array([i.astype(np.int32).tobytes() for i, _ in got], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in got], pa.binary())],
                     ["doc_id", "lang", "i", "c"],
