@@ -325,6 +325,27 @@ def test_matching_has_the_most_pairs(monkeypatch):
     assert html_extract.match(*many)
 
 
+def varied(n, kinds, seed):
+    r = random.Random(seed)
+    return "<ul>" + "".join("<li>" + "".join(f"<span class=c{r.randrange(kinds)}>x</span>" for _ in range(3)) + "</li>" for _ in range(n)) + "</ul>"
+
+
+def test_lists_of_varied_items_match_as_plainly_and_in_seconds():
+    a, b = (html_extract.parse(varied(14, 5, seed)) for seed in (1, 2))
+    assert len(html_extract.match(a, b)) == plain_match(a, b)
+    began = time.perf_counter()
+    a, b = (html_extract.parse(varied(4000, 1000, seed)) for seed in (1, 2))
+    assert len(html_extract.match(a, b)) > 4000  # every item has a partner, and some spans
+    html_extract.merge(a, b)
+    assert time.perf_counter() - began < 60
+
+
+def test_deep_varied_trees_match():
+    deep = lambda seed: "".join(f"<div class=d{k % 7}><b class={random.Random(seed * 100_000 + k).choice('abc')}></b>" for k in range(1500))
+    a, b = html_extract.parse(deep(1)), html_extract.parse(deep(2))
+    assert len(html_extract.match(a, b)) > 1500
+
+
 def test_broken_pages_take_linear_time():
     began = time.perf_counter()
     for page_ in ('<a "' * 250_000, "<div>" * 150_000 + "</x>" * 150_000, "<a '>' " * 150_000 + "'", "<b>" * 150_000 + "<p></p>" * 100_000, "<ul>" + "<div>" * 100_000 + "<li>" * 100_000):

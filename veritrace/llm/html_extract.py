@@ -20,6 +20,9 @@ The counts behind this cover every page of the host: each page is aligned on its
 to the pattern, and (host, pattern node) counts are summed with partial sums, so that a
 host with a third of all pages is no larger for any task than another.
 
+Very long pages. Trees are matched whole: a list of n varied items against one of m takes n x m
+cells of arrays, never a Python step for a pair, and tables beyond Matching.CELLS are halved.
+
 Odd inputs. Null or empty html gives an empty text. A page without host belongs to the host
 ''. Repeated rows get a row each and count each. Broken markup is read in linear time:
 unknown ends are dropped, open elements end with their parent, after an unclosed quote tags
@@ -34,7 +37,7 @@ import html as _html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -211,50 +214,158 @@ def _clean(text: str) -> str:
     return _SPACE.sub(" ", _html.unescape(text)).strip()
 
 
+class Kinds:
+    """Nodes of one level without repeated shapes, as arrays; `below` are their children, likewise."""
+
+    def __init__(self, nodes: list[Node], names: dict[tuple[str, str], int]):
+        self.nodes = list({n.shape: n for n in nodes}.values())
+        self.number = {n.shape: k for k, n in enumerate(self.nodes)}
+        self.names = names
+        self.name = np.array([names.setdefault((n.tag, n.label), len(names)) for n in self.nodes], np.int32)
+
+    @cached_property
+    def padded(self) -> np.ndarray:
+        """Names, and one behind them that no node has."""
+        return np.append(self.name, np.int32(-1))
+
+    @cached_property
+    def below(self) -> Kinds:
+        return Kinds([c for n in self.nodes for c in n.children], self.names)
+
+    @cached_property
+    def groups(self) -> list[tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]]:
+        """Nodes with about as many children each: their places, a row of their children's numbers, padded, and the rows by names of children."""
+        held: dict[int, list[int]] = {}
+        children = [[self.below.number[c.shape] for c in n.children] for n in self.nodes]
+        for k, row in enumerate(children):
+            if row:
+                held.setdefault(len(row).bit_length(), []).append(k)
+        out = []
+        for places in held.values():
+            longest = max(len(children[k]) for k in places)
+            pad = len(self.below.nodes)
+            holding: dict[int, list[int]] = {}
+            for i, k in enumerate(places):
+                for name in set(self.below.name[children[k]].tolist()):
+                    holding.setdefault(name, []).append(i)
+            numbers = np.array([children[k] + [pad] * (longest - len(children[k])) for k in places], np.int32)
+            out.append((np.array(places), numbers, {name: np.array(rows) for name, rows in holding.items()}))
+        return out
+
+
+class Open:
+    """A node against all nodes of a level: one dynamic program for them together, a child at a time."""
+
+    def __init__(self, x: Node, name: int, kinds: Kinds):
+        self.x, self.kinds = x, kinds
+        self.row = (kinds.name == name).astype(np.int32)
+        self.children = iter(x.children)
+        self.programs: list[tuple[np.ndarray, np.ndarray, list[np.ndarray]]] = []
+        if x.size == 1 or not self.row.any() or not kinds.groups:
+            self.children = iter(())
+            return
+        # only nodes with a child whose name one of x's children has can score more than 1
+        mine = {kinds.names[c.tag, c.label] for c in x.children if (c.tag, c.label) in kinds.names}
+        for places, numbers, holding in kinds.groups:
+            rows = [holding[name] for name in mine if name in holding]
+            if rows:
+                chosen = np.unique(np.concatenate(rows)) if len(rows) > 1 else rows[0]
+                chosen = chosen[self.row[places[chosen]] > 0]
+                if len(chosen):
+                    held = numbers[chosen]
+                    self.programs.append((places[chosen], held, [np.zeros((len(held), held.shape[1] + 1), np.int32)]))
+        if not self.programs:
+            self.children = iter(())
+
+    def take(self, row: np.ndarray) -> None:
+        """The scores of the next child of x against the level below."""
+        row = np.append(row, np.int32(0))
+        for _, held, state in self.programs:
+            self._add(state, row[held])
+
+    def take_leaf(self, name: int) -> None:
+        """A next child without children of its own: 1 where the name is the same."""
+        for _, held, state in self.programs:
+            same = self.kinds.below.padded[held] == name
+            if same.any():
+                self._add(state, same)
+
+    @staticmethod
+    def _add(state: list[np.ndarray], weights: np.ndarray) -> None:
+        best = state[0].copy()
+        np.maximum(best[:, 1:], state[0][:, :-1] + weights, out=best[:, 1:])
+        state[0] = np.maximum.accumulate(best, axis=1)
+
+    def done(self) -> np.ndarray:
+        for places, _, state in self.programs:
+            self.row[places] += state[0][:, -1]
+        return self.row
+
+
 class Matching:
     """Simple tree matching: the order-keeping alignment of two trees with the most pairs of nodes of equal tag and class.
 
     Subtrees of one shape match whole, and where the children of two nodes begin or end with
     such subtrees these belong to a best alignment; what is between goes through the dynamic
-    program, at any size, with scores of pairs of shapes computed once.
+    program, at any size. A node is scored against all shapes of the other side's level at
+    once, so the work on varied items is that of arrays; trees of any depth are gone through without recursion.
     """
 
-    #: Cells of a table of the dynamic program that are kept; beyond, it is halved.
+    #: Cells of a table of the dynamic program, and of scores, that are kept; beyond, the table is halved and scores made anew.
     CELLS = 1 << 22
+    #: Levels of so few shapes keep their scores by pair: deep and narrow trees meet the same pairs at each depth.
+    NARROW = 16
 
     def __init__(self):
+        self.names: dict[tuple[str, str], int] = {}
         self.scores: dict[tuple[int, int], int] = {}
 
-    def pairs(self, a: Node, b: Node) -> list[tuple[Node, Node]]:
-        out, todo = [], [(a, b)]
+    def alignments(self, a: Node, b: Node) -> Iterator[tuple[Node, Node, list[tuple[Node, Node]]]]:
+        """Pairs of nodes, each with the pairs of its children."""
+        todo = [(a, b)]
         while todo:
             x, y = todo.pop()
-            out.append((x, y))
-            if x.size > 1 < y.size:
-                todo += self._aligned(x.children, y.children)
-        return out
+            held = self._aligned(x.children, y.children) if x.size > 1 < y.size else []
+            yield x, y, held
+            todo += held
 
-    def _score(self, a: Node, b: Node) -> int:
-        """Pairs of the best matching of two nodes of equal tag and class; without recursion, as trees may be deep."""
-        if a.shape == b.shape:
-            return a.size
-        if a.size == 1 or b.size == 1:
-            return 1
-        stack, scores = [(a, b)], self.scores
-        while stack:
-            x, y = stack[-1]
-            key = (x.shape, y.shape)
-            if key in scores:
-                stack.pop()
-                continue
-            ours, theirs = ({c.shape: c for c in n.children if c.size > 1} for n in (x, y))
-            missing = [(p, q) for p in ours.values() for q in theirs.values() if p.shape != q.shape and _same(p, q) and (p.shape, q.shape) not in scores]
-            if missing:
-                stack += missing
+    def pairs(self, a: Node, b: Node) -> list[tuple[Node, Node]]:
+        return [(x, y) for x, y, _ in self.alignments(a, b)]
+
+    def _row(self, x: Node, kinds: Kinds, kept: dict[tuple[int, int], np.ndarray]) -> np.ndarray:
+        """Pairs of the best matching of x with each of the kinds, 0 where tag or class differ."""
+        stack: list[Open] = []
+        while True:
+            row = kept.get((x.shape, id(kinds)))
+            if row is None and len(kinds.nodes) <= self.NARROW and all((x.shape, y.shape) in self.scores for y in kinds.nodes):
+                row = np.array([self.scores[x.shape, y.shape] for y in kinds.nodes], np.int32)
+            if row is None:
+                stack.append(Open(x, self.names.setdefault((x.tag, x.label), len(self.names)), kinds))
+            elif not stack:
+                return row
             else:
-                scores[key] = 1 + sum(self._score(p, q) for p, q in self._aligned(x.children, y.children))
-                stack.pop()
-        return scores[a.shape, b.shape]
+                stack[-1].take(row)
+            while (child := self._inner(stack[-1])) is None:
+                last = stack.pop()
+                row = last.done()
+                if len(row) <= self.NARROW:
+                    self.scores.update(((last.x.shape, y.shape), int(n)) for y, n in zip(last.kinds.nodes, row))
+                elif last.x.size > 1:
+                    if (len(kept) + 1) * len(row) > self.CELLS:
+                        kept.clear()
+                    kept[last.x.shape, id(last.kinds)] = row
+                if not stack:
+                    return row
+                stack[-1].take(row)
+            x, kinds = child, stack[-1].kinds.below
+
+    def _inner(self, open_: Open) -> Node | None:
+        """The next child that has children; those before it are taken."""
+        for child in open_.children:
+            if child.size > 1:
+                return child
+            open_.take_leaf(self.names.get((child.tag, child.label), -2))
+        return None
 
     def _aligned(self, xs: list[Node], ys: list[Node]) -> list[tuple[Node, Node]]:
         out, todo = [], [(xs, ys)]
@@ -270,23 +381,25 @@ class Matching:
             xs, ys = xs[i : len(xs) - j], ys[i : len(ys) - j]
             if not xs or not ys:
                 continue
-            kinds = {y.shape: y for y in ys}
-            number = {shape: k for k, shape in enumerate(kinds)}
-            of = np.array([number[y.shape] for y in ys])
-            rows: dict[int, np.ndarray] = {}
+            if len(xs) == len(ys) == 1:
+                out += [(xs[0], ys[0])] if _same(xs[0], ys[0]) else []
+                continue
+            kinds = Kinds(ys, self.names)
+            of = np.array([kinds.number[y.shape] for y in ys])
+            kept: dict[tuple[int, int], np.ndarray] = {}
 
             def weights(x: Node) -> np.ndarray:
-                if x.shape not in rows:
-                    rows[x.shape] = np.array([self._score(x, y) if _same(x, y) else 0 for y in kinds.values()])
-                return rows[x.shape][of]
+                return self._row(x, kinds, kept)[of]
 
             def step(row: np.ndarray, w: np.ndarray) -> np.ndarray:
                 """row: best scores of one more x against the first 0, 1, ... of the ys."""
-                return np.maximum.accumulate(np.maximum(row, np.concatenate([[0], row[:-1] + w])))
+                best = row.copy()
+                np.maximum(best[1:], row[:-1] + w, out=best[1:])
+                return np.maximum.accumulate(best)
 
             if len(xs) * len(ys) > self.CELLS and len(xs) > 1:
                 # halve the xs; the best cut of the ys is where both halves' scores add up to the most
-                half, zero = len(xs) // 2, np.zeros(len(ys) + 1, np.int64)
+                half, zero = len(xs) // 2, np.zeros(len(ys) + 1, np.int32)
                 front = back = zero
                 for x in xs[:half]:
                     front = step(front, weights(x))
@@ -295,7 +408,7 @@ class Matching:
                 at = int(np.argmax(front + back[::-1]))
                 todo += [(xs[:half], ys[:at]), (xs[half:], ys[at:])]
                 continue
-            table = [np.zeros(len(ys) + 1, np.int64)]
+            table = [np.zeros(len(ys) + 1, np.int32)]
             for x in xs:
                 table.append(step(table[-1], weights(x)))
             p, q = len(xs), len(ys)
@@ -320,16 +433,17 @@ def _same(x: Node, y: Node) -> bool:
 
 def merge(pattern: Node, page: Node) -> None:
     """Inserts into the pattern what the page has beyond it, each part behind the sibling that it follows."""
-    for x, y in match(pattern, page):
-        held = {id(q): p for p, q in Matching()._aligned(x.children, y.children)}
+    for x, y, aligned in list(Matching().alignments(pattern, page)):
+        held = {id(q): p for p, q in aligned}
+        behind: dict[int | None, list[Node]] = {}
         last = None
         for q in y.children:
             if id(q) in held:
-                last = held[id(q)]
+                last = id(held[id(q)])
             else:
-                at = 0 if last is None else next(k for k, part in enumerate(x.parts) if part is last) + 1
-                x.parts.insert(at, q)
-                last = q
+                behind.setdefault(last, []).append(q)
+        if behind:
+            x.parts = behind.get(None, []) + [z for part in x.parts for z in (part, *behind.get(id(part), ()))]
     _measure(pattern)
 
 
