@@ -89,11 +89,12 @@ def _proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_PROPOSALS} SELECT doc_id, places[1]::INT AS "start", CASE WHEN n_hits > 0 THEN answer END AS old, new, n_hits, step, fault,
+    f"""WITH {_PROPOSALS} SELECT doc_id, coalesce(places[1], -1)::INT AS "start", CASE WHEN n_hits > 0 THEN answer END AS old, new, n_hits, step, fault,
   CASE WHEN step <> 'skipped' THEN CASE WHEN is_end THEN 'terminal' ELSE 'bridge_sync' END END AS role FROM rows"""
 )
 def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _proposals(spark, sf_dir).select("doc_id", "start", "old", "new", F.col("n_hits").cast("long"), "step", "fault", "role")
+    """Proposals of all gold passages; a passage without one starts at -1."""
+    return _proposals(spark, sf_dir).select("doc_id", F.coalesce("start", F.lit(-1)).alias("start"), "old", "new", F.col("n_hits").cast("long"), "step", "fault", "role")
 
 
 _OUTCOMES = f"""{_PROPOSALS}, q AS (SELECT question_id, multi, arg_min(fault, ord) FILTER (WHERE fault IS NOT NULL) AS fault, count(*) FILTER (WHERE fault IS NULL AND step <> 'skipped') AS made, count(*) FILTER (WHERE step = 'skipped') AS n_skipped, bool_or(coalesce(step = 'first', false)) AS several FROM rows GROUP BY ALL),
