@@ -95,3 +95,43 @@ def test_intervals_of_hashes_and_draws_agree(spark):
     h, d = (Z.interval(mean(s), "v", "k").first() for s in (Z.hashed_sums(items, 3, 400, "t"), Z.drawn_sums(items, 3, 10_000)))
     width = d.ci_high - d.ci_low
     assert abs(h.ci_low - d.ci_low) < 0.25 * width and abs(h.ci_high - d.ci_high) < 0.25 * width
+
+
+@pytest.mark.parametrize("prefix", ["", "t|s|3|", "x" * 52, "x" * 55, "x" * 130])
+def test_heads_are_md5(prefix):
+    import hashlib
+
+    from veritrace.operators import hashdraw as H
+
+    for lo, hi in ((1, 1200), (99_990, 100_020)):
+        assert H.heads(prefix.encode(), lo, hi).tolist() == [int(hashlib.md5(f"{prefix}{j}".encode()).hexdigest()[:8], 16) for j in range(lo, hi)]
+
+
+def test_draws_leave_tasks_as_blocks(spark, monkeypatch):
+    """Rows do not grow with draws: before, each of 40,000 draws was a row that was shuffled; results stay the same for small blocks and chunks."""
+    from veritrace.operators import hashdraw as H
+
+    spaces = spark.createDataFrame([("s", 10_000)], "space string, n long")
+    rows = H.places_by_block(H.chunked(spaces, 4, "n", F.concat(F.lit("t|s|"), F.col("r"), F.lit("|"))), "n", 4096).collect()
+    assert len(rows) == 4 * 3 and sum(len(x["at"]) for x in rows) == 2 * 40_000
+    items = vectors(made(spark, 40)[1]).cache()
+    whole = {tuple(x) for x in Z.hashed_sums(items, 3, 5, "t").collect()}
+    monkeypatch.setattr(Z, "BLOCK", 8)
+    monkeypatch.setattr(H, "SLOTS", 16)
+    assert {tuple(x) for x in Z.hashed_sums(items, 3, 5, "t").collect()} == whole
+
+
+def test_pattern_counts_leave_tasks_as_counts(spark):
+    """Means of a resample come from a row of counts for each chunk of slots, and are those of whole items."""
+    import hashlib
+
+    from veritrace.operators import stats as B
+
+    values = [1, 0, 0, 1, None, 0, 1]
+    df = spark.createDataFrame([("m", v) for v in values], "g string, v int")
+    got = {x.r: x.v for x in B.replicate_means(df, ["g"], ["v"], {"v": F.col("v")}, 6, "t").collect()}
+    order = sorted(values, key=lambda v: (v is not None, v))
+    for r in range(6):
+        drawn = [order[int(hashlib.md5(f"t|m|{r}|{j}".encode()).hexdigest()[:8], 16) % 7] for j in range(1, 8)]
+        known = [v for v in drawn if v is not None]
+        assert got[r] == pytest.approx(sum(known) / len(known))

@@ -19,10 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SETTINGS
-from .annotate import global_rank
+from ..sources.scratch import folder
+from . import hashdraw as H
+from .annotate import rank_within
 
 #: Patterns of a chunk, and chunks of a space at most; then chunks grow.
 CHUNK, MOST_CHUNKS = 2000, 1024
+#: Items of a block that hashed draws fall into, and draws of a partition.
+BLOCK, _DRAWS = 1 << 13, 1 << 25
 #: Entries of a matrix of counts.
 _ENTRIES = 1 << 21
 
@@ -32,6 +36,7 @@ def vectors(rows: DataFrame, space: Column | str, item: str, cell: Column, sums:
     space = F.lit(space) if isinstance(space, str) else space
     rows = rows.select(space.alias("space"), F.col(item).alias("item"), cell.alias("cell"), *[c.cast("double").alias(f"s{k}") for k, c in enumerate(sums)])
     names = [f"s{k}" for k in range(len(sums))]
+    rows = rows.repartition("space", "item")  # one shuffle for both groupings
     one = rows.groupBy("space", "item", "cell").agg(*[F.sum(n).alias(n) for n in names])
     return one.groupBy("space", "item").agg(F.array_sort(F.collect_list(F.struct("cell", F.array(*names).alias("v")))).alias("vector"))
 
@@ -48,13 +53,48 @@ def point_sums(items: DataFrame, n: int) -> DataFrame:
 
 def hashed_sums(items: DataFrame, n: int, b: int, tag: str) -> DataFrame:
     """Slot j of replicate r of a space draws the item number hash(tag, space, r, j) mod its items, which stand in the order of their names."""
-    placed = global_rank(items.withColumn("name", F.concat_ws("|", "space", F.col("item").cast("string"))), "name")
-    spaces = placed.groupBy("space").agg(F.min("place").alias("start"), F.count("*").alias("items"))
-    slots = spaces.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))).repartition("space", "r").withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), F.col("items"))))
-    name = F.concat_ws("|", F.lit(tag), "space", F.col("r").cast("string"), F.col("j").cast("string"))
-    draws = slots.select("space", "r", (F.pmod(F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long"), F.col("items")) + F.col("start")).alias("place"))
-    times = draws.groupBy("space", "r", "place").agg(F.count("*").alias("times"))
-    return _added(times.join(placed.select("place", "vector"), "place"), n, F.col("times"))
+    return placed_sums(items.select("space", F.col("item").cast("string").alias("item"), "vector"), n, b, tag)
+
+
+def placed_sums(items: DataFrame, n: int, b: int, tag: str) -> DataFrame:
+    """hashed_sums of items in their own order.
+
+    A draw is two bytes, its place in a block of items; a task adds up the vectors of one block for all replicates, as the product
+    of a matrix of counts and the block's values. No item is sent to where draws are made, and none twice."""
+    spark, path = items.sparkSession, folder(items.sparkSession, "vectors")
+    items.write.parquet(path)  # read to rank, to count and to draw from
+    items = spark.read.schema(items.schema).parquet(path)
+    sizes = items.groupBy("space").agg(F.count("*").alias("items"))
+    total = (sizes.agg(F.sum("items")).first()[0] or 0) * b
+    prefix = F.concat_ws("|", F.lit(tag), "space", F.col("r").cast("string"), F.lit(""))
+    draws = H.places_by_block(H.chunked(sizes, b, "items", prefix), "items", BLOCK)
+    placed = rank_within(items, "space", "item").select("space", F.floor(F.col("place") / BLOCK).alias("block"), (F.col("place") % BLOCK).cast("int").alias("at"), "vector")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // _DRAWS)
+    dealt = lambda df: df.repartition(parts, "space", "block").groupBy("space", "block")
+    names = [f"s{k}" for k in range(n)]
+
+    def added(key: tuple, own: pa.Table, drawn: pa.Table) -> pa.Table:
+        vector, at = own["vector"].combine_chunks(), own["at"].to_numpy()
+        counts = np.zeros((b, BLOCK))
+        for r, places in zip(drawn["r"].to_pylist(), drawn["at"].to_pylist()):
+            counts[r] += np.bincount(np.frombuffer(places, np.uint16), minlength=BLOCK)
+        counts = counts[:, at]
+        row = np.repeat(np.arange(len(at)), np.diff(vector.offsets.to_numpy()))
+        cell, sums = vector.flatten().flatten()
+        cell = cell.dictionary_encode("encode")
+        code, sums = cell.indices.to_numpy(zero_copy_only=False), sums.flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+        out = []
+        for k, name in enumerate(cell.dictionary.to_pylist()):
+            mine = code == k
+            times = counts[:, row[mine]]
+            r = np.flatnonzero(times.any(axis=1))  # replicates that drew no item of a cell have no row of it
+            got = times[r] @ np.nan_to_num(sums[mine])
+            head = [pa.array([key[0].as_py()] * len(r), pa.string()), pa.array(r, pa.int32()), pa.array([name] * len(r), pa.string())]
+            out.append(pa.table([*head, *[pa.array(got[:, i]) for i in range(n)]], names=["space", "r", "cell", *names]))
+        return pa.concat_tables(out)
+
+    sums = dealt(placed).cogroup(dealt(draws)).applyInArrow(added, "space string, r int, cell string, " + ", ".join(f"{c} double" for c in names))
+    return sums.groupBy("space", "r", "cell").agg(*[F.sum(c).alias(c) for c in names])
 
 
 def drawn_sums(items: DataFrame, n: int, b: int = SETTINGS.bootstrap_b, seed: int = SETTINGS.seed) -> DataFrame:
