@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ..config import SETTINGS
 from ..functions import numeric as N
+from . import hashdraw as H
+from .resample import placed_sums
 
 
 def patterns(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -30,13 +32,12 @@ def replicate_means(rows: DataFrame, keys: list[str], values: list[str], gains:
     Slot j of replicate r draws the item number hash(tag, group, r, j) mod n; its pattern is
     the one whose range holds that number.
     """
-    cells = patterns(rows, keys, values)
-    name = F.concat_ws("|", F.lit(tag), *[F.col(k).cast("string") for k in keys])
-    slots = cells.groupBy(*keys).agg(F.max("n").alias("n")).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))).repartition(*keys, "r")
-    draws = slots.withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select(*keys, "r", F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", name, F.col("r").cast("string"), F.col("j").cast("string"))), 1, 8), 16, 10).cast("long"), F.col("n")).alias("i"))
-    ranges = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("hi", *values))).alias("p"))
-    hit = draws.join(F.broadcast(ranges), keys).select(*keys, "r", F.element_at(F.filter("p", lambda x: x["hi"] > F.col("i")), 1).alias("p")).select(*keys, "r", "p.*")
-    return hit.groupBy(*keys, "r").agg(*[F.avg(g).alias(name_) for name_, g in gains.items()])
+    ranges = patterns(rows, keys, values).groupBy(*keys).agg(F.max("n").cast("long").alias("n"), F.array_sort(F.collect_list(F.struct("hi", *values))).alias("p"))
+    prefix = F.concat_ws("|", F.lit(tag), *[F.col(k).cast("string") for k in keys], F.col("r").cast("string"), F.lit(""))
+    slots = H.chunked(ranges.withColumn("ends", F.col("p.hi")), b, "n", prefix)
+    hit = H.pattern_counts(slots, "ends", "n").select(*keys, "r", F.explode(F.arrays_zip("p", "times")).alias("x")).select(*keys, "r", "x.p.*", "x.times").where("times > 0")
+    mean = lambda g: F.sum(g * F.col("times")) / F.sum(F.when(g.isNotNull(), F.col("times")))
+    return hit.groupBy(*keys, "r").agg(*[mean(g).alias(name) for name, g in gains.items()])
 
 
 def multinomial_means(rows: DataFrame, keys: list[str], values: list[str], gains: dict, b: int = SETTINGS.bootstrap_b, seed: int = SETTINGS.seed) -> DataFrame:
@@ -153,12 +154,12 @@ def cluster_means(rows: DataFrame, keys: list[str], cluster: str, value: str, b:
     """Mean of value in each of b resamples of whole clusters, for each group.
 
     Members are first summed by cluster; a replicate draws as many clusters as there are."""
-    total = rows.groupBy(*keys, cluster).agg(F.sum(value).alias("s"), F.count(value).alias("m"))
-    place = total.withColumns({"i": F.row_number().over(W.partitionBy(*keys).orderBy(cluster)) - 1, "n": F.count("*").over(W.partitionBy(*keys))})
-    slots = place.groupBy(*keys).agg(F.max("n").alias("n")).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))).withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
-    name = F.concat_ws("|", F.lit(tag), *[F.col(k).cast("string") for k in keys], F.col("r").cast("string"), F.col("j").cast("string"))
-    draws = slots.select(*keys, "r", F.pmod(F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long"), F.col("n")).alias("i"))
-    return draws.join(place.select(*keys, "i", "s", "m"), [*keys, "i"]).groupBy(*keys, "r").agg(F.try_divide(F.sum("s").cast("double"), F.sum("m").cast("double")).alias(value))
+    total = rows.groupBy(*keys, cluster).agg(F.sum(value).cast("double").alias("s"), F.count(value).cast("double").alias("m"))
+    name = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+    items = total.select(name.alias("space"), F.col(cluster).alias("item"), F.array(F.struct(F.to_json(F.struct(*keys)).alias("cell"), F.array(F.coalesce("s", F.lit(0.0)), "m").alias("v"))).alias("vector"))
+    sums = placed_sums(items, 2, b, tag)
+    own = F.from_json("cell", total.select(*keys).schema)
+    return sums.select(own.alias("x"), "r", F.try_divide(F.when(F.col("s1") > 0, F.col("s0")), F.col("s1")).alias(value)).select("x.*", "r", value)
 
 
 def cluster_multinomial_means(rows: DataFrame, keys: list[str], cluster: str, value: str, b: int = SETTINGS.bootstrap_b, seed: int = SETTINGS.seed) -> DataFrame:
