@@ -226,3 +226,16 @@ def test_cooccurrences_without_nested_loops(spark):
     assert {(r.subject, r.value): r.n for r in df.collect()} == want
     plan = P.cooccurrences(spark.createDataFrame([p for p in pairs if all(p)], "subject string, value string"), spark.createDataFrame([(t,) for t in texts], "text string"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("NestedLoop") <= 1  # of the one row that counts all paragraphs
+
+
+def test_dense_search_in_small_slices(spark, monkeypatch):
+    """A task holds SCORES_AT_ONCE scores and no matrix of all queries and a whole batch."""
+    import numpy as np
+
+    x = np.random.default_rng(2).normal(size=(50, 4)).round(3)
+    v = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(R, "SCORES_AT_ONCE", 12)
+    got = {(r.query_id, r["rank"]): r.doc_id for r in R.dense_top_k(v, v.where("vec_id < 5"), 3).collect()}
+    for q in range(5):
+        best = np.argsort(-(x @ x[q]), kind="stable")[:3]
+        assert [got[q, k] for k in (1, 2, 3)] == best.tolist()

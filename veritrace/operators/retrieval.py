@@ -14,6 +14,8 @@ from ..functions import text as T
 
 #: Rows that a set of keys may have to be broadcast.
 BROADCAST_KEYS = 500_000
+#: Scores that a task of a dense search holds at once.
+SCORES_AT_ONCE = 1 << 20
 
 
 def only_known(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
@@ -132,13 +134,15 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int
                 keep = b.filter(b.column(1).is_valid())
                 if not keep.num_rows:
                     continue
-                x = np.array(keep.column(1).to_pylist(), np.float32)
-                if cosine:
-                    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-                s = np.hstack([best_s, (q.astype(np.float64) @ x.T.astype(np.float64)).astype(np.float32)])
-                i = np.hstack([best_i, np.tile(keep.column(0).to_numpy(), (len(ids), 1))])
-                order = np.lexsort((i, -s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+                step = max(1, SCORES_AT_ONCE // len(ids))
+                for part in (keep.slice(a, step) for a in range(0, keep.num_rows, step)):
+                    x = np.array(part.column(1).to_pylist(), np.float32)
+                    if cosine:
+                        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+                    s = np.hstack([best_s, (q.astype(np.float64) @ x.T.astype(np.float64)).astype(np.float32)])
+                    i = np.hstack([best_i, np.tile(part.column(0).to_numpy(), (len(ids), 1))])
+                    order = np.lexsort((i, -s), axis=1)[:, :k]
+                    best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
             m = best_s.shape[1]
             if m:
                 yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.repeat(ids, m)), "doc_id": pa.array(best_i.ravel()), "score": pa.array(best_s.ravel().astype(np.float64))})
