@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from veritrace.functions import text as T
 from veritrace.operators import fourarm as A
 from veritrace.operators import gates as V
 from veritrace.operators import injection as I
@@ -228,6 +229,19 @@ def test_cooccurrences_without_nested_loops(spark):
     assert plan.count("NestedLoop") <= 1  # of the one row that counts all paragraphs
 
 
+def test_scores_of_a_document_are_added_where_its_postings_are(spark):
+    """Before, every pair of query and document was shuffled, and a query's terms met all of its excluded documents."""
+    docs = spark.createDataFrame([(i, f"alpha beta w{i % 3} w{i % 5}") for i in range(40)], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "alpha w1"), (2, "beta w2 w4")], "query_id long, text string")
+    out = spark.createDataFrame([(1, 1), (1, 4), (2, 9)], "query_id long, doc_id long")
+    terms, posts = R.query_terms(queries, "query_id", "text"), R.postings(docs, "doc_id", "text")
+    corpus = docs.select("doc_id", F.size(T.bm25_tokens("text")).alias("dl"))
+    for scores in (R.bm25_scores(terms, posts, R.corpus_stats(docs)), R.restricted_scores(terms, posts, corpus, out, R.corpus_stats(docs))):
+        plan = scores._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in plan.splitlines() if "hashpartitioning(query_id" in x and "doc_id" in x]
+        assert scores.where("query_id = 1").count() in (40, 38)
+
+
 def test_dense_search_in_small_slices(spark, monkeypatch):
     """A task holds SCORES_AT_ONCE scores and no matrix of all queries and a whole batch."""
     import numpy as np

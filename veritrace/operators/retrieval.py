@@ -14,6 +14,8 @@ from ..functions import text as T
 
 #: Rows that a set of keys may have to be broadcast.
 BROADCAST_KEYS = 500_000
+#: Documents of a partition of postings: its scores, at most one for each query and document, stay in one task's memory.
+DOCS_EACH = 8192
 #: Scores that a task of a dense search holds at once.
 SCORES_AT_ONCE = 1 << 20
 
@@ -38,19 +40,27 @@ def query_terms(queries: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def postings(docs: DataFrame, key: str, text: str, terms: DataFrame | None = None) -> DataFrame:
-    """term, doc_id, tf and document length; with `terms` only for those, dropped before anything is shuffled."""
-    tokens = docs.select(F.col(key).alias("doc_id"), T.bm25_tokens(text).alias("tokens"))
+    """term, doc_id, tf and document length; with `terms` only for those.
+
+    Whole documents are dealt over partitions once; postings, and scores by document, are then made without a further shuffle."""
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.count() // DOCS_EACH)
+    tokens = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text")).repartition(parts, "doc_id").select("doc_id", T.bm25_tokens("_text").alias("tokens"))
     each = tokens.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
     if terms is not None:
         each = only_known(each, terms, "term")
     return each.groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
 
 
+def _few(weighed: DataFrame, terms: DataFrame) -> DataFrame:
+    """For a join that leaves postings where they are, if the terms are counted to be few."""
+    return F.broadcast(weighed) if terms.count() <= BROADCAST_KEYS else weighed
+
+
 def bm25_scores(terms: DataFrame, posts: DataFrame, stats: DataFrame, plus_one: bool = True) -> DataFrame:
     """Score of each query and document that share a term."""
     df = posts.groupBy("term").agg(F.count("*").alias("df"))
     weighed = terms.join(df, "term").join(F.broadcast(stats)).withColumn("idf", (N.idf if plus_one else N.okapi_idf)(F.col("n_docs"), F.col("df")) * F.col("qtf"))
-    return weighed.join(posts, "term").groupBy("query_id", "doc_id").agg(F.sum(N.bm25_term(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf"))).alias("score"))
+    return posts.join(_few(weighed, terms), "term").groupBy("query_id", "doc_id").agg(F.sum(N.bm25_term(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf"))).alias("score"))
 
 
 def top_k(scores: DataFrame, k: int, query: str = "query_id", ord_: str = "doc_id") -> DataFrame:
@@ -78,14 +88,16 @@ def decremental_stats(corpus: DataFrame, excluded: DataFrame) -> DataFrame:
 
 def restricted_scores(terms: DataFrame, posts: DataFrame, corpus: DataFrame, excluded: DataFrame, stats: DataFrame) -> DataFrame:
     """BM25 in which each query has a corpus without its excluded documents; df, N and mean length are exact for it."""
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    gone = terms.select("query_id", "term").join(excluded, "query_id").join(posts.select("doc_id", "term"), ["doc_id", "term"]).groupBy("query_id", "term").agg(F.count("*").alias("xdf"))
-    own = terms.join(df, "term").join(gone, ["query_id", "term"], "left").withColumn("df", F.col("df") - F.coalesce("xdf", F.lit(0)))
+    # the queries that lack a document come to it as one list, so no query's terms meet all of its excluded documents
+    lacking = excluded.groupBy("doc_id").agg(F.collect_set("query_id").alias("lacking"))
+    posts = posts.join(lacking.hint("shuffle_hash"), "doc_id", "left")
+    out = F.coalesce(F.array_contains("lacking", F.col("query_id")), F.lit(False))
+    own = posts.join(_few(terms, terms), "term").groupBy("query_id", "term", "qtf").agg(F.count_if(~out).alias("df"))
     base = stats.select(F.col("n_docs").alias("n0"), F.col("avgdl").alias("a0"))
     per = own.join(decremental_stats(corpus, excluded), "query_id", "left").join(F.broadcast(base))
     per = per.withColumns({"n_docs": F.coalesce("n_docs", "n0"), "avgdl": F.coalesce("avgdl", "a0")})
     weighed = per.where("df > 0").withColumn("idf", N.idf(F.col("n_docs"), F.col("df")) * F.col("qtf"))
-    hits = weighed.select("query_id", "term", "avgdl", "idf").join(posts, "term").join(excluded, ["query_id", "doc_id"], "left_anti")
+    hits = posts.join(_few(weighed.select("query_id", "term", "avgdl", "idf"), terms), "term").where(~out)
     return hits.groupBy("query_id", "doc_id").agg(F.sum(N.bm25_term(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf"))).alias("score"))
 
 
