@@ -105,3 +105,16 @@ def test_ledger_and_empty_tables(spark):
     got = {(r.status, r.reason): (r.n, r.mean_seconds) for r in PR.ledger(made.withColumn("s", F.lit(2.0)), seconds="s").collect()}
     assert got[("failed", "no_hit")] == (2, 2.0) and sum(n for n, _ in got.values()) == 6
     assert PR.outcomes(PR.proposals(gold(spark), number_pool(spark, "41"))).count() == 0
+
+
+def test_values_of_one_word_need_no_automaton(spark, monkeypatch):
+    """Before, every value was a pattern, so each passage was read once for each block of the pool."""
+    sought = []
+    real = PR.M.occurring
+    monkeypatch.setattr(PR.M, "occurring", lambda texts, text, patterns, *more: sought.extend(r.value for r in patterns.collect()) or real(texts, text, patterns, *more))
+    pool = spark.createDataFrame([("b", v, i) for i, v in enumerate(["12", "34", "5.6", "é7", "78"])], "bucket string, value string, ord int")
+    monkeypatch.setattr(PR.P, "ladder", lambda kind, old, strict: F.array(F.struct(F.lit(0).alias("prio"), F.lit("b").alias("bucket"))))
+    targets = spark.createDataFrame([(1, 1, "numeric", "12", "12 and 5.6, 134 34x é7"), (2, 2, "numeric", "12", "12, 34; 78")], "question_id int, doc_id int, kind string, old string, passage string")
+    got = {r.question_id: (r.old, r.new, r.n_candidates) for r in PR.borrowed(targets, pool).collect()}
+    assert sorted(sought) == ["5.6", "é7"]
+    assert got[1][0] == "12" and got[1][1] in ("34", "78") and got[1][2] == 2 and got[2][1] in ("5.6", "é7") and got[2][2] == 2

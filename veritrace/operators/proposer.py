@@ -53,13 +53,17 @@ def ranked(pool: DataFrame) -> DataFrame:
 def borrowed(targets: DataFrame, pool: DataFrame, strict_era: bool = SETTINGS.strict_era) -> DataFrame:
     """A value for each target, as `pool.borrow` picks it, without a pair of target and candidate.
 
-    Only the few values that a target may not take are found: an automaton reads each passage once for the values in it.
+    Only the few values that a target may not take are found: those of letters and digits alone are words of the passage, joined by
+    equality; an automaton seeks the rest, so its blocks do not grow with numbers and one-word names.
     The pick is the hash's place among the rest, moved past the ranks of those.
     targets: question_id, doc_id, kind, old, passage. Targets without a value are left out."""
     key = ["question_id", "doc_id"]
     places = ranked(pool)
-    held = M.occurring(targets.select(*key, "passage"), "passage", pool, "value").select(*key, "passage", F.explode("found").alias("value"))
-    barred = held.where(T.whole_count("passage", "value") > 0).select(*key, "value").unionByName(targets.select(*key, F.col("old").alias("value"))).distinct()
+    words = targets.select(*key, F.explode(F.array_distinct(F.regexp_extract_all("passage", F.lit("([0-9A-Za-z]+)")))).alias("value"))
+    longer = pool.where(~F.col("value").rlike(r"\A[0-9A-Za-z]+\z"))
+    held = M.occurring(targets.select(*key, "passage"), "passage", longer, "value").select(*key, "passage", F.explode("found").alias("value"))
+    held = held.where(T.whole_count("passage", "value") > 0).select(*key, "value")
+    barred = words.unionByName(held).unionByName(targets.select(*key, F.col("old").alias("value"))).distinct()
     barred = barred.join(places, "value").groupBy(*key, "bucket").agg(F.array_sort(F.collect_list("rank")).alias("barred"))  # words of one passage
     sizes = pool.groupBy("bucket").agg(F.count("*").alias("size"))
     step = targets.select(*key, "old", F.explode(P.ladder(F.col("kind"), F.col("old"), strict_era)).alias("l")).select(*key, "old", "l.*")
@@ -69,7 +73,7 @@ def borrowed(targets: DataFrame, pool: DataFrame, strict_era: bool = SETTINGS.st
     best = step.groupBy(*key, "old").agg(F.min_by(F.struct("bucket", "n", "barred"), "prio").alias("s")).select(*key, "old", "s.*")
     at = N.hash_mod(F.concat_ws("|", F.col("question_id").cast("string"), "old"), F.col("n"))
     rank = F.aggregate("barred", at.cast("long"), lambda r, b: F.when(b <= r, r + 1).otherwise(r))
-    return best.withColumn("rank", rank).join(places, ["bucket", "rank"]).select(*key, F.col("value").alias("new"), "bucket", F.col("n").alias("n_candidates"))
+    return best.withColumn("rank", rank).join(places, ["bucket", "rank"]).select(*key, "old", F.col("value").alias("new"), "bucket", F.col("n").alias("n_candidates"))
 
 
 def invented(kind: Column, old: Column, passage: Column) -> Column:

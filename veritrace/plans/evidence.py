@@ -10,6 +10,7 @@ from ..functions import numeric as N
 from ..functions import text as T
 from ..operators import injection as I
 from ..operators import pool as P
+from ..operators import proposer as PR
 from ..operators import retrieval as R
 from ..operators import substitute as S
 from .fixture import TURNS, first_line_sql, norm_sql, table, tokens_sql, turns
@@ -225,6 +226,12 @@ def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(F.col("p_partkey").alias("question_id"), F.lit("numeric").alias("kind"), F.col("p_size").cast("string").alias("old"), passage.alias("passage"))
 
 
+def _borrowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By rank, as pool.borrow picks it from all pairs; a question has one passage."""
+    targets = _targets(spark, sf_dir).withColumn("doc_id", F.col("question_id"))
+    return PR.borrowed(targets, P.build_pool(_answers(spark, sf_dir))).drop("doc_id")
+
+
 _BORROW = f"""{_POOL}, tg AS (SELECT p_partkey AS question_id, p_size::VARCHAR AS old, p_name || ' has size ' || p_size || ', brand ' || p_brand || '.' AS passage FROM part WHERE p_size IS NOT NULL),
 u AS (SELECT question_id, old, passage, value, ord, bucket FROM tg JOIN pool ON bucket = 'numeric:' || length(old) AND value <> old AND NOT regexp_matches(passage, '(^|[^0-9A-Za-z])' || value || '([^0-9A-Za-z]|$)')),
 nu AS (SELECT *, count(*) OVER (PARTITION BY question_id) AS n, row_number() OVER (PARTITION BY question_id ORDER BY ord, value) - 1 AS i FROM u),
@@ -234,12 +241,12 @@ bo AS (SELECT question_id, old, value AS new, bucket, n AS n_candidates, passage
 
 @query(f"WITH {_BORROW} SELECT question_id, old, new, bucket, n_candidates FROM bo")
 def borrow_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.borrow(_targets(spark, sf_dir), P.build_pool(_answers(spark, sf_dir)))
+    return _borrowed(spark, sf_dir)
 
 
 def _edited(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _targets(spark, sf_dir)
-    new = P.borrow(t, P.build_pool(_answers(spark, sf_dir))).select("question_id", "new")
+    new = _borrowed(spark, sf_dir).select("question_id", "new")
     start = F.instr("passage", " has size ") + 9
     rows = t.join(new, "question_id").withColumn("start", start).withColumn("end", F.col("start") + F.char_length("old"))
     return S.apply_proposals(rows)
