@@ -52,6 +52,23 @@ def test_question_corpora_are_those_of_rebuilt_indexes(spark):
     assert ranks[12] == (None, 1) and ranks[10][1] == 1 and set(ranks) == set(asked)
 
 
+def test_best_of_questions_are_those_of_all_pairs_and_few_rows_are_made(spark, monkeypatch):
+    monkeypatch.setattr(C, "BLOCK_DOCS", 16)
+    monkeypatch.setattr(C, "QUESTIONS_AT_ONCE", 3)
+    docs = texts(3, 120, 0.8)
+    docs[5], docs[6], docs[7], docs[110] = docs[4], "The Mu, a rho!", "tau alpha: mu-rho", docs[4]
+    asked = [(10, "alpha mu mu", ["mu"], 4, "edited alpha mu mu"), (11, "rho tau", ["The Rho", ""], 6, ""), (12, "nothing", ["absent"], 7, "nothing at all"), (13, "zeta eta", ["nu", "tau alpha"], 8, docs[8] + " zeta zeta")]
+    asked += [(14, "", ["mu"], 4, "alpha"), (15, "alpha beta gamma", ["mu-rho", "beta gamma", "!"], 9, "beta"), (16, "alpha", ["x"], 5000, "no such document"), (17, "beta gamma delta eps", [], 110, docs[110])]
+    questions = spark.createDataFrame(asked, "query_id int, question string, aliases array<string>, gold_id int, sub_text string")
+    df = spark.createDataFrame([*docs.items(), (99000, None)], "doc_id int, text string")
+    rows = lambda top: sorted((r.query_id, r.side, r["rank"], r.doc_id, round(r.score, 6)) for r in top.collect())
+    best = C.paired_best(questions, df, 6, 8)
+    assert rows(best) == rows(C.paired_top_k(C.paired_scores(questions, df), 6, 8)) != []
+    assert [f.dataType for f in best.select("query_id", "doc_id").schema] == [f.dataType for f in spark.createDataFrame([(1, 1)], "a int, b int").schema]
+    none = C.paired_best(questions.where("query_id = 16"), df, 6, 8)
+    assert none.collect() == []
+
+
 def test_index_skips_blocks_and_is_exact_after_edits(spark, monkeypatch):
     monkeypatch.setattr(postings, "BLOCK_DOCS", 8)
     docs = texts(2, 300)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import corpora as C
 from ..operators.postings import Index
+from ..sources.scratch import folder
 from .evidence import _TOK
 from .fixture import norm_sql, table
 
@@ -32,7 +33,10 @@ def _questions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     answer = F.array_max(F.transform(F.slice("w", 1, 40), lambda x: F.struct(F.length(x).alias("l"), x.alias("w"))))["w"]
     w = w.withColumn("answer", answer)
     edited = F.array_join(F.transform("w", lambda x: F.when(x == F.col("answer"), "newvalue").otherwise(x)), " ")
-    return w.select(F.col("doc_id").alias("query_id"), F.array_join(F.slice("w", 1, 8), " ").alias("question"), F.array("answer").alias("aliases"), F.col("doc_id").alias("gold_id"), edited.alias("sub_text")), docs
+    asked = w.select(F.col("doc_id").alias("query_id"), F.array_join(F.slice("w", 1, 8), " ").alias("question"), F.array("answer").alias("aliases"), F.col("doc_id").alias("gold_id"), edited.alias("sub_text"))
+    path = folder(spark, "questions")  # written: a plan that reads the edit alone would seek the answer anew at each of its tokens
+    asked.write.parquet(path)
+    return spark.read.schema(asked.schema).parquet(path), docs
 
 
 # two indexes for each question, each built from its own corpus
@@ -50,7 +54,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id, side ORDER BY score DE
 def question_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best five of each question's own corpus, with its gold text as it was and as edited, from one pass over one index."""
     questions, docs = _questions(spark, sf_dir)
-    top = C.paired_top_k(C.paired_scores(questions, docs), 5, 8)
+    top = C.paired_best(questions, docs, 5, 8)
     return top.select("query_id", "side", "doc_id", "rank", F.round("score", 5).alias("score"))
 
 
