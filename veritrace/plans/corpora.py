@@ -62,7 +62,7 @@ def question_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
 def question_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall of the gold document before and after the edit."""
     questions, docs = _questions(spark, sf_dir)
-    ranks = C.paired_gold_ranks(C.paired_top_k(C.paired_scores(questions, docs), 5, 8), questions)
+    ranks = C.paired_gold_ranks(C.paired_best(questions, docs, 5, 8), questions)
     share = lambda c: F.round(F.avg(c.cast("int")), 9)
     o, s = F.col("orig_rank").isNotNull(), F.col("sub_rank").isNotNull()
     return ranks.agg(F.count("*").alias("n"), share(o).alias("recall_orig"), share(s).alias("recall_sub"), share(o & s).alias("joint"))
