@@ -99,7 +99,7 @@ SELECT model, 'k=' || k || ';budget=' || budget AS config_key, count(*) AS n, su
 def run_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Models, depths and budgets over each question's own corpus: one retrieval, a folder for each cell, and the cells' audit rows together."""
     questions, docs = _questions(spark, sf_dir)
-    top = C.paired_top_k(C.paired_scores(questions, docs), max(_DEPTHS), 8)
+    top = C.paired_best(questions, docs, max(_DEPTHS), 8)
     edited = questions.select("query_id", F.col("gold_id").alias("doc_id"), F.lit("sub").alias("side"), "sub_text")
     hits = top.join(docs, "doc_id").join(edited, ["query_id", "doc_id", "side"], "left").withColumn("text", F.coalesce("sub_text", "text"))
     gold = questions.select("query_id", "gold_id")
