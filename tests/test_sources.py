@@ -166,6 +166,16 @@ def test_pages_of_leaves_no_hit_out(spark):
     assert rows(G.pages_of(ask, docs)) == rows(ask.crossJoin(docs)) != []
 
 
+def test_best_windows_search_each_page_once(spark):
+    words = "foo bar baz of X-ray foo, q.q. İstanbul été, market".split()
+    docs = spark.createDataFrame([(k, " ".join(words[(k * j + k) % len(words)] for j in range(2 + k * 3))) for k in range(24)] + [(90, None), (91, ""), (92, "the q. été of foo bar"), (93, "foobar xray")], "page int, text string")
+    asked = [(1, "foo bar market", ["X-ray", ""]), (2, "foo bar", ["é", "foo", " Foo "]), (3, "foo bar", ["bar's"]), (4, "foo bar baz", ["foo x", "bar", "x-ray foo"]), (5, "foo market", ["été", "q.", ","]), (6, "no", []), (7, "bar market baz", ["foo"])]
+    ask = spark.createDataFrame(asked, "question_id int, question string, aliases array<string>")
+    rows = lambda pages: sorted(map(tuple, pages.collect()))
+    for least, radius in ((0, 260), (2, 9)):
+        assert rows(G.best_windows(ask, docs, least=least, radius=radius)) == rows(G.windows(G.pages_of(ask, docs), least=least, radius=radius)) != []
+
+
 def test_breakdown_is_of_strict_failures(spark):
     rows = spark.createDataFrame([("42",), ("Sure. It is 42.",), ("41.",), ("",), ("not mentioned",), ("x",)], "raw string")
     r = X.compliance(rows.select("raw", F.array(F.lit("42")).alias("new_aliases"), F.array(F.lit("41")).alias("old_aliases"))).first()

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions import text as T
-from .substitute import find_spans
+from .retrieval import DOCS_EACH
+from .substitute import _spans_of, find_spans
 
+#: Questions that a task and the driver hold at once.
+QUESTIONS_AT_ONCE = 4096
 # Words that are no content.
 STOP = tuple(
     "the a an of to in on for and or with at by from as is are was were be been it its this that these those which who whom whose what when where how why not no do does did have has had will would can could should may might must etc".split()
@@ -84,6 +92,73 @@ def pages_of(questions: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.join(pairs, "page").join(questions, "question_id").select("question_id", "page", "question", "aliases", "text")
 
 
+def best_windows(questions: DataFrame, docs: DataFrame, radius: int = 260, least: int = 2, near: int = 90, longest_alias: int = 64) -> DataFrame:
+    """windows(pages_of(questions, docs)): each page is searched once for all the aliases whose first token it has, whatever the number of questions.
+
+    A task keeps the best hit of each question, by its place; the window is cut from that hit's page. Questions are worked through in blocks of
+    QUESTIONS_AT_ONCE. questions: question_id, question, aliases; docs: page, text, one row for each page."""
+    cut = lambda x, s, e: F.substring(x, s + 1, e - s)
+    docs = docs.where(F.col("text").isNotNull()).select("page", "text")
+    low = F.array_distinct(F.transform(F.filter("aliases", lambda a: F.length(F.trim(a)).between(1, longest_alias)), lambda a: F.lower(F.trim(a))))
+    asked = questions.select("question_id", T.content_tokens("question", STOP).alias("asked"), low.alias("values")).where(F.size("values") > 0)
+    found, blocks = None, max(1, -(-asked.count() // QUESTIONS_AT_ONCE))
+    for i in range(blocks):
+        each = _best_hits(asked.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == i), docs, radius, least, near)
+        found = each if found is None else found.unionByName(each)
+    rank = F.row_number().over(W.partitionBy("question_id").orderBy(F.desc("score"), F.col("right") - F.col("left"), "page", "start", "value"))
+    best = found.withColumn("r", rank).where("r = 1").join(docs, "page").withColumn("window", cut(F.col("text"), F.col("left"), F.col("right")))
+    once = F.regexp_count(F.lower("window"), F.concat(F.lit(T.LOWER_EDGE[0]), T.literal(F.col("value")), F.lit(T.LOWER_EDGE[1]))) == 1
+    return best.where(once).select("question_id", "page", F.col("value").alias("alias"), "score", "window")
+
+
+def _best_hits(asked: DataFrame, docs: DataFrame, radius: int, least: int, near: int) -> DataFrame:
+    """question_id, page, value, start, score, left, right: of each task and question the hit whose window comes first. asked: question_id, asked, values."""
+    spark = docs.sparkSession
+    rows = asked.collect()  # QUESTIONS_AT_ONCE at most
+    of: dict[str, list[int]] = {}
+    for q, r in enumerate(rows):
+        for v in r["values"]:
+            of.setdefault(v, []).append(q)
+    token = {v: next(iter(re.findall("[0-9a-z]+", v)), "") for v in of}  # without one, an alias is in reach of no token and sought in all pages
+    by_token: dict[str, list[str]] = {}
+    for v in sorted(of):
+        by_token.setdefault(token[v], []).append(v)
+    held = spark.sparkContext.broadcast((of, by_token, [frozenset(r["asked"]) for r in rows], [r["question_id"] for r in rows]))
+
+    def run(batches):
+        of, by_token, asked, names = held.value
+        best: dict[int, tuple] = {}
+        word, alnum = re.compile("[a-z0-9]+"), frozenset("0123456789abcdefghijklmnopqrstuvwxyz")
+        for b in batches:
+            for page, text, low in zip(*(b.column(c).to_pylist() for c in range(3))):
+                own = {*word.findall(low), ""}
+                spans = _spans_of(low, [v for t in own.intersection(by_token) for v in by_token[t]])
+                hits: dict[int, list] = {}
+                for s, e, v in spans:
+                    if (s and low[s - 1] in alnum) or low[e : e + 1] in alnum:
+                        continue
+                    local = frozenset(word.findall(text[max(0, s - near) : e + near].lower()))
+                    for q in of[v]:
+                        hits.setdefault(q, []).append((s, e, v, len(asked[q] & local) - (v in asked[q] and v in local)))
+                for q, mine in hits.items():
+                    for k, (s, e, v, score) in enumerate(mine):
+                        if score < least or (q in best and -score > best[q][0]):
+                            continue
+                        left = max(0, s - radius, mine[k - 1][1] + 1 if k else 0)
+                        right = max(left, min(len(text), e + radius, mine[k + 1][0] if k + 1 < len(mine) else len(text)))
+                        key = (-score, right - left, page, s, v, left, right)
+                        if q not in best or key < best[q]:
+                            best[q] = key
+        out = [(names[q], p, v, s, -score, left, right) for q, (score, _, p, s, v, left, right) in best.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], kinds[c]) for c in range(7)], schema.names)
+
+    kind = {"question_id": asked.schema["question_id"].dataType, "page": docs.schema["page"].dataType, "value": StringType()}
+    schema = StructType([StructField(n, kind.get(n, IntegerType())) for n in ("question_id", "page", "value", "start", "score", "left", "right")])
+    kinds = [f.type for f in to_arrow_schema(schema)]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // DOCS_EACH)
+    return docs.repartition(parts, "page").select("page", "text", F.lower("text").alias("low")).mapInArrow(run, schema)
+
+
 def negatives(pages: DataFrame, most: int = 5, chars: int = 900) -> DataFrame:
     """Openings of a question's pages that hold no alias, in page order."""
     low = F.lower("text")

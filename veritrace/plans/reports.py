@@ -82,7 +82,7 @@ def answer_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of documents around a word of a benchmark item, with that item as the question; every item is looked for in every document."""
     docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull()).select(F.col("doc_id").alias("page"), "text")
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"), F.slice(F.split(F.lower("text"), "[^a-z]+"), 3, 2).alias("aliases"))
-    return G.windows(G.pages_of(items, docs))
+    return G.best_windows(items, docs)
 
 
 @query(
