@@ -135,3 +135,25 @@ def test_pattern_counts_leave_tasks_as_counts(spark):
         drawn = [order[int(hashlib.md5(f"t|m|{r}|{j}".encode()).hexdigest()[:8], 16) % 7] for j in range(1, 8)]
         known = [v for v in drawn if v is not None]
         assert got[r] == pytest.approx(sum(known) / len(known))
+
+
+def test_counts_of_rare_patterns_are_drawn_by_items():
+    rng, items, n = np.random.default_rng(5), np.array([1, 2, 1, 4, 1]), np.array([9, 0, 3] * 20_000)
+    got = Z._pattern_counts(rng, n, items, items / items.sum())
+    assert got.shape == (len(n), 5) and (got.sum(1) == n).all()
+    p = items / items.sum()
+    nine = got[::3]
+    assert np.allclose(nine.mean(0), 9 * p, atol=0.05) and np.allclose(np.cov(nine.T), 9 * (np.diag(p) - np.outer(p, p)), atol=0.06)
+
+
+def test_patterns_are_made_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(k, "c", k % 5) for k in range(60)], "item int, cell string, v int").mapInArrow(counted, "item int, cell string, v int")
+    Z.drawn_sums(Z.vectors(rows, "s", "item", F.col("cell"), [F.lit(1), F.col("v")]), 2, 50).collect()
+    assert seen.value == 60

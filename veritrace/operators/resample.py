@@ -27,8 +27,8 @@ from .annotate import rank_within
 CHUNK, MOST_CHUNKS = 2000, 1024
 #: Items of a block that hashed draws fall into, and draws of a partition.
 BLOCK, _DRAWS = 1 << 13, 1 << 25
-#: Entries of a matrix of counts.
-_ENTRIES = 1 << 21
+#: Entries of a matrix of counts, and items of a pattern on average up to which items are drawn one by one.
+_ENTRIES, _FEW_ITEMS = 1 << 21, 3
 
 
 def vectors(rows: DataFrame, space: Column | str, item: str, cell: Column, sums: list[Column]) -> DataFrame:
@@ -97,13 +97,26 @@ def placed_sums(items: DataFrame, n: int, b: int, tag: str) -> DataFrame:
     return sums.groupBy("space", "r", "cell").agg(*[F.sum(c).alias(c) for c in names])
 
 
+def _pattern_counts(rng: np.random.Generator, n: np.ndarray, items: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Multinomial counts of patterns for each of n: where most patterns have few items, by drawing the items themselves, which
+    costs less than a binomial for each pattern. As floats: products of integers do not use the fast path."""
+    if items.sum() > _FEW_ITEMS * len(items):
+        return rng.multinomial(n, p).astype(float)
+    of = np.repeat(np.arange(len(items), dtype=np.int32), items)
+    at = of[rng.integers(len(of), size=n.sum(), dtype=np.int32)] + np.repeat(np.arange(len(n), dtype=np.int32) * len(items), n)
+    return np.bincount(at, minlength=len(n) * len(items)).reshape(len(n), -1).astype(float)
+
+
 def drawn_sums(items: DataFrame, n: int, b: int = SETTINGS.bootstrap_b, seed: int = SETTINGS.seed) -> DataFrame:
     """Sums of b multinomial draws of as many items as there are.
 
     The items that each chunk of patterns gets in a replicate are one draw, which every task makes alike from the same
     seed; how they fall onto the chunk's patterns is another, made by the chunk alone.
     """
+    spark, path = items.sparkSession, folder(items.sparkSession, "patterns")
     patterns = items.groupBy("space", "vector").agg(F.count("*").alias("items"))
+    patterns.write.parquet(path)  # read to count, to size the chunks and to draw from
+    patterns = spark.read.schema(patterns.schema).parquet(path)
     chunks = max(1, min(MOST_CHUNKS, patterns.count() // CHUNK))
     patterns = patterns.withColumn("chunk", F.pmod(F.xxhash64("vector"), F.lit(chunks)).cast("int"))
     counts: dict[str, dict[int, int]] = {}
@@ -131,7 +144,7 @@ def drawn_sums(items: DataFrame, n: int, b: int = SETTINGS.bootstrap_b, seed: in
         values, p = values[order], items_[order] / items_.sum()
         rng, out, step = np.random.default_rng([seed, own, chunk + 1]), [], max(1, _ENTRIES // len(vector))
         for a in range(0, b, step):
-            out.append(rng.multinomial(into[a : a + step], p) @ values)
+            out.append(_pattern_counts(rng, into[a : a + step], items_[order], p) @ values)
         sums = np.concatenate(out).reshape(-1, n)
         head = [pa.array([space] * len(sums), pa.string()), pa.array(np.repeat(np.arange(b), len(cells)), pa.int32()), pa.array(cells * b, pa.string())]
         return pa.table([*head, *[pa.array(sums[:, k]) for k in range(n)]], names=["space", "r", "cell", *names])
