@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 _FALLBACK_DIR: list[str] = []
 
 
@@ -21,6 +23,7 @@ BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     lean_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -47,6 +50,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: computed once, lineage cut, safe against lost executors."""
+    ship(df.sparkSession)
     lean_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)

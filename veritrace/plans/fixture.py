@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Model, order, and per mille of each arm a, b, c, d.
 MODELS = (("m1", 1, 100, 490, 10, 440), ("m2", 2, 210, 420, 15, 320), ("m3", 3, 370, 690, 12, 450), ("m4", 4, 360, 560, 8, 430), ("m5", 5, 470, 660, 9, 435))
 DEPTHS = (1, 3, 5, 10, 20)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
