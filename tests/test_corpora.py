@@ -94,3 +94,20 @@ def test_index_skips_blocks_and_is_exact_after_edits(spark, monkeypatch):
     same(after.upserted(frame(again)), {i: t for i, t in (now | again).items() if t is not None})
     same(index, docs)  # the earlier state still stands
     assert after.stats().first().n_docs == len(now) and after.frequencies(spark.createDataFrame([("tau",)], "term string")).first().df == sum("tau" in (t or "").split() for t in now.values())
+
+
+def test_a_term_of_many_blocks_adds_no_rows_to_what_is_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(postings, "BLOCK_DOCS", 8)
+    words = texts(5, 400, 0.9)
+    docs = spark.createDataFrame([*words.items(), (7, "rho rho"), (None, "rho")], "doc_id int, text string")
+    index = Index.built(docs)
+    held = index.postings
+    assert held.count() == held.select("segment", "term", "block").distinct().count()  # a block's postings of a term are one row with its maxima
+    assert held.where(F.size("posts") != F.col("n")).count() == 0
+    queries = spark.createDataFrame([(q, " ".join(WORDS)) for q in range(30)], "item_id int, text string")
+    weights = index.weights(queries, "item_id", "text")
+    blocks = spark.createDataFrame(index.bounds(weights).where("block is not null").select("query_id", "segment", "block").collect(), "query_id int, segment int, block long")
+    plan = index.scores(weights, blocks)._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Generate inline")]
+    assert "HashAggregate" in above and "Exchange" not in above, plan[:3000]  # hits are added up where the block is
+    assert index.scores(weights, blocks).count() == 30 * 400

@@ -51,7 +51,7 @@ def postings(docs: DataFrame, key: str, text: str, terms: DataFrame | None = Non
     return each.groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
 
 
-def _few(weighed: DataFrame, terms: DataFrame) -> DataFrame:
+def few(weighed: DataFrame, terms: DataFrame) -> DataFrame:
     """For a join that leaves postings where they are, if the terms are counted to be few."""
     return F.broadcast(weighed) if terms.count() <= BROADCAST_KEYS else weighed
 
@@ -60,7 +60,7 @@ def bm25_scores(terms: DataFrame, posts: DataFrame, stats: DataFrame, plus_one:
     """Score of each query and document that share a term."""
     df = posts.groupBy("term").agg(F.count("*").alias("df"))
     weighed = terms.join(df, "term").join(F.broadcast(stats)).withColumn("idf", (N.idf if plus_one else N.okapi_idf)(F.col("n_docs"), F.col("df")) * F.col("qtf"))
-    return posts.join(_few(weighed, terms), "term").groupBy("query_id", "doc_id").agg(F.sum(N.bm25_term(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf"))).alias("score"))
+    return posts.join(few(weighed, terms), "term").groupBy("query_id", "doc_id").agg(F.sum(N.bm25_term(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf"))).alias("score"))
 
 
 def top_k(scores: DataFrame, k: int, query: str = "query_id", ord_: str = "doc_id") -> DataFrame:
@@ -92,12 +92,12 @@ def restricted_scores(terms: DataFrame, posts: DataFrame, corpus: DataFrame, exc
     lacking = excluded.groupBy("doc_id").agg(F.collect_set("query_id").alias("lacking"))
     posts = posts.join(lacking.hint("shuffle_hash"), "doc_id", "left")
     out = F.coalesce(F.array_contains("lacking", F.col("query_id")), F.lit(False))
-    own = posts.join(_few(terms, terms), "term").groupBy("query_id", "term", "qtf").agg(F.count_if(~out).alias("df"))
+    own = posts.join(few(terms, terms), "term").groupBy("query_id", "term", "qtf").agg(F.count_if(~out).alias("df"))
     base = stats.select(F.col("n_docs").alias("n0"), F.col("avgdl").alias("a0"))
     per = own.join(decremental_stats(corpus, excluded), "query_id", "left").join(F.broadcast(base))
     per = per.withColumns({"n_docs": F.coalesce("n_docs", "n0"), "avgdl": F.coalesce("avgdl", "a0")})
     weighed = per.where("df > 0").withColumn("idf", N.idf(F.col("n_docs"), F.col("df")) * F.col("qtf"))
-    hits = posts.join(_few(weighed.select("query_id", "term", "avgdl", "idf"), terms), "term").where(~out)
+    hits = posts.join(few(weighed.select("query_id", "term", "avgdl", "idf"), terms), "term").where(~out)
     return hits.groupBy("query_id", "doc_id").agg(F.sum(N.bm25_term(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf"))).alias("score"))
 
 
