@@ -727,3 +727,37 @@ def test_lean_changes_no_result():
     for t in (big, big[:0]):
         assert lean(lambda t: t)(t).equals(t)
         assert lean(lambda a, b: pa.concat_tables([a, b]))(t, big).num_rows == t.num_rows + big.num_rows
+
+
+def test_language_model_steps_reuse_arrays_and_match_plain_ones(monkeypatch):
+    r = np.random.default_rng(4)
+    net = masked_lm.Network(r.normal(0, 0.3, masked_lm.Network.SIZE).astype(np.float32))
+    context, target = r.integers(0, masked_lm.VOCABULARY + 1, (700, 4)).astype(np.uint16), r.integers(0, masked_lm.VOCABULARY, 700).astype(np.uint16)
+    h = np.tanh(sum(net.embed[p][context[:, p]] for p in range(4)) + net.hidden).astype(float)
+    cls, place = target // masked_lm.WIDTH, target % masked_lm.WIDTH
+    one, two = h @ net.cls + net.cls_bias, np.einsum("nh,nhw->nw", h, net.word[cls]) + net.word_bias[cls]
+    plain = sum(x[np.arange(700), k] - np.log(np.exp(x).sum(1)) for x, k in ((one, cls), (two, place)))
+    whole = net.gradient(context, target).vector
+    work = masked_lm.Work(1000)
+    for rows, small in ((64, 30), (1 << 12, 30), (64, 0)):  # groups of few rows, of all; by each row's maximum
+        monkeypatch.setattr(masked_lm, "GROUP_ROWS", rows)
+        monkeypatch.setattr(masked_lm, "SMALL", small)
+        for _ in range(2):
+            assert np.allclose(net.log_p(context, target, work), plain, atol=1e-4)
+            g = masked_lm.Network(np.zeros(net.SIZE, np.float32))
+            net.gradient_into(g, context, target, work)
+            assert np.allclose(g.vector, whole, atol=1e-7)
+    large = masked_lm.Network(net.vector * 400)
+    assert np.isfinite(large.log_p(context, target)).all() and np.isfinite(large.gradient(context, target).vector).all()
+
+
+def test_vocabulary_finds_each_known_hash():
+    r = np.random.default_rng(5)
+    near = (np.uint64(77) << np.uint64(50)) + np.arange(40, dtype=np.uint64)  # one value of the first bits
+    known = r.permutation(np.unique(np.concatenate([near, r.integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2), np.array([0, (1 << 64) - 1], np.uint64)])))
+    words = masked_lm.Vocabulary(known.view(np.int64).tolist())
+    assert words.of(known).tolist() == list(range(len(known)))
+    other = r.integers(0, 1 << 63, 2000).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    other = np.concatenate([other, near + np.uint64(40), near[:1] - np.uint64(1)])
+    assert (words.of(other) == masked_lm.VOCABULARY - masked_lm.WIDTH + (other >> np.uint64(58)).astype(np.int64)).all()
+    assert len(masked_lm.Vocabulary([]).of(known)) == len(known)

@@ -32,8 +32,12 @@ TRAIN_SHARE, SHARD_WORDS, ROUNDS = 1.0, 400_000, 2
 #: Words of a training step: a pass over a full shard takes about PASS_STEPS of them, between these bounds. The rate is for
 #: the least; it grows with the square root of a step's words.
 PASS_STEPS, STEP_WORDS, RATE = 48, (2048, 8192), 0.2
-#: Words that are scored at once: as many as fit a core's cache.
-CHUNK = 1 << 13
+#: Words that are scored at once, and of those (or of a step) the rows whose arrays fit a core's cache.
+CHUNK, GROUP_ROWS = 1 << 13, 1 << 12
+#: Bits of a word's hash that lead to its place among the known ones.
+FIRST_BITS = 14
+#: Entries up to this, and not below its negative, keep their digits in exp's sums of 32 bits.
+SMALL = 30
 #: Slices of the weights that are averaged apart.
 SLICES = 16
 
@@ -68,12 +72,19 @@ class Vocabulary:
         h = np.array(hashes, np.int64).view(np.uint64)[: VOCABULARY - WIDTH]
         order = np.argsort(h)
         self.known, self.ids = h[order], order.astype(np.int64)
+        # the first known hash of each value of the first bits: a word passes over few
+        self.first = np.searchsorted(self.known, np.arange(1 << FIRST_BITS, dtype=np.uint64) << np.uint64(64 - FIRST_BITS)).astype(np.int32)
+        self.most = int(np.diff(np.append(self.first, len(h))).max())
 
     def of(self, h: np.ndarray) -> np.ndarray:
         other = VOCABULARY - WIDTH + (h >> np.uint64(58)).astype(np.int64)
         if not len(self.known):
             return other
-        k = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+        k, last = self.first[(h >> np.uint64(64 - FIRST_BITS)).astype(np.int64)], len(self.known) - 1
+        np.minimum(k, last, out=k)
+        for _ in range(self.most - 1):
+            k += self.known[k] < h
+            np.minimum(k, last, out=k)
         return np.where(self.known[k] == h, self.ids[k], other)
 
 
@@ -97,6 +108,17 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
 _PLACE_AT = (np.arange(len(PLACES)) * (VOCABULARY + 1)).astype(np.uint16)
 
 
+class Work:
+    """Arrays of up to `rows` rows that steps use in turn: large ones that come and go are mapped anew by the system each time."""
+
+    def __init__(self, rows: int):
+        wide = lambda: np.empty((rows, WIDTH), np.float32)
+        narrow = lambda: np.empty((rows, HIDDEN), np.float32)
+        self.hidden, self.more, self.back = narrow(), narrow(), narrow()
+        self.one, self.two, self.ones = wide(), wide(), np.ones(rows, np.float32)
+        self.spread = np.empty((rows * len(PLACES), HIDDEN), np.float32)
+
+
 class Network:
     """Weights in one vector; the parts are views of it."""
 
@@ -113,29 +135,38 @@ class Network:
             at += n
         self.flat = self.embed.reshape(-1, HIDDEN)
 
-    def forward(self, context: np.ndarray) -> np.ndarray:
-        h = self.embed[0].take(context[:, 0], axis=0)
+    def forward(self, context: np.ndarray, work: Work | None = None) -> np.ndarray:
+        n = len(context)
+        work = work or Work(n)
+        h, more = work.hidden[:n], work.more[:n]
+        self.embed[0].take(context[:, 0], axis=0, out=h, mode="clip")  # with "raise", numpy would copy
         for p in range(1, len(PLACES)):
-            h += self.embed[p].take(context[:, p], axis=0)
+            h += self.embed[p].take(context[:, p], axis=0, out=more, mode="clip")
         h += self.hidden
         return np.tanh(h, out=h)
 
-    def _logits(self, h: np.ndarray, spans) -> tuple[np.ndarray, np.ndarray]:
-        """Of classes, and of the words of each row's class; spans: class and its rows (i, j)."""
-        cls, word = h @ self.cls, np.empty((len(h), WIDTH), np.float32)
+    def _logits(self, h: np.ndarray, spans, start: int, work: Work) -> tuple[np.ndarray, np.ndarray]:
+        """Of classes, and of the words of each row's class; spans: class and its rows (i, j), of which h has those from start."""
+        cls, word = np.matmul(h, self.cls, out=work.one[: len(h)]), work.two[: len(h)]
         cls += self.cls_bias
         for c, i, j in spans:
-            np.matmul(h[i:j], self.word[c], out=word[i:j])
-            word[i:j] += self.word_bias[c]
+            own = np.matmul(h[i - start : j - start], self.word[c], out=word[i - start : j - start])
+            own += self.word_bias[c]
         return cls, word
 
-    def log_p(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+    def log_p(self, context: np.ndarray, target: np.ndarray, work: Work | None = None) -> np.ndarray:
+        work = work or Work(len(target))
         order, cls, spans = _by_class(target)
-        place, at = target[order] % WIDTH, np.arange(len(order))
-        one, two = self._logits(self.forward(context[order]), spans)
-        own = one[at, cls] + two[at, place]
+        context, place = context[order], target[order] % WIDTH
+        at, found = np.arange(len(order)), np.empty(len(order), np.float32)
+        for i, j, own in _groups(spans):
+            one, two = self._logits(self.forward(context[i:j], work), own, i, work)
+            p = one[at[: j - i], cls[i:j]] + two[at[: j - i], place[i:j]]
+            p -= _log_sum(one)
+            p -= _log_sum(two)
+            found[i:j] = p
         out = np.empty(len(order), np.float32)
-        out[order] = own - _log_sum(one) - _log_sum(two)
+        out[order] = found
         return out
 
     def gradient(self, context: np.ndarray, target: np.ndarray) -> Network:
@@ -144,24 +175,34 @@ class Network:
         self.gradient_into(g, context, target)
         return g
 
-    def gradient_into(self, g: Network, context: np.ndarray, target: np.ndarray) -> list[tuple[str, np.ndarray | slice]]:
+    def gradient_into(self, g: Network, context: np.ndarray, target: np.ndarray, work: Work | None = None) -> list[tuple[str, np.ndarray | slice]]:
         """Writes the parts of the gradient that are not zero to g; returns which they are, by name and place."""
         order, cls, spans = _by_class(target)
         context, place, n = context[order], target[order] % WIDTH, len(target)
-        at = np.arange(n)
-        h = self.forward(context)
-        one, two = self._logits(h, spans)
-        for d, own in ((one, cls), (two, place)):  # softmax less one at the target, over n
-            _, total = _exponents(d)
-            d *= (1 / (n * total))[:, None]
-            d[at, own] -= np.float32(1 / n)
-        g.cls[:], g.cls_bias[:] = h.T @ one, one.sum(0)
-        back = one @ self.cls.T
-        for c, i, j in spans:
-            g.word[c], g.word_bias[c] = h[i:j].T @ two[i:j], two[i:j].sum(0)
-            back[i:j] += two[i:j] @ self.word[c].T
-        back *= 1 - h * h
-        g.hidden[:] = back.sum(0)
+        work = work or Work(n)
+        at, ones, back = np.arange(n), work.ones[:n], work.back[:n]
+        g.cls[:], g.cls_bias[:] = 0, 0
+        for start, end, own in _groups(spans):
+            h, m = self.forward(context[start:end], work), end - start
+            one, two = self._logits(h, own, start, work)
+            for d, column in ((one, cls), (two, place)):  # softmax less one at the target, over n
+                _, total = _exponents(d)
+                total *= n
+                d *= np.reciprocal(total, out=total)[:, None]
+                d[at[:m], column[start:end]] -= np.float32(1 / n)
+            g.cls += h.T @ one
+            g.cls_bias += ones[:m] @ one
+            b, more = np.matmul(one, self.cls.T, out=back[start:end]), work.more[:m]
+            for c, i, j in own:
+                rows = slice(i - start, j - start)
+                np.matmul(h[rows].T, two[rows], out=g.word[c])
+                np.matmul(ones[: j - i], two[rows], out=g.word_bias[c])
+                np.matmul(two[rows], self.word[c].T, out=more[rows])
+            b += more
+            h *= h
+            np.subtract(1, h, out=h)
+            b *= h
+        g.hidden[:] = ones @ back
         seen = np.array([c for c, _, _ in spans])
         words = slice(None) if len(seen) == CLASSES else seen
         touched = [("cls", slice(None)), ("cls_bias", slice(None)), ("word", words), ("word_bias", words), ("hidden", slice(None))]
@@ -171,15 +212,19 @@ class Network:
         ids = ids[order]
         first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
         own = ids[first].astype(np.int64)
-        g.flat[own] = np.add.reduceat(back[order // len(PLACES)], first, axis=0)
+        order //= len(PLACES)
+        g.flat[own] = np.add.reduceat(back.take(order, axis=0, out=work.spread[: len(order)], mode="clip"), first, axis=0)
         touched.append(("flat", own))
         return touched
 
 
 def _exponents(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's maximum, and its sum of exp(x - that); x becomes the exponents."""
-    top = x.max(1)
-    x -= top[:, None]
+    """A bound of each row, and its sum of exp(x - that); x becomes the exponents. The bound is 0 where all entries are
+    small enough for that, else the row's maximum."""
+    top = np.float32(0)
+    if x.size and not (x.max() < SMALL and x.min() > -SMALL):
+        top = x.max(1)
+        x -= top[:, None]
     np.exp(x, out=x)
     return top, x @ np.ones(x.shape[1], np.float32)
 
@@ -199,6 +244,18 @@ def _by_class(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[in
     return order, cls, list(zip(cls[first].tolist(), first.tolist(), [*first[1:].tolist(), len(cls)]))
 
 
+def _groups(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, list[tuple[int, int, int]]]]:
+    """Spans of about GROUP_ROWS rows together: first row, end, and the spans; a longer span is a group of its own."""
+    out: list[tuple[int, int, list[tuple[int, int, int]]]] = []
+    for c, i, j in spans:
+        if out and j - out[-1][0] <= GROUP_ROWS:
+            start, _, own = out[-1]
+            out[-1] = (start, j, [*own, (c, i, j)])
+        else:
+            out.append((i, j, [(c, i, j)]))
+    return out
+
+
 def contexts(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Neighbours of each word within its text; PAD beyond its ends."""
     n, reach = np.diff(first), max(PLACES)
@@ -216,10 +273,10 @@ def train(network: Network, context: np.ndarray, target: np.ndarray, rate: float
     rate *= (batch / least) ** 0.5
     context, target = context.astype(np.uint16), target.astype(np.uint16)
     total, step = Network(np.full(net.SIZE, 1e-6, np.float32)), Network(np.zeros(net.SIZE, np.float32))
-    order = np.random.default_rng(3).permutation(len(target))
+    order, work = np.random.default_rng(3).permutation(len(target)), Work(min(batch, len(target)))
     for at in range(0, len(order), batch):
         rows = order[at : at + batch]
-        for name, part in net.gradient_into(step, context[rows], target[rows]):
+        for name, part in net.gradient_into(step, context[rows], target[rows], work):
             g = getattr(step, name)[part]
             seen = g * g
             seen += getattr(total, name)[part]
@@ -286,14 +343,14 @@ def scored(docs: DataFrame, vocab: Vocabulary, network: Network) -> DataFrame:
     @lean
     def run(batches):
         words, vector = held.value
-        net = Network(vector)
+        net, work = Network(vector), Work(CHUNK)
         for whole in batches:
             for b in slices(whole, "text", 1 << 19):
                 _, _, h, first = word_spans(*buffers(b.column(1)), WHITE, LOWER)
                 ids = words.of(h)
                 around, log_p = contexts(ids, first), np.zeros(len(ids) + 1)
                 for at in range(0, len(ids), CHUNK):
-                    log_p[1 + at : 1 + at + CHUNK] = net.log_p(around[at : at + CHUNK], ids[at : at + CHUNK])
+                    log_p[1 + at : 1 + at + CHUNK] = net.log_p(around[at : at + CHUNK], ids[at : at + CHUNK], work)
                 total = np.cumsum(log_p)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(first), pa.int64()), pa.array(total[first[1:]] - total[first[:-1]], pa.float64())], ["doc_id", "n_words", "log_likelihood"])
 
