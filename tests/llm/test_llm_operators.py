@@ -6,6 +6,7 @@ import re
 import textwrap
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -636,6 +637,49 @@ def test_lm_of_empty_tables(spark):
     assert masked_lm.scored(frame(spark, ["a b"]), words, net).first().log_likelihood < 0
 
 
+def test_lm_scores_written_words_as_it_scores_texts(spark):
+    df = frame(spark, [*odd_texts(), *[" ".join(WORDS[k : k + 9] * 40) for k in range(6)], None])
+    vocab = masked_lm.vocabulary(df)
+    words = masked_lm.encoded(df, vocab)
+    net = masked_lm.learned(words)
+    assert np.allclose(net.vector, masked_lm.fit(df, vocab).vector, atol=1e-6)
+    rows = lambda scores: [(x.doc_id, x.n_words, pytest.approx(x.log_likelihood, rel=1e-5)) for x in scores.orderBy("doc_id").collect()]
+    found = masked_lm.scored_words(words, net)
+    assert [tuple(x) for x in found.orderBy("doc_id").collect()] == rows(masked_lm.scored(df, vocab, net))
+
+
+def test_lm_long_spans_come_in_parts(monkeypatch):
+    r = np.random.default_rng(9)
+    net = masked_lm.Network()
+    context, target = r.integers(0, masked_lm.VOCABULARY + 1, (500, 4)).astype(np.uint16), r.integers(0, 3 * masked_lm.WIDTH, 500).astype(np.uint16)
+    whole, scores = net.gradient(context, target).vector, net.log_p(context, target)
+    monkeypatch.setattr(masked_lm, "GROUP_ROWS", 48)
+    groups = masked_lm._groups([(0, 0, 200), (1, 200, 210), (2, 210, 500)])
+    assert all(j - i <= 48 for i, j, _ in groups) and [k for i, j, _ in groups for k in range(i, j)] == list(range(500))
+    assert np.allclose(net.gradient(context, target).vector, whole, atol=1e-7) and np.allclose(net.log_p(context, target), scores, atol=1e-5)
+
+
+def test_lm_pass_is_plain_adagrad():
+    r = np.random.default_rng(10)
+    context, target = r.integers(0, 300, (600, 4)), r.integers(0, 300, 600)
+    plain, seen = masked_lm.Network().vector.copy(), np.full(masked_lm.Network.SIZE, 1e-6, np.float32)
+    order, rate = np.random.default_rng(3).permutation(600), 0.2 * (200 / masked_lm.STEP_WORDS[0]) ** 0.5
+    for at in range(0, 600, 200):
+        rows = order[at : at + 200]
+        g = masked_lm.Network(plain).gradient(context[rows], target[rows]).vector
+        seen += g * g
+        plain = (plain - rate * g / np.sqrt(seen)).astype(np.float32)
+    assert np.allclose(masked_lm.train(masked_lm.Network(), context, target, batch=200).vector, plain, atol=2e-3)
+
+
+def test_lm_counts_words_over_many_slices(spark, monkeypatch):
+    r = random.Random(12)
+    texts = [" ".join(r.choice(WORDS) + str(r.randrange(30)) for _ in range(60)) for _ in range(80)]
+    monkeypatch.setattr(masked_lm, "slices", lambda b, text: (b.slice(k, 3) for k in range(0, b.num_rows, 3)))
+    found = sorted(x.n for x in masked_lm.word_counts(frame(spark, [*texts, None, ""]).coalesce(1)).collect())
+    assert found == sorted(Counter(w for t in texts for w in t.split()).values())
+
+
 # --- 10: licences
 
 

@@ -36,8 +36,8 @@ PASS_STEPS, STEP_WORDS, RATE = 48, (2048, 8192), 0.2
 CHUNK, GROUP_ROWS = 1 << 13, 1 << 12
 #: Bits of a word's hash that lead to its place among the known ones.
 FIRST_BITS = 14
-#: Entries up to this, and not below its negative, keep their digits in exp's sums of 32 bits.
-SMALL = 30
+#: Entries up to this, and not below its negative, keep their digits in exp's sums of 32 bits, and those times a step's words.
+SMALL = 60
 #: Slices of the weights that are averaged apart.
 SLICES = 16
 
@@ -48,18 +48,29 @@ def word_counts(docs: DataFrame) -> DataFrame:
     @lean
     def run(batches):
         known, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        more, waiting = [], 0  # counts of slices; they are added up when there are as many as known ones
+
+        def added():
+            h, c = (np.concatenate(x) for x in zip((known, count), *more))
+            order = np.argsort(h)
+            h = h[order]
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, int)
+            return h[first], np.add.reduceat(c[order], first) if len(h) else c
 
         def out():
             return pa.RecordBatch.from_pydict({"h": pa.array(known.view(np.int64), pa.int64()), "n": pa.array(count, pa.int64())})
 
         for whole in batches:
             for b in slices(whole, "text"):
-                h, c = np.unique(word_spans(*buffers(b.column(0)), WHITE, LOWER)[2], return_counts=True)
-                known, place = np.unique(np.concatenate([known, h]), return_inverse=True)
-                count = np.bincount(place, np.concatenate([count, c]), len(known)).astype(np.int64)
-                if len(known) > 1_000_000:
-                    yield out()
-                    known, count = known[:0], count[:0]
+                more.append(np.unique(word_spans(*buffers(b.column(0)), WHITE, LOWER)[2], return_counts=True))
+                waiting += len(more[-1][0])
+                if waiting > len(known):
+                    known, count = added()
+                    more, waiting = [], 0
+                    if len(known) > 1_000_000:
+                        yield out()
+                        known, count = known[:0], count[:0]
+        known, count = added()
         if len(known):
             yield out()
 
@@ -105,18 +116,38 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
     return Vocabulary([r["h"] for r in sorted(top, key=lambda r: (-r["n"], r["h"]))])
 
 
-_PLACE_AT = (np.arange(len(PLACES)) * (VOCABULARY + 1)).astype(np.uint16)
+_PLACE_AT, _PLACE_SHIFT = (np.arange(len(PLACES)) * (VOCABULARY + 1)).astype(np.uint16), (len(PLACES) - 1).bit_length()
+#: A row of embeddings as one item, which numpy puts in its place at once.
+_ROW = np.dtype(("V", 4 * HIDDEN))
 
 
 class Work:
     """Arrays of up to `rows` rows that steps use in turn: large ones that come and go are mapped anew by the system each time."""
 
     def __init__(self, rows: int):
-        wide = lambda: np.empty((rows, WIDTH), np.float32)
         narrow = lambda: np.empty((rows, HIDDEN), np.float32)
-        self.hidden, self.more, self.back = narrow(), narrow(), narrow()
-        self.one, self.two, self.ones = wide(), wide(), np.ones(rows, np.float32)
+        self.sums, self.more, self.back = narrow(), narrow(), narrow()
+        self.hidden, self.ones = np.ones((rows, HIDDEN + 1), np.float32), np.ones(rows, np.float32)  # the last column of hidden stays 1, for biases
+        self.both = np.empty((min(rows, GROUP_ROWS), CLASSES + WIDTH), np.float32)
         self.spread = np.empty((rows * len(PLACES), HIDDEN), np.float32)
+        self.weights, self.bias = np.zeros((CLASSES, HIDDEN, CLASSES + WIDTH), np.float32), np.zeros((CLASSES, CLASSES + WIDTH), np.float32)
+
+
+class Heads:
+    """Of each class, the weights of all classes and of its own words side by side, and below them the biases, so that one
+    product serves all."""
+
+    def __init__(self, net: Network):
+        self.all = np.empty((CLASSES, HIDDEN + 1, CLASSES + WIDTH), np.float32)
+        self.weights, self.bias = self.all[:, :HIDDEN], self.all[:, HIDDEN]
+        self.fill(net)
+
+    def fill(self, net: Network) -> None:
+        self.weights[:, :, :CLASSES], self.weights[:, :, CLASSES:] = net.cls, net.word
+        self.bias[:, :CLASSES], self.bias[:, CLASSES:] = net.cls_bias, net.word_bias
+        # no logit is beyond this, as hidden entries are between -1 and 1
+        most = max(np.abs(net.cls).sum(0).max(), np.abs(net.word).sum(1).max()) + max(np.abs(net.cls_bias).max(), np.abs(net.word_bias).max())
+        self.small = bool(most < SMALL)
 
 
 class Network:
@@ -133,38 +164,48 @@ class Network:
             n = int(np.prod(shape))
             setattr(self, name, vector[at : at + n].reshape(shape))
             at += n
-        self.flat = self.embed.reshape(-1, HIDDEN)
+        self.flat, self.dense = self.embed.reshape(-1, HIDDEN), vector[self.embed.size :]
 
     def forward(self, context: np.ndarray, work: Work | None = None) -> np.ndarray:
+        """The hidden layer, and a column of ones."""
         n = len(context)
         work = work or Work(n)
-        h, more = work.hidden[:n], work.more[:n]
+        h, more, out = work.sums[:n], work.more[:n], work.hidden[:n]
         self.embed[0].take(context[:, 0], axis=0, out=h, mode="clip")  # with "raise", numpy would copy
         for p in range(1, len(PLACES)):
             h += self.embed[p].take(context[:, p], axis=0, out=more, mode="clip")
         h += self.hidden
-        return np.tanh(h, out=h)
+        # tanh(x) = 1 - 2 / (exp(2 x) + 1), quicker than numpy's
+        h += h
+        with np.errstate(over="ignore"):
+            np.exp(h, out=h)
+        h += 1
+        np.divide(-2, h, out=h)
+        np.add(h, 1, out=out[:, :HIDDEN])
+        return out
 
-    def _logits(self, h: np.ndarray, spans, start: int, work: Work) -> tuple[np.ndarray, np.ndarray]:
-        """Of classes, and of the words of each row's class; spans: class and its rows (i, j), of which h has those from start."""
-        cls, word = np.matmul(h, self.cls, out=work.one[: len(h)]), work.two[: len(h)]
-        cls += self.cls_bias
+    @staticmethod
+    def _logits(h: np.ndarray, heads: Heads, spans, start: int, work: Work) -> np.ndarray:
+        """Of classes and of the words of each row's class, side by side; spans: class and its rows (i, j), of which h has those from start."""
+        both = work.both[: len(h)]
         for c, i, j in spans:
-            own = np.matmul(h[i - start : j - start], self.word[c], out=word[i - start : j - start])
-            own += self.word_bias[c]
-        return cls, word
-
-    def log_p(self, context: np.ndarray, target: np.ndarray, work: Work | None = None) -> np.ndarray:
-        work = work or Work(len(target))
-        order, cls, spans = _by_class(target)
-        context, place = context[order], target[order] % WIDTH
-        at, found = np.arange(len(order)), np.empty(len(order), np.float32)
+            np.matmul(h[i - start : j - start], heads.all[c], out=both[i - start : j - start])
+        return both
+
+    def log_p(self, context: np.ndarray, target: np.ndarray, work: Work | None = None, heads: Heads | None = None) -> np.ndarray:
+        work, heads = work or Work(len(target)), heads or Heads(self)
+        order, spans, at = _by_class(target)
+        context = context.take(order, axis=0)
+        found = np.empty(len(order), np.float32)
         for i, j, own in _groups(spans):
-            one, two = self._logits(self.forward(context[i:j], work), own, i, work)
-            p = one[at[: j - i], cls[i:j]] + two[at[: j - i], place[i:j]]
-            p -= _log_sum(one)
-            p -= _log_sum(two)
-            found[i:j] = p
+            both = self._logits(self.forward(context[i:j], work), heads, own, i, work)
+            p = both.reshape(-1).take(at[:, i:j] - i * (CLASSES + WIDTH))
+            top, total = _exponents(both.reshape(-1, WIDTH), heads.small)
+            np.log(total, out=total)
+            total += top
+            np.add(p[0], p[1], out=found[i:j])
+            found[i:j] -= total[::2]
+            found[i:j] -= total[1::2]
         out = np.empty(len(order), np.float32)
         out[order] = found
         return out
@@ -175,84 +216,92 @@ class Network:
         self.gradient_into(g, context, target)
         return g
 
-    def gradient_into(self, g: Network, context: np.ndarray, target: np.ndarray, work: Work | None = None) -> list[tuple[str, np.ndarray | slice]]:
-        """Writes the parts of the gradient that are not zero to g; returns which they are, by name and place."""
-        order, cls, spans = _by_class(target)
-        context, place, n = context[order], target[order] % WIDTH, len(target)
-        work = work or Work(n)
-        at, ones, back = np.arange(n), work.ones[:n], work.back[:n]
-        g.cls[:], g.cls_bias[:] = 0, 0
+    def gradient_into(self, g: Network, context: np.ndarray, target: np.ndarray, work: Work | None = None) -> None:
+        """Writes the gradient to g, but for embeddings of neighbours that do not occur."""
+        own, rows = self.gradient_parts(g, context, target, work or Work(len(target)), Heads(self))
+        g.flat[own] = rows
+
+    def gradient_parts(self, g: Network, context: np.ndarray, target: np.ndarray, work: Work, heads: Heads) -> tuple[np.ndarray, np.ndarray]:
+        """Writes the gradient without its embeddings to g; returns the places of those that occur in g.flat, and their gradient."""
+        order, spans, at = _by_class(target)
+        context, n = context.take(order, axis=0), len(target)
+        ones, back, weights, bias = work.ones[:n], work.back[:n], work.weights, work.bias
+        if len(spans) < CLASSES:
+            weights[:], bias[:] = 0, 0
+        last = -1
         for start, end, own in _groups(spans):
-            h, m = self.forward(context[start:end], work), end - start
-            one, two = self._logits(h, own, start, work)
-            for d, column in ((one, cls), (two, place)):  # softmax less one at the target, over n
-                _, total = _exponents(d)
-                total *= n
-                d *= np.reciprocal(total, out=total)[:, None]
-                d[at[:m], column[start:end]] -= np.float32(1 / n)
-            g.cls += h.T @ one
-            g.cls_bias += ones[:m] @ one
-            b, more = np.matmul(one, self.cls.T, out=back[start:end]), work.more[:m]
+            h = self.forward(context[start:end], work)
+            both = self._logits(h, heads, own, start, work)
+            d = both.reshape(-1, WIDTH)  # softmax less one at the target, over n
+            _, total = _exponents(d, heads.small)
+            total *= n
+            d *= np.reciprocal(total, out=total)[:, None]
+            both.reshape(-1)[at[:, start:end] - start * (CLASSES + WIDTH)] -= np.float32(1 / n)
+            b, h = back[start:end], h[:, :HIDDEN]
             for c, i, j in own:
                 rows = slice(i - start, j - start)
-                np.matmul(h[rows].T, two[rows], out=g.word[c])
-                np.matmul(ones[: j - i], two[rows], out=g.word_bias[c])
-                np.matmul(two[rows], self.word[c].T, out=more[rows])
-            b += more
-            h *= h
-            np.subtract(1, h, out=h)
-            b *= h
-        g.hidden[:] = ones @ back
-        seen = np.array([c for c, _, _ in spans])
-        words = slice(None) if len(seen) == CLASSES else seen
-        touched = [("cls", slice(None)), ("cls_bias", slice(None)), ("word", words), ("word_bias", words), ("hidden", slice(None))]
+                mine = both[rows]
+                if c == last:  # another part of a long span
+                    weights[c] += h[rows].T @ mine
+                    bias[c] += ones[: j - i] @ mine
+                else:
+                    np.matmul(h[rows].T, mine, out=weights[c])
+                    np.matmul(ones[: j - i], mine, out=bias[c])
+                np.matmul(mine, heads.weights[c].T, out=b[rows])
+                last = c
+            slope = np.multiply(h, h, out=work.more[: end - start])
+            np.subtract(1, slope, out=slope)
+            b *= slope
+        weights[:, :, :CLASSES].sum(0, out=g.cls)
+        bias[:, :CLASSES].sum(0, out=g.cls_bias)
+        g.word[:], g.word_bias[:], g.hidden[:] = weights[:, :, CLASSES:], bias[:, CLASSES:], ones @ back
         # all places in one pass: row p * (VOCABULARY + 1) + word of the flat table
-        ids = (context.astype(np.uint16) + _PLACE_AT).ravel()
+        ids = (context + _PLACE_AT).ravel() if context.dtype == np.uint16 else (context.astype(np.uint16) + _PLACE_AT).ravel()
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
         first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-        own = ids[first].astype(np.int64)
-        order //= len(PLACES)
-        g.flat[own] = np.add.reduceat(back.take(order, axis=0, out=work.spread[: len(order)], mode="clip"), first, axis=0)
-        touched.append(("flat", own))
-        return touched
+        order >>= _PLACE_SHIFT
+        spread = back.take(order, axis=0, out=work.spread[: len(order)], mode="clip")
+        # two columns are added up as one complex number, which takes half the calls
+        return ids[first].astype(np.int64), np.add.reduceat(spread.view(np.complex64), first, axis=0).view(np.float32)
 
 
-def _exponents(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _exponents(x: np.ndarray, small: bool) -> tuple[np.ndarray | np.float32, np.ndarray]:
     """A bound of each row, and its sum of exp(x - that); x becomes the exponents. The bound is 0 where all entries are
-    small enough for that, else the row's maximum."""
+    small enough for that (small: they are known to be), else the row's maximum."""
     top = np.float32(0)
-    if x.size and not (x.max() < SMALL and x.min() > -SMALL):
+    if not small and x.size and not (x.max() < SMALL and x.min() > -SMALL):
         top = x.max(1)
         x -= top[:, None]
     np.exp(x, out=x)
     return top, x @ np.ones(x.shape[1], np.float32)
 
 
-def _log_sum(x: np.ndarray) -> np.ndarray:
-    """log of the sum of exp of each row; x is used up."""
-    top, total = _exponents(x)
-    return top + np.log(total)
-
-
-def _by_class(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
-    """Rows in the order of their classes, the classes in that order, and (class, first row, end) of each."""
+def _by_class(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]], np.ndarray]:
+    """Rows in the order of their classes; (class, first row, end) of each; and where in that order, in a table of rows of
+    CLASSES + WIDTH, each row's class is and its word within the class."""
     cls = (target // WIDTH).astype(np.uint8)
     order = np.argsort(cls, kind="stable")
     cls = cls[order]
     first = np.flatnonzero(np.r_[True, cls[1:] != cls[:-1]]) if len(cls) else np.zeros(0, int)
-    return order, cls, list(zip(cls[first].tolist(), first.tolist(), [*first[1:].tolist(), len(cls)]))
+    at = np.empty((2, len(cls)), np.int64)
+    at[:] = np.arange(len(cls)) * (CLASSES + WIDTH)
+    at[0] += cls
+    at[1] += CLASSES + target.take(order) % WIDTH
+    return order, list(zip(cls[first].tolist(), first.tolist(), [*first[1:].tolist(), len(cls)])), at
 
 
 def _groups(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, list[tuple[int, int, int]]]]:
-    """Spans of about GROUP_ROWS rows together: first row, end, and the spans; a longer span is a group of its own."""
+    """Spans of up to GROUP_ROWS rows together: first row, end, and the spans; a longer span comes in parts."""
     out: list[tuple[int, int, list[tuple[int, int, int]]]] = []
-    for c, i, j in spans:
-        if out and j - out[-1][0] <= GROUP_ROWS:
-            start, _, own = out[-1]
-            out[-1] = (start, j, [*own, (c, i, j)])
-        else:
-            out.append((i, j, [(c, i, j)]))
+    for c, first, end in spans:
+        for i in range(first, end, GROUP_ROWS):
+            j = min(i + GROUP_ROWS, end)
+            if out and j - out[-1][0] <= GROUP_ROWS:
+                start, _, own = out[-1]
+                out[-1] = (start, j, [*own, (c, i, j)])
+            else:
+                out.append((i, j, [(c, i, j)]))
     return out
 
 
@@ -266,43 +315,59 @@ def contexts(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def train(network: Network, context: np.ndarray, target: np.ndarray, rate: float = RATE, batch: int | None = None) -> Network:
-    """One pass of Adagrad over the words in a fixed order; a part whose gradient is zero stays as it is and is passed over."""
+    """One pass of Adagrad over the words in a fixed order; embeddings whose gradient is zero stay as they are and are passed over."""
     net = Network(network.vector.copy())
     least, most = STEP_WORDS
     batch = batch or min(max(len(target) // PASS_STEPS, least), most)
-    rate *= (batch / least) ** 0.5
-    context, target = context.astype(np.uint16), target.astype(np.uint16)
-    total, step = Network(np.full(net.SIZE, 1e-6, np.float32)), Network(np.zeros(net.SIZE, np.float32))
-    order, work = np.random.default_rng(3).permutation(len(target)), Work(min(batch, len(target)))
+    rate = np.float32(rate * (batch / least) ** 0.5)
+    total, step, heads = Network(np.full(net.SIZE, 1e-6, np.float32)), Network(np.zeros(net.SIZE, np.float32)), Heads(net)
+    order, work, spare = np.random.default_rng(3).permutation(len(target)), Work(min(batch, len(target))), np.empty_like(net.dense)
+    context, target = context.astype(np.uint16).take(order, axis=0), target.astype(np.uint16).take(order)
+    totals, embeds = total.flat.view(_ROW).ravel(), net.flat.view(_ROW).ravel()
+
+    def moved(g: np.ndarray, seen: np.ndarray, now: np.ndarray, spare: np.ndarray) -> None:
+        np.multiply(g, g, out=spare)
+        seen += spare
+        np.sqrt(seen, out=spare)
+        np.divide(g, spare, out=spare)
+        spare *= rate
+        now -= spare
+
     for at in range(0, len(order), batch):
-        rows = order[at : at + batch]
-        for name, part in net.gradient_into(step, context[rows], target[rows], work):
-            g = getattr(step, name)[part]
-            seen = g * g
-            seen += getattr(total, name)[part]
-            getattr(total, name)[part] = seen
-            np.sqrt(seen, out=seen)
-            np.divide(g, seen, out=seen)
-            seen *= np.float32(rate)
-            getattr(net, name)[part] -= seen
+        own, g = net.gradient_parts(step, context[at : at + batch], target[at : at + batch], work, heads)
+        moved(step.dense, total.dense, net.dense, spare)
+        seen, now = total.flat.take(own, axis=0), net.flat.take(own, axis=0)
+        moved(g, seen, now, np.empty_like(g))
+        totals[own], embeds[own] = seen.view(_ROW).ravel(), now.view(_ROW).ravel()
+        heads.fill(net)
     return net
 
 
-def fit(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, share: float = TRAIN_SHARE) -> Network:
-    spark = docs.sparkSession
-    words = spark.sparkContext.broadcast(vocab)
-    key = F.xxhash64("doc_id", "text")
-    chosen = docs.select("doc_id", "text").where(F.pmod(key, F.lit(1 << 20)) < int(share * (1 << 20))).select(F.pmod(F.shiftright(key, 20), F.lit(1 << 30)).alias("k"), "text")
+def encoded(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """One row for each document, written once for training and scoring: doc_id, a hash of doc_id and text as key, its number
+    of words n, and their places in the vocabulary as ids."""
+    words = docs.sparkSession.sparkContext.broadcast(vocab)
 
     @lean
     def encode(batches):
         for whole in batches:
             for b in slices(whole, "text"):
-                _, _, h, first = word_spans(*buffers(b.column(1)), WHITE, LOWER)
+                _, _, h, first = word_spans(*buffers(b.column(2)), WHITE, LOWER)
                 ids = words.value.of(h).astype(np.uint16)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(first), pa.int64()), pa.array([ids[first[k] : first[k + 1]].tobytes() for k in range(b.num_rows)], pa.binary())], ["k", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(first), pa.int64()), pa.array([ids[first[k] : first[k + 1]].tobytes() for k in range(b.num_rows)], pa.binary())], ["doc_id", "key", "n", "ids"])
 
-    held = written(chosen.mapInArrow(encode, "k long, n long, ids binary"), "lm-words")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), "text")
+    return written(rows.mapInArrow(encode, "doc_id long, key long, n long, ids binary"), "lm-words")
+
+
+def fit(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, share: float = TRAIN_SHARE) -> Network:
+    return learned(encoded(docs, vocab), rounds, share)
+
+
+def learned(words: DataFrame, rounds: int = ROUNDS, share: float = TRAIN_SHARE) -> Network:
+    """words: of encoded()."""
+    spark = words.sparkSession
+    held = words.where(F.pmod("key", F.lit(1 << 20)) < int(share * (1 << 20))).select(F.pmod(F.shiftright("key", 20), F.lit(1 << 30)).alias("k"), "n", "ids")
     n_words = held.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = max(1, -(-n_words // SHARD_WORDS))
     groups = max(1, round(shards**0.5))
@@ -329,13 +394,25 @@ def fit(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, share: float =
             return pa.table({"s": t.column("s")[:1], "g": t.column("g")[:1], "n": pa.array([sum(t.column("n").to_pylist())], pa.int64()), "v": pa.array([v.astype(np.float32).tobytes()], pa.binary())})
 
         schema = "s int, g int, n long, v binary"
-        learned = held.where("n > 0").withColumn("shard", F.pmod("k", F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(learn, schema)
-        parts = learned.groupBy("s", "g").applyInArrow(add, schema).groupBy("s").applyInArrow(add, schema).collect()
+        trained = held.where("n > 0").withColumn("shard", F.pmod("k", F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(learn, schema)
+        parts = trained.groupBy("s", "g").applyInArrow(add, schema).groupBy("s").applyInArrow(add, schema).collect()
         vector = np.concatenate([np.frombuffer(bytes(r["v"]), np.float32) / np.float32(r["n"]) for r in sorted(parts, key=lambda r: r["s"])])
         network = Network(vector.copy())
     return network
 
 
+def _log_likelihoods(net: Network, work: Work, heads: Heads, ids: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Of each text; first: the first word of each, and the end."""
+    around, log_p = contexts(ids, first), np.zeros(len(ids) + 1)
+    for at in range(0, len(ids), CHUNK):
+        log_p[1 + at : 1 + at + CHUNK] = net.log_p(around[at : at + CHUNK], ids[at : at + CHUNK], work, heads)
+    total = np.cumsum(log_p)
+    return pa.array(total[first[1:]] - total[first[:-1]], pa.float64())
+
+
+_SCORES = "doc_id long, n_words long, log_likelihood double"
+
+
 def scored(docs: DataFrame, vocab: Vocabulary, network: Network) -> DataFrame:
     """One row for each document: doc_id, n_words and the sum of its words' log-probabilities."""
     held = docs.sparkSession.sparkContext.broadcast((vocab, network.vector))
@@ -344,17 +421,30 @@ def scored(docs: DataFrame, vocab: Vocabulary, network: Network) -> DataFrame:
     def run(batches):
         words, vector = held.value
         net, work = Network(vector), Work(CHUNK)
+        heads = Heads(net)
         for whole in batches:
             for b in slices(whole, "text", 1 << 19):
                 _, _, h, first = word_spans(*buffers(b.column(1)), WHITE, LOWER)
-                ids = words.of(h)
-                around, log_p = contexts(ids, first), np.zeros(len(ids) + 1)
-                for at in range(0, len(ids), CHUNK):
-                    log_p[1 + at : 1 + at + CHUNK] = net.log_p(around[at : at + CHUNK], ids[at : at + CHUNK], work)
-                total = np.cumsum(log_p)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(first), pa.int64()), pa.array(total[first[1:]] - total[first[:-1]], pa.float64())], ["doc_id", "n_words", "log_likelihood"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, log_likelihood double")
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(first), pa.int64()), _log_likelihoods(net, work, heads, words.of(h), first)], ["doc_id", "n_words", "log_likelihood"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SCORES)
+
+
+def scored_words(words: DataFrame, network: Network) -> DataFrame:
+    """As scored(), of the rows of encoded(): texts are not scanned again."""
+    held = words.sparkSession.sparkContext.broadcast(network.vector)
+
+    @lean
+    def run(batches):
+        net, work = Network(held.value), Work(CHUNK)
+        heads = Heads(net)
+        for whole in batches:
+            for b in slices(whole, "ids", 1 << 18):
+                data, off = buffers(b.column(2))
+                ids, first = data[off[0] : off[-1]].view(np.uint16).astype(np.int64), (off - off[0]) // 2
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _log_likelihoods(net, work, heads, ids, first)], ["doc_id", "n_words", "log_likelihood"])
+
+    return words.select("doc_id", "n", "ids").mapInArrow(run, _SCORES)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -47,8 +47,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    words = masked_lm.vocabulary(docs)
-    return masked_lm.digest(masked_lm.scored(docs, words, masked_lm.fit(docs, words)))
+    words = masked_lm.encoded(docs, masked_lm.vocabulary(docs))
+    return masked_lm.digest(masked_lm.scored_words(words, masked_lm.learned(words)))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
