@@ -78,6 +78,30 @@ def test_cluster_law_from_counts(spark):
     assert st.mean(counted) == pytest.approx(st.mean(plain), abs=0.03) and st.pstdev(counted) == pytest.approx(st.pstdev(plain), rel=0.15)
 
 
+def test_draws_of_rows_taken_together_are_each_rows_own():
+    import hashlib
+
+    from veritrace.operators import hashdraw as H
+
+    rows = [{"prefix": f"t|{r}|", "lo": lo, "hi": hi, "n": 97} for r in (0, 7, 8, 41) for lo, hi in ((1, 13), (95, 105))]
+    drawn = dict(H._drawn(rows, "n"))
+    assert [drawn[k].tolist() for k in range(len(rows))] == [[int(hashlib.md5(f"{x['prefix']}{j}".encode()).hexdigest()[:8], 16) % 97 for j in range(x["lo"], x["hi"])] for x in rows]
+
+
+def drawn_replicates(monkeypatch, spark, name, maker):
+    """The number of replicates that a query asks for."""
+    from veritrace.plans import registry
+
+    asked, real = [], getattr(B, maker)
+    monkeypatch.setattr(B, maker, lambda rows, keys, *more: asked.append(more[-2]) or real(rows, keys, *more[:-2], 2, more[-1]))
+    registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    return asked
+
+
+def test_bootstrap_percentiles_draws_all_resamples(spark, monkeypatch):
+    assert drawn_replicates(monkeypatch, spark, "bootstrap_percentiles", "replicate_means") == [10_000]
+
+
 def test_full_bootstrap_queries_have_all_resamples(spark):
     from veritrace.config import SETTINGS
     from veritrace.plans import registry

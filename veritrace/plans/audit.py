@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import SETTINGS
 from ..functions import numeric as N
 from ..operators import fourarm as A
 from ..operators import gates as V
@@ -186,21 +187,23 @@ def kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- statistics --------------------------------------------------------------------------------
 
 _REPS = 40
+#: Replicates of the queries that report an interval.
+_ALL = SETTINGS.bootstrap_b
 
 
-def _boot_sql(tag: str, where: str) -> str:
+def _boot_sql(tag: str, where: str, reps: int = _REPS) -> str:
     return f"""cells AS (SELECT model, ord, a, b, c, d, count(*) AS n FROM fourarm WHERE {where} GROUP BY ALL),
 rng AS (SELECT model, ord, a, b, c, d, sum(n) OVER (PARTITION BY model ORDER BY a, b, c, d) AS hi, sum(n) OVER (PARTITION BY model ORDER BY a, b, c, d) - n AS lo FROM cells),
 tot AS (SELECT model, ord, sum(n)::BIGINT AS n FROM cells GROUP BY model, ord),
-draw AS (SELECT model, r, ('0x' || substr(md5('{tag}|' || model || '|' || r || '|' || j), 1, 8))::BIGINT % n AS i FROM (SELECT model, n, r, unnest(range(1, n + 1)) AS j FROM tot, (SELECT unnest(range(0, {_REPS})) AS r))),
+draw AS (SELECT model, r, ('0x' || substr(md5('{tag}|' || model || '|' || r || '|' || j), 1, 8))::BIGINT % n AS i FROM (SELECT model, n, r, unnest(range(1, n + 1)) AS j FROM tot, (SELECT unnest(range(0, {reps})) AS r))),
 rep AS (SELECT draw.model, any_value(ord) AS ord, r, avg(b - a) AS apparent, avg(d - c) AS corrected, avg((b - a) - (d - c)) AS did FROM draw JOIN rng ON draw.model = rng.model AND i >= lo AND i < hi GROUP BY draw.model, r)"""
 
 
-def _replicates(spark: SparkSession, sf_dir: str, tag: str = "boot") -> DataFrame:
+def _replicates(spark: SparkSession, sf_dir: str, tag: str = "boot", reps: int = _REPS) -> DataFrame:
     rows = fourarm(spark, sf_dir, depths=(5,))
     gains = {"ord": F.col("ord"), "apparent": A.apparent(), "corrected": A.corrected(), "did": A.did()}
     orders = F.create_map(*[F.lit(x) for m in MODELS for x in m[:2]])
-    reps = B.replicate_means(rows, ["model"], ["a", "b", "c", "d"], {k: v for k, v in gains.items() if k != "ord"}, _REPS, tag)
+    reps = B.replicate_means(rows, ["model"], ["a", "b", "c", "d"], {k: v for k, v in gains.items() if k != "ord"}, reps, tag)
     return reps.withColumn("ord", orders[F.col("model")])
 
 
@@ -212,9 +215,9 @@ def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.order_ci(_replicates(spark, sf_dir), ["model"], "did")
 
 
-@query(f"WITH {FOURARM}, {_boot_sql('boot', 'k = 5')} SELECT model, round(quantile_cont(corrected, 0.025), 9) AS ci_low, round(quantile_cont(corrected, 0.975), 9) AS ci_high FROM rep GROUP BY model")
+@query(f"WITH {FOURARM}, {_boot_sql('boot', 'k = 5', _ALL)} SELECT model, round(quantile_cont(corrected, 0.025), 9) AS ci_low, round(quantile_cont(corrected, 0.975), 9) AS ci_high FROM rep GROUP BY model")
 def bootstrap_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.linear_ci(_replicates(spark, sf_dir), ["model"], "corrected")
+    return B.linear_ci(_replicates(spark, sf_dir, reps=_ALL), ["model"], "corrected")
 
 
 @query(
