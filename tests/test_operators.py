@@ -102,6 +102,10 @@ def test_bootstrap_percentiles_draws_all_resamples(spark, monkeypatch):
     assert drawn_replicates(monkeypatch, spark, "bootstrap_percentiles", "replicate_means") == [10_000]
 
 
+def test_paired_bootstrap_draws_all_resamples(spark, monkeypatch):
+    assert drawn_replicates(monkeypatch, spark, "paired_bootstrap", "replicate_means") == [10_000]
+
+
 def test_full_bootstrap_queries_have_all_resamples(spark):
     from veritrace.config import SETTINGS
     from veritrace.plans import registry

@@ -208,11 +208,11 @@ def _replicates(spark: SparkSession, sf_dir: str, tag: str = "boot", reps: int =
 
 
 @query(
-    f"""WITH {FOURARM}, {_boot_sql('boot', 'k = 5')}, s AS (SELECT model, list_sort(list(did)) AS v FROM rep GROUP BY model)
-SELECT model, round(v[floor(0.025 * {_REPS})::INT + 1], 9) AS ci_low, round(v[least({_REPS}, floor(0.975 * {_REPS})::INT + 1)], 9) AS ci_high FROM s"""
+    f"""WITH {FOURARM}, {_boot_sql('boot', 'k = 5', _ALL)}, s AS (SELECT model, list_sort(list(did)) AS v FROM rep GROUP BY model)
+SELECT model, round(v[floor(0.025 * {_ALL})::INT + 1], 9) AS ci_low, round(v[least({_ALL}, floor(0.975 * {_ALL})::INT + 1)], 9) AS ci_high FROM s"""
 )
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.order_ci(_replicates(spark, sf_dir), ["model"], "did")
+    return B.order_ci(_replicates(spark, sf_dir, reps=_ALL), ["model"], "did")
 
 
 @query(f"WITH {FOURARM}, {_boot_sql('boot', 'k = 5', _ALL)} SELECT model, round(quantile_cont(corrected, 0.025), 9) AS ci_low, round(quantile_cont(corrected, 0.975), 9) AS ci_high FROM rep GROUP BY model")
