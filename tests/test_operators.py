@@ -106,6 +106,10 @@ def test_paired_bootstrap_draws_all_resamples(spark, monkeypatch):
     assert drawn_replicates(monkeypatch, spark, "paired_bootstrap", "replicate_means") == [10_000]
 
 
+def test_equivalence_test_draws_all_resamples(spark, monkeypatch):
+    assert drawn_replicates(monkeypatch, spark, "equivalence_test", "replicate_means") == [10_000]
+
+
 def test_full_bootstrap_queries_have_all_resamples(spark):
     from veritrace.config import SETTINGS
     from veritrace.plans import registry

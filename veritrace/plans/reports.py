@@ -13,7 +13,7 @@ from ..functions import text as T
 from ..operators import gold as G
 from ..operators import pool as P
 from ..operators import stats as B
-from .audit import _REPS, _boot_sql, _full, _replicates
+from .audit import _ALL, _REPS, _boot_sql, _full, _replicates
 from .evidence import _EDIT, _edited
 from .fixture import FOURARM, TURNS, first_line_sql, fourarm, norm_sql, table, turns
 
@@ -113,11 +113,11 @@ def annotation_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {FOURARM}, {_boot_sql('boot', 'k = 5')}, s AS (SELECT model, list_sort(list(did)) AS v FROM rep GROUP BY model), c AS (SELECT model, round(v[floor(0.05 * {_REPS})::INT + 1], 9) AS ci_low, round(v[least({_REPS}, floor(0.95 * {_REPS})::INT + 1)], 9) AS ci_high FROM s)
+    f"""WITH {FOURARM}, {_boot_sql('boot', 'k = 5', _ALL)}, s AS (SELECT model, list_sort(list(did)) AS v FROM rep GROUP BY model), c AS (SELECT model, round(v[floor(0.05 * {_ALL})::INT + 1], 9) AS ci_low, round(v[least({_ALL}, floor(0.95 * {_ALL})::INT + 1)], 9) AS ci_high FROM s)
 SELECT model, ci_low, ci_high, ci_low > -0.05 AND ci_high < 0.05 AS equivalent_5pp, ci_low > -0.03 AND ci_high < 0.03 AS equivalent_3pp FROM c"""
 )
 def equivalence_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _equivalence(_replicates(spark, sf_dir))
+    return _equivalence(_replicates(spark, sf_dir, reps=_ALL))
 
 
 @query()
