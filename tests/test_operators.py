@@ -93,7 +93,7 @@ def drawn_replicates(monkeypatch, spark, name, maker):
     from veritrace.plans import registry
 
     asked, real = [], getattr(B, maker)
-    monkeypatch.setattr(B, maker, lambda rows, keys, *more: asked.append(more[-2]) or real(rows, keys, *more[:-2], 2, more[-1]))
+    monkeypatch.setattr(B, maker, lambda *more: asked.append(more[-2]) or real(*more[:-2], 2, more[-1]))
     registry.QUERIES[name](spark, "/root/testdata/sf0.001")
     return asked
 
@@ -110,6 +110,10 @@ def test_equivalence_test_draws_all_resamples(spark, monkeypatch):
     assert drawn_replicates(monkeypatch, spark, "equivalence_test", "replicate_means") == [10_000]
 
 
+def test_clustered_bootstrap_draws_all_resamples(spark, monkeypatch):
+    assert drawn_replicates(monkeypatch, spark, "clustered_bootstrap", "cluster_means") == [10_000]
+
+
 def test_full_bootstrap_queries_have_all_resamples(spark):
     from veritrace.config import SETTINGS
     from veritrace.plans import registry

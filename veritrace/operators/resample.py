@@ -25,8 +25,8 @@ from .annotate import rank_within
 
 #: Patterns of a chunk, and chunks of a space at most; then chunks grow.
 CHUNK, MOST_CHUNKS = 2000, 1024
-#: Items of a block that hashed draws fall into, and draws of a partition.
-BLOCK, _DRAWS = 1 << 13, 1 << 25
+#: Items of a block that hashed draws fall into, at least and at most; counts of a block for all replicates, and draws of a partition.
+LEAST_BLOCK, BLOCK, _COUNTS, _DRAWS = 1 << 9, 1 << 13, 1 << 23, 1 << 25
 #: Entries of a matrix of counts, and items of a pattern on average up to which items are drawn one by one.
 _ENTRIES, _FEW_ITEMS = 1 << 21, 3
 
@@ -60,24 +60,25 @@ def placed_sums(items: DataFrame, n: int, b: int, tag: str) -> DataFrame:
     """hashed_sums of items in their own order.
 
     A draw is two bytes, its place in a block of items; a task adds up the vectors of one block for all replicates, as the product
-    of a matrix of counts and the block's values. No item is sent to where draws are made, and none twice."""
+    of a matrix of counts and the block's values; the more replicates, the smaller its blocks. No item is sent to where draws are made, and none twice."""
+    block = min(BLOCK, max(LEAST_BLOCK, _COUNTS // b))
     spark, path = items.sparkSession, folder(items.sparkSession, "vectors")
     items.write.parquet(path)  # read to rank, to count and to draw from
     items = spark.read.schema(items.schema).parquet(path)
     sizes = items.groupBy("space").agg(F.count("*").alias("items"))
     total = (sizes.agg(F.sum("items")).first()[0] or 0) * b
     prefix = F.concat_ws("|", F.lit(tag), "space", F.col("r").cast("string"), F.lit(""))
-    draws = H.places_by_block(H.chunked(sizes, b, "items", prefix), "items", BLOCK)
-    placed = rank_within(items, "space", "item").select("space", F.floor(F.col("place") / BLOCK).alias("block"), (F.col("place") % BLOCK).cast("int").alias("at"), "vector")
+    draws = H.places_by_block(H.chunked(sizes, b, "items", prefix), "items", block)
+    placed = rank_within(items, "space", "item").select("space", F.floor(F.col("place") / block).alias("block"), (F.col("place") % block).cast("int").alias("at"), "vector")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // _DRAWS)
     dealt = lambda df: df.repartition(parts, "space", "block").groupBy("space", "block")
     names = [f"s{k}" for k in range(n)]
 
     def added(key: tuple, own: pa.Table, drawn: pa.Table) -> pa.Table:
         vector, at = own["vector"].combine_chunks(), own["at"].to_numpy()
-        counts = np.zeros((b, BLOCK))
+        counts = np.zeros((b, block))
         for r, places in zip(drawn["r"].to_pylist(), drawn["at"].to_pylist()):
-            counts[r] += np.bincount(np.frombuffer(places, np.uint16), minlength=BLOCK)
+            counts[r] += np.bincount(np.frombuffer(places, np.uint16), minlength=block)
         counts = counts[:, at]
         row = np.repeat(np.arange(len(at)), np.diff(vector.offsets.to_numpy()))
         cell, sums = vector.flatten().flatten()

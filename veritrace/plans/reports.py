@@ -13,7 +13,7 @@ from ..functions import text as T
 from ..operators import gold as G
 from ..operators import pool as P
 from ..operators import stats as B
-from .audit import _ALL, _REPS, _boot_sql, _full, _replicates
+from .audit import _ALL, _boot_sql, _full, _replicates
 from .evidence import _EDIT, _edited
 from .fixture import FOURARM, TURNS, first_line_sql, fourarm, norm_sql, table, turns
 
@@ -170,13 +170,13 @@ def common_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {FOURARM}, c AS (SELECT model, question_id // 10 AS cl, sum((d - c) - (b - a)) AS s, count(*) AS m FROM fourarm WHERE k = 5 GROUP BY 1, 2),
 p AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY cl) - 1 AS i, count(*) OVER (PARTITION BY model) AS n FROM c), t AS (SELECT DISTINCT model, n FROM p),
-dr AS (SELECT model, r, ('0x' || substr(md5('cluster|' || model || '|' || r || '|' || j), 1, 8))::BIGINT % n AS i FROM (SELECT model, n, r, unnest(range(1, n + 1)) AS j FROM t, (SELECT unnest(range(0, {_REPS})) AS r))),
+dr AS (SELECT model, r, ('0x' || substr(md5('cluster|' || model || '|' || r || '|' || j), 1, 8))::BIGINT % n AS i FROM (SELECT model, n, r, unnest(range(1, n + 1)) AS j FROM t, (SELECT unnest(range(0, {_ALL})) AS r))),
 rep AS (SELECT dr.model, r, sum(s)::DOUBLE / sum(m) AS masking FROM dr JOIN p USING (model, i) GROUP BY dr.model, r)
 SELECT model, round(quantile_cont(masking, 0.025), 9) AS ci_low, round(quantile_cont(masking, 0.975), 9) AS ci_high FROM rep GROUP BY model"""
 )
 def clustered_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fourarm(spark, sf_dir, depths=(5,)).select("model", F.floor(F.col("question_id") / 10).alias("cl"), A.masking().alias("masking"))
-    return B.linear_ci(B.cluster_means(rows, ["model"], "cl", "masking", _REPS, "cluster"), ["model"], "masking")
+    return B.linear_ci(B.cluster_means(rows, ["model"], "cl", "masking", _ALL, "cluster"), ["model"], "masking")
 
 
 @query()
