@@ -118,3 +118,34 @@ def test_values_of_one_word_need_no_automaton(spark, monkeypatch):
     got = {r.question_id: (r.old, r.new, r.n_candidates) for r in PR.borrowed(targets, pool).collect()}
     assert sorted(sought) == ["5.6", "é7"]
     assert got[1][0] == "12" and got[1][1] in ("34", "78") and got[1][2] == 2 and got[2][1] in ("5.6", "é7") and got[2][2] == 2
+
+
+def drawn_gold(spark):
+    r = random.Random(11)
+    values = [str(r.randint(1, 99)) for _ in range(30)] + ["5.6", "7,1", "88.0"]
+    years = [str(r.randint(1800, 2020)) for _ in range(30)]
+    answers = [(k, "numeric", v) for k, v in enumerate(values)] + [(k, "date", v) for k, v in enumerate(years)] + [(k, "name", v) for k, v in enumerate(["Bo", "Al Li", "Cy"])]
+    rows = []
+    for q in range(60):
+        kind, own = r.choice([("numeric", values), ("date", years), ("name", ["Bo", "Al Li", "Zed"])])
+        answer, multi = r.choice(own), q % 3 == 0
+        for k in range(3 if multi else 1):
+            words = r.choices(values + years + ["Bo", "Al Li", "Cy"], k=8) + ([answer] if r.random() < 0.8 else [])
+            rows.append((f"q{q}", multi, k, f"q{q}-{k}", r.choice("abc"), " ".join(words), [answer], kind, ["a", "c"]))
+    return gold(spark, *rows), spark.createDataFrame(answers, "ord int, kind string, value string")
+
+
+def test_small_buckets_give_what_the_joins_give(spark, monkeypatch):
+    """Before, every passage went through the joins, with its text and a row for each of its words."""
+    rows, answers = drawn_gold(spark)
+    real = PR.borrowed
+    for strict in (False, True):
+        pool, got, joined = P.build_pool(answers, strict), {}, {}
+        for small in (0, 12, PR.SMALL):
+            monkeypatch.setattr(PR, "SMALL", small)
+            monkeypatch.setattr(PR, "borrowed", lambda targets, *more: joined.__setitem__(small, targets.count()) or real(targets, *more))
+            made = PR.proposals(rows, pool, strict_era=strict).drop("spans")
+            got[small] = sorted(map(str, made.collect()))
+            monkeypatch.undo()
+        assert got[0] == got[12] == got[PR.SMALL] and len(got[0]) == 100
+        assert joined[0] > joined[12] > 0 == joined[PR.SMALL]

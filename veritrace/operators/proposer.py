@@ -21,6 +21,8 @@ from . import substitute as S
 
 #: Rows of a bucket that one window numbers.
 CHUNK = 1 << 16
+#: Values of a bucket up to which it is broadcast whole.
+SMALL = 1 << 10
 #: Tries of an invented number.
 TRIES = 100
 # Distances of invented years, in the order in which they are tried.
@@ -87,17 +89,46 @@ def invented(kind: Column, old: Column, passage: Column) -> Column:
     return F.when((kind == "date") & F.trim(old).rlike("^[0-9]{4}$"), free(years)).when((kind == "numeric") & F.trim(old).rlike("^[0-9][0-9.,]{0,14}$"), free(tries))
 
 
-def terminal(hits: DataFrame) -> DataFrame:
-    """The last passage of each question's chain: of those with a hit, the last by the order of support, else the last of all.
+def with_terminal(hits: DataFrame) -> DataFrame:
+    """hits with terminal_doc and end_title, the last passage of each question's chain: of those with a hit, the last by the order of support, else the last of all.
 
-    A question of one step has its first passage. hits: question_id, multi, ord, title, support, n_hits."""
+    A question of one step has its first passage. hits: question_id, multi, ord, doc_id, title, support, n_hits and more."""
     back = F.array_position(F.reverse(F.coalesce("support", F.array().cast("array<string>"))), F.coalesce("title", F.lit("")))
     known = back > 0
     place = F.when(known, F.size("support") - back).otherwise(F.col("ord").cast("long"))
-    last = F.max_by("title", F.when(F.col("n_hits") > 0, F.struct(known.alias("known"), place.alias("place"))))
-    ends = hits.groupBy("question_id").agg(last.alias("end_title"), F.min("ord").alias("first_ord"))
-    of_title = hits.join(ends, "question_id").where(F.when(F.col("multi"), F.col("title").eqNullSafe(F.col("end_title"))).otherwise(F.col("ord") == F.col("first_ord")))
-    return of_title.groupBy("question_id").agg(F.min_by("doc_id", "ord").alias("terminal_doc"), F.first("end_title").alias("end_title"))
+    of = W.partitionBy("question_id")  # passages of one question
+    at = F.when(F.col("n_hits") > 0, F.struct(known.alias("known"), place.alias("place")))
+    ends = hits.withColumn("_at", at).drop("support").withColumns({"end_title": F.max_by("title", "_at").over(of), "_first": F.min("ord").over(of)}).drop("_at")
+    is_end = F.when(F.col("multi"), F.col("title").eqNullSafe(F.col("end_title"))).otherwise(F.col("ord") == F.col("_first"))
+    ends = ends.withColumn("_end", F.coalesce(is_end, F.lit(False))).withColumns({"terminal_doc": F.min_by("doc_id", F.when(F.col("_end"), F.col("ord"))).over(of), "_any": F.bool_or("_end").over(of)})
+    return ends.withColumn("end_title", F.when(F.col("_any"), F.col("end_title"))).drop("_first", "_end", "_any")
+
+
+def small_buckets(pool: DataFrame) -> DataFrame:
+    """bucket, its values in pool order, and those that are not of letters and digits alone (odd); of buckets of at most SMALL values."""
+    few = pool.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") <= SMALL).select("bucket")
+    own = pool.join(F.broadcast(few), "bucket").groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("ord", "value"))).alias("v"))
+    return own.select("bucket", F.col("v.value").alias("values"), F.filter("v.value", lambda v: ~v.rlike(r"\A[0-9A-Za-z]+\z")).alias("odd"))
+
+
+def near(rows: DataFrame, buckets: DataFrame, strict_era: bool) -> DataFrame:
+    """rows with new, as `borrowed` has it, where all buckets that the old value may take from are among `buckets` or empty: a row stays where it is.
+
+    rows: question_id, kind, old (null for none), text."""
+    old, text = F.col("old"), F.coalesce("text", F.lit(""))
+    words = F.regexp_extract_all(text, F.lit("([0-9A-Za-z]+)"))
+    out, steps = rows.withColumn("_words", F.when(old.isNotNull(), F.array_append(words, old))), 8 if strict_era else 1
+    out = out.withColumn("_ladder", F.when(old.isNotNull(), P.ladder(F.col("kind"), old, strict_era)))
+    news = []
+    for k in range(steps):
+        own = F.broadcast(buckets.select(*[F.col(c).alias(f"_{c}{k}") for c in ("bucket", "values", "odd")]))  # SMALL values for each bucket
+        out = out.withColumn(f"_b{k}", F.get("_ladder", F.lit(k))["bucket"]).join(own, F.col(f"_b{k}") == F.col(f"_bucket{k}"), "left")
+        held = F.filter(f"_odd{k}", lambda v: F.contains(text, v) & (T.whole_count(text, v) > 0))
+        out = out.withColumn(f"_free{k}", F.array_except(f"_values{k}", F.concat("_words", held))).drop(f"_b{k}", f"_bucket{k}", f"_values{k}", f"_odd{k}")
+        news.append(F.when(F.size(f"_free{k}") > 0, F.col(f"_free{k}")))
+    out = out.withColumn("_free", F.coalesce(*news)).drop("_words", "_ladder", *[f"_free{k}" for k in range(steps)])
+    at = N.hash_mod(F.concat_ws("|", F.col("question_id").cast("string"), old), F.size("_free").cast("long"))
+    return out.withColumn("new", F.when(F.col("_free").isNotNull(), F.get("_free", at.cast("int")))).drop("_free")
 
 
 def proposals(gold: DataFrame, pool: DataFrame, said: DataFrame | None = None, strict_era: bool = SETTINGS.strict_era) -> DataFrame:
@@ -105,14 +136,25 @@ def proposals(gold: DataFrame, pool: DataFrame, said: DataFrame | None = None, s
 
     gold: question_id, multi, ord, doc_id, title, text, answers, kind, support. said: question_id, doc_id, raw: a model's
     answers to `prompts`, which decide on passages without a single hit; without it the first hit is taken and marked.
-    step is hit, first, model or skipped (a passage of a chain without the answer); fault is no_hit, no_value or not_verbatim."""
-    found = gold.withColumn("spans", S.find_spans(F.coalesce("text", F.lit("")), "answers")).withColumn("n_hits", F.size("spans"))
+    step is hit, first, model or skipped (a passage of a chain without the answer); fault is no_hit, no_value or not_verbatim.
+
+    Passages whose answers all take from small buckets get their value where they are; only the others go through the joins of `borrowed`.
+    What then comes together by question has no text."""
+    large = pool.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > SMALL).agg(F.collect_list("bucket").alias("_large"))  # names of buckets: digits, eras and kinds
+    far = F.coalesce(F.exists("answers", lambda a: F.exists(P.ladder(F.col("kind"), a, strict_era), lambda x: F.array_contains("_large", x["bucket"]))), F.lit(False))
+    gold = gold.crossJoin(F.broadcast(large)).withColumn("_far", far).drop("_large")
     asks = (F.col("n_hits") > 1) | (F.col("n_hits") == 0) & ~F.col("multi") if said is not None else F.lit(False)
     step = F.when(asks, "model").when(F.col("n_hits") == 1, "hit").when(F.col("n_hits") > 1, "first").when(F.col("multi"), "skipped")
     hit = F.get("spans", F.lit(0))
-    found = found.withColumns({"step": step, "old": F.coalesce(hit["value"], F.when(asks, F.get("answers", F.lit(0)))), "start": hit["start"], "end": hit["end"]}).drop("spans")
-    targets = found.where("step <> 'skipped' AND old IS NOT NULL").select("question_id", "doc_id", "kind", "old", F.col("text").alias("passage"))
-    out = found.join(borrowed(targets, pool, strict_era).select("question_id", "doc_id", "new"), ["question_id", "doc_id"], "left")
+
+    def located(rows: DataFrame) -> DataFrame:
+        found = rows.drop("_far").withColumn("spans", S.find_spans(F.coalesce("text", F.lit("")), "answers")).withColumn("n_hits", F.size("spans"))
+        return found.withColumns({"step": step, "old": F.coalesce(hit["value"], F.when(asks, F.get("answers", F.lit(0)))), "start": hit["start"], "end": hit["end"]}).drop("spans")
+
+    here, away = located(gold.where(~F.col("_far"))), located(gold.where("_far"))
+    targets = away.where("step <> 'skipped' AND old IS NOT NULL").select("question_id", "doc_id", "kind", "old", F.col("text").alias("passage"))
+    away = away.join(borrowed(targets, pool, strict_era).select("question_id", "doc_id", "new"), ["question_id", "doc_id"], "left")
+    out = near(here, small_buckets(pool), strict_era).unionByName(away)
     # a model's passage has its value invented from the question's first answer
     source = F.when(F.col("step") == "model", F.get("answers", F.lit(0))).otherwise(F.col("old"))
     out = out.withColumn("new", F.when(F.col("step") != "skipped", F.coalesce("new", invented(F.col("kind"), source, F.col("text")))))
@@ -123,10 +165,10 @@ def proposals(gold: DataFrame, pool: DataFrame, said: DataFrame | None = None, s
         out = out.withColumns({c: F.when(model, F.col("_p")[c]).otherwise(F.col(c)) for c in ("start", "end", "old")})
         verbatim = ~model | F.col("_p").isNotNull()
     fault = F.when(F.col("step").isNull(), "no_hit").when((F.col("step") != "skipped") & F.col("new").isNull(), "no_value").when(~verbatim, "not_verbatim")
-    out = out.join(terminal(found.select("question_id", "multi", "ord", "doc_id", "title", "support", "n_hits")), "question_id", "left")
+    out = with_terminal(out.withColumn("fault", fault))
     ends = F.col("title").eqNullSafe(F.col("end_title")) if said is not None else F.col("doc_id") == F.col("terminal_doc")
     role = F.when(F.col("step") != "skipped", F.when(ends, "terminal").otherwise("bridge_sync"))
-    return out.withColumns({"fault": fault, "role": role}).select("question_id", "multi", "ord", "doc_id", "kind", "text", "start", "end", "old", "new", "role", "n_hits", "step", "fault")
+    return out.withColumn("role", role).select("question_id", "multi", "ord", "doc_id", "kind", "text", "start", "end", "old", "new", "role", "n_hits", "step", "fault")
 
 
 def prompts(gold: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import pool as P
@@ -50,15 +51,18 @@ def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     no_titles = F.array().cast("array<string>")
     qid = F.concat("q", F.col("p_partkey").cast("string"))
     single = one.select(qid.alias("question_id"), F.lit(False).alias("multi"), F.lit(0).alias("ord"), qid.alias("doc_id"), "title", "text", F.array("answer").alias("answers"), "kind", no_titles.alias("support"))
-    line = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").cast("int").cast("string").alias("q"), F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
+    qid = F.concat(F.lit("o"), F.col("l_orderkey").cast("string"))
+    line = table(spark, sf_dir, "lineitem").where("l_orderkey IS NOT NULL").select(qid.alias("question_id"), "l_linenumber", "l_quantity", "l_partkey", "l_suppkey")
+    line = line.repartition("question_id")  # one shuffle for lines and orders
+    line = line.groupBy("question_id", "l_linenumber").agg(F.min("l_quantity").cast("int").cast("string").alias("q"), F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
     title = F.concat(F.lit("line "), F.col("l_linenumber").cast("string"))
-    order = line.groupBy("l_orderkey").agg(F.min_by("q", "l_linenumber").alias("answer"), F.array_sort(F.collect_list("l_linenumber")).alias("lines"))  # the lines of one order
-    order = order.withColumn("support", F.transform("lines", lambda n: F.concat(F.lit("line "), n.cast("string"))))
+    order = W.partitionBy("question_id")  # the lines of one order
+    line = line.withColumns({"answer": F.min_by("q", "l_linenumber").over(order), "lines": F.collect_list("l_linenumber").over(order)})
+    support = F.transform(F.array_sort("lines"), lambda n: F.concat(F.lit("line "), n.cast("string")))
     text = F.concat(F.lit("On "), title, F.lit(": "), F.col("q"), F.lit(" pieces of part "), F.col("p").cast("string"), F.lit(" from supplier "), F.col("s").cast("string"), F.lit("."))
-    qid = F.concat(F.lit("o"), F.col("l_orderkey").cast("string"))
-    chain = line.join(order, "l_orderkey").select(
-        qid.alias("question_id"), F.lit(True).alias("multi"), F.col("l_linenumber").alias("ord"), F.concat(qid, F.lit("-"), F.col("l_linenumber").cast("string")).alias("doc_id"),
-        title.alias("title"), text.alias("text"), F.array("answer").alias("answers"), F.lit("numeric").alias("kind"), "support",
+    chain = line.select(
+        "question_id", F.lit(True).alias("multi"), F.col("l_linenumber").alias("ord"), F.concat("question_id", F.lit("-"), F.col("l_linenumber").cast("string")).alias("doc_id"),
+        title.alias("title"), text.alias("text"), F.array("answer").alias("answers"), F.lit("numeric").alias("kind"), support.alias("support"),
     )
     return single.unionByName(chain)
 
