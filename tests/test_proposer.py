@@ -1,6 +1,7 @@
 """Spans, borrowed and invented values, proposals and their outcomes."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -149,3 +150,17 @@ def test_small_buckets_give_what_the_joins_give(spark, monkeypatch):
             monkeypatch.undo()
         assert got[0] == got[12] == got[PR.SMALL] and len(got[0]) == 100
         assert joined[0] > joined[12] > 0 == joined[PR.SMALL]
+
+
+def by_passage(spark, name):
+    """Whether a query's plan, as run, deals rows by passage: the joins of `borrowed`."""
+    from veritrace.plans import registry
+
+    made = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    made.collect()
+    ran = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    return re.search(r"hashpartitioning\(question_id#\d+, doc_id#", ran) is not None
+
+
+def test_ledger_deals_no_rows_by_passage(spark):
+    assert not by_passage(spark, "proposal_ledger")
