@@ -164,3 +164,7 @@ def by_passage(spark, name):
 
 def test_ledger_deals_no_rows_by_passage(spark):
     assert not by_passage(spark, "proposal_ledger")
+
+
+def test_proposals_deal_no_rows_by_passage(spark):
+    assert not by_passage(spark, "proposals")
